@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidewell.llm import packing
+from tidewell.llm import mixing, packing, secrets
 from tidewell.llm.common import read
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -17,5 +18,14 @@ def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), WORD_VOCABULARY)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_pack": op1_pack}
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # A source is an owner, and its documents of one language are a repository of the owner's.
+    return secrets.scan(read(spark, sf_dir, "documents"), F.col("source"), F.concat_ws("/", "source", "lang"))
+
+
+def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.query(read(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pack, op7_secrets, op8_mix)}
 ORACLE_SQL: dict[str, str] = {}
