@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import fingerprints, mixing, packing, secrets
+from tidewell.llm import fingerprints, mixing, neardup, packing, secrets
 from tidewell.llm.common import read
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -22,6 +22,10 @@ def op2_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint(read(spark, sf_dir, "documents"))
 
 
+def op3_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(read(spark, sf_dir, "documents")).select("doc_id", "class_id")
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     # A source is an owner, and its documents of one language are a repository of the owner's.
     return secrets.scan(read(spark, sf_dir, "documents"), F.col("source"), F.concat_ws("/", "source", "lang"))
@@ -31,5 +35,5 @@ def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.query(read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pack, op2_fingerprint, op7_secrets, op8_mix)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pack, op2_fingerprint, op3_neardup, op7_secrets, op8_mix)}
 ORACLE_SQL: dict[str, str] = {}
