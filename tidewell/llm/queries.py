@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import fingerprints, mixing, neardup, packing, secrets
+from tidewell.llm import chat, fingerprints, mixing, neardup, packing, secrets, topk
 from tidewell.llm.common import read
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -26,6 +26,11 @@ def op3_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(read(spark, sf_dir, "documents")).select("doc_id", "class_id")
 
 
+def op6_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read(spark, sf_dir, "conversations")
+    return chat.preferences(turns, F.shiftright("conv_id", 1), F.col("conv_id").bitwiseAND(F.lit(1)) == 0)
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     # A source is an owner, and its documents of one language are a repository of the owner's.
     return secrets.scan(read(spark, sf_dir, "documents"), F.col("source"), F.concat_ws("/", "source", "lang"))
@@ -35,5 +40,9 @@ def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.query(read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pack, op2_fingerprint, op3_neardup, op7_secrets, op8_mix)}
-ORACLE_SQL: dict[str, str] = {}
+def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(read(spark, sf_dir, "embeddings"), 20, lambda i: i % 20 == 0)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pack, op2_fingerprint, op3_neardup, op6_preferences, op7_secrets, op8_mix, op9_topk)}
+ORACLE_SQL: dict[str, str] = {"op6_preferences": chat.SQL, "op9_topk": topk.SQL}
