@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import chat, fingerprints, mixing, neardup, packing, secrets, topk
+from tidewell.llm import chat, fingerprints, language, mixing, neardup, packing, secrets, topk
 from tidewell.llm.common import read
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -44,5 +44,10 @@ def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(read(spark, sf_dir, "embeddings"), 20, lambda i: i % 20 == 0)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pack, op2_fingerprint, op3_neardup, op6_preferences, op7_secrets, op8_mix, op9_topk)}
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # A document's declared language stands for its markup's, its source for its host; it has no address.
+    return language.query(read(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pack, op2_fingerprint, op3_neardup, op6_preferences, op7_secrets, op8_mix, op9_topk, op10_language)}
 ORACLE_SQL: dict[str, str] = {"op6_preferences": chat.SQL, "op9_topk": topk.SQL}
