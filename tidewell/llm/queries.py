@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import chat, fingerprints, language, mixing, neardup, packing, secrets, topk, warc
+from tidewell.llm import chat, fingerprints, language, lm, mixing, neardup, packing, secrets, topk, warc
 from tidewell.llm.common import read
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -26,6 +26,10 @@ def op3_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(read(spark, sf_dir, "documents")).select("doc_id", "class_id")
 
 
+def op4_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.pseudo_likelihood(read(spark, sf_dir, "documents"))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.query(read(spark, sf_dir, "pages"))
 
@@ -53,5 +57,5 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.query(read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pack, op2_fingerprint, op3_neardup, op5_warc, op6_preferences, op7_secrets, op8_mix, op9_topk, op10_language)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pack, op2_fingerprint, op3_neardup, op4_pseudo_likelihood, op5_warc, op6_preferences, op7_secrets, op8_mix, op9_topk, op10_language)}
 ORACLE_SQL: dict[str, str] = {"op5_warc": warc.SQL, "op6_preferences": chat.SQL, "op9_topk": topk.SQL}
