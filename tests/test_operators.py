@@ -205,7 +205,7 @@ def test_folding(spark):
 
 def test_refine_ends_every_row_and_is_idempotent(spark):
     raw = [(i, t, f"http://h/{i}", c, "Berlin", d, "", "s", e) for i, t, c, d, e in [
-        (1, "Engineer", "A GmbH", "we build things " * 20, "1"), (2, "Engineer", "A", "other text " * 30, "2"), (3, "", "B", "x" * 300, "3"), (4, "--", "B", "y" * 300, "4"), (5, "Analyst", "C", "numbers and tables " * 20, ""),
+        (1, "Engineer", "A GmbH", "we build things " * 20, "1"), (2, "Engineer", "A", "other text " * 30, "2"), (3, "", "B", "x" * 300, "3"), (4, "--", "D", "y" * 300, "4"), (5, "Analyst", "C", "numbers and tables " * 20, ""),
     ]]
     batch = spark.createDataFrame(raw, "id long, title string, url string, company string, location string, description string, salary string, source string, external_id string").withColumn("posted_at", F.lit(None).cast("timestamp"))
     shelf, memory = spark.createDataFrame([], schemas.SHELF), spark.createDataFrame([], schemas.MEMORY)

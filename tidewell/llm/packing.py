@@ -27,7 +27,7 @@ CAPACITY = 2048
 OPEN_BINS = 4096
 TAIL_PIECES = 4096
 #: Chunks between white space whose ids a worker remembers; beyond that it starts anew.
-REMEMBERED = 1_000_000
+REMEMBERED = 500_000
 
 _STOPS = frozenset([b".", b",", b";", b":", b"!", b"?"])
 
@@ -125,9 +125,9 @@ class ChunkTokenizer:
 
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
         at = 0
-        while at < len(texts):  # a stretch of texts of about 4 MB at a time
+        while at < len(texts):  # a stretch of texts of about 2 MB at a time
             upto, size = at, 0
-            while upto < len(texts) and (upto == at or size < 4_000_000):
+            while upto < len(texts) and (upto == at or size < 2_000_000):
                 size += len(texts[upto])
                 upto += 1
             split = [t.lower().split() for t in texts[at:upto]]

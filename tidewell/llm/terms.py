@@ -46,13 +46,13 @@ def occurrences(values: np.ndarray) -> np.ndarray:
     return out
 
 
-def stretches(texts: list[str], most: int = 2_000_000):
-    """(from, to) of stretches of about so many characters, one text at least."""
+def stretches(texts: list[str] | list[int], most: int = 1_000_000):
+    """(from, to) of stretches of about so many characters, one text at least; of texts or their lengths."""
     at = 0
     while at < len(texts):
         upto, size = at, 0
         while upto < len(texts) and (upto == at or size < most):
-            size += len(texts[upto])
+            size += texts[upto] if isinstance(texts[upto], int) else len(texts[upto])
             upto += 1
         yield at, upto
         at = upto

@@ -58,32 +58,30 @@ def cut_in_batch(batch: DataFrame) -> DataFrame:
     and have no company or the keeper's.
     """
     rows = batch.filter(F.length("title") >= CUT).select("id", F.length("title").alias("n"), F.left("title", F.lit(CUT)).alias("prefix"), T.identity_company(F.col("company")).alias("name"))
-    best = F.struct("n", (-F.col("id")).alias("earliest"))
-    keeper = rows.groupBy("prefix").agg(F.max(best).alias("best"), F.max_by("name", best).alias("keeper_name"), F.count(F.lit(1)).alias("rows")).filter("rows > 1")
-    both = rows.join(keeper, "prefix").filter(F.col("id") != -F.col("best.earliest"))
-    return both.filter(((F.col("n") == CUT) | (F.col("name") == "")) & ((F.col("name") == "") | (F.col("name") == F.col("keeper_name")))).select("id")
+    w = Window.partitionBy("prefix").orderBy(F.desc("n"), "id")
+    ranked = rows.withColumns({"no": F.row_number().over(w), "keeper_name": F.first("name").over(w)})
+    may_go = (F.col("n") == CUT) | (F.col("name") == "")
+    return ranked.filter((F.col("no") > 1) & may_go & ((F.col("name") == "") | (F.col("name") == F.col("keeper_name")))).select("id")
 
 
 def first_of_each_key(batch: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """``batch`` after passes over its keys, one after the other: each keeps the earliest of the rows left; empty keys are exempt."""
-    rows = batch
+    """``batch`` after passes over its keys, one after the other: each keeps the earliest of the rows left; empty keys are exempt.
+
+    The passes sort only ids and keys; a claimed batch is limited, so no key's rows are many.
+    """
+    rows = batch.select("id", *keys)
     for key in keys:
-        named = rows.filter(F.col(key) != "")
-        # The minimum is summed before the shuffle, so a key that many rows share doesn't meet in one task as rows.
-        first = named.groupBy(key).agg(F.min("id").alias("_first"))
-        kept = rows.join(first.select(F.col(key).alias("_key"), "_first"), F.col(key) == F.col("_key"), "left")
-        rows = kept.filter(F.col("_first").isNull() | (F.col("_first") == F.col("id"))).select(*batch.columns)
-    return rows
+        empty = F.col(key) == ""
+        w = Window.partitionBy(key, F.when(empty, F.col("id"))).orderBy("id")
+        rows = rows.withColumn("_no", F.row_number().over(w)).filter("_no = 1").drop("_no")
+    return batch.join(rows.select("id"), "id", "left_semi")
 
 
 def duplicates(batch: DataFrame, shelf: DataFrame) -> DataFrame:
     """id of all duplicates of a parsed batch, by the tiers in their order."""
-    known = known_on_shelf(batch, shelf)
-    left = batch.join(known, "id", "left_anti")
-    probed = prefix_on_shelf(left, shelf)
-    left = left.join(probed, "id", "left_anti")
-    cut = cut_in_batch(left)
-    left = left.join(cut, "id", "left_anti")
+    on_shelf = known_on_shelf(batch, shelf).unionByName(prefix_on_shelf(batch, shelf)).distinct()
+    left = batch.select("id", "title", "company", *KEYS).join(on_shelf, "id", "left_anti")
+    left = left.join(cut_in_batch(left), "id", "left_anti")
     return batch.select("id").join(first_of_each_key(left).select("id"), "id", "left_anti")
 
 

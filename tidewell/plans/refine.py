@@ -32,6 +32,11 @@ class Refined:
     jobs: DataFrame
     shelf: DataFrame
     memory: DataFrame
+    held: DataFrame
+
+    def release(self) -> None:
+        """Once all results have been consumed."""
+        self.held.unpersist()
 
 
 def refine(batch: DataFrame, shelf: DataFrame, memory: DataFrame, index: DataFrame, fetched: DataFrame, settings: Settings) -> Refined:
@@ -43,18 +48,19 @@ def refine(batch: DataFrame, shelf: DataFrame, memory: DataFrame, index: DataFra
     """
     jobs = dedup.parsed(batch)
     same = dedup.duplicates(jobs, shelf)
-    left = jobs.join(same, "id", "left_anti")
-    bands = nearsim.band_hashes(left.select("id", F.col("description").alias("text")), settings.lanes)
+    bands = nearsim.band_hashes(jobs.join(same, "id", "left_anti").select("id", F.col("description").alias("text")), settings.lanes)
     near = nearsim.near_duplicates(bands, memory, F.lit(settings.as_of), nearsim.required_bands(settings.lanes), settings.window_days)
-    left = left.join(near, "id", "left_anti")
-    judged = quality.classified(left, settings.rules, settings.today)
-    passing = judged.filter((F.col("verdict") == "keep") & quality.title_passes(F.col("title"))).drop("verdict")
-    placed = location.located(passing, index)
+    judged = quality.classified(jobs, settings.rules, settings.today)
+    gone = same.unionByName(near).select("id", F.lit(True).alias("_gone"))
+    bad = (F.col("verdict") == "reject") | ~quality.title_passes(F.col("title"))
+    marked = judged.join(gone, "id", "left").withColumn("outcome", F.when(F.col("_gone"), "duplicate").when(bad, "rejected").otherwise("refined")).drop("_gone", "verdict")
+    # What follows reads the marked rows more than once; lost blocks are computed again.
+    marked = marked.persist()
+    placed = location.located(marked.filter("outcome = 'refined'").drop("outcome"), index)
     done = quality.filled_in(placed, fetched, list(settings.blocked_hosts))
-    mark = lambda df, name: df.select("id", F.lit(name).alias("outcome"))
-    outcomes = mark(same, "duplicate").unionByName(mark(near, "duplicate")).unionByName(mark(left.join(done.select("id"), "id", "left_anti"), "rejected")).unionByName(mark(done, "refined"))
-    new = bands.join(done.select("id", "content_hash"), "id").select("content_hash", "band", "band_hash", F.lit(settings.as_of).alias("seen_at"))
-    return Refined(outcomes, done, lifecycle.shelf_upserted(shelf, done, settings.as_of), nearsim.remembered(nearsim.forgotten(memory, F.lit(settings.as_of), settings.window_days), new))
+    kept_bands = nearsim.band_hashes(marked.filter("outcome = 'refined'").select("id", F.col("description").alias("text")), settings.lanes)
+    new = kept_bands.join(done.select("id", "content_hash"), "id").select("content_hash", "band", "band_hash", F.lit(settings.as_of).alias("seen_at"))
+    return Refined(marked.select("id", "outcome"), done, lifecycle.shelf_upserted(shelf, done, settings.as_of), nearsim.remembered(nearsim.forgotten(memory, F.lit(settings.as_of), settings.window_days), new), marked)
 
 
 def finished(inbox: DataFrame, outcomes: DataFrame) -> DataFrame:

@@ -7,7 +7,6 @@ batch reads version n and writes version n + 1 under the batch's number, so a ba
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import replace
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -38,9 +37,10 @@ def drained(inbox_path: str, folder: str, index: Callable[[SparkSession], DataFr
         s = batch.sparkSession
         shelf, memory = version(s, folder, "shelf", no, schemas.SHELF), version(s, folder, "memory", no, schemas.MEMORY)
         fetched = s.createDataFrame([], "url string, fetched string")
-        done = R.refine(batch, shelf, memory, index(s), fetched, replace(settings))
+        done = R.refine(batch, shelf, memory, index(s), fetched, settings)
         for table, df, to in (("outcomes", done.outcomes, no), ("shelf", done.shelf, no + 1), ("memory", done.memory, no + 1)):
             df.write.mode("overwrite").parquet(f"{folder}/{table}/{to}")
+        done.release()
 
     return rows.writeStream.foreachBatch(refine).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start()
 
