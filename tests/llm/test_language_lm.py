@@ -100,3 +100,16 @@ def test_scores_of_odd_documents(odd, empty):
     assert len(rows) == odd.count() and lm.pseudo_likelihood(empty).collect() == []
     for r in rows:
         assert (r.n_words == 0 and r.log_prob == 0 and r.mean_log_prob is None) or (r.log_prob < 0 and math.isfinite(r.mean_log_prob))
+
+
+def test_every_word_has_its_own_probability(spark, monkeypatch):
+    """Texts of one word: over all 3,000 words the probabilities sum to one, and a word seen once is less likely than others of its id."""
+    words = [(f"w{i}", 1 + (i % 7) ** 2) for i in range(3000)]
+    docs = spark.createDataFrame([(i, w) for i, (w, n) in enumerate(words) for _ in range(n)], "doc_id long, text string")
+    got = []
+    for head in (lm.HEAD, 4096, 2):  # all words looked up; some joined; all joined
+        monkeypatch.setattr(lm, "HEAD", head)
+        got.append({r.doc_id: r.log_prob for r in lm.pseudo_likelihood(docs).collect()})
+        assert len(got[-1]) == 3000 and abs(sum(math.exp(x) for x in got[-1].values()) - 1) < 0.03  # ids without a word keep the rest
+        mean = lambda n: np.mean([got[-1][i] for i, (_, m) in enumerate(words) if m == n])
+        assert mean(1) < mean(10) - 1 and mean(10) < mean(37) - 0.5

@@ -5,15 +5,21 @@ it, the word itself being masked.  The left and the right neighbours' embeddings
 distance, are summed into a hidden layer; the output is factored into a word's class and the word
 within its class.  A document's score is the sum of the log-probabilities of all its words.
 
-The vocabulary and its frequencies are counted over all documents.  The network is trained in numpy:
-every partition runs Adam over all its documents from one common start, and the results are averaged,
-weighed by the words they saw, for ROUNDS rounds.  The model's size is fixed, so what is broadcast or collected
-never grows; what is counted and trained on grows with the corpus.
+The vocabulary is all words, counted over all documents.  The most frequent have ids of their own in
+the network; each other word shares one of RARE ids by hash, and its probability is the network's for the
+id times the word's own share of it, n(word) / n(id).  Shares of words that make up one in HEAD words
+or more, HEAD words at most, are broadcast; those of all others are a table that their occurrences are
+joined with, in which no word has more than one in HEAD rows.
+
+The network is trained in numpy: every partition runs Adam over all its documents from one common start,
+and the results are averaged, weighed by the words they saw, for ROUNDS rounds.  The network's size is
+fixed, so what is broadcast or collected never grows; the vocabulary and what is trained on grow with the corpus.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -32,15 +38,24 @@ WINDOW = 2
 BATCH = 4096
 RATE = 0.01
 ROUNDS = 1
-CELL_BITS = 20
+#: Words that make up one in so many are looked up in tasks; rarer ones are joined.
+HEAD = 1 << 17
+#: Logarithms of shares are summed as whole numbers of this part, so that the sum doesn't depend on the order.
+_PART = 1e-6
+#: Different words that a task holds before it sends their counts on.
+_HELD = 1_000_000
 
 _N_CLASSES = WORDS // CLASS
 _SHAPES = {"left": (WORDS + 1, WIDTH), "right": (WORDS + 1, WIDTH), "hidden": (WIDTH,), "class_out": (WIDTH, _N_CLASSES), "class_bias": (_N_CLASSES,), "word_out": (_N_CLASSES, WIDTH, CLASS), "word_bias": (_N_CLASSES, CLASS)}
 _PAD = WORDS  # beyond a text's ends
 
 
-def _cells(words: np.ndarray) -> np.ndarray:
-    return (words >> np.uint64(64 - CELL_BITS)).astype(np.int64)
+class Vocabulary(NamedTuple):
+    head: np.ndarray  # hashes of frequent words, rising
+    ids: np.ndarray  # their ids
+    logs: np.ndarray  # the logarithms of their shares of their ids, in _PART
+    sizes: list[float]  # occurrences of each shared id
+    tail: DataFrame  # word, log: all other words
 
 
 class Network:
@@ -141,49 +156,88 @@ def _unpacked(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
-    """cell, n over all texts: a cell is CELL_BITS bits of a word's hash."""
+    """word, n over all texts: each word's hash and how often it occurs."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros(1 << CELL_BITS, np.int64)
+        words, sums = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        more: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            every, ns = (np.concatenate(x) for x in zip((words, sums), *more))
+            order = np.argsort(every, kind="stable")
+            every, ns = every[order], ns[order]
+            starts = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]])) if len(every) else np.zeros(0, np.int64)
+            return every[starts], np.add.reduceat(ns, starts) if len(starts) else ns
+
+        def sent() -> Iterator[pa.RecordBatch]:
+            for at in range(0, len(words), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(words[at : at + 100_000].view(np.int64)), pa.array(sums[at : at + 100_000])], names=["word", "n"])
+
         for batch in batches:
             texts = batch.column(0).to_pylist()
             for a, b in stretches(texts):
-                if len(every := np.concatenate(word_hashes(texts[a:b]))):
-                    sums += np.bincount(_cells(every), minlength=1 << CELL_BITS)
-        at = np.flatnonzero(sums)
-        for start in range(0, len(at), 100_000):
-            part = at[start : start + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(sums[part], pa.int64())], names=["cell", "n"])
-
-    return texts.mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-
-
-def vocabulary(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(id of each cell, frequency of each id): the most frequent cells have ids of their own."""
-    counts = stage(word_counts(texts), "cells")
-    top = counts.orderBy(F.desc("n"), "cell").limit(WORDS - RARE).toArrow()
-    cells, n = top.column(0).to_numpy(), top.column(1).to_numpy()
-    ids = (WORDS - RARE + np.arange(1 << CELL_BITS) % RARE).astype(np.uint16)
-    ids[cells] = np.arange(len(cells))
+                more.append(np.unique(np.concatenate(word_hashes(texts[a:b])), return_counts=True))
+                if sum(len(x) for x, _ in more) >= _HELD:
+                    words, sums = merged()
+                    more.clear()
+                    if len(words) >= _HELD:
+                        yield from sent()
+                        words, sums = words[:0], sums[:0]
+        words, sums = merged()
+        yield from sent()
+
+    return texts.mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def vocabulary(texts: DataFrame) -> tuple[Vocabulary, np.ndarray]:
+    """(all words with their ids and shares, frequency of each id): the most frequent words have ids of their own."""
+    counts = stage(word_counts(texts), "counts")
+    by_id = np.zeros(RARE)
+    for r in counts.groupBy(F.pmod("word", F.lit(RARE)).alias("id")).agg(F.sum("n").alias("n")).collect():
+        by_id[r.id] = r.n
+    least = float(by_id.sum() / HEAD)
+    top = counts.filter(F.col("n") >= least).toArrow()
+    head, n = top.column(0).to_numpy().view(np.uint64), top.column(1).to_numpy()
+    order = np.argsort(head)
+    head, n = head[order], n[order]
+    own = np.argsort(-n, kind="stable")[: WORDS - RARE]
+    shared = (head % np.uint64(RARE)).astype(np.int64)
     frequency = np.zeros(WORDS)
-    frequency[: len(n)] = n
-    rest = (counts.agg(F.sum("n")).first()[0] or 0) - n.sum()
-    frequency[WORDS - RARE :] = rest / RARE
-    return ids, frequency
-
-
-def encode(docs: DataFrame, ids: np.ndarray) -> DataFrame:
-    """(doc_id, words binary) of rows (doc_id, text)."""
-    table = docs.sparkSession.sparkContext.broadcast(ids)
+    frequency[: len(own)] = n[own]
+    by_id -= np.bincount(shared[own], weights=n[own], minlength=RARE)
+    frequency[WORDS - RARE :] = by_id
+    sizes = [max(1.0, float(x)) for x in by_id]
+    ids = WORDS - RARE + shared
+    ids[own] = np.arange(len(own))
+    logs = np.round(np.log(n / frequency[ids]) / _PART).astype(np.int64)
+    share = F.col("n") / F.get(F.lit(sizes), F.pmod("word", F.lit(RARE)).cast("int"))
+    tail = counts.filter(F.col("n") < least).select("word", F.round(F.log(share) / _PART).cast("long").alias("log"))
+    return Vocabulary(head, ids.astype(np.uint16), logs, sizes, tail), frequency
+
+
+def encode(docs: DataFrame, known: Vocabulary) -> DataFrame:
+    """(row, doc_id, words binary, share, tail) of rows (doc_id, text): a number for the row, ids, the sum of the logarithms of frequent words' shares, and the hashes of the other words."""
+    table = docs.sparkSession.sparkContext.broadcast((known.head, known.ids, known.logs))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head, head_ids, logs = table.value
         for batch in batches:
-            texts = batch.column(1).to_pylist()
+            texts = batch.column(2).to_pylist()
             for a, b in stretches(texts):
-                packed = [table.value[_cells(w)].astype("<u2").tobytes() for w in word_hashes(texts[a:b])]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(packed, pa.binary())], names=["doc_id", "words"])
-
-    return docs.mapInArrow(work, "doc_id long, words binary")
+                each = word_hashes(texts[a:b])
+                every, bounds = np.concatenate(each), np.concatenate([[0], np.cumsum([len(w) for w in each])])
+                ids, share, found = (WORDS - RARE + every % np.uint64(RARE)).astype("<u2"), np.zeros(len(every), np.int64), np.zeros(len(every), bool)
+                if len(head):
+                    at = np.minimum(np.searchsorted(head, every), len(head) - 1)
+                    found = head[at] == every
+                    ids[found], share[found] = head_ids[at[found]], logs[at[found]]
+                sums = np.diff(np.concatenate([[0], np.cumsum(share)])[bounds])
+                tails = np.concatenate([[0], np.cumsum(~found)])[bounds].astype(np.int32)
+                packed = [ids[x:y].tobytes() for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(packed, pa.binary()), pa.array(sums), pa.ListArray.from_arrays(pa.array(tails), pa.array(every[~found].view(np.int64)))], names=["row", "doc_id", "words", "share", "tail"])
+
+    return docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").mapInArrow(work, "row long, doc_id long, words binary, share long, tail array<long>")
 
 
 def train(encoded: DataFrame, network: Network, rate: float = RATE) -> Network:
@@ -222,19 +276,38 @@ def train(encoded: DataFrame, network: Network, rate: float = RATE) -> Network:
 
 
 def score(encoded: DataFrame, network: Network) -> DataFrame:
-    """doc_id, n_words, log_prob, mean_log_prob of rows (doc_id, words)."""
-    model = encoded.sparkSession.sparkContext.broadcast(network.flat())
+    """doc_id, n_words, log_prob, mean_log_prob of rows (doc_id, words): the network's part, by ids."""
+    scored = _scored(encoded.select("doc_id", "words"), network, "doc_id long")
+    return scored.withColumn("mean_log_prob", F.when(F.col("n_words") > 0, F.col("log_prob") / F.col("n_words")))
+
+
+def _scored(rows: DataFrame, network: Network, carried: str) -> DataFrame:
+    """The ``carried`` columns, n_words and log_prob of rows of these columns and words."""
+    model = rows.sparkSession.sparkContext.broadcast(network.flat())
+    names = [c.split()[0] for c in carried.split(", ")]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = Network.of(model.value)
-        for batch, texts in _unpacked(batches, 1):
+        for batch, texts in _unpacked(batches, len(names)):
             ids, around = _around(texts)
             logs = np.concatenate([np.zeros(0), *(net.run(ids[at : at + BATCH], around[:, at : at + BATCH], None) for at in range(0, len(ids), BATCH))])
             sums = np.diff(np.concatenate([[0.0], np.cumsum(logs)])[np.concatenate([[0], np.cumsum([len(t) for t in texts])])])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array(np.round(sums, 3))], names=["doc_id", "n_words", "log_prob"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array([len(t) for t in texts], pa.int64()), pa.array(np.round(sums, 3))], names=[*names, "n_words", "log_prob"])
 
-    scored = encoded.select("doc_id", "words").mapInArrow(work, "doc_id long, n_words long, log_prob double")
-    return scored.withColumn("mean_log_prob", F.when(F.col("n_words") > 0, F.col("log_prob") / F.col("n_words")))
+    return rows.mapInArrow(work, f"{carried}, n_words long, log_prob double")
+
+
+def score_words(encoded: DataFrame, network: Network, known: Vocabulary) -> DataFrame:
+    """doc_id, n_words, log_prob, mean_log_prob of rows of encode(): the network's part and the words' shares of their ids.
+
+    A word outside the vocabulary counts as one that was seen once.
+    """
+    scored = _scored(encoded.select("row", "doc_id", "share", "words"), network, "row long, doc_id long, share long")
+    words = encoded.select("row", F.explode("tail").alias("word"))
+    once = F.round(F.log(1 / F.get(F.lit(known.sizes), F.pmod("word", F.lit(RARE)).cast("int"))) / _PART).cast("long")
+    rare = words.join(known.tail, "word", "left").groupBy("row").agg(F.sum(F.coalesce("log", once)).alias("rest"))
+    both = scored.join(rare, "row", "left").withColumn("log_prob", F.round(F.col("log_prob") + (F.col("share") + F.coalesce("rest", F.lit(0))) * _PART, 3))
+    return both.select("doc_id", "n_words", "log_prob", F.when(F.col("n_words") > 0, F.col("log_prob") / F.col("n_words")).alias("mean_log_prob"))
 
 
 def pseudo_likelihood(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -244,9 +317,9 @@ def pseudo_likelihood(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     are scored, and learnt from, each time.  An empty table gives no rows.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    ids, frequency = vocabulary(rows.select("text"))
-    encoded = stage(encode(rows, ids), "words")
+    known, frequency = vocabulary(rows.select("text"))
+    encoded = stage(encode(rows, known), "words")
     network = Network.start(frequency)
     for _ in range(ROUNDS):
         network = train(encoded, network)
-    return score(encoded, network)
+    return score_words(encoded, network, known)
