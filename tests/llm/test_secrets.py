@@ -66,3 +66,31 @@ def test_redaction_keeps_rows(odd, empty):
     got = secrets.redact(odd, F.col("source"), F.col("lang"))
     assert got.columns == odd.columns and sorted(map(str, got.collect())) == sorted(map(str, odd.collect()))
     assert secrets.redact(empty, F.col("source"), F.col("lang")).collect() == []
+
+
+def test_kinds_are_judged_apart(spark):
+    key = lambda body: f"-----BEGIN RSA PRIVATE KEY-----\n{body}\n-----END RSA PRIVATE KEY-----"
+    rows = [
+        (1, "password=hunter2.", "a", "en"), (2, "password=changeme token: your_token_here", "a", "en"), (3, f"x {key('MIIEabc+/=' * 9)} y", "a", "en"), (4, "-----BEGIN RSA PRIVATE KEY----- alone", "b", "en"),
+        *[(10 + i, key("SHARED" * 9), f"o{i}", "en") for i in range(3)], (20, "secret=" + "ab12" * 8, "c", "en"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    got = {r.doc_id: (r.n_live, r.n_example, r.n_other) for r in scanned(docs)}
+    assert got == {1: (1, 0, 0), 2: (0, 0, 2), 3: (1, 0, 0), 4: (0, 0, 1), 10: (0, 1, 0), 11: (0, 1, 0), 12: (0, 1, 0), 20: (1, 0, 1)}
+    masked = {r.doc_id: r.text for r in secrets.redact(docs, F.col("source"), F.col("lang")).collect()}
+    assert masked[1] == "password=[secret]" and masked[3] == "x [secret] y" and masked[20] == "secret=[secret]" and all(masked[i] == t for i, t, *_ in rows if i not in (1, 3, 20))
+
+
+def test_repositories_widen_two_owners(spark):
+    held = lambda repos: spark.createDataFrame([("h", f"o{i % 2}", f"r{i}") for i in range(repos)], "hash string, owner string, repo string")
+    verdict = lambda repos: secrets.judged(held(repos).withColumn("plausible", F.lit(True))).first()["verdict"]
+    assert verdict(secrets.WIDE_REPOS - 1) == "live" and verdict(secrets.WIDE_REPOS) == "example"
+
+
+def test_many_matches_in_one_text(spark):
+    text = " ".join(f"token=abc{i}xyz, 😀" for i in range(10_000))
+    docs = spark.createDataFrame([(1, text, "s", "en"), (2, None, None, None)], "doc_id long, text string, source string, lang string")
+    got = {r.doc_id: r for r in scanned(docs)}
+    assert got[1].n_assign == got[1].n_live == 10_000 and got[1].base_sha256 == hashlib.sha256(listed(plain(text)).encode()).hexdigest() and got[2].spans == ""
+    masked = {r.doc_id: r.text for r in secrets.redact(docs, F.col("source"), F.col("lang")).collect()}
+    assert masked[1] == " ".join(["token=[secret], 😀"] * 10_000) and masked[2] is None
