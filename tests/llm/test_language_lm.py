@@ -1,4 +1,5 @@
 import math
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -38,10 +39,64 @@ def test_evidence_is_fused(spark):
     got = {r.doc_id: r for r in language.identify(docs, F.col("text"), F.col("lang"), F.col("suffix"), F.col("host"), ["doc_id"]).collect()}
     assert [got[i]._lang for i in (500, 501, 502)] == ["en", "de", "de"]
     assert got[502]._probability < got[501]._probability < 1
-    # The posterior of a text without trigrams is prior times declared evidence.
-    n = 41
-    base = (n + language.ADDED_COUNT) / (2 * n + 2 * language.ADDED_COUNT)
-    assert abs(base - 0.5) < 1e-9
+
+
+def brute_posterior(rows):
+    """(best language or und, its probability) of rows (text, declared, suffix, host), by the definition, one row after another."""
+
+    def cells(text):
+        raw = b" " + text.lower().encode() + b" "
+        plain = lambda b: b >= 128 or b == 32 or 97 <= b <= 122
+        return [((x * 0x9E3779B1 + y * 0x85EBCA6B + z * 0xC2B2AE35) & 0xFFFFFFFF) >> (32 - language.BITS) for x, y, z in zip(raw, raw[1:], raw[2:]) if plain(x) and plain(y) and plain(z)]
+
+    size, langs = 1 << language.BITS, sorted({r[1] for r in rows if r[1]})
+    counts = {lang: Counter() for lang in langs}
+    for text, declared, *_ in rows:
+        if declared:
+            counts[declared].update(cells(text))
+
+    def logs(text):
+        got = cells(text)
+        each = [sum(math.log((counts[lang][c] + language.ADDED_COUNT) / (counts[lang].total() + size * language.ADDED_COUNT)) for c in got) for lang in langs]
+        return [x * min(1, language.INDEPENDENT / max(1, len(got))) for x in (*each, -len(got) * math.log(size))], len(got)
+
+    scored = [logs(r[0]) for r in rows]
+    told = [(r[2], r[3], int(np.argmax(s[:-1]))) for r, (s, n) in zip(rows, scored) if n]
+    share = lambda found, upon: [(found.count(i) + language.STRENGTH * p) / (len(found) + language.STRENGTH) for i, p in enumerate(upon)]
+    top = [[t[2] for t in told].count(i) + language.ADDED_COUNT for i in range(len(langs))]
+    out = []
+    for (_, declared, suffix, host), (s, _) in zip(rows, scored):
+        prior = share([t[2] for t in told if t[0] == suffix], [x / sum(top) for x in top])
+        prior = share([t[2] for t in told if t[:2] == (suffix, host)], prior)
+        said = [0 if not declared else math.log(language.DECLARED_RIGHT if lang == declared else max((1 - language.DECLARED_RIGHT) / max(1, len(langs) - 1), 1e-6)) for lang in langs]
+        post = [a + math.log(p) + e for a, p, e in zip(s, prior, said)] + [s[-1] + math.log(language.UNDETERMINED)]
+        best = int(np.argmax(post))
+        out.append((None if best == len(langs) else langs[best], 1 / sum(math.exp(x - post[best]) for x in post)))
+    return out
+
+
+def test_posterior_against_brute_force(spark, monkeypatch):
+    """40 languages in blocks of 7, each with words of its own; hosts of mixed, single and no evidence."""
+    monkeypatch.setattr(language, "BLOCK", 7)
+    rng = np.random.default_rng(4)
+    tags = [f"{chr(97 + i // 6)}{chr(97 + i % 6)}" for i in range(40)]
+    words = [["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyzäöß"), 4)) for _ in range(12)] for _ in tags]
+    rows = []
+    for i in range(300):
+        lang = int(rng.integers(40))
+        text = " ".join(rng.choice(words[lang], int(rng.integers(0, 12))))
+        rows.append((text, None if i % 5 == 0 else tags[lang], f"s{lang % 3}", f"h{lang % 9}"))
+    rows += [("", None, "s0", "nowhere"), ("12 34 ;;", None, "none", "nowhere"), ("x", "aa", "s1", "h1"), ("%&$ zqx " * 30, None, "s1", "h1")]
+    docs = spark.createDataFrame([(i, *r, "x", 0.5) for i, r in enumerate(rows)], "doc_id long, text string, lang string, suffix string, host string, n string, _by double")
+    got = {r.doc_id: r for r in language.identify(docs, F.col("text"), F.col("lang"), F.col("suffix"), F.col("host"), ["doc_id"]).collect()}
+    want = brute_posterior(rows)
+    assert [got[i]._lang for i in range(len(rows))] == [w[0] for w in want]
+    assert max(abs(got[i]._probability - w[1]) for i, w in enumerate(want)) < 1e-3
+
+
+def test_pages(spark, sf_dir):
+    rows = language.page_query(spark.read.parquet(f"{sf_dir}/pages.parquet")).collect()
+    assert len(rows) == 50 and all(r.accepted for r in rows) and language.page_query(spark.createDataFrame([(1, None, None)], "page_id long, url string, html string")).first().language is None
 
 
 def test_page_evidence(spark):

@@ -10,6 +10,9 @@ Four kinds of evidence meet in one posterior over the languages:
 One more hypothesis, "und", has evenly likely trigrams: a text that fits no language falls to it.
 All counts come from grouped aggregation over all rows; a host with a third of the rows is summed
 before the shuffle.
+
+Every declared language takes part.  A language is a tag of two or three letters, so their number is
+bounded whatever the corpus holds; their tables of 128 KB each are made and broadcast in blocks of BLOCK languages.
 """
 
 from __future__ import annotations
@@ -25,7 +28,8 @@ from pyspark.sql import functions as F
 from tidewell.llm.common import stage
 
 BITS = 15
-MOST_LANGUAGES = 32
+#: Languages whose tables are made at a time, and kept by a task that counts.
+BLOCK = 32
 DECLARED_RIGHT = 0.9
 STRENGTH = 20.0
 #: Neighbouring trigrams overlap and repeat, so a text counts as so many independent ones at most.
@@ -61,92 +65,124 @@ def _trigrams(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarra
         at = upto
 
 
-def trigram_counts(texts: DataFrame, languages: list[str]) -> np.ndarray:
-    """(language, trigram) counts over all rows (declared, text); at most MOST_LANGUAGES x 2^BITS numbers reach the driver."""
-    place = {lang: i for i, lang in enumerate(languages)}
+def trigram_counts(texts: DataFrame) -> DataFrame:
+    """declared, cell, n of all rows (declared, text): how often each hashed trigram occurs in the texts of a language."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((len(languages), 1 << BITS), np.int64)
+        sums: dict[str, np.ndarray] = {}
+
+        def sent() -> Iterator[pa.RecordBatch]:
+            for lang, each in sums.items():
+                at = np.flatnonzero(each)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array(each[at], pa.int64())], names=["declared", "cell", "n"])
+            sums.clear()
+
         for batch in batches:
-            lang = np.array([place[x] for x in batch.column(0).to_pylist()], np.int64)
+            langs = batch.column(0).to_pylist()
             for a, b, h, counts, bounds in _trigrams(batch.column(1)):
-                own = np.repeat(lang[a:b], np.diff(bounds))
-                sums += np.bincount(((own << BITS) + h)[counts], minlength=sums.size).reshape(sums.shape)
-        at = np.flatnonzero(sums.ravel())
-        for start in range(0, len(at), 50_000):
-            part = at[start : start + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(sums.ravel()[part], pa.int64())], names=["cell", "n"])
-
-    out = np.zeros(len(languages) << BITS, np.float64)
-    counted = texts.filter(F.col("declared").isin(languages)).mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-    got = counted.toArrow()
-    out[got.column(0).to_numpy()] = got.column(1).to_numpy()
-    return out.reshape(len(languages), 1 << BITS)
-
-
-def _log_odds(counts: np.ndarray) -> np.ndarray:
-    """float32 (trigram, language + 1): log probabilities, the last column is und's."""
+                place = {lang: i for i, lang in enumerate(sorted(set(langs[a:b])))}
+                own = np.repeat(np.array([place[x] for x in langs[a:b]], np.int64), np.diff(bounds))
+                cells, n = np.unique(((own << BITS) + h)[counts], return_counts=True)
+                for lang, i in place.items():
+                    if lang not in sums and len(sums) >= BLOCK:
+                        yield from sent()
+                    x, y = np.searchsorted(cells, [i << BITS, (i + 1) << BITS])
+                    sums.setdefault(lang, np.zeros(1 << BITS, np.int64))[cells[x:y] - (i << BITS)] += n[x:y]
+        yield from sent()
+
+    return texts.mapInArrow(count, "declared string, cell long, n long").groupBy("declared", "cell").agg(F.sum("n").alias("n"))
+
+
+def log_table(counts: np.ndarray) -> np.ndarray:
+    """float32 (trigram, language): log probabilities of counts (language, trigram)."""
     smooth = counts + ADDED_COUNT
-    logs = np.log(smooth / smooth.sum(axis=1, keepdims=True))
-    return np.ascontiguousarray(np.vstack([logs, np.full((1, counts.shape[1]), -np.log(counts.shape[1]))]).T.astype(np.float32))
+    return np.ascontiguousarray(np.log(smooth / smooth.sum(axis=1, keepdims=True)).T.astype(np.float32))
+
+
+def _tables(counts: DataFrame, languages: list[str]) -> list:
+    """A broadcast table for each block of languages."""
+    out = []
+    for at in range(0, len(languages), BLOCK):
+        part = languages[at : at + BLOCK]
+        got = counts.filter(F.col("declared").isin(part)).toArrow()
+        table = np.zeros((len(part), 1 << BITS))
+        place = {lang: i for i, lang in enumerate(part)}
+        table[[place[x] for x in got.column(0).to_pylist()], got.column(1).to_numpy()] = got.column(2).to_numpy()
+        out.append(counts.sparkSession.sparkContext.broadcast(log_table(table)))
+    return out
 
 
 def identify(docs: DataFrame, text: Column, declared: Column, suffix: Column, host: Column, carry: list[str]) -> DataFrame:
     """The ``carry`` columns of every row with _lang (null for und), _probability and _accepted.
 
     A null or empty text, or one without letters, is no evidence: declared language and priors decide.  A null declared
-    language, or one outside the MOST_LANGUAGES most frequent, is none either; null suffixes and hosts
+    language, or one that isn't a tag of two or three letters (what follows a hyphen is left out), is none either; null suffixes and hosts
     are one suffix and one host.  A row is rejected only if und is the likeliest.  Without any declared language in the
     table every row is accepted with a null language.  An empty table gives no rows.
     """
-    spark = docs.sparkSession
     said = F.lower(F.split_part(declared.cast("string"), F.lit("-"), F.lit(1)))
+    said = F.when(said.rlike("^[a-z]{2,3}$"), said)
     rows = docs.select(*carry, said.alias("_declared"), F.coalesce(suffix.cast("string"), F.lit("")).alias("_suffix"), F.coalesce(host.cast("string"), F.lit("")).alias("_host"), F.coalesce(text, F.lit("")).alias("_text"))
-    frequent = rows.filter(F.col("_declared") != "").groupBy("_declared").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "_declared").limit(MOST_LANGUAGES).collect()
-    languages = sorted(r[0] for r in frequent)
+    counts = stage(trigram_counts(rows.filter("_declared IS NOT NULL").select(F.col("_declared").alias("declared"), F.col("_text").alias("text"))), "trigrams")
+    languages = sorted(r[0] for r in rows.filter("_declared IS NOT NULL").select("_declared").distinct().collect())
+    n_langs = len(languages)
     if not languages:
         return rows.select(*carry, F.lit(None).cast("string").alias("_lang"), F.lit(1.0).alias("_probability"), F.lit(True).alias("_accepted"))
-    table = spark.sparkContext.broadcast(_log_odds(trigram_counts(rows.select(F.col("_declared").alias("declared"), F.col("_text").alias("text")), languages)))
+    tables = _tables(counts, languages)
 
     @F.arrow_udf("array<double>")
     def score(texts: pa.Array) -> pa.Array:
         """Log-likelihoods by language and und: only the text goes to Python, and only these numbers come back."""
-        logs, out = table.value, []
+        out = []
         for a, b, h, counts, bounds in _trigrams(texts):
             n = np.add.reduceat(counts, bounds[:-1], dtype=np.int64)
-            sums = np.zeros((b - a, logs.shape[1]))
-            for lang in range(logs.shape[1]):
-                each = logs[h, lang].astype(np.float64)
-                each[~counts] = 0.0
-                sums[:, lang] = np.add.reduceat(each, bounds[:-1])
+            sums = np.empty((b - a, n_langs + 1))
+            sums[:, n_langs] = n * -np.log(1 << BITS)
+            at = 0
+            for table in tables:
+                for lang in range(table.value.shape[1]):
+                    each = table.value[h, lang].astype(np.float64)
+                    each[~counts] = 0.0
+                    sums[:, at] = np.add.reduceat(each, bounds[:-1])
+                    at += 1
             out.append(np.round(sums * np.minimum(1.0, INDEPENDENT / np.maximum(n, 1))[:, None], 6))
-        flat = np.concatenate(out) if out else np.zeros((0, logs.shape[1]))
-        return pa.ListArray.from_arrays(pa.array(np.arange(0, flat.size + 1, logs.shape[1]), pa.int32()), pa.array(flat.ravel()))
+        flat = np.concatenate(out) if out else np.zeros((0, n_langs + 1))
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, flat.size + 1, n_langs + 1), pa.int32()), pa.array(flat.ravel()))
 
-    likely = F.slice("_logs", 1, len(languages))
+    likely = F.slice("_logs", 1, n_langs)
     # Without a trigram that counts all numbers are 0, and the text takes no part in the priors.
-    best = F.when(F.get("_logs", F.lit(len(languages))) < 0, F.array_position(likely, F.array_max(likely)) - 1).otherwise(-1).cast("int")
+    best = F.when(F.get("_logs", F.lit(n_langs)) < 0, F.array_position(likely, F.array_max(likely)) - 1).otherwise(-1).cast("int")
     scored = stage(rows.withColumn("_logs", score(F.col("_text"))).withColumn("_best", best).drop("_text"), "languages")
     told = scored.filter("_best >= 0").groupBy("_suffix", "_host", "_best").agg(F.count(F.lit(1)).alias("n"))
-    places = [F.sum(F.when(F.col("_best") == i, F.col("n")).otherwise(0)) for i in range(len(languages))]
-    by_host = stage(told.groupBy("_suffix", "_host").agg(F.array(*places).alias("at_host")), "hosts")
-    total = lambda col: [F.sum(F.col(col)[i]) for i in range(len(languages))]
-    whole = by_host.agg(F.array(*total("at_host"))).first()[0]
-    whole = [float(x or 0) + ADDED_COUNT for x in whole]
+    told = stage(told, "told")
+    by_suffix = stage(told.groupBy("_suffix", "_best").agg(F.sum("n").alias("n")), "suffixes")
+    whole = {r["_best"]: float(r["n"]) for r in by_suffix.groupBy("_best").agg(F.sum("n").alias("n")).collect()}
+    whole = [whole.get(i, 0.0) + ADDED_COUNT for i in range(n_langs)]
     overall = F.array(*[F.lit(x / sum(whole)) for x in whole])
-    lean = lambda counts, upon: F.transform(F.zip_with(counts, upon, lambda n, p: n + p * STRENGTH), lambda x: x / (F.aggregate(counts, F.lit(0.0), lambda s, n: s + n) + STRENGTH))
-    by_suffix = by_host.groupBy("_suffix").agg(F.array(*total("at_host")).alias("at_suffix")).select("_suffix", lean(F.col("at_suffix"), overall).alias("upper"))
-    priors = stage(by_host.join(by_suffix, "_suffix").select("_suffix", "_host", lean(F.col("at_host"), F.col("upper")).alias("_prior")), "priors")
-    joined = scored.join(priors, ["_suffix", "_host"], "left").withColumn("_prior", F.coalesce("_prior", overall))
+
+    def by_language(counts: DataFrame, *keys: str) -> DataFrame:
+        listed = counts.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("_best", "n"))).alias("by"))
+        return listed.withColumn("by", F.transform(F.sequence(F.lit(0), F.lit(n_langs - 1)), lambda i: F.coalesce(F.col("by")[i], F.lit(0))))
+
+    def leaning(upon: Column) -> Column:
+        """A prior of the counts by language and STRENGTH rows of ``upon``."""
+        total = F.aggregate("by", F.lit(0.0), lambda s, n: s + n) + STRENGTH
+        return F.transform(F.zip_with("by", upon, lambda n, p: n + p * STRENGTH), lambda x: x / total)
+
+    suffixes = by_language(by_suffix, "_suffix").select("_suffix", leaning(overall).alias("_upper"))
+    hosts = by_language(told, "_suffix", "_host").join(suffixes, "_suffix").select("_suffix", "_host", leaning(F.col("_upper")).alias("_prior"))
+    priors, suffixes = stage(hosts, "priors"), stage(suffixes, "upper")
+    # A host that no text tells anything of has its suffix's prior, or that of all.
+    joined = scored.join(priors, ["_suffix", "_host"], "left").join(suffixes, "_suffix", "left").withColumn("_prior", F.coalesce("_prior", "_upper", overall))
     names = F.array(*[F.lit(x) for x in languages])
-    wrong = (1 - DECLARED_RIGHT) / max(1, len(languages) - 1)
-    evidence = F.transform(names, lambda x: F.when(F.col("_declared").isin(languages), F.log(F.when(x == F.col("_declared"), F.lit(DECLARED_RIGHT)).otherwise(max(wrong, 1e-6)))).otherwise(0.0))
-    und = F.get(F.col("_logs"), F.lit(len(languages))) + float(np.log(UNDETERMINED))
-    known = F.zip_with(F.zip_with(F.slice("_logs", 1, len(languages)), F.transform("_prior", lambda p: F.log(p)), lambda a, b: a + b), evidence, lambda a, b: a + b)
+    wrong = (1 - DECLARED_RIGHT) / max(1, n_langs - 1)
+    evidence = F.transform(names, lambda x: F.when(F.col("_declared").isNotNull(), F.log(F.when(x == F.col("_declared"), F.lit(DECLARED_RIGHT)).otherwise(max(wrong, 1e-6)))).otherwise(0.0))
+    und = F.get(F.col("_logs"), F.lit(n_langs)) + float(np.log(UNDETERMINED))
+    known = F.zip_with(F.zip_with(F.slice("_logs", 1, n_langs), F.transform("_prior", lambda p: F.log(p)), lambda a, b: a + b), evidence, lambda a, b: a + b)
     joined = joined.withColumn("_post", F.concat(known, F.array(und)))
     top = F.array_max("_post")
     joined = joined.withColumn("_at", F.array_position("_post", top)).withColumn("_probability", 1.0 / F.aggregate("_post", F.lit(0.0), lambda s, x: s + F.exp(x - top)))
-    joined = joined.withColumn("_accepted", F.col("_at") <= len(languages))
+    joined = joined.withColumn("_accepted", F.col("_at") <= n_langs)
     return joined.select(*carry, F.when(F.col("_accepted"), F.get(names, (F.col("_at") - 1).cast("int"))).alias("_lang"), "_probability", "_accepted")
 
 
@@ -156,6 +192,18 @@ def page_evidence(html: Column, url: Column) -> tuple[Column, Column, Column]:
     return F.nullif(F.regexp_extract(html, r"""(?i)<html[^>]*\blang\s*=\s*["']?([A-Za-z]+)""", 1), F.lit("")), F.substring_index(host, ".", -1), host
 
 
+def page_text(html: Column) -> Column:
+    """The letters of a page outside its markup, scripts and styles."""
+    return F.regexp_replace(F.regexp_replace(html, r"(?is)<(script|style)\b[^>]*+>.*?</\1\s*>", " "), "<[^>]*+>|&[a-zA-Z#0-9]{1,8};", " ")
+
+
+def page_query(pages: DataFrame) -> DataFrame:
+    """page_id, language, probability, accepted of pages (page_id, url, html), with all four kinds of evidence."""
+    declared, suffix, host = page_evidence(F.col("html"), F.col("url"))
+    got = identify(pages, page_text(F.col("html")), declared, suffix, host, ["page_id"])
+    return got.select("page_id", F.col("_lang").alias("language"), F.round("_probability", 6).alias("probability"), F.col("_accepted").alias("accepted"))
+
+
 def query(docs: DataFrame) -> DataFrame:
     got = identify(docs, F.col("text"), F.col("lang"), F.lit(""), F.col("source"), ["doc_id"])
     return got.select("doc_id", F.col("_lang").alias("language"), F.round("_probability", 6).alias("probability"), F.col("_accepted").alias("accepted"))

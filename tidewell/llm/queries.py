@@ -57,5 +57,10 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.query(read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pack, op2_fingerprint, op3_neardup, op4_pseudo_likelihood, op5_warc, op6_preferences, op7_secrets, op8_mix, op9_topk, op10_language)}
+def language_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Operator 10 where there is all of its evidence: the markup's language, the address's suffix and host.
+    return language.page_query(read(spark, sf_dir, "pages"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pack, op2_fingerprint, op3_neardup, op4_pseudo_likelihood, op5_warc, op6_preferences, op7_secrets, op8_mix, op9_topk, op10_language, language_of_pages)}
 ORACLE_SQL: dict[str, str] = {"op5_warc": warc.SQL, "op6_preferences": chat.SQL, "op9_topk": topk.SQL}
