@@ -73,3 +73,13 @@ def test_ranks_are_global(spark):
 
     got = {r.s: r["rank"] for r in mixing.ranked(df, F.col("s").asc_nulls_last()).collect()}
     assert got == {**{f"s{i:03d}": i for i in range(300)}, None: 300}
+
+
+def test_shards_are_written_in_their_order(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    taken = mixing.copies(mixing.mix(spark.read.parquet(f"{sf_dir}/documents.parquet")), ["doc_id"])
+    rows = mixing.shuffled(taken).select("*", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at")).orderBy("at").collect()
+    assert len(rows) == taken.count() and len({r._shard for r in rows}) == mixing.SHARDS
+    assert [(r._shard, r._order) for r in rows] == sorted((r._shard, r._order) for r in rows)
+    assert all(len({r._shard for r in rows if r.part == p}) == 1 for p in {r.part for r in rows})

@@ -2,24 +2,46 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_SCRATCH: ContextVar[str] = ContextVar("scratch", default="stages")
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a new local one where that is unset, as in tests."""
+    """The folder that driver and executors share: spark.checkpoint.dir.  Where that is unset, in one process as in tests, a new temporary one; on a cluster an error, as executors would write to disks of their own."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         where = tempfile.mkdtemp(prefix="tidewell-")
         spark.sparkContext.setCheckpointDir(where)
     return where.rstrip("/")
 
 
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/tidewell/{spark.sparkContext.applicationId}"
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/tidewell/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    return f"{_own_dir(spark)}/{_SCRATCH.get()}/{name}-{uuid.uuid4().hex}"
+
+
+@contextlib.contextmanager
+def scratch(name: str) -> Iterator[None]:
+    """Within it, stage() writes below a folder of this name, which drop_stages() can remove on its own."""
+    token = _SCRATCH.set(name)
+    try:
+        yield
+    finally:
+        _SCRATCH.reset(token)
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -29,9 +51,9 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop_stages(spark: SparkSession) -> None:
-    """Remove what stage() has written for this application; results that read it must have been consumed."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tidewell/{spark.sparkContext.applicationId}")
+def drop_stages(spark: SparkSession, name: str | None = None) -> None:
+    """Remove what stage() has written for this application, or within scratch(name); results that read it must have been consumed."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_own_dir(spark) + (f"/{name}" if name else ""))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 

@@ -2,7 +2,8 @@
 
 Method: multivariate-hypergeometric splitting tree.  Each source's documents are dealt by hash into
 blocks, and the blocks are put into a random order.  A source's target fixes how many blocks, in that
-order and if need be over and over, the mix draws from it.  A tree then splits these exact quotas
+order and if need be over and over, the mix draws from it.  The order is found in two levels, over groups
+of blocks and inside each, so that no task sees all blocks of a source.  A tree then splits these exact quotas
 among the output shards: at each node the left shards' blocks are drawn without replacement from the
 node's, so that the counts are multivariate hypergeometric, as if all drawn blocks had been shuffled
 as one.  Every shard takes the next blocks in the source's random order, so that shards are disjoint,
@@ -27,8 +28,6 @@ MOST_TIMES = 2
 SHARDS = 16
 GROUPS = 256
 BLOCK_ROWS = 128
-#: Blocks of a source at most; blocks grow beyond that. 1,048,576 narrow rows are one task's window.
-MOST_BLOCKS = 1 << 20
 
 
 def word_count(text: Column) -> Column:
@@ -116,17 +115,23 @@ def mix(docs: DataFrame, source_col: str = "source", id_col: str = "doc_id", tex
     wide = docs.withColumns({"_size": size, "_key": key})
     sized = stage(wide.select(F.col(source_col).cast("string").alias("_source"), "_size", "_key"), "sized") if size_col is None else wide.select(F.col(source_col).cast("string").alias("_source"), "_size", "_key")
     sources = ranked(sized.groupBy("_source").agg(F.sum("_size").alias("source_size"), F.count(F.lit(1)).alias("rows")), F.col("_source").asc_nulls_last())
-    blocks = F.least(F.lit(MOST_BLOCKS), F.ceil(F.col("rows") / BLOCK_ROWS)).cast("long")
+    blocks = F.ceil(F.col("rows") / BLOCK_ROWS).cast("long")
     sources = stage(targets(sources, **rule).withColumn("blocks", blocks).withColumn("goal", F.round("target").cast("long")), "sources")
 
     def dealt(df: DataFrame) -> DataFrame:
         cols = sources.select(F.col("_source").alias("_s"), F.col("rank").alias("_rank"), F.col("blocks").alias("_blocks"), F.col("source_size").alias("_of"), F.col("target").alias("_goal_exact"), F.col("goal").alias("_goal"))
         return df.join(cols, F.col("_source").eqNullSafe(F.col("_s"))).withColumn("_block", F.pmod(F.xxhash64("_key", F.lit(seed)), F.col("_blocks")))
 
-    in_order = Window.partitionBy("_rank").orderBy(F.xxhash64("_block", "_rank", F.lit(seed + 1)), "_block")
-    before = in_order.rowsBetween(Window.unboundedPreceding, -1)
-    placed = dealt(sized).groupBy("_rank", "_block").agg(F.sum("_size").alias("words"), F.first("_goal").alias("goal"), F.first("_of").alias("source_size"))
-    placed = placed.withColumns({"first_word": F.coalesce(F.sum("words").over(before), F.lit(0)), "no": F.row_number().over(in_order) - 1})
+    placed = dealt(sized).groupBy("_rank", "_block").agg(F.sum("_size").alias("words"), F.first("_goal").alias("goal"), F.first("_of").alias("source_size"), F.first("_blocks").alias("of"))
+    # A source's random order of blocks: groups of about the root of their number, and the blocks of a group.
+    placed = stage(placed.withColumn("group", F.pmod(F.xxhash64("_block", "_rank", F.lit(seed + 5)), F.ceil(F.sqrt("of")))), "placed")
+    earlier = Window.partitionBy("_rank").orderBy("group").rowsBetween(Window.unboundedPreceding, -1)
+    groups = placed.groupBy("_rank", "group").agg(F.sum("words").alias("words"), F.count(F.lit(1)).alias("n"))
+    groups = groups.select("_rank", "group", F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("words_before"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    in_group = Window.partitionBy("_rank", "group").orderBy(F.xxhash64("_block", "_rank", F.lit(seed + 1)), "_block")
+    inside_group = F.coalesce(F.sum("words").over(in_group.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = placed.withColumns({"first_word": inside_group, "no": F.row_number().over(in_group) - 1}).join(groups, ["_rank", "group"])
+    placed = placed.withColumns({"first_word": F.col("first_word") + F.col("words_before"), "no": F.col("no") + F.col("before")})
     placed = placed.withColumns({"in_first": F.col("first_word") < F.col("goal"), "in_again": F.col("first_word") < F.col("goal") - F.col("source_size")})
     placed = stage(placed, "blocks")
     drawn = placed.groupBy(F.col("_rank").alias("rank")).agg((F.count_if("in_first") + F.count_if("in_again")).alias("drawn"), F.count_if("in_first").alias("drawn_first"))
@@ -154,9 +159,19 @@ def mix(docs: DataFrame, source_col: str = "source", id_col: str = "doc_id", tex
 
 
 def copies(mixed: DataFrame, names: list[str]) -> DataFrame:
-    """A row for each time that the mix takes a document, with its shard and order.  A document that the target cuts is kept whole if more than half of it is taken."""
-    each = F.array(*[F.struct((F.col(f"_taken_{p}") * 2 > F.col("_size")).alias("whole"), F.col(f"_shard_{p}").alias("shard")) for p in ("first", "again")])
-    return mixed.withColumn("_each", F.filter(each, lambda e: e["whole"])).select(*names, "_order", F.explode("_each").alias("_e")).select(*names, "_order", F.col("_e.shard").alias("_shard"))
+    """A row for each time that the mix takes a document, with its _shard and _order.  A document that the target cuts is kept whole if more than half of it is taken."""
+    again = F.xxhash64("_order", F.lit(1))
+    each = F.array(*[F.struct((F.col(f"_taken_{p}") * 2 > F.col("_size")).alias("whole"), F.col(f"_shard_{p}").alias("shard"), order.alias("order")) for p, order in (("first", F.col("_order")), ("again", again))])
+    taken = mixed.withColumn("_each", F.filter(each, lambda e: e["whole"])).select(*names, F.explode("_each").alias("_e"))
+    return taken.select(*names, F.col("_e.shard").alias("_shard"), F.col("_e.order").alias("_order"))
+
+
+def shuffled(taken: DataFrame, shards: int = SHARDS) -> DataFrame:
+    """What copies() gives with each shard in neighbouring partitions of its own, in its order; so written, a shard is a run of files."""
+    each = -(-partitions(taken.sparkSession) // shards)
+    # The order is a hash, so equal ranges of it hold about equally many rows.
+    part = F.least(F.floor((F.col("_order") / float(1 << 63) + 1) / 2 * each), F.lit(each - 1))
+    return taken.repartitionById(shards * each, (F.col("_shard") * each + part).cast("int")).sortWithinPartitions("_shard", "_order")
 
 
 def query(docs: DataFrame) -> DataFrame:
