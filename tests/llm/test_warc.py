@@ -1,5 +1,6 @@
 import gzip
 import hashlib
+import zlib
 from collections import Counter
 
 from tidewell.llm import warc
@@ -41,6 +42,36 @@ def test_both_versions_and_compression():
     assert warc.split_http(records[0][2]) == (b"HTTP/1.0 200 OK\r\nA: b\r\n\r\n", b"body\nmore\n")
 
 
+def test_bytes_survive(spark, tmp_path, monkeypatch):
+    """Latin-1, all byte values, payloads over 16 MB and several archives: what the ARC files hold is in the WARC files, each record a gzip member."""
+    monkeypatch.setattr(warc, "ARC_BYTES", 100_000)
+    every = bytes(range(256)) * 9
+    rows = [(1, "http://a/é", "Grüße ".encode("latin-1") * 300), (2, "http://b/", every), (3, "http://c/", every), (4, "http://d/", b"\0" * (17 << 20)), (5, "http://e/", b"HTTP/1.1 200 OK\r\n\r\nx\0\0"), (6, None, every[:20])]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html binary")
+    arcs, out = str(tmp_path / "arcs"), str(tmp_path / "warcs")
+    warc.write_arc(pages.repartition(3), arcs)
+    dns = warc.arc_version_block(1, "f", "20010203") + b"dns:a.example 192.0.2.1 20010203040506 text/dns 12\nanswer \xe9\xff...\n"
+    (tmp_path / "arcs" / "dns.arc").write_bytes(dns)
+    warc.to_warc(spark, arcs, out)
+    raw = [r.content for r in warc.files(spark, out).collect()]
+    found = [x for one in raw for x in warc.parse_warc(one)]
+    blocks = {h["warc-target-uri"]: b for h, b in found if h["warc-type"] != "warcinfo"}
+    assert {u or "about:blank": h for _, u, h in rows if u != "http://b/"} == {u: warc.split_http(b)[1] for u, b in blocks.items() if u not in ("http://b/", "dns:a.example")}
+    assert [(h["warc-type"], h["content-type"], h["warc-ip-address"], b) for h, b in found if h.get("warc-target-uri") == "dns:a.example"] == [("resource", "text/dns", "192.0.2.1", b"answer \xe9\xff...")]
+    got = {r.page_id: r for r in warc.read_warc(warc.files(spark, out)).collect()}
+    assert all(r.intact for r in got.values()) and (got[2].record_type, got[2].refers_to) == ("revisit", 3)
+    assert {i: r.payload_digest for i, r in got.items() if i} == {i: hashlib.sha1(h).hexdigest() for i, _, h in rows}
+    # Every member alone is a whole record.
+    members = 0
+    for one in raw:
+        while one:
+            z = zlib.decompressobj(31)
+            record = z.decompress(one)
+            assert z.eof and (not record or record.startswith(b"WARC/1.1\r\n") and record.endswith(b"\r\n\r\n"))
+            members, one = members + bool(record), z.unused_data
+    assert members == len(found)
+
+
 def test_damage_is_told():
     raw = warc.arc_version_block(1, "f", "2001") + warc.arc_record(1, "http://a/", "2001", b"x" * 10, 0, "f")
     for bad in (raw[:-5], raw.replace(b"1 0 legacy", b"9 0 legacy")):

@@ -3,11 +3,13 @@
 Method: an ARC file is a version block and records of one header line and as many bytes as the line
 declares; the version says which fields the line has.  The converter reads them by these lengths and
 gives each record what its WARC equivalent needs: an id derived from address, date and content, a
-timestamp, a type and SHA-1 digests.  Of records with equal payloads of REVISIT_BYTES or more, one
-stays a response and the others become revisits, which name it and leave the payload out.
+timestamp, a type and SHA-1 digests: HTTP messages become responses, what has no HTTP head, as a DNS
+answer, a resource of the type that its line declares.  Of records with equal payloads of REVISIT_BYTES or
+more, one stays as it is and the others become revisits, which name it and leave the payload out.
 
-Archives are read with Spark's binaryFile source and written by its text writer, so they can be in
-any store that Spark reaches; a file holds about ARCHIVE_BYTES of records.
+Archives are read with Spark's binaryFile source and written by its text writer, which passes bytes on as
+they are, so they can be in any store that Spark reaches.  A WARC file holds about ARCHIVE_BYTES of
+records, each a gzip member of its own.
 """
 
 from __future__ import annotations
@@ -20,19 +22,22 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import new_path
+from tidewell.llm.common import new_path, stage
 
 REVISIT_BYTES = 1000
 ARCHIVE_BYTES = 32_000_000
+ARC_BYTES = 8_000_000
+#: Tasks that share the records of one payload.
+SALTS = 16
 # The fields of a record's header line by the archive's version.
 ARC_FIELDS = {
     1: ("url", "ip", "date", "type", "length"),
     2: ("url", "ip", "date", "type", "status", "checksum", "location", "offset", "file", "length"),
 }
-_RECORD = "page_id long, url string, date string, record_id string, digest string, payload_bytes long, head string"
+_RECORD = "page_id long, url string, ip string, date string, kind string, type string, record_id string, digest string, payload_bytes long, head binary"
 _READ = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, record_id string, refers_to_id string, url string, date string, intact boolean"
 
 
@@ -50,6 +55,14 @@ def arc_record(version: int, url: str, date: str, content: bytes, offset: int, n
     return f"{url} 0.0.0.0 {date} text/html {middle}{len(content)}\n".encode() + content + b"\n"
 
 
+def _text(raw: bytes) -> str:
+    """Old headers may be of any encoding; what isn't UTF-8 is read byte by byte."""
+    try:
+        return raw.decode()
+    except UnicodeDecodeError:
+        return raw.decode("latin-1")
+
+
 def parse_arc(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """(header fields, content) of each record; a file may be compressed, as a whole or record by record."""
     if raw[:2] == b"\x1f\x8b":
@@ -60,7 +73,7 @@ def parse_arc(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
             at += 1
             continue
         end = raw.index(b"\n", at)
-        line = raw[at:end].decode("utf-8", "replace").rstrip("\r")
+        line = _text(raw[at:end]).rstrip("\r")
         if fields is None:
             # The first record describes the file: its first line of content starts with the version.
             size = int(line.rsplit(" ", 1)[1])
@@ -87,59 +100,70 @@ def split_http(content: bytes) -> tuple[bytes, bytes]:
 def _head_value(head: bytes, name: bytes) -> str | None:
     for line in head.split(b"\r\n"):
         if line.lower().startswith(name + b":"):
-            return line.split(b":", 1)[1].strip().decode("utf-8", "replace")
+            return _text(line.split(b":", 1)[1].strip())
     return None
 
 
-def page_archives(pages: DataFrame, date: str = "20240101000000") -> DataFrame:
-    """content: ARC files of about 8 MB made of rows (page_id, url, html), in both versions by turns, as a crawler of old would have left them."""
+def write_arc(pages: DataFrame, path: str, date: str = "20240101000000") -> None:
+    """Write rows (page_id, url, html as text or bytes) as compressed ARC files of about ARC_BYTES below ``path``, in both versions by turns, as a crawler of old would have left them."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        no, held, size = 0, [], 0
-
-        def done() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], names=["content"])
-
+        no, size = 0, 0
         for batch in batches:
+            chunks, values = [], []
             for page_id, url, html in zip(*(c.to_pylist() for c in batch.columns)):
+                if size > ARC_BYTES:
+                    no, size = no + 1, 0
                 version, name = 1 + no % 2, f"legacy-{no}.arc"
-                if not held:
-                    held.append(arc_version_block(version, name, date))
+                if not size:
+                    chunks.append(no)
+                    values.append(arc_version_block(version, name, date))
                 payload = html or b""
                 own = "" if page_id is None else f"X-Page-Id: {page_id}\r\n"
                 head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n{own}Content-Length: {len(payload)}\r\n\r\n".encode()
                 address = "".join("%20" if c.isspace() else c for c in url or "") or "about:blank"
-                held.append(arc_record(version, address, date, head + payload, size, name))
-                size += len(held[-1])
-                if size > 8_000_000:
-                    yield done()
-                    no, held, size = no + 1, [], 0
-        if held:
-            yield done()
+                chunks.append(no)
+                values.append(arc_record(version, address, date, head + payload, size, name))
+                size += len(values[-1])
+            # The writer adds the line end that closes a record.
+            yield pa.RecordBatch.from_arrays([pa.array(chunks, pa.int32()), pa.array([v[:-1] for v in values], pa.binary())], names=["chunk", "value"])
+
+    lines = pages.select(F.col("page_id").cast("long"), "url", F.col("html").cast("binary")).mapInArrow(work, "chunk int, value binary")
+    _written(lines, path, "\n", "gzip")
+
+
+def _written(lines: DataFrame, path: str, end: str, compression: str) -> None:
+    """The values of (chunk, value binary) byte by byte, each with ``end`` behind it, in a file for each chunk of a task."""
+    text = lines.select("chunk", F.col("value").cast("string").alias("value"))
+    text.write.partitionBy("chunk").option("lineSep", end).option("compression", compression).option("zlib.compress.level", "BEST_SPEED").text(path)
 
-    return pages.select(F.col("page_id").cast("long"), "url", F.col("html").cast("binary")).mapInArrow(work, "content binary")
+
+def files(spark: SparkSession, path: str) -> DataFrame:
+    """path, content of all files below ``path``."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
 
 
 # -- conversion ----------------------------------------------------------------------------------
 
 
 def convert(archives: DataFrame, payloads: bool) -> DataFrame:
-    """The records of ARC files (content binary): _RECORD, and their payload if ``payloads``."""
+    """The records of ARC files (path, content binary): _RECORD, and their payload if ``payloads``."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [c.split()[0] for c in _RECORD.split(", ")] + ["payload"] * payloads
-        types = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string()] + [pa.binary()] * payloads
+        types = [pa.int64(), *[pa.string()] * 7, pa.int64(), pa.binary()] + [pa.binary()] * payloads
         for batch in batches:
-            for raw in batch.column(0).to_pylist():
+            for path, raw in zip(*(c.to_pylist() for c in batch.columns)):
                 rows, size = [], 0
                 for no, (header, content) in enumerate(parse_arc(raw)):
                     head, payload = split_http(content)
                     digest = hashlib.sha1(payload).hexdigest()
                     page_id = _head_value(head, b"x-page-id")
-                    key = f"{header['url']} {header['date']} {page_id} {digest} {no}"
+                    key = f"{path} {no} {header['url']} {header['date']} {digest}"
                     when = header["date"].ljust(14, "0")
                     stamp = f"{when[:4]}-{when[4:6]}-{when[6:8]}T{when[8:10]}:{when[10:12]}:{when[12:14]}Z"
-                    row = (int(page_id) if page_id else None, header["url"], stamp, str(uuid.uuid5(uuid.NAMESPACE_URL, key)), digest, len(payload), head.decode("utf-8", "replace"))
+                    kind, content_type = ("response", "application/http; msgtype=response") if head else ("resource", header["type"])
+                    row = (int(page_id) if page_id else None, header["url"], header["ip"], stamp, kind, content_type, str(uuid.uuid5(uuid.NAMESPACE_URL, key)), digest, len(payload), head)
                     rows.append((*row, payload) if payloads else row)
                     size += len(payload)
                     if size > 4_000_000:
@@ -148,7 +172,7 @@ def convert(archives: DataFrame, payloads: bool) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
 
-    return archives.mapInArrow(work, _RECORD + ", payload binary" * payloads)
+    return archives.select("path", "content").mapInArrow(work, _RECORD + ", payload binary" * payloads)
 
 
 def originals(records: DataFrame) -> DataFrame:
@@ -161,8 +185,15 @@ def _base32(digest: str) -> str:
     return base64.b32encode(bytes.fromhex(digest)).decode()
 
 
-def _warc_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(chunk, value): records without the four bytes that end them; each chunk of about ARCHIVE_BYTES opens with a warcinfo record."""
+def _member(record: bytes) -> bytes:
+    """A gzip member without its last byte, which is 0: the highest of its size.  Beyond 16 MB an empty member follows, so that it is 0 there too."""
+    pack = lambda raw: zlib.compress(raw, 1, 31)
+    done = pack(record)
+    return (done if len(record) < 1 << 24 else done + pack(b""))[:-1]
+
+
+def _warc_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(chunk, value): records as gzip members; each chunk of about ARCHIVE_BYTES opens with a warcinfo record."""
     chunk, size = 0, None
     for batch in batches:
         chunks, values = [], []
@@ -171,29 +202,32 @@ def _warc_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 chunk, size = (0 if size is None else chunk + 1), 0
                 info = "software: tidewell\r\nformat: WARC File Format 1.1\r\n"
                 chunks.append(chunk)
-                values.append(f"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, r['record_id'])}>\r\nWARC-Date: {r['date']}\r\nContent-Type: application/warc-fields\r\nContent-Length: {len(info)}\r\n\r\n{info}")
+                values.append(_member(f"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, r['record_id'])}>\r\nWARC-Date: {r['date']}\r\nContent-Type: application/warc-fields\r\nContent-Length: {len(info)}\r\n\r\n{info}\r\n\r\n".encode()))
             revisit = r["of_id"] is not None and r["of_id"] != r["record_id"]
-            payload = "" if revisit else r["payload"].decode("utf-8", "replace")
-            block = r["head"] + payload
-            raw = block.encode()
+            raw = r["head"] + (b"" if revisit else r["payload"])
             lines = [
-                "WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <urn:uuid:{r['record_id']}>", f"WARC-Date: {r['date']}", f"WARC-Target-URI: {r['url']}",
-                f"WARC-Payload-Digest: sha1:{_base32(r['digest'])}", f"WARC-Block-Digest: sha1:{_base32(hashlib.sha1(raw).hexdigest())}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(raw)}",
+                "WARC/1.1", f"WARC-Type: {'revisit' if revisit else r['kind']}", f"WARC-Record-ID: <urn:uuid:{r['record_id']}>", f"WARC-Date: {r['date']}", f"WARC-Target-URI: {r['url']}",
+                f"WARC-Payload-Digest: sha1:{_base32(r['digest'])}", f"WARC-Block-Digest: sha1:{_base32(hashlib.sha1(raw).hexdigest())}", f"Content-Type: {r['type']}", f"Content-Length: {len(raw)}",
             ]
+            if r["ip"] not in ("", "-", "0.0.0.0"):
+                lines.append(f"WARC-IP-Address: {r['ip']}")
             if revisit:
                 of = "" if r["of"] is None else str(r["of"])
                 lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:uuid:{r['of_id']}>", f"X-Refers-To-Page: {of}", f"X-Payload-Length: {r['payload_bytes']}"]
             chunks.append(chunk)
-            values.append("\r\n".join(lines) + "\r\n\r\n" + block)
-            size += len(raw)
-        yield pa.RecordBatch.from_arrays([pa.array(chunks, pa.int32()), pa.array(values, pa.string())], names=["chunk", "value"])
+            values.append(_member("\r\n".join(lines).encode() + b"\r\n\r\n" + raw + b"\r\n\r\n"))
+            size += len(values[-1])
+        yield pa.RecordBatch.from_arrays([pa.array(chunks, pa.int32()), pa.array(values, pa.binary())], names=["chunk", "value"])
 
 
 def write_warc(records: DataFrame, of: DataFrame, path: str) -> None:
-    """Write the records (with payloads) as compressed WARC files below ``path``."""
-    joined = records.join(of, "digest", "left").withColumn("of_id", F.when(F.col("payload_bytes") >= REVISIT_BYTES, F.col("of_id")))
-    lines = joined.mapInArrow(_warc_lines, "chunk int, value string")
-    lines.write.partitionBy("chunk").option("lineSep", "\r\n\r\n").option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").text(path)
+    """Write the records (with payloads) as WARC files below ``path``."""
+    # Records that can't be revisits have keys of their own, and those of one payload are dealt to SALTS tasks.
+    key = F.when(F.col("payload_bytes") >= REVISIT_BYTES, F.col("digest")).otherwise(F.col("record_id"))
+    salted = of.select(F.col("digest").alias("_key"), "of", "of_id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    joined = records.withColumns({"_key": key, "_salt": F.pmod(F.xxhash64("record_id"), F.lit(SALTS)).cast("int")}).join(salted, ["_key", "_salt"], "left").drop("_key", "_salt")
+    # The last byte of a member is the writer's line end.
+    _written(joined.mapInArrow(_warc_members, "chunk int, value binary"), path, "\u0000", "none")
 
 
 # -- reading -------------------------------------------------------------------------------------
@@ -216,7 +250,7 @@ def parse_warc(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         if not raw.startswith(b"WARC/", at):
             raise ValueError(f"no WARC record at byte {at}")
         end = raw.index(b"\r\n\r\n", at)
-        lines = raw[at:end].decode("utf-8", "replace").split("\r\n")[1:]
+        lines = _text(raw[at:end]).split("\r\n")[1:]
         headers = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines)}
         size = int(headers["content-length"])
         yield headers, raw[end + 4 : end + 4 + size]
@@ -224,7 +258,7 @@ def parse_warc(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def read_warc(archives: DataFrame) -> DataFrame:
-    """_READ of the response and revisit records of WARC files (content binary); a response's payload is hashed anew, and intact tells whether its digests hold."""
+    """_READ of the response, resource and revisit records of WARC files (content binary); a response's payload is hashed anew, and intact tells whether its digests hold."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [c.split()[0] for c in _READ.split(", ")]
@@ -234,18 +268,18 @@ def read_warc(archives: DataFrame) -> DataFrame:
                 rows = []
                 for h, block in parse_warc(raw):
                     kind = h["warc-type"]
-                    if kind not in ("response", "revisit"):
+                    if kind not in ("response", "resource", "revisit"):
                         continue
-                    head, payload = split_http(block)
+                    head, payload = split_http(block) if kind != "resource" else (b"", block)
                     said = base64.b32decode(h["warc-payload-digest"].removeprefix("sha1:")).hex()
-                    digest, size = (hashlib.sha1(payload).hexdigest(), len(payload)) if kind == "response" else (said, int(h["x-payload-length"]))
+                    digest, size = (hashlib.sha1(payload).hexdigest(), len(payload)) if kind != "revisit" else (said, int(h["x-payload-length"]))
                     page_id, of = _head_value(head, b"x-page-id"), h.get("x-refers-to-page")
                     ident = lambda name: h[name].removeprefix("<urn:uuid:").rstrip(">") if name in h else None  # noqa: B023, E731
                     rows.append((int(page_id) if page_id else None, size, digest, kind, int(of) if of else None, ident("warc-record-id"), ident("warc-refers-to"), h.get("warc-target-uri"), h.get("warc-date"), digest == said))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
 
-    return archives.mapInArrow(work, _READ)
+    return archives.select("content").mapInArrow(work, _READ)
 
 
 def query(pages: DataFrame) -> DataFrame:
@@ -256,11 +290,16 @@ def query(pages: DataFrame) -> DataFrame:
     refer to null.  An empty table gives no rows.
     """
     spark = pages.sparkSession
-    archives = page_archives(pages)
-    path = new_path(spark, "warc")
-    write_warc(convert(archives, True), originals(convert(archives, False)), path)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("content")
-    return read_warc(files).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact")
+    arcs, path = new_path(spark, "arc"), new_path(spark, "warc")
+    write_arc(pages, arcs)
+    to_warc(spark, arcs, path)
+    return read_warc(files(spark, path)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact")
+
+
+def to_warc(spark: SparkSession, arcs: str, path: str) -> None:
+    """Convert the ARC files below ``arcs`` to WARC files below ``path``."""
+    archives = files(spark, arcs)
+    write_warc(convert(archives, True), stage(originals(convert(archives, False)), "originals"), path)
 
 
 SQL = """
