@@ -7,6 +7,7 @@ the comment says so.  All of them stay in the JVM.
 from __future__ import annotations
 
 import re
+import unicodedata
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -127,13 +128,36 @@ def char_shingles(col: Column, size: int = 5) -> Column:
     return F.array_distinct(F.transform(places, lambda at: F.substring(text, at, F.lit(size))))
 
 
-_ACCENTED = "àáâãäåçèéêëìíîïñòóôõöøùúûüýÿāăąćĉċčďēĕėęěĝğġģĥĩīĭįĵķĺļľńņňōŏőŕŗřśŝşšţťũūŭůűųŵŷźżž"
-_PLAIN = "aaaaaaceeeeiiiinoooooøuuuuyyaaaccccdeeeeegggghiiiijklllnnnooorrrssssttuuuuuuwyzzz"
+def _decompositions() -> tuple[str, str, dict[str, str]]:
+    """The characters whose compatibility decomposition (NFKD) without marks is another character, these, then the marks themselves;
+    and those that become several.  Hangul syllables, which are made of letters by a rule of their own, stay."""
+    one, to, several, marks = [], [], {}, []
+    for code in range(0xA0, 0x10000):
+        c = chr(code)
+        if 0xAC00 <= code <= 0xD7A3 or 0xD800 <= code <= 0xDFFF:
+            continue
+        if unicodedata.combining(c):
+            marks.append(c)
+            continue
+        bare = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
+        if len(bare) == 1 and bare != c:
+            one.append(c)
+            to.append(bare)
+        elif len(bare) != 1:
+            several[c] = bare
+    return "".join(one + marks), "".join(to), several
+
+
+_COMPOSED, _BARE, _SEVERAL = _decompositions()
 
 
 def unaccented(col: Column) -> Column:
-    """Lower case without the accents of Latin letters; letters that only look accented (ø, ß) stay."""
-    return F.translate(F.translate(F.lower(blank(col)), _ACCENTED, _PLAIN), "̧̀́̂̃̈̊̌", "")
+    """Lower case without accents and in plain forms, as by NFKD; letters that only look accented (ø, ß) stay."""
+    low = F.translate(F.lower(blank(col)), _COMPOSED, _BARE)
+    several = F.create_map(*[F.lit(x) for pair in _SEVERAL.items() for x in pair])
+    spelt = F.array_join(F.transform(F.split(low, ""), lambda c: F.coalesce(several[c], c)), "")
+    # Of the characters that become several, most texts have none.
+    return F.when(low.rlike("[^\\x00-\u024f]|[\u00a8\u00af\u00b4\u00b8\u00bc-\u00be\u0132\u0133\u013f\u0140\u0149\u01c4-\u01cc\u01f1-\u01f3]"), spelt).otherwise(low)
 
 
 def without_brackets(col: Column) -> Column:
@@ -199,8 +223,16 @@ def slug_as_title(url: Column) -> Column:
 
 
 def pinned_location(html: Column) -> Column:
-    """What follows a pin sign, up to a middle dot or bar."""
-    return F.trim(F.regexp_extract(blank(html), "📍\\s*([^·|<]+)", 1))
+    """What a reader sees behind a pin sign, up to a middle dot or bar; null without the sign."""
+    behind = F.substring(F.regexp_extract(blank(html), "(?s)📍(.*)", 1), 1, 259)
+    seen = strip(F.regexp_replace(F.regexp_replace(behind, "<[^>]+>", " "), r"(?U)\s+", " "))
+    return F.when(F.contains(blank(html), F.lit("📍")), strip(F.get(F.split(seen, "[·|]", 2), F.lit(0))))
+
+
+def url_place(url: Column) -> Column:
+    """What follows /job_posting/ in an address as words, without a trailing number."""
+    last = F.element_at(F.split(F.regexp_replace(blank(url), "/+$", ""), "/job_posting/"), -1)
+    return F.replace(F.regexp_replace(last, r"-\d+$", ""), F.lit("-"), F.lit(" "))
 
 
 def id_token(col: Column) -> Column:

@@ -29,12 +29,10 @@ def parsed(raw: DataFrame, default_source: str = "") -> DataFrame:
 
 
 def known_on_shelf(batch: DataFrame, shelf: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """id of the rows of which some non-empty key stands on the shelf.  One semi join per key; they are hash joins of narrow rows."""
-    hits = None
-    for key in keys:
-        found = batch.filter(F.col(key) != "").select("id", key).join(shelf.select(key).distinct(), key, "left_semi").select("id")
-        hits = found if hits is None else hits.unionByName(found)
-    return hits.distinct()
+    """id of the rows of which some non-empty key stands on the shelf.  One semi join of (kind, key): either table's keys are computed once."""
+    each = F.explode(F.array(*[F.struct(F.lit(no).alias("kind"), F.col(key).alias("key")) for no, key in enumerate(keys)])).alias("k")
+    listed = lambda df, *cols: df.select(*cols, each).select(*cols, "k.kind", "k.key").filter("key <> ''")
+    return listed(batch, "id").join(listed(shelf).distinct(), ["kind", "key"], "left_semi").select("id").distinct()
 
 
 def _companyless(company: Column) -> Column:

@@ -57,6 +57,12 @@ def unknown_only(new: DataFrame, inbox: DataFrame) -> DataFrame:
     return new.filter(named).join(known, ["source", "external_id"], "left_anti").select(*new.columns).unionByName(new.filter(~named))
 
 
+def appended(new: DataFrame, inbox: DataFrame) -> DataFrame:
+    """The rows that an insert adds to the inbox: of each (source, external_id) that isn't there yet the first by id; rows without an id all."""
+    w = Window.partitionBy("source", "external_id", F.when(F.col("external_id") == "", F.col("id"))).orderBy("id")
+    return unknown_only(new.withColumn("_no", F.row_number().over(w)).filter("_no = 1").drop("_no"), inbox)
+
+
 def inbox_first_only(inbox: DataFrame) -> DataFrame:
     """One row of each (source, external_id), the last by arrival; rows without an id stay."""
     w = Window.partitionBy("source", "external_id").orderBy(F.desc("ingested_at"), F.desc("id"))
@@ -64,6 +70,48 @@ def inbox_first_only(inbox: DataFrame) -> DataFrame:
     return named.unionByName(inbox.filter(F.col("external_id") == ""))
 
 
+# Columns of the shelf's predecessor, and what its nulls become where the shelf allows none.
+V1_COLUMNS = (
+    "external_id", "title", "company", "location", "remote", "description", "salary_min", "salary_max", "url", "source", "keywords", "scraped_at", "metadata", "job_type", "content_hash", "score_stage_1", "score_stage_2",
+    "archetype", "company_domain", "score_stage_3", "match_reasoning", "match_highlights", "match_pitch", "location_normalized", "location_lat", "location_lon", "is_remote", "is_hybrid", "dq_flags",
+)
+V1_NEVER_NULL = {"score_stage_1": 0, "is_remote": False, "is_hybrid": False, "remote": False}
+
+
+def v1_as_v2(rows: DataFrame, as_of: datetime) -> DataFrame:
+    """Rows of the shelf's predecessor in the shelf's shape: V1_COLUMNS as far as they are there, seen first and last when they were scraped, active."""
+    kept = {c: F.coalesce(c, F.lit(V1_NEVER_NULL[c])) if c in V1_NEVER_NULL else F.col(c) for c in V1_COLUMNS if c in rows.columns}
+    if "dq_flags" in kept:
+        kept["dq_flags"] = F.coalesce("dq_flags", F.create_map().cast(rows.schema["dq_flags"].dataType))
+    seen = F.coalesce("scraped_at", F.lit(as_of))
+    return rows.select(*[col.alias(c) for c, col in kept.items()], seen.alias("first_seen_at"), seen.alias("last_seen_at"), F.lit("active").alias("status"))
+
+
+def copied(v1: DataFrame, shelf: DataFrame, as_of: datetime) -> DataFrame:
+    """The shelf with all rows of its predecessor written over those of equal keys; running it again changes nothing."""
+    new = v1_as_v2(v1, as_of)
+    w = Window.partitionBy("source", "external_id").orderBy(F.col("scraped_at").desc_nulls_last(), F.desc("title"))
+    new = new.withColumn("_no", F.row_number().over(w)).filter("_no = 1").drop("_no")
+    for f in shelf.schema:
+        if f.name not in new.columns:
+            new = new.withColumn(f.name, F.lit(None).cast(f.dataType))
+    return upserted(shelf, new.select(*shelf.columns), ["source", "external_id"], ["id"] if "id" in shelf.columns else [])
+
+
+def writable(jobs: DataFrame) -> DataFrame:
+    """id, written: whether the shelf's constraints let a row in; Spark writes a batch as a whole, so rows that can't be are told before."""
+    needed = F.lit(True)
+    for c in ("source", "external_id", "title", "url"):
+        needed = needed & F.col(c).isNotNull()
+    return jobs.select("id", (needed & (F.col("source") != "") & (F.col("external_id") != "")).alias("written"))
+
+
+def after_write(inbox: DataFrame, flags: DataFrame) -> DataFrame:
+    """The inbox with written rows as refined; those that failed are new again and unclaimed."""
+    rows = inbox.join(flags.select("id", F.col("written").alias("_written")), "id", "left")
+    return rows.withColumns({"status": F.when(F.col("_written"), "refined").when(~F.col("_written"), "new").otherwise(F.col("status")), "claimed_at": F.when(F.col("_written").isNull() | F.col("_written"), F.col("claimed_at"))}).select(*inbox.columns)
+
+
 def claim_tier(source: Column, priority: list[str], deferred: list[str]) -> Column:
     return F.when(source.isin(priority), 1).when(source.isin(deferred), 3).otherwise(2)
 

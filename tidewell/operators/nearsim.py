@@ -2,7 +2,8 @@
 
 A description's character shingles give LANES minima of linear hash functions, joined to bands of
 BAND_WIDTH lanes.  Two descriptions are near if enough bands agree: as many as are expected at the
-threshold.  Every shingle is hashed once (28 bits of MD5); a lane is (a h + b) mod (2^31 - 1).
+threshold.  A shingle's hash is a polynomial of its code points, and a lane is (a h + b), both modulo
+2^31 - 1, so that a text's shingles are hashed as arrays.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ SHINGLE = 5
 THRESHOLD = 0.9
 WINDOW_DAYS = 10
 PRIME = (1 << 31) - 1
+BASE = 1_103_515_245
 
 
 def lanes(n: int = LANES, seed: int = 42) -> list[tuple[int, int]]:
@@ -29,6 +31,23 @@ def lanes(n: int = LANES, seed: int = 42) -> list[tuple[int, int]]:
     return [(1 + (48271 * (seed + 7 * i + 1)) % (PRIME - 1), (69621 * (seed + 13 * i + 5)) % PRIME) for i in range(n)]
 
 
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """Modulo PRIME, of numbers below 2^62."""
+    x = (x & PRIME) + (x >> 31)
+    x = (x & PRIME) + (x >> 31)
+    return np.where(x == PRIME, 0, x)
+
+
+def shingle_hashes(text: str, size: int) -> np.ndarray:
+    """The different hashes of the runs of ``size`` characters; of all characters where there are fewer."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+    n = max(1, len(points) - size + 1)
+    h = np.zeros(n, np.int64)
+    for k in range(min(size, len(points))):
+        h = _reduced(h * BASE + points[k : n + k])
+    return np.unique(h)
+
+
 def required_bands(n_lanes: int = LANES, band_width: int = BAND_WIDTH, threshold: float = THRESHOLD) -> int:
     if not 0.0 < threshold <= 1.0 or band_width < 1 or n_lanes < 1 or n_lanes % band_width:
         raise ValueError("threshold must be in (0, 1], and band_width must divide the lanes")
@@ -41,37 +60,45 @@ def band_hashes(docs: DataFrame, n_lanes: int = LANES, band_width: int = BAND_WI
     a, b = (np.array(x, np.int64) for x in zip(*lanes(n_lanes, seed)))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, int] = {}
+        n_bands = n_lanes // band_width
         for batch in batches:
-            ids, bands, hashes = [], [], []
+            ids, hashes = [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if not text:
                     continue
-                text = " ".join(text.lower().split())
-                pieces = {text[i : i + shingle] for i in range(max(1, len(text) - shingle + 1))}
-                if len(known) > 2_000_000:
-                    known.clear()
-                for p in pieces:
-                    if p not in known:
-                        known[p] = int(hashlib.md5(p.encode()).hexdigest()[:7], 16)
-                h = np.fromiter((known[p] for p in pieces), np.int64, len(pieces))
+                h = shingle_hashes(" ".join(text.lower().split()), shingle)
                 low = np.full(n_lanes, PRIME, np.int64)
-                for at in range(0, len(h), 4096):  # bounded memory for very long texts
-                    np.minimum(low, ((a[:, None] * h[None, at : at + 4096] + b[:, None]) % PRIME).min(axis=1), out=low)
-                for band in range(n_lanes // band_width):
-                    ids.append(doc_id)
-                    bands.append(band)
-                    hashes.append(hashlib.md5("-".join(map(str, low[band * band_width : (band + 1) * band_width])).encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(bands, pa.int32()), pa.array(hashes, pa.string())], names=["id", "band", "band_hash"])
+                for at in range(0, len(h), 2048):  # bounded memory for very long texts
+                    np.minimum(low, _reduced(a[:, None] * h[None, at : at + 2048] + b[:, None]).min(axis=1), out=low)
+                ids.append(doc_id)
+                values = list(map(str, low.tolist()))
+                hashes += [hashlib.md5("-".join(values[at : at + band_width]).encode()).hexdigest() for at in range(0, n_lanes, band_width)]
+            bands = np.tile(np.arange(n_bands, dtype=np.int32), len(ids))
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(ids, np.int64), n_bands)), pa.array(bands), pa.array(hashes, pa.string())], names=["id", "band", "band_hash"])
 
     return docs.mapInArrow(work, "id long, band int, band_hash string")
 
 
+def _first_of_alike(bands: DataFrame, key: str) -> DataFrame:
+    """key, first: of the documents with equal bands throughout the smallest key.  Both are small: bands are folded before the shuffle."""
+    folded = [F.bit_xor(F.xxhash64(*x)).alias(n) for n, x in (("s", ("band", "band_hash")), ("t", ("band_hash", "band")))]
+    signed = bands.groupBy(key).agg(*folded)
+    return signed.join(signed.groupBy("s", "t").agg(F.min(key).alias("first")), ["s", "t"]).select(key, "first")
+
+
 def shared_bands(bands: DataFrame, memory: DataFrame, as_of, window_days: int = WINDOW_DAYS) -> DataFrame:
-    """id, shared of rows (id, band, band_hash): the most bands that one remembered document within the window shares."""
-    fresh = memory.filter(F.col("seen_at") >= as_of - F.make_dt_interval(days=F.lit(window_days))).select("content_hash", "band", "band_hash")
-    hits = bands.join(fresh, ["band", "band_hash"]).groupBy("id", "content_hash").agg(F.countDistinct("band").alias("n"))
-    return hits.groupBy("id").agg(F.max("n").cast("int").alias("shared"))
+    """id, shared of rows (id, band, band_hash): the most bands that one remembered document within the window shares.
+
+    Documents with equal bands throughout, as copies have, meet as one on either side, so a band that thousands
+    of copies share gives one row.
+    """
+    fresh = forgotten(memory, as_of, window_days).select("content_hash", "band", "band_hash").distinct()
+    alike = _first_of_alike(bands, "id")
+    probes = bands.join(alike.select(F.col("first").alias("id")).distinct(), "id", "left_semi")
+    known = fresh.join(_first_of_alike(fresh, "content_hash").select(F.col("first").alias("content_hash")).distinct(), "content_hash", "left_semi")
+    hits = probes.join(known, ["band", "band_hash"]).groupBy("id", "content_hash").agg(F.count(F.lit(1)).alias("n"))
+    most = hits.groupBy(F.col("id").alias("first")).agg(F.max("n").cast("int").alias("shared"))
+    return alike.join(most, "first").select("id", "shared")
 
 
 def near_duplicates(bands: DataFrame, memory: DataFrame, as_of, required: int | None = None, window_days: int = WINDOW_DAYS) -> DataFrame:

@@ -58,6 +58,19 @@ def active_boards(registry: DataFrame) -> DataFrame:
     return registry.filter((F.col("status") == "active") & F.col("monitor") & F.col("de_flag").isin(*FOLLOWED))
 
 
+def board_list(listed: DataFrame, registry: DataFrame) -> DataFrame:
+    """source, slug, place: of each provider the listed boards (source, slug, pos) in their order, then the registry's active ones that aren't listed, by slug."""
+    first = listed.groupBy("source", "slug").agg(F.min("pos").cast("long").alias("pos")).select("source", "slug", F.struct(F.lit(0).alias("part"), "pos", F.lit("").alias("name")).alias("place"))
+    more = active_boards(registry).select("source", "slug", F.struct(F.lit(1).alias("part"), F.lit(0).cast("long").alias("pos"), F.col("slug").alias("name")).alias("place"))
+    return first.unionByName(more).groupBy("source", "slug").agg(F.min("place").alias("place"))
+
+
+def search_terms(local: DataFrame, remote: DataFrame | None = None, source_id: str | None = None) -> DataFrame:
+    """key, place: the distinct terms of (source_id, term, pos), of one source or of all, local ones first; without the remote provider, or where it has none, the local ones alone."""
+    of = lambda df: df.filter(F.lit(source_id is None) | (F.col("source_id") == F.lit(source_id))).select(F.col("term").alias("key"), "pos").filter("key <> ''")
+    return ordered_union(*[of(df) for df in (local, remote) if df is not None])
+
+
 def folded(category: Column) -> Column:
     """An aggregate: 'de' if any is, else 'remote' if any is, else 'foreign'; null of nothing."""
     has = lambda x: F.coalesce(F.bool_or(category == x), F.lit(False))

@@ -64,16 +64,18 @@ def parsed_terms(terms: list[str]) -> list[tuple[list[str], list[list[str]]]]:
     return out
 
 
-def matches(words: Column, terms: list[tuple[list[str], list[list[str]]]]) -> Column:
-    """Whether an array of words satisfies any of the terms."""
-    padded = F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
-    any_term = F.lit(False)
-    for single, phrases in terms:
+def matches(text: Column, terms: list[tuple[list[str], list[list[str]]]]) -> Column:
+    """Whether the words of a text satisfy any of the terms.  Words are found in the text as it is: nothing is split for a query."""
+    low = F.lower(T.blank(text))
+    held = lambda *options: low.rlike(rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(options)})(?![\p{{L}}\p{{N}}])")
+    in_a_row = lambda words: r"[^\p{L}\p{N}]+".join(map(re.escape, words))
+    parts = [[*([w] for w in single), *phrases] for single, phrases in terms]
+    # Terms of one part need one search for all of them.
+    any_term = held(*[in_a_row(p[0]) for p in alone]) if (alone := [p for p in parts if len(p) == 1]) else F.lit(False)
+    for several in (p for p in parts if len(p) > 1):
         every = F.lit(True)
-        for w in single:
-            every = every & F.array_contains(words, w)
-        for p in phrases:
-            every = every & F.contains(padded, F.lit(f" {' '.join(p)} "))
+        for part in several:
+            every = every & held(in_a_row(part))
         any_term = any_term | every
     return any_term
 
@@ -129,9 +131,9 @@ def hits(shelf: DataFrame, spec: Search) -> DataFrame:
     terms = parsed_terms(spec.keywords)
     if not terms:
         return rows.withColumn("r", F.lit(0.0)).filter(F.lit(False))
-    in_title = matches(T.words(F.col("title")), terms)
-    rows = rows.filter(in_title | matches(T.words(F.col("description")), terms))
-    return rows.withColumn("r", F.when(F.coalesce(in_title, F.lit(False)), rank(T.words(F.col("title")), terms)).otherwise(0.0))
+    in_title = matches(F.col("title"), terms)
+    rows = rows.filter(in_title | matches(F.col("description"), terms))
+    return rows.withColumn("r", F.when(in_title, rank(T.words(F.col("title")), terms)).otherwise(0.0))
 
 
 def total(shelf: DataFrame, spec: Search) -> DataFrame:
@@ -160,6 +162,12 @@ def shown(rows: DataFrame, whole: bool = False) -> DataFrame:
     )
 
 
+def page_json(shelf: DataFrame, spec: Search) -> DataFrame:
+    """result, total_count: each row of the page as JSON, with the number of all hits; a page past the end has no rows."""
+    rows = page(shelf, spec)
+    return rows.select(F.to_json(F.struct(*[c for c in rows.columns if c != "r"])).alias("result")).crossJoin(total(shelf, spec).withColumnRenamed("total", "total_count"))  # one row
+
+
 def by_id(shelf: DataFrame, job_id: int) -> DataFrame:
     return shelf.filter(F.col("id") == job_id)
 

@@ -6,7 +6,7 @@ The SQL is written against the fixture tables, as an independent statement of wh
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import date
+from datetime import date, datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -121,11 +121,10 @@ def intra_batch_collapse(spark, sf_dir):
     return dedup.first_of_each_key(dedup.parsed(_t(spark, sf_dir, "raw"))).select("id")
 
 
-@query("SELECT id FROM raw r WHERE id % 3 = 1 AND (external_id = '' OR NOT EXISTS (SELECT 1 FROM shelf s WHERE s.source = r.source AND s.external_id = r.external_id))", "raw", "shelf")
+@query("SELECT id FROM raw r WHERE (external_id = '' OR NOT EXISTS (SELECT 1 FROM shelf s WHERE s.source = r.source AND s.external_id = r.external_id))", "raw", "shelf")
 def inbox_anti_join(spark, sf_dir):
     raw, shelf = _t(spark, sf_dir, "raw", "shelf")
-    # What arrives are the fixture rows of one residue: the batch, not a cut of the query's work.
-    return lifecycle.unknown_only(raw.filter("id % 3 = 1"), shelf).select("id")
+    return lifecycle.unknown_only(raw, shelf).select("id")
 
 
 @query("SELECT id, source FROM raw QUALIFY row_number() OVER (PARTITION BY source ORDER BY id) <= 25", "raw")
@@ -164,7 +163,7 @@ def location_flags(spark, sf_dir):
 
 
 def _index(spark):
-    rows = [(*p, i) for i, p in enumerate(location.FALLBACK)]
+    rows = [(*p, i) for i, p in enumerate(X.GAZETTEER)]
     return location.place_index(spark.createDataFrame(rows, "name string, lat double, lon double, population long, alternate_names string, pos int"))
 
 
@@ -266,10 +265,10 @@ def expire_stale(spark, sf_dir):
     return lifecycle.expired(_t(spark, sf_dir, "shelf"), X.AS_OF).select("id", "status")
 
 
-@query("SELECT id FROM shelf s WHERE NOT (last_seen_at < TIMESTAMP '2024-01-10 00:00:00' AND NOT EXISTS (SELECT 1 FROM raw t WHERE t.company LIKE 'Capco%' AND lower(t.company) = lower(s.company)))", "raw", "shelf")
+@query("SELECT id FROM shelf s WHERE NOT (last_seen_at < TIMESTAMP '2024-01-10 00:00:00' AND NOT EXISTS (SELECT 1 FROM watchlist t WHERE lower(t.company) = lower(s.company)))", "watchlist", "shelf")
 def retention_protected(spark, sf_dir):
-    raw, shelf = _t(spark, sf_dir, "raw", "shelf")
-    return lifecycle.retained(shelf, raw.filter("company LIKE 'Capco%'").select("company"), X.AS_OF).select("id")
+    watched, shelf = _t(spark, sf_dir, "watchlist", "shelf")
+    return lifecycle.retained(shelf, watched, X.AS_OF).select("id")
 
 
 @query("SELECT id FROM raw WHERE NOT (status IN ('refined', 'rejected', 'duplicate') AND ingested_at < TIMESTAMP '2024-01-31 00:00:00' - INTERVAL '42' DAY + INTERVAL '13' DAY)", "raw")
@@ -292,8 +291,6 @@ def reclaim_stale(spark, sf_dir):
 
 @query("SELECT id, CASE WHEN status = 'running' AND started_at < TIMESTAMP '2024-01-20 00:00:00' THEN 'failed' ELSE status END AS status FROM runs", "runs")
 def reclaim_runs(spark, sf_dir):
-    from datetime import datetime
-
     return lifecycle.runs_given_up(_t(spark, sf_dir, "runs"), datetime(2024, 1, 20)).select("id", "status")
 
 
@@ -303,7 +300,7 @@ def run_retention(spark, sf_dir):
 
 
 @query(
-    """AND new AS (SELECT source, CASE WHEN external_id = '' THEN url ELSE external_id END AS external_id, title, id FROM raw WHERE id % 3 = 0 QUALIFY row_number() OVER (PARTITION BY source, CASE WHEN external_id = '' THEN url ELSE external_id END ORDER BY id DESC) = 1),
+    """AND new AS (SELECT source, CASE WHEN external_id = '' THEN url ELSE external_id END AS external_id, title, id FROM raw QUALIFY row_number() OVER (PARTITION BY source, CASE WHEN external_id = '' THEN url ELSE external_id END ORDER BY id DESC) = 1),
     old AS (SELECT * FROM shelf QUALIFY row_number() OVER (PARTITION BY source, external_id ORDER BY id DESC) = 1)
     SELECT coalesce(o.id, n.id) AS id, coalesce(n.source, o.source) AS source, coalesce(n.external_id, o.external_id) AS external_id, coalesce(n.title, o.title) AS title, coalesce(o.first_seen_at, TIMESTAMP '2024-01-31 00:00:00') AS first_seen_at,
       CASE WHEN n.id IS NULL THEN o.last_seen_at ELSE TIMESTAMP '2024-01-31 00:00:00' END AS last_seen_at, CASE WHEN n.id IS NULL THEN o.status ELSE 'active' END AS status
@@ -311,7 +308,7 @@ def run_retention(spark, sf_dir):
 )
 def shelf_upsert(spark, sf_dir):
     raw, shelf = _t(spark, sf_dir, "raw", "shelf")
-    named = raw.filter("id % 3 = 0").withColumn("external_id", F.coalesce(T.filled(F.col("external_id")), F.col("url")))  # the batch that arrives
+    named = raw.withColumn("external_id", F.coalesce(T.filled(F.col("external_id")), F.col("url")))
     last = shelf.groupBy("source", "external_id").agg(F.max("id").alias("id"))
     got = lifecycle.shelf_upserted(shelf.join(last, ["source", "external_id", "id"], "left_semi"), named, X.AS_OF)
     return got.select("id", "source", "external_id", "title", "first_seen_at", "last_seen_at", "status")
@@ -381,8 +378,6 @@ _STAT = "CAST(coalesce(sum(CAST(json_extract_string(stats, '$.{0}') AS BIGINT)),
     SELECT throughput, waste, round_even(CASE WHEN throughput + waste = 0 THEN 0 ELSE waste / (throughput + waste) END, 2) AS waste_rate, arrivals FROM f""", "runs",
 )
 def flow_24h(spark, sf_dir):
-    from datetime import datetime
-
     runs = _t(spark, sf_dir, "runs")
     return metrics.flow(runs, runs, datetime(2024, 1, 30))
 
@@ -479,15 +474,13 @@ def slug_enumeration(spark, sf_dir):
 
 @query(
     """AND every AS (SELECT source AS key, 0 AS part, min(id) AS pos FROM raw WHERE id % 2 = 1 GROUP BY source UNION ALL SELECT company, 1, min(id) FROM raw GROUP BY company UNION ALL SELECT source, 1, min(id) FROM raw GROUP BY source),
-    first AS (SELECT key, min(part * 1000000000000 + pos) AS place FROM every GROUP BY key) SELECT key, CAST(row_number() OVER (ORDER BY place, key) AS INT) AS no FROM first""", "raw",
+    first AS (SELECT key, min(part * 1000000000000 + pos) AS place FROM every GROUP BY key) SELECT key, CAST(place // 1000000000000 AS INT) AS part, place % 1000000000000 AS pos FROM first""", "raw",
 )
 def order_preserving_union(spark, sf_dir):
-    from pyspark.sql import Window
-
     raw = _t(spark, sf_dir, "raw")
     both = raw.select(F.explode(F.array("company", "source")).alias("key"), F.col("id").alias("pos"))
     got = registry.ordered_union(raw.filter("id % 2 = 1").select(F.col("source").alias("key"), F.col("id").alias("pos")), both)
-    return got.select("key", F.row_number().over(Window.orderBy("place", "key")).alias("no"))
+    return got.select("key", "place.part", "place.pos")
 
 
 @query("SELECT DISTINCT source, external_id FROM raw EXCEPT SELECT source, external_id FROM shelf", "raw", "shelf")
@@ -520,16 +513,19 @@ def source_type(spark, sf_dir):
 
 # -- near duplicates -----------------------------------------------------------------------------
 
-LANES_SHOWN, WIDTH_SHOWN = 8, 2
-_LANE_ROWS = ", ".join(f"({i}, {a}, {b})" for i, (a, b) in enumerate(nearsim.lanes(LANES_SHOWN)))
-_BANDS = f"""AND lanes(lane, a, b) AS (VALUES {_LANE_ROWS}), norm AS (SELECT id, trim(regexp_replace(lower(description), '\\s+', ' ', 'g')) AS t FROM raw),
-  hashes AS (SELECT DISTINCT id, CAST('0x' || left(md5(substring(t, CAST(i AS INT), 5)), 7) AS BIGINT) AS h FROM (SELECT id, t, unnest(range(1, greatest(length(t) - 3, 2))) AS i FROM norm)),
-  low AS (SELECT id, lane, min((a * h + b) % 2147483647) AS v FROM hashes, lanes GROUP BY id, lane),
-  bands AS (SELECT id, CAST(lane // 2 AS INT) AS band, md5(string_agg(CAST(v AS VARCHAR), '-' ORDER BY lane)) AS band_hash FROM low GROUP BY id, lane // 2)"""
+_LANE_ROWS = ", ".join(f"({i}, {a}, {b})" for i, (a, b) in enumerate(nearsim.lanes()))
+_BANDS = f"""AND lanes(lane, a, b) AS (VALUES {_LANE_ROWS}), norm AS (SELECT id, string_split(trim(regexp_replace(lower(description), '\\s+', ' ', 'g')), '') AS cs FROM raw WHERE description <> ''),
+  points AS (SELECT id, len(cs) AS n, unnest(range(1, len(cs) + 1)) AS i, CAST(unicode(unnest(cs)) AS BIGINT) AS c0 FROM norm),
+  runs AS (SELECT id, n, i, c0, lead(c0, 1) OVER w AS c1, lead(c0, 2) OVER w AS c2, lead(c0, 3) OVER w AS c3, lead(c0, 4) OVER w AS c4 FROM points WINDOW w AS (PARTITION BY id ORDER BY i)),
+  h0 AS (SELECT id, c0 AS h, c1, c2, c3, c4 FROM runs WHERE i <= greatest(n - 4, 1)),
+  h1 AS (SELECT id, CASE WHEN c1 IS NULL THEN h ELSE (h * {nearsim.BASE} + c1) % {nearsim.PRIME} END AS h, c2, c3, c4 FROM h0), h2 AS (SELECT id, CASE WHEN c2 IS NULL THEN h ELSE (h * {nearsim.BASE} + c2) % {nearsim.PRIME} END AS h, c3, c4 FROM h1),
+  h3 AS (SELECT id, CASE WHEN c3 IS NULL THEN h ELSE (h * {nearsim.BASE} + c3) % {nearsim.PRIME} END AS h, c4 FROM h2), hashes AS (SELECT DISTINCT id, CASE WHEN c4 IS NULL THEN h ELSE (h * {nearsim.BASE} + c4) % {nearsim.PRIME} END AS h FROM h3),
+  low AS (SELECT id, lane, min((a * h + b) % {nearsim.PRIME}) AS v FROM hashes, lanes GROUP BY id, lane),
+  bands AS (SELECT id, CAST(lane // {nearsim.BAND_WIDTH} AS INT) AS band, md5(string_agg(CAST(v AS VARCHAR), '-' ORDER BY lane)) AS band_hash FROM low GROUP BY id, lane // {nearsim.BAND_WIDTH})"""
 
 
 def _bands(spark, sf_dir):
-    return nearsim.band_hashes(_t(spark, sf_dir, "raw").select("id", F.col("description").alias("text")), LANES_SHOWN, WIDTH_SHOWN)
+    return nearsim.band_hashes(_t(spark, sf_dir, "raw").select("id", F.col("description").alias("text")))
 
 
 @query(f"{_BANDS} SELECT id, band, band_hash FROM bands", "raw")
@@ -545,11 +541,10 @@ def _memory(bands):
 _MEMORY = f"{_BANDS}, memory AS (SELECT id AS mid, band, band_hash FROM bands WHERE id % 2 = 0 AND id % 500 <= 240)"
 
 
-@query(f"{_MEMORY}, s AS (SELECT b.id, mid, count(DISTINCT b.band) AS n FROM bands b JOIN memory m ON b.band = m.band AND b.band_hash = m.band_hash GROUP BY b.id, mid) SELECT id, CAST(max(n) AS INT) AS shared FROM s GROUP BY id HAVING max(n) >= 4", "raw")
+@query(f"{_MEMORY}, s AS (SELECT b.id, mid, count(DISTINCT b.band) AS n FROM bands b JOIN memory m ON b.band = m.band AND b.band_hash = m.band_hash GROUP BY b.id, mid) SELECT id, CAST(max(n) AS INT) AS shared FROM s GROUP BY id HAVING max(n) >= {nearsim.required_bands()}", "raw")
 def near_dup_pairs(spark, sf_dir):
-    bands = _bands(spark, sf_dir)
-    need = nearsim.required_bands(LANES_SHOWN, WIDTH_SHOWN)  # 4 of 4
-    return nearsim.shared_bands(bands, _memory(bands), F.lit(X.AS_OF)).filter(F.col("shared") >= need)
+    bands = _bands(spark, sf_dir).persist()  # read for either side; clearCache() or the session's end releases it
+    return nearsim.shared_bands(bands, _memory(bands), F.lit(X.AS_OF)).filter(F.col("shared") >= nearsim.required_bands())
 
 
 @query(f"{_BANDS} SELECT CAST(id AS VARCHAR) AS content_hash, band FROM bands WHERE id % 2 = 0 AND id % 500 <= 240", "raw")
@@ -561,12 +556,14 @@ def memory_window(spark, sf_dir):
 
 
 def _refined(spark, sf_dir):
-    raw, shelf = _t(spark, sf_dir, "raw", "shelf")
-    shelf = dedup.with_content_hash(X.full_shelf(spark, sf_dir)).filter("id % 6 = 0")  # what was there before
-    memory = spark.createDataFrame([], "content_hash string, band int, band_hash string, seen_at timestamp")
-    fetched = spark.createDataFrame([], "url string, fetched string")
-    batch = lifecycle.claimed(raw.drop("claimed_at"), 500).drop("tier")
-    return R.refine(batch, shelf, memory, _index(spark), fetched, R.Settings(X.AS_OF, rules=quality.Rules(activation=date(2024, 1, 1)), lanes=32))
+    """All new rows of the inbox as one batch, against a shelf of every sixth posting, the memory that it left yesterday, and a longer text for every address."""
+    raw = _t(spark, sf_dir, "raw")
+    shelf = dedup.with_content_hash(X.full_shelf(spark, sf_dir)).filter("id % 6 = 0")
+    seen = nearsim.band_hashes(shelf.select("id", F.col("description").alias("text"))).join(shelf.select("id", "content_hash"), "id")
+    memory = seen.select("content_hash", "band", "band_hash", F.lit(X.AS_OF - timedelta(days=1)).alias("seen_at"))
+    fetched = raw.select("url", F.repeat(F.lit("A fuller text of this posting. "), F.lit(20)).alias("fetched"))
+    batch = raw.filter("status = 'new'").drop("claimed_at")
+    return R.refine(batch, shelf, memory, _index(spark), fetched, R.Settings(X.AS_OF, rules=quality.Rules(activation=date(2024, 1, 1))))
 
 
 @query()
@@ -582,9 +579,9 @@ def refine_summary(spark, sf_dir):
 # -- payloads ------------------------------------------------------------------------------------
 
 
-def _payloads(spark, sf_dir, item: str, wrap: str | None):
-    """Bodies of 'board' + id % 40, made of the inbox's rows by a JSON of each."""
-    rows = _t(spark, sf_dir, "raw").withColumn("slug", F.concat(F.lit("board"), F.col("id") % 40))
+def _payloads(spark, sf_dir, item: str, wrap: str | None, board: str = "board"):
+    """Bodies of boards of up to 100 neighbouring rows of the inbox, by a JSON of each."""
+    rows = _t(spark, sf_dir, "raw").withColumn("slug", F.concat(F.lit(board), F.floor(F.col("id") / 100)))
     body = F.to_json(F.array_sort(F.collect_list(F.expr(item))))
     bodies = rows.groupBy("slug").agg(body.alias("body"))
     return bodies if wrap is None else bodies.withColumn("body", F.concat(F.lit(f'{{"{wrap}": '), F.col("body"), F.lit("}")))
@@ -593,25 +590,28 @@ def _payloads(spark, sf_dir, item: str, wrap: str | None):
 _POSTED = "SELECT title, url, {0} AS company, location, description, '' AS salary, '{1}' AS source, CAST(id AS VARCHAR) AS external_id FROM raw"
 
 
-@query(_POSTED.format("'board' || (id % 40)", "greenhouse"), "raw")
+@query(_POSTED.format("'board' || (id // 100)", "greenhouse"), "raw")
 def src_greenhouse(spark, sf_dir):
     made = _payloads(spark, sf_dir, "named_struct('id', id, 'title', title, 'absolute_url', url, 'content', description, 'location', named_struct('name', location))", "jobs")
     return boards.postings("greenhouse", made).drop("posted_at")
 
 
-@query(_POSTED.format("'board' || (id % 40)", "lever"), "raw")
+@query(_POSTED.format("'board' || (id // 100)", "lever"), "raw")
 def src_lever(spark, sf_dir):
     made = _payloads(spark, sf_dir, "named_struct('id', id, 'text', title, 'hostedUrl', url, 'descriptionPlain', description, 'categories', named_struct('location', location))", None)
     return boards.postings("lever", made).drop("posted_at")
 
 
-@query(_POSTED.format("CASE WHEN company = '' THEN 'board' || (id % 40) ELSE company END", "recruitee").replace("'' AS salary", "'50000-70000 EUR / year' AS salary") + " WHERE id % 4 <> 0", "raw")
+@query(_POSTED.format("CASE WHEN company = '' THEN 'board' || (id // 100) ELSE company END", "recruitee").replace("'' AS salary", "'50000-70000 EUR / year' AS salary") + " WHERE id % 4 <> 0", "raw")
 def src_recruitee(spark, sf_dir):
     item = "named_struct('id', id, 'title', title, 'careers_url', url, 'company_name', company, 'description', description, 'location', location, 'status', if(id % 4 = 0, 'draft', 'published'), 'salary', named_struct('min', 50000, 'max', 70000, 'currency', 'EUR', 'period', 'year'))"
     return boards.postings("recruitee", _payloads(spark, sf_dir, item, "offers")).drop("posted_at")
 
 
-@query("SELECT 'board' || (id % 40) AS slug, true AS active, CAST(count(*) AS INT) AS job_count, CAST(NULL AS VARCHAR) AS error FROM raw GROUP BY 1", "raw")
+@query("SELECT 'board' || (id // 100) AS slug, true AS active, CAST(count(*) AS INT) AS job_count, CAST(NULL AS VARCHAR) AS error FROM raw GROUP BY 1", "raw")
 def feed_validation(spark, sf_dir):
     made = _payloads(spark, sf_dir, "named_struct('id', id, 'title', coalesce(title, ''))", "jobs").withColumn("status", F.lit(200))
     return boards.validated(made, "greenhouse").drop("sample_titles")
+
+
+from tidewell.plans import lifecycle_queries, payload_queries  # noqa: E402, F401  they register more

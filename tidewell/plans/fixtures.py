@@ -18,6 +18,13 @@ COMPANIES = "Amberra GmbH;amberra;Capco AG;Capco;Bewerbung als Manager;;Nordlich
 PLACES = "Berlin;Berlin-Mitte;München (Hybrid);Remote;Hamburg, Germany;Köln / Home Office;London, UK;;Frankfurt | Remote"
 URLS = "https://www.example.com/jobs/;https://boards.greenhouse.io/acme/jobs/;https://de.indeed.com/view/;https://jobs.capco.com/"
 
+#: A gazetteer (name, latitude, longitude, population, other names) for the queries over places.
+GAZETTEER = [
+    ("Berlin", 52.52437, 13.41053, 3426354, "Berlino,BER,Berlín"), ("Hamburg", 53.55073, 9.99302, 1739117, "HAM,Hamburgo"), ("München", 48.13743, 11.57549, 1260391, "Munich,MUC,Muenchen"),
+    ("Köln", 50.93333, 6.95, 963395, "Cologne,Koeln"), ("Frankfurt am Main", 50.11552, 8.68417, 650000, "Frankfurt,FRA"), ("Stuttgart", 48.78232, 9.17702, 589793, "STR"),
+    ("Düsseldorf", 51.22172, 6.77616, 573057, "Duesseldorf"), ("Leipzig", 51.33962, 12.37129, 504971, ""), ("Dortmund", 51.51494, 7.466, 588462, ""), ("Bremen", 53.07516, 8.80777, 546501, ""),
+]
+
 RAW = f"""
 SELECT id, CASE WHEN id % 5 = 1 AND company <> '' THEN base || ' - ' || company ELSE base END AS title, url || CAST(id - (id % 6) AS VARCHAR(20)) AS url, company, location, text AS description, '' AS salary, source,
   CASE WHEN id % 10 = 0 THEN '' WHEN id % 7 = 0 THEN CAST(id - 1 AS VARCHAR(20)) ELSE CAST(id AS VARCHAR(20)) END AS external_id,
@@ -55,7 +62,10 @@ SELECT split_part('recruitee;breezy;greenhouse;lever', ';', CAST(id % 4 + 1 AS I
   location AS place, id % 9 = 2 AS remote FROM ({RAW}) r
 """
 
-TABLES = {"raw": RAW, "shelf": SHELF, "runs": RUNS, "board_jobs": JOBS_OF_BOARDS}
+#: Companies that are being watched, in the spelling of the watch list.
+WATCHLIST = f"SELECT DISTINCT upper(company) AS company FROM ({RAW}) r WHERE company LIKE 'Capco%'"
+
+TABLES = {"raw": RAW, "watchlist": WATCHLIST, "shelf": SHELF, "runs": RUNS, "board_jobs": JOBS_OF_BOARDS}
 
 
 def tables(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame]:

@@ -32,11 +32,12 @@ class Refined:
     jobs: DataFrame
     shelf: DataFrame
     memory: DataFrame
-    held: DataFrame
+    held: list[DataFrame]
 
     def release(self) -> None:
         """Once all results have been consumed."""
-        self.held.unpersist()
+        for df in self.held:
+            df.unpersist()
 
 
 def refine(batch: DataFrame, shelf: DataFrame, memory: DataFrame, index: DataFrame, fetched: DataFrame, settings: Settings) -> Refined:
@@ -46,21 +47,21 @@ def refine(batch: DataFrame, shelf: DataFrame, memory: DataFrame, index: DataFra
     stay), rules, places, the title gate, descriptions, upsert; rows that reach the shelf are then
     remembered.  Near duplicates are told by the description as it came.
     """
-    jobs = dedup.parsed(batch)
+    # What is read more than once is held; lost blocks are computed again.
+    jobs = dedup.parsed(batch).persist()
+    bands = nearsim.band_hashes(jobs.select("id", F.col("description").alias("text")), settings.lanes).persist()
     same = dedup.duplicates(jobs, shelf)
-    bands = nearsim.band_hashes(jobs.join(same, "id", "left_anti").select("id", F.col("description").alias("text")), settings.lanes)
-    near = nearsim.near_duplicates(bands, memory, F.lit(settings.as_of), nearsim.required_bands(settings.lanes), settings.window_days)
+    near = nearsim.near_duplicates(bands.join(same, "id", "left_anti"), memory, F.lit(settings.as_of), nearsim.required_bands(settings.lanes), settings.window_days)
     judged = quality.classified(jobs, settings.rules, settings.today)
     gone = same.unionByName(near).select("id", F.lit(True).alias("_gone"))
     bad = (F.col("verdict") == "reject") | ~quality.title_passes(F.col("title"))
     marked = judged.join(gone, "id", "left").withColumn("outcome", F.when(F.col("_gone"), "duplicate").when(bad, "rejected").otherwise("refined")).drop("_gone", "verdict")
-    # What follows reads the marked rows more than once; lost blocks are computed again.
     marked = marked.persist()
     placed = location.located(marked.filter("outcome = 'refined'").drop("outcome"), index)
     done = quality.filled_in(placed, fetched, list(settings.blocked_hosts))
-    kept_bands = nearsim.band_hashes(marked.filter("outcome = 'refined'").select("id", F.col("description").alias("text")), settings.lanes)
-    new = kept_bands.join(done.select("id", "content_hash"), "id").select("content_hash", "band", "band_hash", F.lit(settings.as_of).alias("seen_at"))
-    return Refined(marked.select("id", "outcome"), done, lifecycle.shelf_upserted(shelf, done, settings.as_of), nearsim.remembered(nearsim.forgotten(memory, F.lit(settings.as_of), settings.window_days), new), marked)
+    new = bands.join(done.select("id", "content_hash"), "id").select("content_hash", "band", "band_hash", F.lit(settings.as_of).alias("seen_at"))
+    next_memory = nearsim.remembered(nearsim.forgotten(memory, F.lit(settings.as_of), settings.window_days), new)
+    return Refined(marked.select("id", "outcome"), done, lifecycle.shelf_upserted(shelf, done, settings.as_of), next_memory, [jobs, bands, marked])
 
 
 def finished(inbox: DataFrame, outcomes: DataFrame) -> DataFrame:
