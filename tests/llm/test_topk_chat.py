@@ -35,7 +35,7 @@ def test_clusters_are_skipped(spark, monkeypatch):
     """Clustered vectors with columns named like the operator's own: clusters that can't reach the cutoff aren't asked, and the answers stay exact."""
     monkeypatch.setattr(topk, "BLOCK", 16)
     asked = []
-    monkeypatch.setattr(topk, "stage", lambda df, name, of=topk.stage: asked.append(of(df, name)) or asked[-1] if name == "asked" else of(df, name))
+    monkeypatch.setattr(topk, "stage", lambda df, name, rows=None, of=topk.stage: asked.append(of(df, name, rows)) or asked[-1] if name == "asked" else of(df, name, rows))
     rng = np.random.default_rng(3)
     centres = rng.standard_normal((8, 12)) * 4
     rows = [(i, [float(x) for x in centres[i % 8] + rng.standard_normal(12) * 0.02]) for i in range(800)]
@@ -43,7 +43,7 @@ def test_clusters_are_skipped(spark, monkeypatch):
     got = sorted(map(tuple, topk.top_k(frame, 5, lambda i: i % 20 == 0).collect()))
     assert got == brute([(i, [float(np.float32(x)) for x in v]) for i, v in rows], 5)
     met = asked[0].selectExpr("sum(length(q_ids) / 8)").first()[0]
-    assert met < 40 * topk.clusters(topk._blocks(frame.selectExpr("vec_id AS id", "transform(embedding, x -> bigint(floor(x * 64))) AS v").mapInArrow(topk._encode(5), topk._ENCODED).selectExpr("*", "CAST(NULL AS BIGINT) AS cutoff"), 16)).selectExpr("size(codes)").first()[0] / 2
+    assert met < 40 * topk.clusters(topk._blocks(frame.selectExpr("vec_id AS id", "transform(embedding, x -> bigint(floor(x * 64))) AS v").mapInArrow(topk._encode(5), topk._ENCODED).selectExpr("*", "CAST(NULL AS BIGINT) AS cutoff"), 16, 800)).selectExpr("size(codes)").first()[0] / 2
 
 
 def test_few_and_none(spark):

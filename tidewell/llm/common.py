@@ -44,9 +44,18 @@ def scratch(name: str) -> Iterator[None]:
         _SCRATCH.reset(token)
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write the rows to the shared folder and read them back, so that a lost executor costs no recomputation and reruns of a later task see the same rows."""
+#: Rows of a small table that go to one file.
+ROWS_A_FILE = 250_000
+
+
+def stage(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Cut the lineage: write the rows to the shared folder and read them back, so that a lost executor costs no recomputation and reruns of a later task see the same rows.
+
+    ``rows``, a bound of their number, is for narrow rows: few of them go to few files, however many partitions the session has.
+    """
     path = new_path(df.sparkSession, name)
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // ROWS_A_FILE)))
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -154,8 +154,9 @@ def identify(docs: DataFrame, text: Column, declared: Column, suffix: Column, ho
     best = F.when(F.get("_logs", F.lit(n_langs)) < 0, F.array_position(likely, F.array_max(likely)) - 1).otherwise(-1).cast("int")
     scored = stage(rows.withColumn("_logs", score(F.col("_text"))).withColumn("_best", best).drop("_text"), "languages")
     told = scored.filter("_best >= 0").groupBy("_suffix", "_host", "_best").agg(F.count(F.lit(1)).alias("n"))
-    told = stage(told, "told")
-    by_suffix = stage(told.groupBy("_suffix", "_best").agg(F.sum("n").alias("n")), "suffixes")
+    n = scored.count()  # hosts are as many at most
+    told = stage(told, "told", n)
+    by_suffix = stage(told.groupBy("_suffix", "_best").agg(F.sum("n").alias("n")), "suffixes", n)
     whole = {r["_best"]: float(r["n"]) for r in by_suffix.groupBy("_best").agg(F.sum("n").alias("n")).collect()}
     whole = [whole.get(i, 0.0) + ADDED_COUNT for i in range(n_langs)]
     overall = F.array(*[F.lit(x / sum(whole)) for x in whole])
@@ -171,7 +172,7 @@ def identify(docs: DataFrame, text: Column, declared: Column, suffix: Column, ho
 
     suffixes = by_language(by_suffix, "_suffix").select("_suffix", leaning(overall).alias("_upper"))
     hosts = by_language(told, "_suffix", "_host").join(suffixes, "_suffix").select("_suffix", "_host", leaning(F.col("_upper")).alias("_prior"))
-    priors, suffixes = stage(hosts, "priors"), stage(suffixes, "upper")
+    priors, suffixes = stage(hosts, "priors", n), stage(suffixes, "upper", n)
     # A host that no text tells anything of has its suffix's prior, or that of all.
     joined = scored.join(priors, ["_suffix", "_host"], "left").join(suffixes, "_suffix", "left").withColumn("_prior", F.coalesce("_prior", "_upper", overall))
     names = F.array(*[F.lit(x) for x in languages])

@@ -34,9 +34,9 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def ranked(df: DataFrame, *order: Column) -> DataFrame:
+def ranked(df: DataFrame, *order: Column, rows: int | None = None) -> DataFrame:
     """``df`` with its rank from 0 in a total order, without one task for all rows: only the rows' number per partition comes to the driver."""
-    ordered = stage(df.repartitionByRange(partitions(df.sparkSession), *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "ranked")
+    ordered = stage(df.repartitionByRange(partitions(df.sparkSession), *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "ranked", rows)
     part = F.shiftright("_at", 33)
     counts = sorted((r["part"], r["n"]) for r in ordered.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect())
     starts, total = [(0, 0)], 0
@@ -114,9 +114,12 @@ def mix(docs: DataFrame, source_col: str = "source", id_col: str = "doc_id", tex
     key = F.col(key_col) if key_col else F.xxhash64(F.col(id_col), F.xxhash64(F.col(text_col)))
     wide = docs.withColumns({"_size": size, "_key": key})
     sized = stage(wide.select(F.col(source_col).cast("string").alias("_source"), "_size", "_key"), "sized") if size_col is None else wide.select(F.col(source_col).cast("string").alias("_source"), "_size", "_key")
-    sources = ranked(sized.groupBy("_source").agg(F.sum("_size").alias("source_size"), F.count(F.lit(1)).alias("rows")), F.col("_source").asc_nulls_last())
+    n = sized.count()
+    sources = ranked(sized.groupBy("_source").agg(F.sum("_size").alias("source_size"), F.count(F.lit(1)).alias("rows")), F.col("_source").asc_nulls_last(), rows=n)
+    n_sources = sources.count()
+    n_blocks = n // BLOCK_ROWS + n_sources
     blocks = F.ceil(F.col("rows") / BLOCK_ROWS).cast("long")
-    sources = stage(targets(sources, **rule).withColumn("blocks", blocks).withColumn("goal", F.round("target").cast("long")), "sources")
+    sources = stage(targets(sources, **rule).withColumn("blocks", blocks).withColumn("goal", F.round("target").cast("long")), "sources", n_sources)
 
     def dealt(df: DataFrame) -> DataFrame:
         cols = sources.select(F.col("_source").alias("_s"), F.col("rank").alias("_rank"), F.col("blocks").alias("_blocks"), F.col("source_size").alias("_of"), F.col("target").alias("_goal_exact"), F.col("goal").alias("_goal"))
@@ -124,7 +127,7 @@ def mix(docs: DataFrame, source_col: str = "source", id_col: str = "doc_id", tex
 
     placed = dealt(sized).groupBy("_rank", "_block").agg(F.sum("_size").alias("words"), F.first("_goal").alias("goal"), F.first("_of").alias("source_size"), F.first("_blocks").alias("of"))
     # A source's random order of blocks: groups of about the root of their number, and the blocks of a group.
-    placed = stage(placed.withColumn("group", F.pmod(F.xxhash64("_block", "_rank", F.lit(seed + 5)), F.ceil(F.sqrt("of")))), "placed")
+    placed = stage(placed.withColumn("group", F.pmod(F.xxhash64("_block", "_rank", F.lit(seed + 5)), F.ceil(F.sqrt("of")))), "placed", n_blocks)
     earlier = Window.partitionBy("_rank").orderBy("group").rowsBetween(Window.unboundedPreceding, -1)
     groups = placed.groupBy("_rank", "group").agg(F.sum("words").alias("words"), F.count(F.lit(1)).alias("n"))
     groups = groups.select("_rank", "group", F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("words_before"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
@@ -133,9 +136,9 @@ def mix(docs: DataFrame, source_col: str = "source", id_col: str = "doc_id", tex
     placed = placed.withColumns({"first_word": inside_group, "no": F.row_number().over(in_group) - 1}).join(groups, ["_rank", "group"])
     placed = placed.withColumns({"first_word": F.col("first_word") + F.col("words_before"), "no": F.col("no") + F.col("before")})
     placed = placed.withColumns({"in_first": F.col("first_word") < F.col("goal"), "in_again": F.col("first_word") < F.col("goal") - F.col("source_size")})
-    placed = stage(placed, "blocks")
+    placed = stage(placed, "blocks", n_blocks)
     drawn = placed.groupBy(F.col("_rank").alias("rank")).agg((F.count_if("in_first") + F.count_if("in_again")).alias("drawn"), F.count_if("in_first").alias("drawn_first"))
-    drawn = stage(drawn, "drawn")
+    drawn = stage(drawn, "drawn", n_sources)
     quotas = shard_quotas(drawn, shards, seed).join(drawn.select("rank", "drawn_first"), "rank")
     placed = placed.join(quotas, F.col("_rank") == F.col("rank"))
     at = lambda no: F.size(F.filter("cuts", lambda c: c <= no)).cast("int")

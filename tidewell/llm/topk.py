@@ -92,9 +92,9 @@ def _cuts(n: int) -> list[tuple[int, int]]:
 _BLOCK = "n int, code int, block int, ids binary, vectors binary, cutoffs binary"
 
 
-def _blocks(rows: DataFrame, of: int) -> DataFrame:
-    """The encoded rows with their cutoffs as _BLOCK: by cluster, in blocks of about ``of`` rows."""
-    sizes = stage(rows.groupBy("n", "code").agg(F.ceil(F.count(F.lit(1)) / of).cast("int").alias("blocks")), "sizes")
+def _blocks(rows: DataFrame, of: int, n: int) -> DataFrame:
+    """The encoded rows, ``n`` at most, with their cutoffs as _BLOCK: by cluster, in blocks of about ``of`` rows."""
+    sizes = stage(rows.groupBy("n", "code").agg(F.ceil(F.count(F.lit(1)) / of).cast("int").alias("blocks")), "sizes", n)
     dealt = rows.join(sizes, ["n", "code"]).withColumn("block", F.pmod(F.xxhash64("id", "raw", F.lit(3)), F.col("blocks")).cast("int"))
 
     def pack(key, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -198,23 +198,24 @@ def top_k(vectors: DataFrame, k: int, is_query, id_col: str = "vec_id", vector_c
     answer for it, by its least vector.  An empty table gives no rows.
     """
     rows = stage(whole_vectors(vectors, id_col, vector_col).filter("id IS NOT NULL"), "vectors")
-    bits = min(CODE_BITS, max(0, (rows.count() // BLOCK).bit_length() - 1))
+    n = rows.count()
+    bits = min(CODE_BITS, max(0, (n // BLOCK).bit_length() - 1))
     encoded = lambda df: df.mapInArrow(_encode(bits), _ENCODED)
     bare = F.lit(None).cast("long").alias("cutoff")
-    cand = stage(_blocks(encoded(rows).select("*", bare), BLOCK), "candidates")
+    cand = stage(_blocks(encoded(rows).select("*", bare), BLOCK, n), "candidates")
     queries = rows.filter(is_query(F.col("id"))).groupBy("id", F.size("v").alias("n")).agg(F.min("v").alias("v")).select("id", "v")
-    queries = stage(encoded(queries), "queries")
+    queries = stage(encoded(queries), "queries", n)
     ranks = lambda df: df.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "n").orderBy(F.desc("score"), "vec_id")))
     asking = [F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), "cutoffs"]
 
     # Phase 1: the lists of some blocks of each query's own cluster.
-    own = _blocks(queries.select("*", bare), ASKED).select("n", "code", *asking)
+    own = _blocks(queries.select("*", bare), ASKED, n).select("n", "code", *asking)
     lists = own.join(cand.filter(F.col("block") < LISTS).select("n", "code", "ids", "vectors"), ["n", "code"]).select("n", "q_ids", "q_vectors", "cutoffs", "ids", "vectors")
     first = lists.mapInArrow(_searched(k), _FOUND)
     cutoffs = ranks(first).filter(F.col("rank") == k).select(F.col("query_id").alias("id"), "n", F.col("score").alias("cutoff"))
 
     # Phase 2: the cutoffs, and with them the queries, go to the clusters that may reach them.
-    told = _blocks(queries.join(cutoffs, ["id", "n"], "left").select("id", "n", "code", "raw", "cutoff"), ASKED).join(clusters(cand), "n")
+    told = _blocks(queries.join(cutoffs, ["id", "n"], "left").select("id", "n", "code", "raw", "cutoff"), ASKED, n).join(clusters(cand), "n")
     sent = told.select("n", "ids", "vectors", "cutoffs", "codes", "means", "reaches").mapInArrow(_asked, "n int, code int, q_ids binary, q_vectors binary, cutoffs binary")
     sent = stage(sent, "asked").withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1))))
     met = sent.join(cand.select("n", "code", (F.col("block") % SLICES).alias("slice"), "ids", "vectors"), ["n", "code", "slice"])

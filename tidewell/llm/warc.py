@@ -233,15 +233,26 @@ def write_warc(records: DataFrame, of: DataFrame, path: str) -> None:
 # -- reading -------------------------------------------------------------------------------------
 
 
+def _members(raw: bytes) -> Iterator[bytes]:
+    """What the gzip members of a file hold, each read in small pieces, as the rest behind a member's end is copied."""
+    view, at = memoryview(raw), 0
+    while at < len(view):
+        one, parts = zlib.decompressobj(31), []
+        while not one.eof:
+            if at >= len(view):
+                raise ValueError("a gzip member is cut off")
+            parts.append(one.decompress(view[at : at + 16_384]))
+            at = min(len(view), at + 16_384)
+        at -= len(one.unused_data)
+        yield b"".join(parts)
+
+
 def parse_warc(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """(headers by lower-case name, block) of each record, by the declared lengths."""
     if raw[:2] == b"\x1f\x8b":
-        parts = []
-        while raw[:2] == b"\x1f\x8b":
-            one = zlib.decompressobj(31)
-            parts.append(one.decompress(raw))
-            raw = one.unused_data
-        raw = b"".join(parts)
+        for member in _members(raw):
+            yield from parse_warc(member)
+        return
     at = 0
     while at < len(raw):
         if raw[at : at + 1] in b"\r\n":
