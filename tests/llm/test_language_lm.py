@@ -5,6 +5,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tidewell.llm import language, lm
+from tidewell.llm.terms import word_hashes
 
 
 def test_language_of_odd_documents(odd, empty):
@@ -142,7 +143,7 @@ def test_training_helps_and_order_matters(spark, sf_dir):
     start = lm.Network.start(frequency)
     net = start
     for _ in range(8):  # the corpus is small
-        net = lm.train(encoded.filter("doc_id % 4 > 0"), net)
+        net = lm.train(encoded.filter("doc_id % 4 > 0"), net, int(frequency.sum()))
     held = encoded.filter("doc_id % 4 = 0")
     mean = lambda n, e: (lambda r: r[0] / r[1])(lm.score(e, n).agg(F.sum("log_prob"), F.sum("n_words")).first())
     assert mean(net, held) > mean(start, held) + 0.1
@@ -168,3 +169,49 @@ def test_every_word_has_its_own_probability(spark, monkeypatch):
         assert len(got[-1]) == 3000 and abs(sum(math.exp(x) for x in got[-1].values()) - 1) < 0.03  # ids without a word keep the rest
         mean = lambda n: np.mean([got[-1][i] for i, (_, m) in enumerate(words) if m == n])
         assert mean(1) < mean(10) - 1 and mean(10) < mean(37) - 0.5
+
+
+def test_large_logits_stay_finite():
+    net = lm.Network.start(np.ones(lm.WORDS))
+    net.p["class_bias"][:] = np.linspace(-2000, 2000, len(net.p["class_bias"]))
+    net.p["word_bias"][:] = 5000
+    got = net.run(np.arange(lm.WORDS), np.full((2 * lm.WINDOW, lm.WORDS), 3), None)
+    assert np.isfinite(got).all() and got.max() < 0.001
+
+
+def test_partitions_do_not_matter(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(lm, "SHARD", 20_000)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    one, many = [sorted(tuple(r) for r in lm.pseudo_likelihood(docs.repartition(n)).collect()) for n in (1, 7)]
+    assert one == many
+
+
+def test_log_prob_against_brute_force(spark, sf_dir, monkeypatch):
+    """Every word of some documents by the definition: the network's softmax over classes and words of a class, times the word's share of its id."""
+    monkeypatch.setattr(lm, "HEAD", 2048)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").filter("length(text) < 1500").limit(40).persist()
+    known, frequency = lm.vocabulary(docs.select("text"))
+    encoded = lm.encode(docs, known)
+    net = lm.train(encoded, lm.Network.start(frequency), int(frequency.sum()))
+    got = {r.doc_id: r for r in lm.score_words(encoded, net, known).collect()}
+    texts = {r.doc_id: r.text.lower().split() for r in docs.collect()}
+    hashes = {w: int(word_hashes([w])[0][0]) for t in texts.values() for w in t}
+    own = {int(h): int(i) for h, i in zip(known.head, known.ids)}
+    ident = {w: own.get(h, lm.WORDS - lm.RARE + h % lm.RARE) for w, h in hashes.items()}
+    count = Counter(w for t in texts.values() for w in t)
+    of_id = Counter()
+    for w, n in count.items():
+        of_id[ident[w]] += n
+    p = {k: v.astype(float) for k, v in net.p.items()}
+    soft = lambda x: x - np.log(np.exp(x - x.max()).sum()) - x.max()
+    assert len(texts) == 40
+    for doc_id, words in texts.items():
+        total = 0.0
+        for at, w in enumerate(words):
+            h = p["hidden"].copy()
+            for off in (-2, -1, 1, 2):
+                other = ident[words[at + off]] if 0 <= at + off < len(words) else lm.WORDS
+                h += p["left" if off < 0 else "right"][other] / abs(off)
+            h, c = np.tanh(h), ident[w] // lm.CLASS
+            total += soft(h @ p["class_out"] + p["class_bias"])[c] + soft(h @ p["word_out"][c] + p["word_bias"][c])[ident[w] % lm.CLASS] + math.log(count[w] / of_id[ident[w]])
+        assert got[doc_id].n_words == len(words) and abs(got[doc_id].log_prob - total) < 0.01 + 1e-4 * len(words)

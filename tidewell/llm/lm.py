@@ -11,8 +11,9 @@ id times the word's own share of it, n(word) / n(id).  Shares of words that make
 or more, HEAD words at most, are broadcast; those of all others are a table that their occurrences are
 joined with, in which no word has more than one in HEAD rows.
 
-The network is trained in numpy: every partition runs Adam over all its documents from one common start,
-and the results are averaged, weighed by the words they saw, for ROUNDS rounds.  The network's size is
+The network is trained in numpy: the documents are dealt by hash to shards of about SHARD words, each runs
+Adam over its documents in the order of their hashes from one common start, and the results are averaged,
+weighed by the words they saw, for ROUNDS rounds.  So the input's partitions don't matter.  The network's size is
 fixed, so what is broadcast or collected never grows; the vocabulary and what is trained on grow with the corpus.
 """
 
@@ -38,6 +39,7 @@ WINDOW = 2
 BATCH = 4096
 RATE = 0.01
 ROUNDS = 1
+SHARD = 1 << 21
 #: Words that make up one in so many are looked up in tasks; rarer ones are joined.
 HEAD = 1 << 17
 #: Logarithms of shares are summed as whole numbers of this part, so that the sum doesn't depend on the order.
@@ -92,7 +94,8 @@ class Network:
             h += p[side][around[row]] * weight
         np.tanh(h, out=h)
         cls, inner, rows = ids // CLASS, ids % CLASS, np.arange(len(ids))
-        logits = h @ p["class_out"] + p["class_bias"]  # small enough for exp as they are
+        logits = h @ p["class_out"] + p["class_bias"]
+        logits -= logits.max(axis=1, keepdims=True)
         out = logits[rows, cls]
         prob = np.exp(logits, out=logits)
         total = prob.sum(axis=1)
@@ -108,6 +111,7 @@ class Network:
             a, b = bounds[c], bounds[c + 1]
             hc, r, own = h[a:b], rows[: b - a], inner[a:b]
             logits = hc @ p["word_out"][c] + p["word_bias"][c]
+            logits -= logits.max(axis=1, keepdims=True)
             out[a:b] += logits[r, own]
             prob = np.exp(logits, out=logits)
             total = prob.sum(axis=1)
@@ -240,8 +244,8 @@ def encode(docs: DataFrame, known: Vocabulary) -> DataFrame:
     return docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").mapInArrow(work, "row long, doc_id long, words binary, share long, tail array<long>")
 
 
-def train(encoded: DataFrame, network: Network, rate: float = RATE) -> Network:
-    """One round over all rows: Adam in each partition, then the mean by words seen."""
+def train(encoded: DataFrame, network: Network, n_words: int, rate: float = RATE) -> Network:
+    """One round over all rows (words), n_words in all: Adam in each shard, then the mean by words seen."""
     start = encoded.sparkSession.sparkContext.broadcast(network.flat())
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,17 +265,31 @@ def train(encoded: DataFrame, network: Network, rate: float = RATE) -> Network:
                     second[k] += 0.01 * (g * g - second[k])
                     net.p[k] += np.float32(rate) * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + np.float32(1e-6))
         if seen:
-            # Whole numbers, so that the sum doesn't depend on the order in which partitions end.
+            # Whole numbers, so that the sum doesn't depend on the order in which shards end.
             weight = max(1, seen >> 12)
             values = np.round(net.flat().astype(np.float64) * 65536).astype(np.int64) * weight
-            places = np.arange(len(values) + 1, dtype=np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(places), pa.array(np.append(values, weight))], names=["place", "value"])
+            yield pa.RecordBatch.from_arrays([pa.array([np.append(values, weight).tobytes()], pa.binary())], names=["values"])
 
-    sums = encoded.select("words").mapInArrow(work, "place int, value long").groupBy("place").agg(F.sum("value").alias("value")).toArrow()
-    if not sums.num_rows:
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            for raw in batch.column(0).to_pylist():
+                one = np.frombuffer(raw, np.int64)
+                total = one if total is None else total + one
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["values"])
+
+    shards = max(1, -(-n_words // SHARD))
+    key = F.xxhash64("words", F.lit(11))
+    dealt = encoded.select("words", key.alias("key")).repartitionById(shards, F.pmod("key", F.lit(shards)).cast("int")).sortWithinPartitions("key")
+    trained = dealt.select("words").mapInArrow(work, "values binary")
+    # Two levels of sums, so that no task reads all shards.
+    some = int(np.ceil(np.sqrt(shards)))
+    partly = trained.repartition(some).mapInArrow(summed, "values binary")
+    rows = partly.repartition(1).mapInArrow(summed, "values binary").collect()
+    if not rows:
         return network
-    flat = np.zeros(sums.num_rows, np.float64)
-    flat[sums.column(0).to_numpy()] = sums.column(1).to_numpy()
+    flat = np.frombuffer(bytes(rows[0][0]), np.int64).astype(np.float64)
     return Network.of(flat[:-1] / flat[-1] / 65536)
 
 
@@ -321,5 +339,5 @@ def pseudo_likelihood(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     encoded = stage(encode(rows, known), "words")
     network = Network.start(frequency)
     for _ in range(ROUNDS):
-        network = train(encoded, network)
+        network = train(encoded, network, int(frequency.sum()))
     return score_words(encoded, network, known)
