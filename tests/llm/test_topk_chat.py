@@ -67,6 +67,25 @@ def test_preferences(spark, empty):
     assert (got[1].prompt, got[1].rejected, got[1].chosen_mask) == ("", "", "") and got[2].chosen == got[2].rejected == "" and len(got) == 4
 
 
+def test_long_and_odd_conversations(spark, empty):
+    """2,000 turns, a turn of 300,000 characters, turns without a side, repeated rows, an empty table."""
+    long = [(0, i, "assistant" if i % 2 else "user", f"turn {i} 😀") for i in range(2000)] + [(1, i, "assistant" if i % 2 else "user", f"turn {i} 😀" if i < 1500 else f"other {i}") for i in range(2000)]
+    rows = [*long, (2, 0, "assistant", "x" * 300_000), (3, 0, "assistant", "y"), (3, 0, "assistant", "y")]
+    turns = spark.createDataFrame([(*r, "p") for r in rows], "conv_id long, turn long, role string, text string, before string")
+    pair, chosen = F.shiftright("conv_id", 1), F.when(F.col("turn") != 777, F.col("conv_id") % 2 == 0)
+    got = {r.pair_id: r for r in chat.preferences(turns, pair, chosen).collect()}
+    shown = lambda t: f"<|{t[2]}|>\n{t[3]}<|end|>\n"
+    kept = [t for t in long if t[1] != 777]
+    one, other = ([t for t in kept if t[0] == c] for c in (0, 1))
+    assert got[0].n_common == 1499 and got[0].prompt == "".join(map(shown, one[:1499])) and got[0].rejected == "".join(map(shown, other[1499:]))
+    for text, mask, turns_left in ((got[0].chosen, got[0].chosen_mask, one[1499:]), (got[0].rejected, got[0].rejected_mask, other[1499:])):
+        learnt = [text[int(a) : int(b)] for a, b in (x.split(":") for x in mask.split(","))]
+        assert learnt == [f"{t[3]}<|end|>" for t in turns_left if t[2] == "assistant"]
+    assert len(got[1].chosen) == 300_022 and got[1].rejected_mask == "14:22,37:45"
+    none = turns.limit(0)
+    assert chat.preferences(none, pair, chosen).collect() == []
+
+
 def test_sql_agrees(spark, sf_dir):
     con = duckdb.connect()
     for t in ("conversations", "embeddings"):

@@ -7,7 +7,7 @@ loss is taken over: the text and end mark of the assistant's turns.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 LEARNT = "assistant"
@@ -19,16 +19,11 @@ def _rendered(turn: Column) -> Column:
 
 
 def _mask(turns: Column) -> Column:
-    """start:stop of the learnt parts in the rendered turns, in code points, comma-joined."""
-
-    def step(state: Column, turn: Column) -> Column:
-        start = state["at"] + F.length(turn["role"]) + 5
-        stop = start + F.length(turn["text"]) + len(END)
-        span = F.array(F.concat_ws(":", start.cast("string"), stop.cast("string")))
-        return F.struct((stop + 1).alias("at"), F.when(turn["role"] == LEARNT, F.concat(state["out"], span)).otherwise(state["out"]).alias("out"))
-
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    return F.aggregate(turns, start, step, lambda s: F.array_join(s["out"], ","))
+    """start:stop of the learnt parts in the rendered turns, in code points, comma-joined; each turn knows what is rendered before it in its conversation."""
+    base = F.get(turns, F.lit(0))["before"]
+    start = lambda t: t["before"] - base + F.length(t["role"]) + 5
+    spans = F.transform(F.filter(turns, lambda t: t["role"] == LEARNT), lambda t: F.concat_ws(":", start(t).cast("string"), (start(t) + F.length(t["text"]) + len(END)).cast("string")))
+    return F.array_join(spans, ",")
 
 
 def preferences(turns: DataFrame, pair: Column, is_chosen: Column, turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
@@ -37,13 +32,18 @@ def preferences(turns: DataFrame, pair: Column, is_chosen: Column, turn_col: str
     Turns go by number, then role and text, so that repeated numbers have one order; null numbers come
     first.  A null role or text counts as empty.  A pair of which one side is missing has an empty prompt and an
     empty completion on that side; equal conversations have two empty completions.  Turns with a null
-    pair belong to no conversation and give no row.  A row holds one pair's two conversations, which a
+    pair belong to no conversation and give no row, and those with a null side count for neither.  A row holds one pair's two conversations, which a
     model must read whole in any case.
     """
     turn = F.struct(F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    both = turns.select(pair.alias("pair_id"), is_chosen.alias("is_chosen"), turn.alias("t")).filter(F.col("pair_id").isNotNull())
+    # One shuffle by pair serves the sums and the two sides.
+    dealt = turns.select(pair.alias("pair_id"), is_chosen.alias("is_chosen"), turn.alias("t")).filter(F.col("pair_id").isNotNull()).repartition("pair_id")
+    # A rendered turn is 13 longer than its role and text.
+    earlier = Window.partitionBy("pair_id", "is_chosen").orderBy("t").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum(F.length("t.role") + F.length("t.text") + len(END) + 6).over(earlier), F.lit(0))
+    dealt = dealt.withColumn("t", F.struct("t.turn", "t.role", "t.text", before.alias("before")))
     side = lambda which: F.array_sort(F.collect_list(F.when(which, F.col("t"))))
-    both = both.groupBy("pair_id").agg(side(F.col("is_chosen")).alias("c"), side(~F.col("is_chosen")).alias("r"))
+    both = dealt.groupBy("pair_id").agg(side(F.col("is_chosen")).alias("c"), side(~F.col("is_chosen")).alias("r"))
     same = F.zip_with("c", "r", lambda x, y: x["role"].eqNullSafe(y["role"]) & x["text"].eqNullSafe(y["text"]))
     differs = F.array_position(same, False)
     both = both.withColumn("n_common", F.when(differs == 0, F.size("c")).otherwise(differs - 1).cast("int"))

@@ -26,8 +26,8 @@ from tidewell.llm.common import stage
 CAPACITY = 2048
 OPEN_BINS = 4096
 TAIL_PIECES = 4096
-#: Chunks between white space whose ids a worker remembers; beyond that it starts anew.
-REMEMBERED = 500_000
+#: Chunks between white space whose ids a worker remembers, and their bytes; beyond that it starts anew.
+REMEMBERED, REMEMBERED_BYTES = 500_000, 16_000_000
 
 _STOPS = frozenset([b".", b",", b";", b":", b"!", b"?"])
 
@@ -89,6 +89,7 @@ class ChunkTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
+        self.held = 0  # bytes of the chunks known
         self.stops = {s: np.array(self.tokenizer.encode(s.decode(), add_special_tokens=False).ids, "<u4").tobytes() for s in _STOPS}
         vocab = self.tokenizer.get_vocab()
         self.ends_word = np.zeros(max(vocab.values()) + 1, bool)
@@ -96,9 +97,10 @@ class ChunkTokenizer:
 
     def learn(self, chunks: set[bytes]) -> None:
         new = chunks.difference(self.known)
-        if len(self.known) + len(new) > REMEMBERED:
+        if len(self.known) + len(new) > REMEMBERED or self.held > REMEMBERED_BYTES:
             self.known.clear()
-            new = chunks
+            new, self.held = chunks, 0
+        self.held += sum(map(len, new))
         stops, words, others = [], [], []
         for chunk in new:
             if chunk[-1:] in _STOPS and chunk[-2:-1].isalpha():
