@@ -25,6 +25,11 @@ def version(spark: SparkSession, folder: str, table: str, no: int, schema: str)
     return spark.read.schema(schema).parquet(f"{folder}/{table}/{no}")
 
 
+def removed(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def drained(inbox_path: str, folder: str, index: Callable[[SparkSession], DataFrame], settings: R.Settings, spark: SparkSession) -> StreamingQuery:
     """Refine every file of the inbox as one batch, until all are done.
 
@@ -41,6 +46,10 @@ def drained(inbox_path: str, folder: str, index: Callable[[SparkSession], DataFr
         for table, df, to in (("outcomes", done.outcomes, no), ("shelf", done.shelf, no + 1), ("memory", done.memory, no + 1)):
             df.write.mode("overwrite").parquet(f"{folder}/{table}/{to}")
         done.release()
+        # Batch ``no`` may be run again and needs what it read; what came before it is done with.
+        for table in ("shelf", "memory"):
+            if no:
+                removed(s, f"{folder}/{table}/{no - 1}")
 
     return rows.writeStream.foreachBatch(refine).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start()
 
