@@ -7,8 +7,8 @@ ln y = r (t - b), the sample is the (term, t) with the least c / (y e^r).  Two t
 sample with a probability equal to the generalised Jaccard similarity of their terms, the sum of the
 smaller weights over that of the larger ones.  A fingerprint is 16 bits of each sample.
 
-A term's variables come from tables of 65,536 Gamma(2,1) and uniform values, indexed for each lane by
-bits of another hash of the term.
+A term's variables come from two tables, of 65,536 pairs of r and b and of as many c, indexed for each lane
+by bits of another hash of the term.
 """
 
 from __future__ import annotations
@@ -38,6 +38,7 @@ class Sampler:
         self.r = rng.gamma(2.0, 1.0, 1 << 16).astype(np.float32)
         self.log_c = np.log(rng.gamma(2.0, 1.0, 1 << 16)).astype(np.float32)
         self.b = rng.random(1 << 16).astype(np.float32)
+        self.light = self.r * (self.b - 1)  # -ln y - r of a term of weight 1, whose t is 0
 
     def sample(self, words: np.ndarray) -> np.ndarray:
         """16 bits for each lane."""
@@ -52,13 +53,13 @@ class Sampler:
             spread = self.spread[lane : lane + each]
             h = spread[:, None] * terms[None, :]
             h ^= h >> np.uint64(29)
-            at_r, at_c, at_b = ((h >> np.uint64(s)) & np.uint64(0xFFFF) for s in (48, 32, 16))
-            r, b = self.r[at_r], self.b[at_b]
-            score = self.log_c[at_c] + r * (b - 1)  # ln c - ln y - r, where t is 0
+            at_r, at_c = (h >> np.uint64(48)).view(np.int64), ((h >> np.uint64(24)) & np.uint64(0xFFFF)).view(np.int64)
+            score = np.take(self.light, at_r, mode="clip")
+            score += np.take(self.log_c, at_c, mode="clip")
             t = np.zeros((len(spread), len(terms)), np.int32) if len(heavy) else None
             if len(heavy):
-                rh = r[:, heavy]
-                th = np.floor(log_w[heavy] / rh + b[:, heavy])
+                rh, bh = self.r[at_r[:, heavy]], self.b[at_r[:, heavy]]
+                th = np.floor(log_w[heavy] / rh + bh)
                 score[:, heavy] -= rh * th
                 t[:, heavy] = th
             best = score.argmin(axis=1)
