@@ -38,7 +38,7 @@ def export_enumeration(candidates: DataFrame, folder: str, validated: bool = Tru
     lines.select("line").write.mode("overwrite").text(f"{folder}/items")
     ordered = candidates.withColumn("_place", F.struct((-F.coalesce("job_count", F.lit(0)) if validated else F.lit(0)).alias("jobs"), "slug")).orderBy("_place").drop("_place")
     ordered.write.mode("overwrite").json(f"{folder}/json")
-    ordered.withColumn("sample_titles", F.array_join("sample_titles", "; ")).write.mode("overwrite").option("header", True).csv(f"{folder}/sheet")
+    ordered.withColumn("sample_titles", F.array_join(F.filter("sample_titles", lambda t: T.blank(t) != ""), "; ")).write.mode("overwrite").option("header", True).csv(f"{folder}/sheet")
 
 
 def curated(lines: DataFrame, slugs: DataFrame) -> DataFrame:
