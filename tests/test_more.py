@@ -122,3 +122,24 @@ def test_fallback_places(spark):
     index = location.place_index(location.fallback(spark))
     jobs = spark.createDataFrame([(1, "Hamm"), (2, "Mulheim an der Ruhr"), (3, "Nowhere")], "id long, location string")
     assert {r.id: r.location_normalized for r in location.located(jobs, index).collect()} == {1: "Hamm", 2: "Mülheim an der Ruhr", 3: None}
+
+
+def test_rank_of_titles(spark):
+    """Figures worked out by hand from the formulas of ts_rank."""
+    rank = lambda title, *terms: spark.createDataFrame([(title,)], "t string").select(search.rank(T.words(F.col("t")), search.parsed_terms(list(terms))).alias("r")).first().r
+    one = 0.1 / 1.64493406685
+    assert abs(rank("agile coach", "agile", "coach") - one) < 1e-12 and abs(rank("agile agile", "agile") - one * 1.25) < 1e-12 and abs(rank("agile", "agile", "coach") - one / 2) < 1e-12
+    near = lambda d: 0.1 * (1 / (1.005 + 0.05 * 2.718281828459045 ** (d / 1.5 - 2))) ** 0.5
+    assert abs(rank("agile coach", "agile coach") - near(1)) < 1e-12 and abs(rank("agile x coach y agile", "agile coach") - (1 - (1 - near(2)) ** 2)) < 1e-12
+
+
+def test_rolling_flow(spark, tmp_path):
+    from tidewell.streaming import inbox
+
+    runs = [(datetime(2024, 1, 1, h), f'{{"refined": {h}, "duplicate": 1, "jobs_stored": 2}}') for h in (0, 5, 23)] + [(datetime(2024, 1, 2, 3), None)]
+    spark.createDataFrame(runs, "finished_at timestamp, stats string").write.parquet(str(tmp_path / "runs"))
+    stream = inbox.rolling_flow(spark.readStream.schema("finished_at timestamp, stats string").parquet(str(tmp_path / "runs")))
+    query = stream.writeStream.format("memory").queryName("flow").outputMode("complete").option("checkpointLocation", str(tmp_path / "progress")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    got = {r["window"].end: (r.throughput, r.waste, r.arrivals) for r in spark.table("flow").collect()}
+    assert got[datetime(2024, 1, 2)] == (28, 3, 6) and got[datetime(2024, 1, 2, 1)] == (28, 2, 4) and got[datetime(2024, 1, 2, 4)] == (28, 2, 4)

@@ -197,3 +197,10 @@ def latest_runs(runs: DataFrame, among: int = 500) -> DataFrame:
 
 def last_runs(runs: DataFrame, as_of: datetime, n: int, hours: int) -> DataFrame:
     return runs.filter(F.col("started_at") >= _before(as_of, hours=hours)).orderBy(F.desc("started_at"), F.desc("id")).limit(n)
+
+
+def run_list(runs: DataFrame, limit: int = 20) -> DataFrame:
+    """The newest runs of all, newest first."""
+    if not 1 <= limit <= 100:
+        raise ValueError("limit must be 1 to 100")
+    return runs.orderBy(F.desc("started_at"), F.desc("id")).limit(limit)

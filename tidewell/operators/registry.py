@@ -39,6 +39,16 @@ def lever_slug(url: Column) -> Column:
     return T.filled(F.lower(F.regexp_extract(T.blank(url), r"lever\.co/([^/?#]+)", 1)))
 
 
+def harvested(urls: DataFrame) -> DataFrame:
+    """slug: the distinct lever boards of addresses (url)."""
+    return urls.select(lever_slug(F.col("url")).alias("slug")).filter("slug IS NOT NULL").distinct()
+
+
+def slugs_by_source(registry: DataFrame) -> DataFrame:
+    """source, slugs, n: the boards of each provider in order, and their number; a provider has some thousands."""
+    return registry.filter(T.blank(F.col("slug")) != "").groupBy("source").agg(F.array_sort(F.collect_set("slug")).alias("slugs")).withColumn("n", F.size("slugs").cast("long"))
+
+
 def enumerated(urls: DataFrame, provider: str) -> DataFrame:
     """slug, crawls (sorted) of rows (url, crawl)."""
     named = urls.select(slug_of_url(F.col("url"), provider).alias("slug"), "crawl").filter("slug IS NOT NULL")

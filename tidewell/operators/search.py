@@ -14,7 +14,8 @@ from tidewell.functions import values as V
 
 DEFAULT_LIMIT, MOST_LIMIT = 50, 500
 SHOWN_DESCRIPTION = 500
-SATURATION = 1.2
+# The weight of a word of a title, and the limit of the sum of 1 / n^2 that PostgreSQL's ts_rank divides by.
+WORD_WEIGHT, SQUARES = 0.1, 1.64493406685
 
 # What a level of seniority looks for in a title.
 SENIORITY = {
@@ -81,10 +82,25 @@ def matches(text: Column, terms: list[tuple[list[str], list[list[str]]]]) -> Col
 
 
 def rank(words: Column, terms: list[tuple[list[str], list[list[str]]]]) -> Column:
-    """Mean saturated frequency of the asked words in a title: tf / (tf + SATURATION), 0 to 1."""
+    """PostgreSQL's ts_rank of a title's words, 0 to 1.
+
+    Of several terms, the mean over the asked words of a sum that falls with the square of the
+    occurrence.  Of one term of several words, all of which are asked for, 1 less the product over
+    pairs of their places of what the pair's distance leaves.
+    """
     asked = sorted({w for single, phrases in terms for w in (*single, *(x for p in phrases for x in p))})
-    scores = F.transform(F.array(*[F.lit(w) for w in asked]), lambda w: F.size(F.filter(words, lambda x: x == w)).cast("double"))
-    return F.aggregate(scores, F.lit(0.0), lambda s, tf: s + tf / (tf + SATURATION)) / len(asked)
+    if len(terms) > 1 or len(asked) == 1:
+        times = F.transform(F.array(*[F.lit(w) for w in asked]), lambda w: F.size(F.filter(words, lambda x: x == w)))
+        falling = lambda n: F.aggregate(F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>")), F.lit(0.0), lambda s, i: s + WORD_WEIGHT / (i * i))
+        return F.aggregate(times, F.lit(0.0), lambda s, n: s + falling(n) / SQUARES) / len(asked)
+    places = lambda w: F.filter(F.transform(words, lambda x, i: F.when(x == w, i)), lambda i: i.isNotNull())
+    nearness = lambda d: WORD_WEIGHT * F.sqrt(F.when(d <= 100, 1 / (1.005 + 0.05 * F.exp(d / 1.5 - 2))).otherwise(1e-30))
+    distances = lambda a, b: F.flatten(F.transform(places(a), lambda i: F.transform(places(b), lambda j: F.abs(i - j))))
+    left = F.lit(1.0)
+    for no, one in enumerate(asked):
+        for other in asked[no + 1 :]:
+            left = left * F.aggregate(distances(one, other), F.lit(1.0), lambda s, d: s * (1 - nearness(d)))
+    return 1 - left
 
 
 def _holds(col: Column, part: str) -> Column:

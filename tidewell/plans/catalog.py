@@ -183,7 +183,7 @@ def location_lookup(spark, sf_dir):
 
 _WORDS = "list_filter(regexp_split_to_array(lower(coalesce({0}, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')"
 _MATCH = "((list_contains({0}, 'the') AND list_contains({0}, 'and')) OR list_contains({0}, 'die') OR contains(' ' || array_to_string({0}, ' ') || ' ', ' of the '))"
-_RANK = "list_sum(list_transform(['and', 'die', 'of', 'the'], lambda a: (len(list_filter(tw, lambda x: x = a)) / (len(list_filter(tw, lambda x: x = a)) + 1.2)))) / 4"
+_RANK = "list_sum(list_transform(['and', 'die', 'of', 'the'], lambda a: coalesce(list_sum(list_transform(range(1, len(list_filter(tw, lambda x: x = a)) + 1), lambda i: 0.1 / (i * i))), 0) / 1.64493406685)) / 4"
 KEYWORDS = ["the and", "die", '"of the"', "  "]
 _HITS = f"""
 tokens AS (SELECT *, {_WORDS.format('title')} AS tw, {_WORDS.format('description')} AS dw FROM shelf),

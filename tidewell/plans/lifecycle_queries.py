@@ -142,6 +142,11 @@ def memory_add(spark, sf_dir):
     return nearsim.remembered(_memory(bands), new).select("content_hash", "band_hash")
 
 
+@query("SELECT id, status FROM runs ORDER BY started_at DESC, id DESC LIMIT 100", "runs")
+def run_list(spark, sf_dir):
+    return lifecycle.run_list(_t(spark, sf_dir, "runs"), 100).select("id", "status")
+
+
 # -- places, figures, boards, companies ----------------------------------------------------------
 
 
@@ -197,6 +202,18 @@ def enumeration_lines(spark, sf_dir):
     return sinks.candidate_lines(found).select("line")
 
 
+@query("SELECT DISTINCT 'a.b' || (page_id % 30) AS slug FROM pages WHERE page_id % 4 <> 0")
+def lever_harvest(spark, sf_dir):
+    n = F.col("page_id")
+    url = F.when(n % 4 == 0, "https://other.example/x").otherwise(F.concat(F.lit("https://jobs.lever.co/A.b"), n % 30, F.when(n % 2 == 0, "/posting?x").otherwise("")))
+    return registry.harvested(spark.read.parquet(f"{sf_dir}/pages.parquet").select(url.alias("url")))
+
+
+@query(f"{_FLAGS} SELECT source, string_agg(slug, ',' ORDER BY slug) AS slugs, count(*) AS n FROM f GROUP BY source", "board_jobs")
+def slugs_by_source(spark, sf_dir):
+    return registry.slugs_by_source(_registry_rows(registry.board_flags(_t(spark, sf_dir, "board_jobs")))).withColumn("slugs", F.array_join("slugs", ","))
+
+
 def _companies(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.concat(F.lit("d"), "s_suppkey", F.lit(".com")).alias("domain"), F.col("s_name").alias("name"), F.col("s_suppkey").alias("no"))
     old = rows.filter("no % 4 < 3").select("domain", "name", F.lit("10").alias("size"), F.lit("old").alias("industry"), F.lit("here").alias("location"), F.lit("").alias("linkedin"), F.lit("{}").alias("details"))

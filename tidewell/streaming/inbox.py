@@ -15,6 +15,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidewell import schemas
+from tidewell.functions.values import counter
 from tidewell.plans import refine as R
 
 
@@ -81,8 +82,8 @@ def changes(stream: DataFrame) -> DataFrame:
     return hashed.groupBy("source_name", "fetch_key").applyInPandasWithState(follow, _CHANGE, "checksum string, since timestamp", "append", GroupStateTimeout.NoTimeout)
 
 
-def daily_flow(runs: DataFrame) -> DataFrame:
-    """An extension: refined rows by day of a stream of runs (finished_at, stats)."""
-    from tidewell.functions.values import counter
-
-    return runs.withWatermark("finished_at", "1 day").groupBy(F.window("finished_at", "1 day")).agg(F.sum(counter(F.col("stats"), "refined")).alias("refined"))
+def rolling_flow(runs: DataFrame) -> DataFrame:
+    """window, throughput, waste, arrivals of a stream of runs (finished_at, stats): sums over the 24 hours to each full hour."""
+    total = lambda name: F.coalesce(F.sum(counter(F.col("stats"), name)), F.lit(0))
+    hours = F.window("finished_at", "24 hours", "1 hour").alias("window")
+    return runs.withWatermark("finished_at", "1 day").groupBy(hours).agg(total("refined").alias("throughput"), (total("duplicate") + total("rejected")).alias("waste"), total("jobs_stored").alias("arrivals"))
