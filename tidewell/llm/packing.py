@@ -26,8 +26,8 @@ from tidewell.llm.common import stage
 CAPACITY = 2048
 OPEN_BINS = 4096
 TAIL_PIECES = 4096
-#: Chunks between white space whose ids a worker remembers, and their bytes; beyond that it starts anew.
-REMEMBERED, REMEMBERED_BYTES = 500_000, 16_000_000
+#: Chunks between white space whose ids a worker remembers, and their bytes, in each of two generations: what wasn't met in the younger one is forgotten.
+REMEMBERED, REMEMBERED_BYTES = 250_000, 8_000_000
 
 _STOPS = frozenset([b".", b",", b";", b":", b"!", b"?"])
 
@@ -89,6 +89,7 @@ class ChunkTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         self.held = 0  # bytes of the chunks known
         self.stops = {s: np.array(self.tokenizer.encode(s.decode(), add_special_tokens=False).ids, "<u4").tobytes() for s in _STOPS}
         vocab = self.tokenizer.get_vocab()
@@ -96,11 +97,12 @@ class ChunkTokenizer:
         self.ends_word[[i for word, i in vocab.items() if word.endswith("</w>")]] = True
 
     def learn(self, chunks: set[bytes]) -> None:
-        new = chunks.difference(self.known)
-        if len(self.known) + len(new) > REMEMBERED or self.held > REMEMBERED_BYTES:
-            self.known.clear()
-            new, self.held = chunks, 0
-        self.held += sum(map(len, new))
+        if len(self.known) > REMEMBERED or self.held > REMEMBERED_BYTES:
+            self.known, self.older, self.held = {}, self.known, 0
+        missing = chunks.difference(self.known)
+        self.held += sum(map(len, missing))
+        new = missing.difference(self.older)
+        self.known.update((c, self.older[c]) for c in missing.difference(new))
         stops, words, others = [], [], []
         for chunk in new:
             if chunk[-1:] in _STOPS and chunk[-2:-1].isalpha():
