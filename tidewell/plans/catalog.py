@@ -222,20 +222,20 @@ def search_seniority(spark, sf_dir):
     return search.hits(_t(spark, sf_dir, "shelf"), search.Search(X.AS_OF, seniority="mid")).select("id", "title")
 
 
-@query("SELECT id, salary_min, salary_max FROM shelf WHERE salary_min >= 50000 AND salary_max <= 90000 AND source IN ('src1', 'src2', 'src3') AND company_domain IN ('capco.com', 'amberra.com') AND location ILIKE '%berlin%'", "shelf")
+@query("SELECT id, salary_min, salary_max FROM shelf WHERE salary_min >= 45000 AND salary_max <= 100000 AND source IN ('src1', 'src2', 'src3', 'src4', 'src5', 'src6', 'src7', 'src8') AND company_domain IN ('capco.com', 'amberra.com') AND location ILIKE '%an%'", "shelf")
 def search_salary(spark, sf_dir):
-    spec = search.Search(X.AS_OF, min_salary=50000, max_salary=90000, sources=["src1", "src2", "src3"], domains=["capco.com", "amberra.com"], location="berlin")
+    spec = search.Search(X.AS_OF, min_salary=45000, max_salary=100000, sources=[f"src{i}" for i in range(1, 9)], domains=["capco.com", "amberra.com"], location="an")
     return search.hits(_t(spark, sf_dir, "shelf"), spec).select("id", "salary_min", "salary_max")
 
 
 @query(
     """AND km AS (SELECT id, location_lat AS lat, location_lon AS lon, 2 * 6371.0 * asin(sqrt(pow(sin(radians(location_lat - 53.5753) / 2), 2) + cos(radians(53.5753)) * cos(radians(location_lat)) * pow(sin(radians(location_lon - 10.0153) / 2), 2))) AS d
     FROM shelf WHERE location ILIKE '%hamburg%')
-    SELECT id, round(d, 6) AS km FROM km WHERE d <= 200 AND lat BETWEEN 53.5753 - 200 / 111.0 AND 53.5753 + 200 / 111.0 AND lon BETWEEN 10.0153 - 200 / (111.0 * cos(radians(53.5753))) AND 10.0153 + 200 / (111.0 * cos(radians(53.5753)))""", "shelf",
+    SELECT id, round(d, 6) AS km FROM km WHERE d <= 600 AND lat BETWEEN 53.5753 - 600 / 111.0 AND 53.5753 + 600 / 111.0 AND lon BETWEEN 10.0153 - 600 / (111.0 * cos(radians(53.5753))) AND 10.0153 + 600 / (111.0 * cos(radians(53.5753)))""", "shelf",
 )
 def distance_filter(spark, sf_dir):
     at = V.geocode("hamburg")
-    rows = search.hits(_t(spark, sf_dir, "shelf"), search.Search(X.AS_OF, location="hamburg", max_distance_km=200))
+    rows = search.hits(_t(spark, sf_dir, "shelf"), search.Search(X.AS_OF, location="hamburg", max_distance_km=600))
     return rows.select("id", F.round(V.haversine_km(F.lit(at[0]), F.lit(at[1]), F.col("location_lat"), F.col("location_lon")), 6).alias("km"))
 
 

@@ -32,7 +32,7 @@ SELECT id, CASE WHEN id % 5 = 1 AND company <> '' THEN base || ' - ' || company
   CASE WHEN id % 8 = 1 THEN {NOW} - INTERVAL '1' MINUTE * CAST(id % 90 AS INT) END AS claimed_at,
   split_part('new;refining;refined;rejected;new;duplicate;new;new', ';', CAST(id % 8 + 1 AS INT)) AS status
 FROM (
-  SELECT doc_id AS id, text, source, CASE WHEN doc_id % 3 = 0 THEN left(split_part(text, chr(10), 1), 64) ELSE left(split_part(text, chr(10), 1), 120) END AS base,
+  SELECT doc_id AS id, text, source, left(split_part('Senior ;;Mid-level ;;Lead ;;', ';', CAST(doc_id % 7 + 1 AS INT)) || split_part(text, chr(10), 1), CASE WHEN doc_id % 3 = 0 THEN 64 ELSE 120 END) AS base,
     split_part('{COMPANIES}', ';', CAST(doc_id % 8 + 1 AS INT)) AS company, split_part('{PLACES}', ';', CAST(doc_id % 9 + 1 AS INT)) AS location, split_part('{URLS}', ';', CAST(doc_id % 4 + 1 AS INT)) AS url
   FROM documents
 ) d

@@ -77,11 +77,11 @@ def claim_batch(spark, sf_dir):
     return lifecycle.after_claim(raw, lifecycle.claimed(raw, 300), X.AS_OF).select("id", "status", "claimed_at")
 
 
-@query("SELECT DISTINCT source FROM runs r WHERE NOT EXISTS (SELECT 1 FROM runs o WHERE o.source = r.source AND o.status = 'running' AND o.id % 40 = 0)", "runs")
+@query("SELECT DISTINCT source FROM runs r WHERE NOT EXISTS (SELECT 1 FROM runs o WHERE o.source = r.source AND o.status = 'running' AND o.id % 2000 = 0)", "runs")
 def run_claim(spark, sf_dir):
     runs = _t(spark, sf_dir, "runs")
     # Of the log's runs those with these ids are still on.
-    on = runs.withColumn("status", F.when(F.col("id") % 40 == 0, F.col("status")).otherwise("done"))
+    on = runs.withColumn("status", F.when(F.col("id") % 2000 == 0, F.col("status")).otherwise("done"))
     return lifecycle.run_starts(runs.select("source").distinct(), on)
 
 
