@@ -41,7 +41,7 @@ RATE = 0.01
 ROUNDS = 1
 SHARD = 1 << 21
 #: Words that make up one in so many are looked up in tasks; rarer ones are joined.
-HEAD = 1 << 17
+HEAD = 1 << 19
 #: Logarithms of shares are summed as whole numbers of this part, so that the sum doesn't depend on the order.
 _PART = 1e-6
 #: Different words that a task holds before it sends their counts on.
@@ -60,6 +60,11 @@ class Vocabulary(NamedTuple):
     tail: DataFrame  # word, log: all other words
 
 
+def _small(weights: np.ndarray, bias: np.ndarray) -> bool:
+    """Whether all logits are small enough for exp as they are: the hidden layer lies between -1 and 1."""
+    return float(np.abs(weights).sum(axis=-2).max() + np.abs(bias).max()) < 80
+
+
 class Network:
     def __init__(self, params: dict[str, np.ndarray]):
         self.p = params
@@ -95,7 +100,8 @@ class Network:
         np.tanh(h, out=h)
         cls, inner, rows = ids // CLASS, ids % CLASS, np.arange(len(ids))
         logits = h @ p["class_out"] + p["class_bias"]
-        logits -= logits.max(axis=1, keepdims=True)
+        if not _small(p["class_out"], p["class_bias"]):
+            logits -= logits.max(axis=1, keepdims=True)
         out = logits[rows, cls]
         prob = np.exp(logits, out=logits)
         total = prob.sum(axis=1)
@@ -107,11 +113,13 @@ class Network:
             grads["class_bias"] += prob.sum(axis=0)
             dh = prob @ p["class_out"].T
         bounds = np.searchsorted(ids, np.arange(_N_CLASSES + 1) * CLASS)
+        small = _small(p["word_out"], p["word_bias"])
         for c in np.flatnonzero(np.diff(bounds)).tolist():
             a, b = bounds[c], bounds[c + 1]
             hc, r, own = h[a:b], rows[: b - a], inner[a:b]
             logits = hc @ p["word_out"][c] + p["word_bias"][c]
-            logits -= logits.max(axis=1, keepdims=True)
+            if not small:
+                logits -= logits.max(axis=1, keepdims=True)
             out[a:b] += logits[r, own]
             prob = np.exp(logits, out=logits)
             total = prob.sum(axis=1)
@@ -308,7 +316,7 @@ def _scored(rows: DataFrame, network: Network, carried: str) -> DataFrame:
         net = Network.of(model.value)
         for batch, texts in _unpacked(batches, len(names)):
             ids, around = _around(texts)
-            logs = np.concatenate([np.zeros(0), *(net.run(ids[at : at + BATCH], around[:, at : at + BATCH], None) for at in range(0, len(ids), BATCH))])
+            logs = np.concatenate([np.zeros(0), *(net.run(ids[at : at + 2 * BATCH], around[:, at : at + 2 * BATCH], None) for at in range(0, len(ids), 2 * BATCH))])
             sums = np.diff(np.concatenate([[0.0], np.cumsum(logs)])[np.concatenate([[0], np.cumsum([len(t) for t in texts])])])
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array([len(t) for t in texts], pa.int64()), pa.array(np.round(sums, 3))], names=[*names, "n_words", "log_prob"])
 
