@@ -150,11 +150,11 @@ def run_list(spark, sf_dir):
 # -- places, figures, boards, companies ----------------------------------------------------------
 
 
-@query("SELECT c_name AS name, CAST(c_acctbal AS BIGINT) AS population FROM customer WHERE c_custkey % 4 <> 0 AND c_acctbal >= 0 ORDER BY CAST(c_acctbal AS BIGINT) DESC, c_name LIMIT 200")
+@query("SELECT c_name AS name, CAST(floor(c_acctbal) AS BIGINT) AS population FROM customer WHERE c_custkey % 4 <> 0 AND c_acctbal >= 0 ORDER BY CAST(floor(c_acctbal) AS BIGINT) DESC, c_name LIMIT 200")
 def gazetteer_top(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/customer.parquet")
     kind = F.when(F.col("c_custkey") % 4 == 0, "A").otherwise("P")
-    number = F.when(F.col("c_acctbal") >= 0, F.round("c_acctbal").cast("bigint").cast("string")).otherwise("none")
+    number = F.when(F.col("c_acctbal") >= 0, F.floor("c_acctbal").cast("string")).otherwise("none")
     line = F.concat_ws("\t", F.col("c_custkey"), "c_name", "c_name", F.lit("other"), F.lit("50.5"), F.lit("8.5"), kind, *[F.lit("x")] * 7, number)
     return location.top_places(rows.select(line.alias("value")), 200).select("name", "population")
 
