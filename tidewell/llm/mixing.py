@@ -180,4 +180,4 @@ def shuffled(taken: DataFrame, shards: int = SHARDS) -> DataFrame:
 def query(docs: DataFrame) -> DataFrame:
     narrow = stage(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("doc_id", F.xxhash64("text")).alias("key")), "sizes")
     got = mix(narrow, size_col="size", key_col="key")
-    return got.select("doc_id", "size", F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), F.col("_taken").alias("taken"), F.col("_shard_first").alias("shard_first"), F.col("_shard_again").alias("shard_again"))
+    return got.select("doc_id", "size", F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), F.col("_taken").alias("taken"), F.col("_shard_first").alias("shard_first"), F.col("_shard_again").alias("shard_again"), F.col("_order").alias("shard_order"))

@@ -9,11 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.llm import chat, fingerprints, language, lm, mixing, neardup, packing, secrets, topk, warc
-from tidewell.llm.common import read
+from tidewell.llm.common import drop_stages, read
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
 
+def clean(spark: SparkSession) -> None:
+    """Remove what the queries so far have left in the shared folder, once their results have been consumed."""
+    drop_stages(spark)
+
+
 def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), WORD_VOCABULARY)
 
