@@ -113,11 +113,12 @@ class ChunkTokenizer:
             text = chunk.decode("utf-8", "replace")
             (words if text.isalpha() and max(text) < "\u0130" else others).append(chunk)
         # A chunk of letters is one word to the vocabulary, so the ids that end words tell many of them apart in one call.
-        for at in range(0, len(words), 512):
-            ids = np.array(self.tokenizer.encode(b" ".join(words[at : at + 512]).decode(), add_special_tokens=False).ids, "<u4")
+        groups = [words[at : at + 128] for at in range(0, len(words), 128)]
+        for group, got in zip(groups, self.tokenizer.encode_batch_fast([b" ".join(g).decode() for g in groups], add_special_tokens=False)):
+            ids = np.array(got.ids, "<u4")
             ends = ((np.flatnonzero(self.ends_word[ids]) + 1) * 4).tolist()
             raw, start = ids.tobytes(), 0
-            for chunk, end in zip(words[at : at + 512], ends, strict=True):
+            for chunk, end in zip(group, ends, strict=True):
                 self.known[chunk] = raw[start:end]
                 start = end
         for at in range(0, len(others), 20_000):
