@@ -48,16 +48,28 @@ def scratch(name: str) -> Iterator[None]:
 ROWS_A_FILE = 250_000
 
 
-def stage(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+#: Rows that Python tasks over whole texts see at a time.
+TEXTS_A_BATCH = 1_000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def stage(df: DataFrame, name: str, rows: int | None = None, batch: int | None = None) -> DataFrame:
     """Cut the lineage: write the rows to the shared folder and read them back, so that a lost executor costs no recomputation and reruns of a later task see the same rows.
 
     ``rows``, a bound of their number, is for narrow rows: few of them go to few files, however many partitions the session has.
+    ``batch`` bounds the rows that Python tasks hold at a time while these rows are made.
     """
-    path = new_path(df.sparkSession, name)
+    spark, path = df.sparkSession, new_path(df.sparkSession, name)
     if rows is not None:
         df = df.coalesce(max(1, -(-rows // ROWS_A_FILE)))
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_BATCH)
+    if batch is not None:
+        spark.conf.set(_BATCH, str(min(batch, int(before)) if int(before) > 0 else batch))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_BATCH, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def drop_stages(spark: SparkSession, name: str | None = None) -> None:

@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import stage
+from tidewell.llm.common import TEXTS_A_BATCH, stage
 
 BITS = 15
 #: Languages whose tables are made at a time, and kept by a task that counts.
@@ -123,7 +123,7 @@ def identify(docs: DataFrame, text: Column, declared: Column, suffix: Column, ho
     said = F.lower(F.split_part(declared.cast("string"), F.lit("-"), F.lit(1)))
     said = F.when(said.rlike("^[a-z]{2,3}$"), said)
     rows = docs.select(*carry, said.alias("_declared"), F.coalesce(suffix.cast("string"), F.lit("")).alias("_suffix"), F.coalesce(host.cast("string"), F.lit("")).alias("_host"), F.coalesce(text, F.lit("")).alias("_text"))
-    counts = stage(trigram_counts(rows.filter("_declared IS NOT NULL").select(F.col("_declared").alias("declared"), F.col("_text").alias("text"))), "trigrams")
+    counts = stage(trigram_counts(rows.filter("_declared IS NOT NULL").select(F.col("_declared").alias("declared"), F.col("_text").alias("text"))), "trigrams", batch=TEXTS_A_BATCH)
     languages = sorted(r[0] for r in rows.filter("_declared IS NOT NULL").select("_declared").distinct().collect())
     n_langs = len(languages)
     if not languages:
@@ -152,7 +152,7 @@ def identify(docs: DataFrame, text: Column, declared: Column, suffix: Column, ho
     likely = F.slice("_logs", 1, n_langs)
     # Without a trigram that counts all numbers are 0, and the text takes no part in the priors.
     best = F.when(F.get("_logs", F.lit(n_langs)) < 0, F.array_position(likely, F.array_max(likely)) - 1).otherwise(-1).cast("int")
-    scored = stage(rows.withColumn("_logs", score(F.col("_text"))).withColumn("_best", best).drop("_text"), "languages")
+    scored = stage(rows.withColumn("_logs", score(F.col("_text"))).withColumn("_best", best).drop("_text"), "languages", batch=TEXTS_A_BATCH)
     told = scored.filter("_best >= 0").groupBy("_suffix", "_host", "_best").agg(F.count(F.lit(1)).alias("n"))
     n = scored.count()  # hosts are as many at most
     told = stage(told, "told", n)
