@@ -27,7 +27,7 @@ CAPACITY = 2048
 OPEN_BINS = 4096
 TAIL_PIECES = 4096
 #: Chunks between white space whose ids a worker remembers, and their bytes, in each of two generations: what wasn't met in the younger one is forgotten.
-REMEMBERED, REMEMBERED_BYTES = 250_000, 8_000_000
+REMEMBERED, REMEMBERED_BYTES = 100_000, 4_000_000
 
 _STOPS = frozenset([b".", b",", b";", b":", b"!", b"?"])
 
