@@ -8,10 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import chat, fingerprints, language, lm, mixing, neardup, packing, secrets, topk, warc
+from tidewell.llm import audit, bpe, chat, fingerprints, language, lm, mixing, neardup, packing, resample, secrets, topk, warc
 from tidewell.llm.common import drop_stages, read
 
 WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def clean(spark: SparkSession) -> None:
@@ -62,10 +63,22 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.query(read(spark, sf_dir, "documents"))
 
 
+def op11_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.query(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.query(read(spark, sf_dir, "documents"), BYTE_VOCABULARY)
+
+
 def language_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Operator 10 where there is all of its evidence: the markup's language, the address's suffix and host.
     return language.page_query(read(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pack, op2_fingerprint, op3_neardup, op4_pseudo_likelihood, op5_warc, op6_preferences, op7_secrets, op8_mix, op9_topk, op10_language, language_of_pages)}
-ORACLE_SQL: dict[str, str] = {"op5_warc": warc.SQL, "op6_preferences": chat.SQL, "op9_topk": topk.SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pack, op2_fingerprint, op3_neardup, op4_pseudo_likelihood, op5_warc, op6_preferences, op7_secrets, op8_mix, op9_topk, op10_language, op11_audit, op12_resample, op13_bpe, language_of_pages)}
+ORACLE_SQL: dict[str, str] = {"op5_warc": warc.SQL, "op6_preferences": chat.SQL, "op9_topk": topk.SQL, "op11_audit": audit.SQL, "op12_resample": resample.SQL}
