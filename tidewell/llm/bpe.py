@@ -24,6 +24,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from tokenizers import pre_tokenizers
 
 from tidewell.llm.terms import stretches
 
@@ -47,9 +48,12 @@ def byte_characters() -> list[str]:
 
 @lru_cache(1)
 def newer() -> tuple[re.Pattern, dict[int, int]]:
-    """What finds, and maps to an unassigned character, the letters and numbers that the pattern's library knows but that weren't in Unicode yet when the vocabulary's library was made."""
-    unassigned = "".join(chr(c) for c in range(0x80, sys.maxunicode + 1) if unicodedata.category(chr(c)) == "Cn")
-    found = [ord(c) for c in regex.findall(r"[\p{L}\p{N}\s]", unassigned)]
+    """What finds, and maps to an unassigned character, the letters and numbers that the pattern's library knows but that are neither to the vocabulary's library, which has an older Unicode: it is asked for each in question."""
+    unassigned = "".join(chr(c) for c in range(0x100, sys.maxunicode + 1) if unicodedata.category(chr(c)) == "Cn")
+    asked = regex.findall(r"[\p{L}\p{N}]", unassigned)
+    own = pre_tokenizers.ByteLevel(add_prefix_space=False).pre_tokenize_str("".join(f"a{c}1{c} " for c in asked))
+    begins = {at for _, (at, _) in own}
+    found = [ord(c) for i, c in enumerate(asked) if {5 * i + 1, 5 * i + 3} <= begins]
     runs: list[list[int]] = []
     for c in found:
         if runs and runs[-1][1] == c - 1:
