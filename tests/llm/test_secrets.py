@@ -94,3 +94,17 @@ def test_many_matches_in_one_text(spark):
     assert got[1].n_assign == got[1].n_live == 10_000 and got[1].base_sha256 == hashlib.sha256(listed(plain(text)).encode()).hexdigest() and got[2].spans == ""
     masked = {r.doc_id: r.text for r in secrets.redact(docs, F.col("source"), F.col("lang")).collect()}
     assert masked[1] == " ".join(["token=[secret], 😀"] * 10_000) and masked[2] is None
+
+
+def test_private_keys_with_any_number_of_hyphens(spark):
+    """A key reaches from its first line to its last, whatever stands between, and without a last line it is the first alone."""
+    key = lambda n, kind="RSA ": f"-----BEGIN {kind}PRIVATE KEY-----\nProc-Type: 4\n" + "MIIEpAIBAAKCAQEA-" * n + f"\n-----END {kind}PRIVATE KEY-----"
+    header = "-----BEGIN PRIVATE KEY-----"
+    texts = ["a " + key(0) + " b", "a " + key(9) + " b", "a " + key(20_000, "EC ") + " b", header + " lost " + key(3), header * 3_000, "-" * 50_000 + key(2) + "-" * 50_000, key(12) + key(12, "")]
+    docs = spark.createDataFrame([(i, t, f"s{i}", "en") for i, t in enumerate(texts)], "doc_id long, text string, source string, lang string")
+    found = {r.doc_id: [tuple(map(int, s.split(":")[1:])) for s in r.spans.split(",") if s.startswith("pem")] for r in scanned(docs)}
+    assert [found[i] for i in range(3)] == [[(2, len(t) - 2)] for t in texts[:3]]
+    assert found[3] == [(0, 27), (33, len(texts[3]))] and len(found[4]) == 3_000 and found[5] == [(50_000, 50_000 + len(key(2)))]
+    assert [b - a for a, b in found[6]] == [len(key(12)), len(key(12, ""))]
+    masked = {r.doc_id: r.text for r in secrets.redact(docs, F.col("source"), F.concat_ws("/", "source", "lang")).collect()}
+    assert masked[1] == masked[2] == "a [secret] b" and "MIIE" not in "".join(masked[i] for i in (0, 1, 2, 3, 5, 6))

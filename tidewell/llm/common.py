@@ -48,27 +48,29 @@ def scratch(name: str) -> Iterator[None]:
 ROWS_A_FILE = 250_000
 
 
-#: Rows that Python tasks over whole texts see at a time.
-TEXTS_A_BATCH = 1_000
-_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows that Python tasks over whole texts see at a time, and bytes from which on a batch is closed.
+TEXTS_A_BATCH, BYTES_A_BATCH = 1_000, 4_000_000
+_BATCH, _BYTES = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def stage(df: DataFrame, name: str, rows: int | None = None, batch: int | None = None) -> DataFrame:
     """Cut the lineage: write the rows to the shared folder and read them back, so that a lost executor costs no recomputation and reruns of a later task see the same rows.
 
     ``rows``, a bound of their number, is for narrow rows: few of them go to few files, however many partitions the session has.
-    ``batch`` bounds the rows that Python tasks hold at a time while these rows are made.
+    ``batch`` bounds the rows, and BYTES_A_BATCH the bytes, that Python tasks hold at a time while these rows are made.
     """
     spark, path = df.sparkSession, new_path(df.sparkSession, name)
     if rows is not None:
         df = df.coalesce(max(1, -(-rows // ROWS_A_FILE)))
-    before = spark.conf.get(_BATCH)
+    before, bytes_before = spark.conf.get(_BATCH), spark.conf.get(_BYTES)
     if batch is not None:
         spark.conf.set(_BATCH, str(min(batch, int(before)) if int(before) > 0 else batch))
+        spark.conf.set(_BYTES, str(BYTES_A_BATCH))
     try:
         df.write.parquet(path)
     finally:
         spark.conf.set(_BATCH, before)
+        spark.conf.set(_BYTES, bytes_before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -82,6 +84,19 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def joined_with_hot(left: DataFrame, right: DataFrame, keys: list[str], rows: int, how: str = "inner") -> DataFrame:
+    """left.join(right, keys, how) where a key may hold a large part of the left side's ``rows``; ``right`` has a row for each key.
+
+    Keys that hold more than a partition's share are as many as there are partitions at most: their rows of ``right`` are broadcast, so they need no shuffle.
+    """
+    share = max(1_000, rows // partitions(left.sparkSession))
+    hot = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > share).select(*keys)
+    few = F.broadcast(right.join(F.broadcast(hot), keys, "left_semi"))
+    names = [*left.columns, *(c for c in right.columns if c not in keys)]
+    rest = left.join(F.broadcast(hot), keys, "left_anti").join(right, keys, how)
+    return left.join(few, keys).select(*names).unionByName(rest.select(*names))
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

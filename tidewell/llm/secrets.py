@@ -14,14 +14,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import stage
+from tidewell.llm.common import joined_with_hot, stage
 
 # Kinds in their order, and the two groups of each pattern (what leads to a value, the value).
 KINDS = {
     "assign": r"""((?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?)([A-Za-z0-9+/_.=-]+)""",
     "access": r"()(AKIA[A-Z0-9]{16,})",
     "hex": r"()([0-9a-f]{24,})",
-    "pem": r"()(-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[^-]*(?:-[^-]+){0,8}?-----END [A-Z ]*PRIVATE KEY-----)?)",
+    "pem": r"()(-----BEGIN [A-Z ]*PRIVATE KEY-----(?:(?:[^-]++|-(?!----(?:BEGIN|END) [A-Z ]*PRIVATE KEY-----))*+-----END [A-Z ]*PRIVATE KEY-----)?)",
 }
 #: What the ownership method adds to the kinds of the plain scan: a private key, from its first line to its last.
 ADDED = ("pem",)
@@ -76,12 +76,14 @@ def ownership(candidates: DataFrame) -> DataFrame:
 def judged(found: DataFrame) -> DataFrame:
     """What spans() gives with n_owners, n_repos and verdict: example (held widely), live (held by few, and plausible) or other."""
     wide = (F.col("n_owners") >= WIDE_OWNERS) | ((F.col("n_owners") == WIDE_OWNERS - 1) & (F.col("n_repos") >= WIDE_REPOS))
-    return found.join(ownership(found).drop("n_found"), "hash").withColumn("verdict", F.when(wide, "example").when(F.col("plausible"), "live").otherwise("other"))
+    held = ownership(found).drop("n_found")
+    return joined_with_hot(found, held, ["hash"], found.count()).withColumn("verdict", F.when(wide, "example").when(F.col("plausible"), "live").otherwise("other"))
 
 
 def _prepared(docs: DataFrame, owner: Column, repo: Column, text_col: str) -> DataFrame:
-    known = docs.withColumns({"_owner": F.coalesce(owner.cast("string"), F.lit("")), "_repo": F.coalesce(repo.cast("string"), F.lit("")), "_row": F.monotonically_increasing_id()})
-    return with_parts(known, F.col(text_col))
+    """_doc (the row as it is), _row, _owner, _repo and _parts of every row."""
+    known = docs.select(F.struct("*").alias("_doc"), F.coalesce(owner.cast("string"), F.lit("")).alias("_owner"), F.coalesce(repo.cast("string"), F.lit("")).alias("_repo"), F.monotonically_increasing_id().alias("_row"))
+    return with_parts(known, F.col("_doc")[text_col])
 
 
 def _holding(table: DataFrame) -> DataFrame:
@@ -98,8 +100,8 @@ def scan(docs: DataFrame, owner: Column, repo: Column, id_col: str = "doc_id", t
     owner.  Repeated rows are rows of their own.  An empty table gives no rows.
     """
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"), owner.alias("_by"), repo.alias("_in"))
-    table = stage(_prepared(narrow, F.col("_by"), F.col("_in"), "_text").select("doc_id", "_row", "_owner", "_repo", "_parts"), "secrets")
-    found = stage(judged(spans(_holding(table))), "judged")
+    table = stage(_prepared(narrow, F.col("_by"), F.col("_in"), "_text").select(F.col("_doc.doc_id").alias("doc_id"), "_row", "_owner", "_repo", "_parts"), "secrets")
+    found = stage(judged(stage(spans(_holding(table)), "spans")), "judged")
     names = F.array(*[F.lit(k) for k in KINDS])
     shown = lambda which: F.array_join(F.transform(F.filter("all", which), lambda s: F.concat_ws(":", names[s["kind_no"]], s["start"].cast("string"), s["stop"].cast("string"))), ",")
     kind_no = {k: no for no, k in enumerate(KINDS)}
@@ -118,22 +120,21 @@ def scan(docs: DataFrame, owner: Column, repo: Column, id_col: str = "doc_id", t
 
 
 def redact(docs: DataFrame, owner: Column, repo: Column, text_col: str = "text", mask: str = "[secret]") -> DataFrame:
-    """``docs`` with the values of live-looking secrets replaced by ``mask``, values that overlap by one; the other rows, and all other columns, stay as they are.
+    """``docs`` with the values of live-looking secrets replaced by ``mask``, values that overlap by one; the other rows, and all other columns, stay as they are, whatever their names.
 
     The texts are searched once and staged with what was found.  Rows without candidates take no part in any shuffle.
     """
-    names = docs.columns
     table = stage(_prepared(docs, owner, repo, text_col), "secrets")
-    live = judged(spans(_holding(table))).filter("verdict = 'live'")
+    live = judged(stage(spans(_holding(table)), "spans")).filter("verdict = 'live'")
     in_order = Window.partitionBy("row").orderBy("value_start", "stop")
     reached = F.max("stop").over(in_order.rowsBetween(Window.unboundedPreceding, -1))
     live = live.withColumn("new", (reached.isNull() | (F.col("value_start") >= reached)).cast("int")).withColumn("island", F.sum("new").over(in_order))
     islands = live.groupBy("row", "island").agg(F.min("value_start").alias("start"), F.max("stop").alias("stop"))
     listed = islands.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("_live"))
-    text = F.col(text_col)
+    text = F.col("_doc")[text_col]
     before = lambda i: F.when(i > 0, F.get("_live", i - 1)["stop"]).otherwise(0)
     pieces = F.transform("_live", lambda s, i: F.concat(F.substring(text, before(i) + 1, s["start"] - before(i)), F.lit(mask)))
     rest = F.element_at("_live", -1)["stop"]
     masked = F.concat(F.array_join(pieces, ""), F.substring(text, rest + 1, F.length(text)))
-    changed = table.filter(F.size("_parts") > 0).join(listed, F.col("_row") == F.col("row"), "left").withColumn(text_col, F.when(F.col("_live").isNull(), text).otherwise(masked)).select(*names)
-    return table.filter(F.size("_parts") == 0).select(*names).unionByName(changed)
+    changed = table.filter(F.size("_parts") > 0).join(listed, F.col("_row") == F.col("row"), "left").select(F.col("_doc").withField(f"`{text_col}`", F.when(F.col("_live").isNull(), text).otherwise(masked)).alias("_doc"))
+    return table.filter(F.size("_parts") == 0).select("_doc").unionByName(changed).select("_doc.*")
