@@ -108,9 +108,10 @@ def write_arc(pages: DataFrame, path: str, date: str = "20240101000000") -> None
     """Write rows (page_id, url, html as text or bytes) as compressed ARC files of about ARC_BYTES below ``path``, in both versions by turns, as a crawler of old would have left them."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        no, size = 0, 0
+        no, size, records = 0, 0, 0
         for batch in batches:
             chunks, values = [], []
+            first = records
             for page_id, url, html in zip(*(c.to_pylist() for c in batch.columns)):
                 if size > ARC_BYTES:
                     no, size = no + 1, 0
@@ -125,16 +126,20 @@ def write_arc(pages: DataFrame, path: str, date: str = "20240101000000") -> None
                 chunks.append(no)
                 values.append(arc_record(version, address, date, head + payload, size, name))
                 size += len(values[-1])
+            records = first + len(values)
             # The writer adds the line end that closes a record.
-            yield pa.RecordBatch.from_arrays([pa.array(chunks, pa.int32()), pa.array([v[:-1] for v in values], pa.binary())], names=["chunk", "value"])
+            yield pa.RecordBatch.from_arrays([pa.array(chunks, pa.int32()), pa.array(range(first, records), pa.int64()), pa.array([v[:-1] for v in values], pa.binary())], names=["chunk", "no", "value"])
 
-    lines = pages.select(F.col("page_id").cast("long"), "url", F.col("html").cast("binary")).mapInArrow(work, "chunk int, value binary")
+    lines = pages.select(F.col("page_id").cast("long"), "url", F.col("html").cast("binary")).mapInArrow(work, "chunk int, no long, value binary")
     _written(lines, path, "\n", "gzip")
 
 
 def _written(lines: DataFrame, path: str, end: str, compression: str) -> None:
-    """The values of (chunk, value binary) byte by byte, each with ``end`` behind it, in a file for each chunk of a task."""
-    text = lines.select("chunk", F.col("value").cast("string").alias("value"))
+    """The values of (chunk, no, value binary) byte by byte, by no, each with ``end`` behind it, in a file for each chunk of a task.
+
+    The writer wants its rows by chunk; a sort by chunk alone would not keep their order where it spills.
+    """
+    text = lines.sortWithinPartitions("chunk", "no").select("chunk", F.col("value").cast("string").alias("value"))
     text.write.partitionBy("chunk").option("lineSep", end).option("compression", compression).option("zlib.compress.level", "BEST_SPEED").text(path)
 
 
@@ -193,10 +198,10 @@ def _member(record: bytes) -> bytes:
 
 
 def _warc_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(chunk, value): records as gzip members; each chunk of about ARCHIVE_BYTES opens with a warcinfo record."""
-    chunk, size = 0, None
+    """(chunk, no, value): records as gzip members; each chunk of about ARCHIVE_BYTES opens with a warcinfo record."""
+    chunk, size, records = 0, None, 0
     for batch in batches:
-        chunks, values = [], []
+        chunks, values, first = [], [], records
         for r in batch.to_pylist():
             if size is None or size > ARCHIVE_BYTES:
                 chunk, size = (0 if size is None else chunk + 1), 0
@@ -217,7 +222,8 @@ def _warc_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             chunks.append(chunk)
             values.append(_member("\r\n".join(lines).encode() + b"\r\n\r\n" + raw + b"\r\n\r\n"))
             size += len(values[-1])
-        yield pa.RecordBatch.from_arrays([pa.array(chunks, pa.int32()), pa.array(values, pa.binary())], names=["chunk", "value"])
+        records = first + len(values)
+        yield pa.RecordBatch.from_arrays([pa.array(chunks, pa.int32()), pa.array(range(first, records), pa.int64()), pa.array(values, pa.binary())], names=["chunk", "no", "value"])
 
 
 def write_warc(records: DataFrame, of: DataFrame, path: str) -> None:
@@ -227,7 +233,7 @@ def write_warc(records: DataFrame, of: DataFrame, path: str) -> None:
     salted = of.select(F.col("digest").alias("_key"), "of", "of_id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
     joined = records.withColumns({"_key": key, "_salt": F.pmod(F.xxhash64("record_id"), F.lit(SALTS)).cast("int")}).join(salted, ["_key", "_salt"], "left").drop("_key", "_salt")
     # The last byte of a member is the writer's line end.
-    _written(joined.mapInArrow(_warc_members, "chunk int, value binary"), path, "\u0000", "none")
+    _written(joined.mapInArrow(_warc_members, "chunk int, no long, value binary"), path, "\u0000", "none")
 
 
 # -- reading -------------------------------------------------------------------------------------
