@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import TEXTS_A_BATCH, stage
+from tidewell.llm.common import TEXTS_A_BATCH, joined_with_hot, stage
 
 BITS = 15
 #: Languages whose tables are made at a time, and kept by a task that counts.
@@ -112,8 +112,9 @@ def _tables(counts: DataFrame, languages: list[str]) -> list:
     return out
 
 
-def identify(docs: DataFrame, text: Column, declared: Column, suffix: Column, host: Column, carry: list[str]) -> DataFrame:
-    """The ``carry`` columns of every row with _lang (null for und), _probability and _accepted.
+def fused(docs: DataFrame, text: Column, declared: Column, suffix: Column, host: Column, carry: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(rows, told): rows have _row and _doc, the ``carry`` columns as a struct, of every row; told has _row, _lang (null for und), _probability and _accepted.  Both are written tables
+    or read such, and told is narrow, so that no join over hosts moves what is carried.
 
     A null or empty text, or one without letters, is no evidence: declared language and priors decide.  A null declared
     language, or one that isn't a tag of two or three letters (what follows a hyphen is left out), is none either; null suffixes and hosts
@@ -122,12 +123,13 @@ def identify(docs: DataFrame, text: Column, declared: Column, suffix: Column, ho
     """
     said = F.lower(F.split_part(declared.cast("string"), F.lit("-"), F.lit(1)))
     said = F.when(said.rlike("^[a-z]{2,3}$"), said)
-    rows = docs.select(*carry, said.alias("_declared"), F.coalesce(suffix.cast("string"), F.lit("")).alias("_suffix"), F.coalesce(host.cast("string"), F.lit("")).alias("_host"), F.coalesce(text, F.lit("")).alias("_text"))
+    rows = docs.select(F.struct(*carry).alias("_doc"), F.monotonically_increasing_id().alias("_row"), said.alias("_declared"), F.coalesce(suffix.cast("string"), F.lit("")).alias("_suffix"), F.coalesce(host.cast("string"), F.lit("")).alias("_host"), F.coalesce(text, F.lit("")).alias("_text"))
     counts = stage(trigram_counts(rows.filter("_declared IS NOT NULL").select(F.col("_declared").alias("declared"), F.col("_text").alias("text"))), "trigrams", batch=TEXTS_A_BATCH)
     languages = sorted(r[0] for r in rows.filter("_declared IS NOT NULL").select("_declared").distinct().collect())
     n_langs = len(languages)
     if not languages:
-        return rows.select(*carry, F.lit(None).cast("string").alias("_lang"), F.lit(1.0).alias("_probability"), F.lit(True).alias("_accepted"))
+        table = stage(rows.select("_row", "_doc"), "languages")
+        return table, table.select("_row", F.lit(None).cast("string").alias("_lang"), F.lit(1.0).alias("_probability"), F.lit(True).alias("_accepted"))
     tables = _tables(counts, languages)
 
     @F.arrow_udf("array<double>")
@@ -152,10 +154,11 @@ def identify(docs: DataFrame, text: Column, declared: Column, suffix: Column, ho
     likely = F.slice("_logs", 1, n_langs)
     # Without a trigram that counts all numbers are 0, and the text takes no part in the priors.
     best = F.when(F.get("_logs", F.lit(n_langs)) < 0, F.array_position(likely, F.array_max(likely)) - 1).otherwise(-1).cast("int")
-    scored = stage(rows.withColumn("_logs", score(F.col("_text"))).withColumn("_best", best).drop("_text"), "languages", batch=TEXTS_A_BATCH)
-    told = scored.filter("_best >= 0").groupBy("_suffix", "_host", "_best").agg(F.count(F.lit(1)).alias("n"))
+    table = stage(rows.withColumn("_logs", score(F.col("_text"))).withColumn("_best", best).drop("_text"), "languages", batch=TEXTS_A_BATCH)
+    scored = table.drop("_doc")
     n = scored.count()  # hosts are as many at most
-    told = stage(told, "told", n)
+    every = stage(scored.groupBy("_suffix", "_host", "_best").agg(F.count(F.lit(1)).alias("n")), "told", n)
+    told = every.filter("_best >= 0")
     by_suffix = stage(told.groupBy("_suffix", "_best").agg(F.sum("n").alias("n")), "suffixes", n)
     whole = {r["_best"]: float(r["n"]) for r in by_suffix.groupBy("_best").agg(F.sum("n").alias("n")).collect()}
     whole = [whole.get(i, 0.0) + ADDED_COUNT for i in range(n_langs)]
@@ -170,11 +173,13 @@ def identify(docs: DataFrame, text: Column, declared: Column, suffix: Column, ho
         total = F.aggregate("by", F.lit(0.0), lambda s, n: s + n) + STRENGTH
         return F.transform(F.zip_with("by", upon, lambda n, p: n + p * STRENGTH), lambda x: x / total)
 
+    # A host that no text tells anything of has its suffix's prior, and such a suffix that of all.
     suffixes = by_language(by_suffix, "_suffix").select("_suffix", leaning(overall).alias("_upper"))
-    hosts = by_language(told, "_suffix", "_host").join(suffixes, "_suffix").select("_suffix", "_host", leaning(F.col("_upper")).alias("_prior"))
-    priors, suffixes = stage(hosts, "priors", n), stage(suffixes, "upper", n)
-    # A host that no text tells anything of has its suffix's prior, or that of all.
-    joined = scored.join(priors, ["_suffix", "_host"], "left").join(suffixes, "_suffix", "left").withColumn("_prior", F.coalesce("_prior", "_upper", overall))
+    suffixes = stage(every.select("_suffix").distinct().join(suffixes, "_suffix", "left").select("_suffix", F.coalesce("_upper", overall).alias("_upper")), "upper", n)
+    hosts = stage(every.select("_suffix", "_host").distinct().join(by_language(told, "_suffix", "_host"), ["_suffix", "_host"], "left"), "hosts", n)
+    hosts = joined_with_hot(hosts, suffixes, ["_suffix"], n)
+    priors = stage(hosts.select("_suffix", "_host", F.coalesce(leaning(F.col("_upper")), "_upper").alias("_prior")), "priors", n)
+    joined = joined_with_hot(scored, priors, ["_suffix", "_host"], n)
     names = F.array(*[F.lit(x) for x in languages])
     wrong = (1 - DECLARED_RIGHT) / max(1, n_langs - 1)
     evidence = F.transform(names, lambda x: F.when(F.col("_declared").isNotNull(), F.log(F.when(x == F.col("_declared"), F.lit(DECLARED_RIGHT)).otherwise(max(wrong, 1e-6)))).otherwise(0.0))
@@ -184,7 +189,8 @@ def identify(docs: DataFrame, text: Column, declared: Column, suffix: Column, ho
     top = F.array_max("_post")
     joined = joined.withColumn("_at", F.array_position("_post", top)).withColumn("_probability", 1.0 / F.aggregate("_post", F.lit(0.0), lambda s, x: s + F.exp(x - top)))
     joined = joined.withColumn("_accepted", F.col("_at") <= n_langs)
-    return joined.select(*carry, F.when(F.col("_accepted"), F.get(names, (F.col("_at") - 1).cast("int"))).alias("_lang"), "_probability", "_accepted")
+    told = joined.select("_row", F.when(F.col("_accepted"), F.get(names, (F.col("_at") - 1).cast("int"))).alias("_lang"), "_probability", "_accepted")
+    return table.select("_row", "_doc"), stage(told, "identified", n)
 
 
 def page_evidence(html: Column, url: Column) -> tuple[Column, Column, Column]:
@@ -198,18 +204,27 @@ def page_text(html: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(html, r"(?is)<(script|style)\b[^>]*+>.*?</\1\s*>", " "), "<[^>]*+>|&[a-zA-Z#0-9]{1,8};", " ")
 
 
+def identify(docs: DataFrame, text: Column, declared: Column, suffix: Column, host: Column, carry: list[str]) -> DataFrame:
+    """The ``carry`` columns of every row with _lang, _probability and _accepted, as fused() tells them."""
+    rows, told = fused(docs, text, declared, suffix, host, carry)
+    return rows.join(told, "_row").select("_doc.*", "_lang", "_probability", "_accepted")
+
+
+def _shown(got: DataFrame, id_col: str) -> DataFrame:
+    return got.select(id_col, F.col("_lang").alias("language"), F.round("_probability", 6).alias("probability"), F.col("_accepted").alias("accepted"))
+
+
 def page_query(pages: DataFrame) -> DataFrame:
     """page_id, language, probability, accepted of pages (page_id, url, html), with all four kinds of evidence."""
     declared, suffix, host = page_evidence(F.col("html"), F.col("url"))
-    got = identify(pages, page_text(F.col("html")), declared, suffix, host, ["page_id"])
-    return got.select("page_id", F.col("_lang").alias("language"), F.round("_probability", 6).alias("probability"), F.col("_accepted").alias("accepted"))
+    return _shown(identify(pages, page_text(F.col("html")), declared, suffix, host, ["page_id"]), "page_id")
 
 
 def query(docs: DataFrame) -> DataFrame:
-    got = identify(docs, F.col("text"), F.col("lang"), F.lit(""), F.col("source"), ["doc_id"])
-    return got.select("doc_id", F.col("_lang").alias("language"), F.round("_probability", 6).alias("probability"), F.col("_accepted").alias("accepted"))
+    return _shown(identify(docs, F.col("text"), F.col("lang"), F.lit(""), F.col("source"), ["doc_id"]), "doc_id")
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
     """``docs`` without the documents that fit no language."""
-    return identify(docs, F.col("text"), F.col("lang"), F.lit(""), F.col("source"), docs.columns).filter("_accepted").select(*docs.columns)
+    rows, told = fused(docs, F.col("text"), F.col("lang"), F.lit(""), F.col("source"), ["*"])
+    return rows.join(told.filter("NOT _accepted").select("_row"), "_row", "left_anti").select("_doc.*")
