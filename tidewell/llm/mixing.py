@@ -161,6 +161,12 @@ def mix(docs: DataFrame, source_col: str = "source", id_col: str = "doc_id", tex
     return rows.select(*docs.columns, *added)
 
 
+def mixed_rows(docs: DataFrame) -> DataFrame:
+    """``docs`` as often as the mix takes each row, shard by shard in the mix's random order, with all their columns whatever their names."""
+    held = docs.select(F.struct("*").alias("_doc"))
+    return shuffled(copies(mix(held, "_doc.source", "_doc.doc_id", "_doc.text"), ["_doc"])).select("_doc.*")
+
+
 def copies(mixed: DataFrame, names: list[str]) -> DataFrame:
     """A row for each time that the mix takes a document, with its _shard and _order.  A document that the target cuts is kept whole if more than half of it is taken."""
     again = F.xxhash64("_order", F.lit(1))
