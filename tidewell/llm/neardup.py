@@ -10,17 +10,20 @@ A pair is verified by banded alignment of its whole word sequences: the longest
 s words within the band that no pair of enough similarity leaves gives s / (m + n - s), and THRESHOLD
 links.  One changed word breaks K k-mers, so near copies share far fewer k-mers than words.
 
+A short text has few k-mers, and one changed word may leave none of them.  Texts of SHORT words or
+fewer therefore meet in further buckets: labelled words in a common order, rarest first, of which two texts of
+similarity t share one among the first n - ceil(t n) + 1 of either.  No link between such texts is lost.
+
 Texts of equal words are one class at once.  The distinct texts of a bucket are then settled in two steps:
 
-1. Likeness is estimated by a sketch of LANES one-byte minima, and the pairs of a maximum spanning
-   forest over all pairs at SCREEN or above are verified.  A bucket of more than CHUNK texts is cut
-   into groups of alike texts, and its HUBS most central texts meet all its groups.  Where all pairs
+1. Likeness, the share of common labelled words, is estimated by a sketch of LANES one-byte minima, and the pairs
+   of a maximum spanning forest over all pairs at SCREEN or above are verified.  A bucket of more than CHUNK texts
+   is cut into groups of alike texts, and its HUBS most central texts meet all its groups.  Where all pairs
    of the forests hold, as in families of copies, the bucket is settled: linear in its size.
 2. In each bucket whose texts are still in different components, every pair between components at SCREEN
    or above is aligned in its task until it is linked or refuted; what is sent and returned is linear in the
-   texts.  In a cut bucket all texts outside its main component meet all of its groups; where these are
-   more than CHUNK, as where many documents share a passage, the bucket is first dealt anew by SUBS
-   longer tuples, of which unlike texts share none.
+   texts.  In a cut bucket all texts outside its main component meet all of its groups, in blocks of
+   CHUNK texts on either side, each a unit of work of its own.
 """
 
 from __future__ import annotations
@@ -33,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import TEXTS_A_BATCH, stage
+from tidewell.llm.common import TEXTS_A_BATCH, joined_with_hot, stage
 from tidewell.llm.graphs import components
 from tidewell.llm.terms import kmers, mixed, occurrences, stretches, word_hashes
 
@@ -42,51 +45,65 @@ THRESHOLD = 0.8
 BANDS = 20
 MINIMA = 2
 LANES = 128
-#: Share of common k-mers by sketch below which a pair isn't aligned.  Words replaced at random to a similarity of 0.8 leave a share of 0.39.
-SCREEN = 0.25
+#: Share of common words by sketch below which a pair isn't aligned.  A link shares THRESHOLD at least, and the sketch errs by 0.035 (one standard deviation) there.
+SCREEN = 0.65
+#: Words up to which texts meet by their rarest words as well, how many of these they have at most, and cells of the table of the words' counts.
+SHORT = 80
+PREFIX = SHORT - -(-SHORT * 4 // 5) + 1
+CELLS = 1 << 18
 #: Rows of a bucket that one comparison sees; larger buckets are cut into groups.
 CHUNK = 2048
 #: Hubs of a cut bucket, and those that each of its groups proposes.
 HUBS, OWN_HUBS = 64, 8
-#: Tuples by which a bucket is dealt anew, each of the bucket and two lanes.
-SUBS = 24
 #: Tasks that share a component when its texts get its name.
 SALTS = 16
 #: Lists of texts that a task sees at a time.
 UNITS_A_BATCH = 32
 
+#: Buckets that a text is in at most.
+ROWS = BANDS + PREFIX
+
 _SEED = np.random.default_rng(77).integers(1, 1 << 63, LANES, dtype=np.uint64) | np.uint64(1)
-_SKETCHED = "doc_id long, raw binary, words binary, n int, sketch binary, buckets array<long>"
+_SKETCHED = "doc_id long, raw binary, words binary, n int, sketch binary, buckets array<long>, short binary"
+
+
+def labels(words: np.ndarray) -> np.ndarray:
+    """Values with the number of their occurrence: all different."""
+    return mixed(words + occurrences(words).astype(np.uint64) * np.uint64(0xA0761D6478BD642F)) if len(words) else words
 
 
-def labelled(words: np.ndarray) -> np.ndarray:
-    """The text's k-mers, each with the number of its occurrence: all different."""
-    found = kmers(words, K)
-    return mixed(found + occurrences(found).astype(np.uint64) * np.uint64(0xA0761D6478BD642F)) if len(found) else found
+def _hashed(lanes: slice, found: np.ndarray) -> np.ndarray:
+    h = _SEED[lanes, None] * found[None, :]
+    h ^= h >> np.uint64(32)
+    return h
 
 
-def sketch(found: np.ndarray) -> tuple[bytes, list[int]]:
-    """One byte for each lane, and a key for each band."""
+def sketch(words: np.ndarray) -> bytes:
+    """One byte for each lane, of a text's labelled words."""
     low = np.empty(LANES, np.uint8)
-    tuples: list[int] = []
-    each = max(1, 400_000 // len(found))
+    each = max(1, 400_000 // len(words))
     for lane in range(0, LANES, each):
-        h = _SEED[lane : lane + each, None] * found[None, :]
-        h ^= h >> np.uint64(32)
-        at = h.argmin(axis=1)
-        low[lane : lane + each] = (found[at] * np.uint64(0xE7037ED1A0B428DB)) >> np.uint64(56)
-        bands = np.arange(lane, min(BANDS, lane + each))
-        if len(bands):
-            # The MINIMA least, one after the other, then in the order of the text.
-            h, least = h[: len(bands)], [at[: len(bands)]]
-            for _ in range(min(MINIMA, len(found)) - 1):
-                h[np.arange(len(bands)), least[-1]] = np.iinfo(np.uint64).max
-                least.append(h.argmin(axis=1))
-            key = bands.astype(np.uint64)
-            for column in np.sort(np.stack(least), axis=0):
-                key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + found[column])
-            tuples += key.view(np.int64).tolist()
-    return low.tobytes(), tuples
+        at = _hashed(slice(lane, lane + each), words).argmin(axis=1)
+        low[lane : lane + each] = (words[at] * np.uint64(0xE7037ED1A0B428DB)) >> np.uint64(56)
+    return low.tobytes()
+
+
+def tuples(found: np.ndarray) -> list[int]:
+    """A key for each band, of a text's labelled k-mers: the MINIMA least, in the order of the text."""
+    out: list[int] = []
+    each = max(1, 400_000 // len(found))
+    for band in range(0, BANDS, each):
+        bands = np.arange(band, min(BANDS, band + each))
+        h = _hashed(slice(band, band + len(bands)), found)
+        least = [h.argmin(axis=1)]
+        for _ in range(min(MINIMA, len(found)) - 1):
+            h[np.arange(len(bands)), least[-1]] = np.iinfo(np.uint64).max
+            least.append(h.argmin(axis=1))
+        key = bands.astype(np.uint64)
+        for column in np.sort(np.stack(least), axis=0):
+            key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + found[column])
+        out += key.view(np.int64).tolist()
+    return out
 
 
 def aligned(a: np.ndarray, b: np.ndarray) -> float:
@@ -124,18 +141,56 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, raws, texts = batch.column(0), batch.column(1), batch.column(2).to_pylist()
         for start, stop in stretches(texts):
-            keys, ns, sketches, buckets = [], [], [], []
+            keys, ns, sketches, buckets, shorts = [], [], [], [], []
             done: dict[bytes, tuple] = {}
             for words in word_hashes(texts[start:stop]):
                 key = hashlib.blake2b(words.tobytes(), digest_size=16).digest()
                 if key not in done:
-                    found = labelled(words)
-                    done[key] = (len(found), *(sketch(found) if len(found) else (b"", [])))
+                    own = labels(words)
+                    done[key] = (len(words), sketch(own), tuples(labels(kmers(words, K))), own.tobytes() if len(words) <= SHORT else None) if len(words) else (0, b"", [], None)
                 keys.append(key)
-                for out, got in zip((ns, sketches, buckets), done[key]):
+                for out, got in zip((ns, sketches, buckets, shorts), done[key]):
                     out.append(got)
             yield pa.RecordBatch.from_arrays(
-                [ids.slice(start, stop - start), raws.slice(start, stop - start), pa.array(keys, pa.binary()), pa.array(ns, pa.int32()), pa.array(sketches, pa.binary()), pa.array(buckets, pa.list_(pa.int64()))], names=names)
+                [ids.slice(start, stop - start), raws.slice(start, stop - start), pa.array(keys, pa.binary()), pa.array(ns, pa.int32()), pa.array(sketches, pa.binary()), pa.array(buckets, pa.list_(pa.int64())), pa.array(shorts, pa.binary())], names=names)
+
+
+def _cells(words: np.ndarray) -> np.ndarray:
+    return (words >> np.uint64(64 - (CELLS.bit_length() - 1))).astype(np.int64)
+
+
+def _cell_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sums = np.zeros(CELLS, np.int64)
+    for batch in batches:
+        for own in batch.column(0):
+            np.add.at(sums, _cells(np.frombuffer(own.as_py(), np.uint64)), 1)
+    at = np.flatnonzero(sums)
+    yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(sums[at])], names=["cell", "n"])
+
+
+def rare_words(short: DataFrame) -> DataFrame:
+    """words, lane, bucket: the buckets of short texts (words, lane, short) by their rarest labelled words.
+
+    Rarity is told by counts of hashed words in a table of CELLS; any order would lose nothing, as it is the same for all texts.
+    """
+    got = short.select("short").mapInArrow(_cell_counts, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(CELLS, np.int64)
+    counts[got.column(0).to_numpy()] = got.column(1).to_numpy()
+    table = short.sparkSession.sparkContext.broadcast(counts)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found, sizes = [np.zeros(0, np.int64)], []
+            for own in batch.column(2):
+                words = np.frombuffer(own.as_py(), np.uint64)
+                order = np.lexsort((words, table.value[_cells(words)]))
+                n = len(words) - int(np.ceil(THRESHOLD * len(words) - 1e-9)) + 1
+                found.append(mixed(words[order[:n]] + np.uint64(1)).view(np.int64))
+                sizes.append(n)
+            each = pa.array(np.repeat(np.arange(len(sizes)), sizes))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(each), batch.column(1).take(each), pa.array(np.concatenate(found))], names=["words", "lane", "bucket"])
+
+    return short.mapInArrow(work, "words binary, lane int, bucket long")
 
 
 def compared(ns: np.ndarray, sketches: np.ndarray) -> tuple[set[tuple[int, int]], np.ndarray]:
@@ -159,10 +214,9 @@ def compared(ns: np.ndarray, sketches: np.ndarray) -> tuple[set[tuple[int, int]]
 
 
 def likeness(ns: np.ndarray, sketches: np.ndarray, n: int, sketch: np.ndarray) -> np.ndarray:
-    """Shares of common k-mers with one text, by sketch; 0 where the lengths alone refute a link."""
+    """Shares of common words with one text, by sketch; 0 where the lengths alone refute a link."""
     like = (sketches == sketch).mean(axis=1)
-    # A text of n words has n - K + 1 k-mers.
-    like[np.minimum(ns, n) + K - 1 < THRESHOLD * (np.maximum(ns, n) + K - 1)] = 0.0
+    like[np.minimum(ns, n) < THRESHOLD * np.maximum(ns, n)] = 0.0
     return like
 
 
@@ -203,9 +257,10 @@ def candidate_pairs(first: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
     """(a, b: pairs of texts (words, n, sketch, buckets) to verify first, each once, the smaller key first; words, bucket, group: the texts of buckets of more than two)."""
     # Sketches join only those that share a bucket, so they aren't sent for every bucket of every text.
     lane = F.conv(F.hex(F.substring("sketch", 51, 2)), 16, 10).cast("int").alias("lane")
-    held = first.filter(F.size("buckets") > 0).select("words", lane, F.explode("buckets").alias("bucket"))
-    sizes = stage(held.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "sizes", BANDS * n // 2)
-    held = stage(held.join(sizes, "bucket"), "held", BANDS * n)
+    short = rare_words(first.filter("short IS NOT NULL").select("words", lane, "short"))
+    held = stage(first.select("words", lane, F.explode("buckets").alias("bucket")).unionByName(short), "buckets", ROWS * n)
+    sizes = stage(held.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "sizes", ROWS * n // 2)
+    held = stage(joined_with_hot(held, sizes, ["bucket"], ROWS * n), "held", ROWS * n)
     sketched = first.select("words", "n", "sketch")
     listed = F.collect_list(F.struct("words", "n", "sketch")).alias("members")
     groups = held.filter(F.col("size") <= CHUNK).select("words", "bucket").join(sketched, "words").groupBy("bucket").agg(listed)
@@ -216,7 +271,7 @@ def candidate_pairs(first: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
     cut = held.filter(F.col("size") > CHUNK).select("words", "bucket", F.pmod(F.xxhash64("lane"), F.ceil(F.col("size") / CHUNK)).alias("part"))
     if not cut.limit(1).count():
         return pairs.distinct(), many
-    parts = stage(cut.groupBy("bucket", "part").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("n_groups")), "parts", BANDS * n // CHUNK)
+    parts = stage(cut.groupBy("bucket", "part").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("n_groups")), "parts", ROWS * n // CHUNK)
     cut = cut.join(parts, ["bucket", "part"]).withColumn("group", F.col("part") * F.lit(1 << 32) + F.pmod(F.xxhash64("words", F.lit(1)), F.col("n_groups")))
     cut_groups = stage(cut.join(sketched, "words").groupBy("bucket", "group").agg(listed).select("bucket", "members"), "groups")
     within = stage(cut_groups.mapInArrow(_group_pairs, out), "within", batch=UNITS_A_BATCH)
@@ -246,7 +301,7 @@ def _open_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def open_texts(groups: DataFrame, first: DataFrame, roots: DataFrame, n: int) -> DataFrame:
-    """What _open_texts finds in the groups (words, bucket, group) of buckets with several components.
+    """What _open_texts finds in the groups (words, bucket, group) of buckets with several components: (unit, own, words, root).
 
     Texts of the component that most of a bucket is in meet those of others only as the latter's partners.
     """
@@ -261,22 +316,13 @@ def open_texts(groups: DataFrame, first: DataFrame, roots: DataFrame, n: int) ->
 
     found = stage(several(placed), "several", n // 3)
     open_ = placed.join(found, "bucket")
-    few = open_.filter((F.col("size") <= CHUNK) | (F.col("rest") <= CHUNK)).select("words", "bucket", "group", "root", "main", "rest")
-    many = open_.filter((F.col("size") > CHUNK) & (F.col("rest") > CHUNK)).select("words", "bucket", "root")
-    if many.limit(1).count():
-        two = lambda i: F.substring(F.col("sketch"), 2 * i + 1, F.lit(2))
-        key = F.transform(F.sequence(F.lit(0), F.lit(SUBS - 1)), lambda i: F.xxhash64(F.col("bucket"), i, two(i)))
-        dealt = stage(many.join(first.select("words", "sketch"), "words").select("words", "root", F.explode(key).alias("bucket")), "dealt")
-        anew = stage(several(dealt), "several", n * SUBS // 2)
-        dealt = dealt.join(anew, "bucket").withColumn("group", F.pmod(F.xxhash64("words", F.lit(2)), F.ceil(F.col("size") / CHUNK)))
-        few = few.unionByName(dealt.select("words", "bucket", "group", "root", "main", "rest"))
-    listed = few.join(first.select("words", "n", "sketch"), "words").groupBy("bucket", "group").agg(F.collect_list(F.struct("words", "n", "sketch", "root")).alias("members"), F.first("main").alias("main"), F.first("rest").alias("rest"))
+    listed = open_.join(first.select("words", "n", "sketch"), "words").groupBy("bucket", "group").agg(F.collect_list(F.struct("words", "n", "sketch", "root")).alias("members"), F.first("main").alias("main"), F.first("rest").alias("rest"))
     listed = stage(listed, "listed")
-    # The texts outside the main component in as few parts as hold CHUNK each, which meet all groups of the bucket.
+    # The texts outside the main component in as few parts as hold CHUNK each, which meet all groups of the bucket; each part's units are a key of their own.
     outside = listed.select("bucket", "rest", F.explode(F.filter("members", lambda m: m["root"] != F.col("main"))).alias("text"))
-    part = F.pmod(F.xxhash64("text.words", F.lit(3)), F.ceil(F.col("rest") / CHUNK))
-    own = outside.groupBy("bucket", part.alias("part")).agg(F.collect_list("text").alias("own"))
-    units = own.join(listed.select("bucket", F.col("group").alias("other"), "members"), "bucket")
+    parts = F.ceil(F.col("rest") / CHUNK)
+    own = outside.groupBy("bucket", F.pmod(F.xxhash64("text.words", F.lit(3)), parts).alias("part")).agg(F.collect_list("text").alias("own"))
+    units = own.join(listed.select("bucket", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"), F.col("group").alias("other"), "members"), ["bucket", "part"])
     return units.select(F.xxhash64("bucket", "part", "other").alias("unit"), "own", "members").mapInArrow(_open_texts, "unit long, own boolean, words binary, root binary")
 
 
@@ -294,14 +340,14 @@ def settled(unit: list[dict]) -> Iterator[tuple[bytes, bytes]]:
     if not own or not members:
         return
     # Words labelled with their occurrences: the number that two texts share bounds their alignment.
-    names = [labels(s) for s in seqs]
+    names = [labels(s.astype(np.uint64)) for s in seqs]
     every, holder = np.concatenate(names), np.repeat(np.arange(len(names)), [len(x) for x in names])
     order = np.argsort(every, kind="stable")
     every, holder = every[order], holder[order]
     sizes = np.array([len(s) for s in seqs])
     for t in sorted(own, key=lambda t: t["words"]):
         seq = np.frombuffer(t["seq"], np.uint32)
-        mine = labels(seq)
+        mine = labels(seq.astype(np.uint64))
         a, b = np.searchsorted(every, mine, "left"), np.searchsorted(every, mine, "right")
         at = np.repeat(a - np.concatenate([[0], np.cumsum(b - a)[:-1]]), b - a) + np.arange((b - a).sum())
         common = np.bincount(holder[at], minlength=len(seqs))
@@ -312,10 +358,6 @@ def settled(unit: list[dict]) -> Iterator[tuple[bytes, bytes]]:
                 yield t["words"], members[j]["words"]
 
 
-def labels(words: np.ndarray) -> np.ndarray:
-    return mixed(words.astype(np.uint64) + occurrences(words).astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
-
-
 def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = [pair for unit in batch.column(0).to_pylist() for pair in settled(unit)]
@@ -341,20 +383,19 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """doc_id, raw (MD5 of the text), class_id, first for each row of ``docs``: class_id is the smallest
     doc_id of its class, and first tells whether the row is the one that names it.
 
-    A null text counts as empty; texts without words are one class of copies.  Texts of fewer than K
-    words are alike only if their words are equal.  A null id takes part like any other and counts as
+    A null text counts as empty; texts without words are one class of copies.  A null id takes part like any other and counts as
     the smallest only in a class of null ids.  An empty table gives no rows.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.unhex(F.md5(text)).alias("raw"), text.alias("text"))
     table = stage(rows.mapInArrow(_sketches, _SKETCHED), "sketches", batch=TEXTS_A_BATCH)
     # A row for each distinct sequence of words; copies are summed before the shuffle.
-    first = table.groupBy("words").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "raw")).alias("least"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("buckets").alias("buckets"))
-    first = stage(first.select("words", F.col("least.doc_id").alias("doc_id"), F.col("least.raw").alias("raw"), "n", "sketch", "buckets"), "distinct")
+    first = table.groupBy("words").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "raw")).alias("least"), *[F.first(c).alias(c) for c in ("n", "sketch", "buckets", "short")])
+    first = stage(first.select("words", F.col("least.doc_id").alias("doc_id"), F.col("least.raw").alias("raw"), "n", "sketch", "buckets", "short"), "distinct")
     n = first.count()
     pairs, groups = candidate_pairs(first, n)
-    # A text is in BANDS buckets, in each of which the forest has fewer pairs than texts.
-    pairs, groups = stage(pairs, "pairs", BANDS * n, TEXTS_A_BATCH), stage(groups, "many", BANDS * n)
+    # A text is in ROWS buckets at most, in each of which the forest has fewer pairs than texts.
+    pairs, groups = stage(pairs, "pairs", ROWS * n, TEXTS_A_BATCH), stage(groups, "many", ROWS * n)
     needed = pairs.select(F.explode(F.array("a", "b")).alias("words")).unionByName(groups.select("words")).distinct()
     # One text for each, found by its MD5 and id, so that its copies don't meet in one task.
     wanted = first.join(needed, "words").select("words", "raw", "doc_id")
@@ -388,4 +429,4 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     key = lambda id_, raw: F.unhex(F.md5(F.concat(F.coalesce(id_.cast("string"), F.lit("-")).cast("binary"), raw)))
     keepers = named.filter("first").select(key(F.col("doc_id"), F.col("raw")).alias("_key")).distinct()
     own = key(F.col(id_col).cast("long"), F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")))))
-    return docs.withColumn("_key", own).join(keepers, "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns)
+    return docs.select(F.struct("*").alias("_doc"), own.alias("_key")).join(keepers, "_key", "left_semi").dropDuplicates(["_key"]).select("_doc.*")
