@@ -21,6 +21,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,7 +36,7 @@ SIDE_BY_SIDE = 64
 #: Rows of an array of trees.
 ROWS = 20_000
 #: Pieces whose ids a worker remembers, and their bytes, in each of two generations: what wasn't met in the younger one is forgotten.
-REMEMBERED, REMEMBERED_BYTES = 100_000, 4_000_000
+REMEMBERED, REMEMBERED_BYTES = 200_000, 8_000_000
 _NONE = np.int64(1) << 62  # no pair
 
 
@@ -73,6 +74,13 @@ def latin(text: str) -> bool:
     return True
 
 
+def latin_pattern() -> re.Pattern:
+    """PIECES for texts below U+0100, where the classes are short lists; faster."""
+    of = lambda kind: "".join(re.escape(chr(c)) for c in range(0x100) if regex.match(kind, chr(c)))
+    letters, numbers, spaces = of(r"\p{L}"), of(r"\p{N}"), of(r"\s")
+    return re.compile(PIECES.replace(r"[^\s\p{L}\p{N}]", f"[^{spaces}{letters}{numbers}]").replace(r"\p{L}", f"[{letters}]").replace(r"\p{N}", f"[{numbers}]").replace(r"\s", f"[{spaces}]").replace(r"\S", f"[^{spaces}]"))
+
+
 class Encoder:
     """Ids of texts by a vocabulary file, and texts of ids."""
 
@@ -86,13 +94,24 @@ class Encoder:
         self.of_byte = np.array([vocab[c] for c in of_byte], np.int64)
         merges = [m.split(" ", 1) if isinstance(m, str) else m for m in model["merges"]]
         self.size = max([*vocab.values(), *self.special.values()]) + 1
-        # Ranks by pair: sorted keys, and the rank and the new id of each.
+        # Ranks by pair, as a dictionary, as a hash table of arrays, and by the pair's two bytes.
         self.new_id = np.array([vocab[a + b] for a, b in merges], np.int64)
         keys = np.array([vocab[a] * self.size + vocab[b] for a, b in merges], np.int64)
-        order = np.argsort(keys)
-        self.keys, self.rank_of = np.append(keys[order], np.iinfo(np.int64).max), np.append(order, 0)
         self.rank = dict(zip(keys.tolist(), range(len(merges))))
-        self.pattern = regex.compile(PIECES)
+        self.shift = 64 - (4 * len(keys) + 1).bit_length()
+        self.keys, self.rank_of = np.full((1 << 64 - self.shift) + 1, -1, np.int64), np.zeros((1 << 64 - self.shift) + 1, np.int32)
+        left = np.arange(len(keys))
+        slots = self._slots(keys)
+        while len(left):  # who finds its slot taken goes to the next one
+            free = left[self.keys[slots[left]] < 0]
+            self.keys[slots[free]] = keys[free]
+            left = left[self.keys[slots[left]] != keys[left]]
+            slots[left] = (slots[left] + 1) % (len(self.keys) - 1)
+        self.rank_of[slots] = np.arange(len(keys))
+        self.byte_rank = np.full(1 << 16, -1, np.int32)
+        at = self._found((self.of_byte[:, None] * self.size + self.of_byte).ravel())
+        self.byte_rank[at >= 0] = at[at >= 0]
+        self.pattern, self.latin_pattern = regex.compile(PIECES), latin_pattern()
         self.cut = re.compile(f"({'|'.join(map(re.escape, sorted(self.special, key=len, reverse=True)))})") if self.special else None
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -100,6 +119,7 @@ class Encoder:
         self.bytes_of: list[bytes] = [b""] * self.size  # unknown ids are left out
         for word, i in [*vocab.items(), *self.special.items()]:
             self.bytes_of[i] = bytes(to_byte[c] for c in word) if all(c in to_byte for c in word) else word.encode()
+        self.token_bytes = pa.array([*self.bytes_of, b""], pa.large_binary())  # the last for unknown ids
 
     # -- merging ---------------------------------------------------------------------------------
 
@@ -145,53 +165,73 @@ class Encoder:
             ids[gone] = -1
         return np.array([i for i in ids if i >= 0], "<u4")
 
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(self.shift)).astype(np.int64)
+
+    def _found(self, keys: np.ndarray) -> np.ndarray:
+        """The ranks of pairs, -1 of such as have none."""
+        slots = self._slots(keys)
+        held = self.keys.take(slots)
+        out = np.where(held == keys, self.rank_of.take(slots), -1)
+        left = np.flatnonzero((held != keys) & (held >= 0))
+        while len(left):
+            slots[left] = (slots[left] + 1) % (len(self.keys) - 1)
+            held = self.keys.take(slots[left])
+            hit = held == keys[left]
+            out[left[hit]] = self.rank_of.take(slots[left[hit]])
+            left = left[~hit & (held >= 0)]
+        return out
+
     def _ranks(self, a: np.ndarray, b: np.ndarray, at: np.ndarray, bits: int) -> np.ndarray:
         """The trees' entries of pairs of ids at their places."""
-        keys = a * self.size + b
-        found = np.searchsorted(self.keys, keys)
-        return np.where(self.keys[found] == keys, self.rank_of[found] << bits | at, _NONE)
+        found = self._found(a * self.size + b)
+        return np.where(found >= 0, found.astype(np.int64) << bits | at, _NONE)
 
     def merged_rows(self, raw: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, which of them are there) of pieces, each a row of bytes and its length of 2 or more: a tree for each row."""
+        """(ids, which of them are there) of pieces, each a row of bytes and its length of 2 or more: a tree for each row.  What a row holds beyond its length doesn't count."""
         rows, width = raw.shape
         leaves, bits = 1 << (width - 2).bit_length(), width.bit_length()
         place = np.arange(width)
         ids, there = self.of_byte[raw], place < lengths[:, None]
-        tree = np.full((rows, 2 * leaves), _NONE)
-        pairs = self._ranks(ids[:, :-1], ids[:, 1:], place[:-1], bits)
-        tree[:, leaves : leaves + width - 1] = np.where(there[:, 1:], pairs, _NONE)
+        trees = np.full((rows, 2 * leaves), _NONE)
+        pairs = self.byte_rank.take(raw[:, :-1].astype(np.int32) << 8 | raw[:, 1:]).astype(np.int64)
+        trees[:, leaves : leaves + width - 1] = np.where(there[:, 1:] & (pairs >= 0), pairs << bits | place[:-1], _NONE)
         for low in (leaves >> k for k in range(1, leaves.bit_length())):
-            tree[:, low : 2 * low] = np.minimum(tree[:, 2 * low : 4 * low : 2], tree[:, 2 * low + 1 : 4 * low : 2])
-        after = np.tile(np.arange(1, width + 2), (rows, 1))
-        before = np.tile(np.arange(-1, width), (rows, 1))
+            trees[:, low : 2 * low] = np.minimum(trees[:, 2 * low : 4 * low : 2], trees[:, 2 * low + 1 : 4 * low : 2])
+        # Arrays of all rows in one, with the beginnings of a row in each.
+        ids_of, there_of, tree = ids.reshape(-1), there.reshape(-1), trees.reshape(-1)
+        after = np.tile(np.arange(1, width + 2, dtype=np.int32), rows)
+        before = np.tile(np.arange(-1, width, dtype=np.int32), rows)
 
-        def update(of: np.ndarray, at: np.ndarray, value: np.ndarray | np.int64) -> None:
+        def update(base: np.ndarray, at: np.ndarray, value: np.ndarray | np.int64) -> None:
             at = at + leaves
-            tree[of, at] = value
+            tree[base + at] = value
             for _ in range(leaves.bit_length() - 1):
                 at = at >> 1
-                tree[of, at] = np.minimum(tree[of, 2 * at], tree[of, 2 * at + 1])
+                two = base + 2 * at
+                tree[base + at] = np.minimum(tree.take(two), tree.take(two + 1))
 
-        of = np.flatnonzero(tree[:, 1] < _NONE)
+        of = np.flatnonzero(trees[:, 1] < _NONE)
         while len(of):
-            top = tree[of, 1]
+            base, own, links = of * (2 * leaves), of * width, of * (width + 1)
+            top = tree.take(base + 1)
             at = top & (1 << bits) - 1
-            gone = after[of, at]
-            then = after[of, gone]
-            ids[of, at] = self.new_id[top >> bits]
-            there[of, gone] = False
-            after[of, at], before[of, then] = then, at
-            inner = gone < width - 1
-            update(of[inner], gone[inner], _NONE)
-            more = then < lengths[of]
-            a, t = at[more], then[more]
-            update(of[more], a, self._ranks(ids[of[more], a], ids[of[more], t], a, bits))
-            update(of[~more], at[~more], _NONE)
-            first = before[of, at]
-            some = first >= 0
-            f = first[some]
-            update(of[some], f, self._ranks(ids[of[some], f], ids[of[some], at[some]], f, bits))
-            of = of[tree[of, 1] < _NONE]
+            gone = after.take(links + at)
+            then = after.take(links + gone)
+            left = self.new_id.take(top >> bits)
+            ids_of[own + at] = left
+            there_of[own + gone] = False
+            after[links + at], before[links + then] = then, at
+            inner = np.flatnonzero(gone < width - 1)
+            update(base[inner], gone[inner], _NONE)
+            last = then >= lengths.take(of)
+            right = ids_of.take(own + np.where(last, at, then))
+            update(base, at, np.where(last, _NONE, self._ranks(left, right, at, bits)))
+            first = before.take(links + at)
+            some = np.flatnonzero(first >= 0)
+            f = first[some].astype(np.int64)
+            update(base[some], f, self._ranks(ids_of.take(own[some] + f), left[some], f, bits))
+            of = of[tree.take(base + 1) < _NONE]
         return ids, there
 
     def learn(self, pieces: set[str]) -> None:
@@ -199,31 +239,24 @@ class Encoder:
         if len(self.known) > REMEMBERED or self.held > REMEMBERED_BYTES:
             self.known, self.older, self.held = {}, self.known, 0
         missing = pieces.difference(self.known)
-        new = missing.difference(self.older)
-        self.known.update((p, self.older[p]) for p in missing.difference(new))
-        raws = [(p.encode(), p) for p in new]
-        self.held += sum(len(r) for r, _ in raws)
-        raws.sort(key=lambda x: len(x[0]))
-        at = 0
-        while at < len(raws):
-            n = len(raws[at][0])
-            if n < 2 or n > SIDE_BY_SIDE:
-                self.known[raws[at][1]] = self.merged(raws[at][0]).tobytes()
-                at += 1
-                continue
-            most, upto = 1 << (n - 1).bit_length(), at
-            while upto < len(raws) and upto - at < ROWS and len(raws[upto][0]) <= most:
-                upto += 1
-            part = raws[at:upto]
-            lengths = np.array([len(r) for r, _ in part])
-            raw = np.frombuffer(b"".join(r.ljust(most, b"\0") for r, _ in part), np.uint8).reshape(len(part), most)
-            ids, there = self.merged_rows(raw, lengths)
-            flat, ends = ids[there].astype("<u4").tobytes(), (np.cumsum(there.sum(axis=1)) * 4).tolist()
-            start = 0
-            for (_, p), end in zip(part, ends):
-                self.known[p] = flat[start:end]
-                start = end
-            at = upto
+        new = list(missing.difference(self.older))
+        if len(new) < len(missing):
+            self.known.update((p, self.older[p]) for p in missing.difference(new))
+        raws = list(map(str.encode, new))
+        sizes = np.fromiter(map(len, raws), np.int64, len(raws))
+        self.held += int(sizes.sum())
+        flat = np.frombuffer(b"".join(raws) + bytes(SIDE_BY_SIDE + 1), np.uint8)
+        begins = np.cumsum(sizes) - sizes
+        for i in np.flatnonzero((sizes < 2) | (sizes > SIDE_BY_SIDE)).tolist():
+            self.known[new[i]] = self.merged(raws[i]).tobytes()
+        # A tree of 2^k leaves takes the pairs of pieces of 2^k + 1 bytes.
+        for least, most in ((1, 2), (2, 3), *(((1 << k) + 1, (2 << k) + 1) for k in range(1, SIDE_BY_SIDE.bit_length() - 1))):
+            group = np.flatnonzero((sizes > least) & (sizes <= min(most, SIDE_BY_SIDE)))
+            for at in range(0, len(group), ROWS):
+                part = group[at : at + ROWS]
+                ids, there = self.merged_rows(flat[begins[part][:, None] + np.arange(most)], sizes[part])
+                found, ends = ids[there].astype("<u4").tobytes(), (np.cumsum(there.sum(axis=1)) * 4).tolist()
+                self.known.update(zip([new[i] for i in part.tolist()], [found[a:z] for a, z in zip([0, *ends], ends)]))
 
     # -- texts -----------------------------------------------------------------------------------
 
@@ -234,15 +267,16 @@ class Encoder:
         return self._split(text)
 
     def _split(self, text: str) -> list[str]:
-        if not latin(text):
-            found, plain = newer()
-            if found.search(text):
-                out, at = [], 0
-                for p in self.pattern.findall(text.translate(plain)):
-                    out.append(text[at : at + len(p)])
-                    at += len(p)
-                return out
-        return self.pattern.findall(text)
+        if latin(text):
+            return self.latin_pattern.findall(text)
+        found, plain = newer()
+        if not found.search(text):
+            return self.pattern.findall(text)
+        out, at = [], 0
+        for p in self.pattern.findall(text.translate(plain)):
+            out.append(text[at : at + len(p)])
+            at += len(p)
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian unsigned 32-bit numbers."""
@@ -257,10 +291,12 @@ class Encoder:
             out += [b"".join(map(ids, p)) for p in split]
         return out
 
-    def decode(self, ids: list[int]) -> str:
-        """Ids outside the vocabulary are left out; bytes that aren't UTF-8 show as U+FFFD."""
-        of = self.bytes_of
-        return b"".join([of[i] for i in ids if 0 <= i < len(of)]).decode("utf-8", "replace")
+    def decode(self, ids: np.ndarray, ends: np.ndarray) -> list[str]:
+        """The texts of runs of ids, each between two neighbouring ``ends``.  Ids outside the vocabulary are left out; bytes that aren't UTF-8 show as U+FFFD."""
+        known = np.where((ids >= 0) & (ids < self.size), ids, self.size)
+        tokens = self.token_bytes.take(pa.array(known, pa.int32()))
+        raw, at = tokens.buffers()[2], np.frombuffer(tokens.buffers()[1], np.int64)[ends].tolist()
+        return [str(raw[a:z], "utf-8", "replace") for a, z in zip(at, at[1:])] if raw is not None else [""] * (len(ends) - 1)
 
 
 @lru_cache(2)
@@ -291,7 +327,9 @@ def decode(ids: Column, vocabulary: str) -> Column:
     @F.arrow_udf("string")
     def texts(each: pa.Array) -> pa.Array:
         own = encoder(vocabulary)
-        return pa.array([own.decode([i for i in x or () if i is not None]) for x in (e.as_py() for e in each)], pa.string())
+        # A null among ids is outside the vocabulary, and a null list has no ids.
+        plain = pc.if_else(each.is_valid(), each, pa.scalar([], each.type)) if each.null_count else each
+        return pa.array(own.decode(pc.fill_null(plain.values, -1).to_numpy(), plain.offsets.to_numpy()), pa.string())
 
     return texts(ids)
 
