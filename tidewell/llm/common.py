@@ -53,15 +53,17 @@ TEXTS_A_BATCH, BYTES_A_BATCH = 1_000, 4_000_000
 _BATCH, _BYTES = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
-def stage(df: DataFrame, name: str, rows: int | None = None, batch: int | None = None) -> DataFrame:
+def stage(df: DataFrame, name: str, rows: int | None = None, batch: int | None = None, apart: bool = False, a_file: int = ROWS_A_FILE) -> DataFrame:
     """Cut the lineage: write the rows to the shared folder and read them back, so that a lost executor costs no recomputation and reruns of a later task see the same rows.
 
-    ``rows``, a bound of their number, is for narrow rows: few of them go to few files, however many partitions the session has.
+    ``rows``, a bound of their number, is for narrow rows: few of them go to few files of ``a_file`` rows, however many partitions the session has.  With ``apart`` the
+    tasks that make the rows stay as many as they are, and the rows are dealt to the files.
     ``batch`` bounds the rows, and BYTES_A_BATCH the bytes, that Python tasks hold at a time while these rows are made.
     """
     spark, path = df.sparkSession, new_path(df.sparkSession, name)
     if rows is not None:
-        df = df.coalesce(max(1, -(-rows // ROWS_A_FILE)))
+        files = max(1, -(-rows // a_file))
+        df = df.repartition(files) if apart else df.coalesce(files)
     before, bytes_before = spark.conf.get(_BATCH), spark.conf.get(_BYTES)
     if batch is not None:
         spark.conf.set(_BATCH, str(min(batch, int(before)) if int(before) > 0 else batch))

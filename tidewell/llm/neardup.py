@@ -60,6 +60,8 @@ SALTS = 16
 #: Lists of texts that a task sees at a time.
 UNITS_A_BATCH = 32
 
+#: Rows with a sketch that go to one file.
+WIDE_A_FILE = 25_000
 #: Buckets that a text is in at most.
 ROWS = BANDS + PREFIX
 
@@ -391,7 +393,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     table = stage(rows.mapInArrow(_sketches, _SKETCHED), "sketches", batch=TEXTS_A_BATCH)
     # A row for each distinct sequence of words; copies are summed before the shuffle.
     first = table.groupBy("words").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "raw")).alias("least"), *[F.first(c).alias(c) for c in ("n", "sketch", "buckets", "short")])
-    first = stage(first.select("words", F.col("least.doc_id").alias("doc_id"), F.col("least.raw").alias("raw"), "n", "sketch", "buckets", "short"), "distinct")
+    first = stage(first.select("words", F.col("least.doc_id").alias("doc_id"), F.col("least.raw").alias("raw"), "n", "sketch", "buckets", "short"), "distinct", table.count(), a_file=WIDE_A_FILE)
     n = first.count()
     pairs, groups = candidate_pairs(first, n)
     # A text is in ROWS buckets at most, in each of which the forest has fewer pairs than texts.
@@ -402,12 +404,12 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     found = rows.join(wanted, (rows["raw"] == wanted["raw"]) & rows["doc_id"].eqNullSafe(wanted["doc_id"])).select("words", "text").dropDuplicates(["words"])
     found = stage(found.mapInArrow(_sequences, "words binary, seq binary"), "sequences", batch=TEXTS_A_BATCH)
     side = lambda x: found.select(F.col("words").alias(x), F.col("seq").alias(f"seq_{x}"))
-    links = stage(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "seq_a", "seq_b").mapInArrow(_verified, "a binary, b binary"), "verified", batch=TEXTS_A_BATCH)
+    links = stage(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "seq_a", "seq_b").mapInArrow(_verified, "a binary, b binary"), "verified", ROWS * n, TEXTS_A_BATCH, True)
     roots = components(links, pairs.count())
-    open_ = stage(open_texts(groups, first, roots, groups.count()), "open", batch=UNITS_A_BATCH)
+    open_ = stage(open_texts(groups, first, roots, groups.count()), "open", groups.count(), UNITS_A_BATCH, True)
     if open_.limit(1).count():
         units = open_.join(found, "words").groupBy("unit").agg(F.collect_list(F.struct("own", "words", "root", "seq")).alias("texts"))
-        more = stage(units.select("texts").mapInArrow(_settled, "a binary, b binary"), "settled", batch=UNITS_A_BATCH)
+        more = stage(units.select("texts").mapInArrow(_settled, "a binary, b binary"), "settled", n, UNITS_A_BATCH, True)
         if more.limit(1).count():
             roots = components(links.unionByName(more), links.count() + more.count())
     # A class is named by its smallest document.
@@ -417,7 +419,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     # A component may hold a third of all texts: its name goes to SALTS tasks.
     salted = named.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     merged = linked.select("words", "root", F.pmod(F.xxhash64("words"), F.lit(SALTS)).cast("int").alias("salt")).join(salted, ["root", "salt"]).select("words", "least")
-    of_words = stage(first.select("words", own).join(merged, "words", "left").select("words", F.coalesce("least", "own").alias("least")), "classes")
+    of_words = stage(first.select("words", own).join(merged, "words", "left").select("words", F.coalesce("least", "own").alias("least")), "classes", n)
     joined = table.select("doc_id", "raw", "words").join(of_words, "words")
     return joined.select("doc_id", "raw", F.col("least.doc_id").alias("class_id"), (F.col("least.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("least.raw") == F.col("raw"))).alias("first"))
 
