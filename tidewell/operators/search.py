@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import datetime, timedelta
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.functions import text as T
 from tidewell.functions import values as V
+from tidewell.operators import textindex
+from tidewell.operators.keywords import Asked, parsed_terms
 
 DEFAULT_LIMIT, MOST_LIMIT = 50, 500
 SHOWN_DESCRIPTION = 500
@@ -53,62 +57,79 @@ class Search:
             raise ValueError("a distance needs a location")
 
 
-def parsed_terms(terms: list[str]) -> list[tuple[list[str], list[list[str]]]]:
-    """(words, phrases) of each term that has any: words are all asked for, quoted ones in a row."""
-    split = lambda s: [w for w in re.split(r"[^\w]|_", s.lower()) if w]
-    out = []
-    for term in terms:
-        phrases = [split(p) for p in re.findall(r'"([^"]*)"', term)]
-        words = split(re.sub(r'"[^"]*"', " ", term))
-        if words or any(phrases):
-            out.append((words, [p for p in phrases if p]))
-    return out
+@dataclass(frozen=True)
+class Index:
+    """Folders that textindex.write() has made of the shelf: of words, and of grams if substrings are to be found by them."""
+
+    words: str
+    grams: str | None = None
 
 
-def matches(text: Column, terms: list[tuple[list[str], list[list[str]]]]) -> Column:
-    """Whether the words of a text satisfy any of the terms.  Words are found in the text as it is: nothing is split for a query."""
+def matches(text: Column, asked: Asked) -> Column:
+    """Whether a text has what is asked for; null has nothing.  Words are found in the text as it is: nothing is split for a query."""
     low = F.lower(T.blank(text))
-    held = lambda *options: low.rlike(rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(options)})(?![\p{{L}}\p{{N}}])")
     in_a_row = lambda words: r"[^\p{L}\p{N}]+".join(map(re.escape, words))
-    parts = [[*([w] for w in single), *phrases] for single, phrases in terms]
-    # Terms of one part need one search for all of them.
-    any_term = held(*[in_a_row(p[0]) for p in alone]) if (alone := [p for p in parts if len(p) == 1]) else F.lit(False)
-    for several in (p for p in parts if len(p) > 1):
-        every = F.lit(True)
-        for part in several:
-            every = every & held(in_a_row(part))
-        any_term = any_term | every
-    return any_term
-
-
-def rank(words: Column, terms: list[tuple[list[str], list[list[str]]]]) -> Column:
-    """PostgreSQL's ts_rank of a title's words, 0 to 1.
-
-    Of several terms, the mean over the asked words of a sum that falls with the square of the
-    occurrence.  Of one term of several words, all of which are asked for, 1 less the product over
+    held = lambda *runs: low.rlike(rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(map(in_a_row, runs))})(?![\p{{L}}\p{{N}}])")
+    # Runs of which any is enough need one search for all of them.
+    alone = [p.words for p in asked.parts if p.kind == "run"] if asked.kind == "any" else []
+    if len(alone) > 1:
+        hit = held(*alone)
+        for p in asked.parts:
+            hit = hit if p.kind == "run" else hit | p.holds(held)
+    else:
+        hit = asked.holds(held)
+    return text.isNotNull() & hit
+
+
+def places_in(words: Column) -> Callable[[str], Column]:
+    """Where each word stands in an array of words."""
+    return lambda w: F.filter(F.transform(words, lambda x, i: F.when(x == w, i)), lambda i: i.isNotNull())
+
+
+def rank(places: Callable[[str], Column], asked: Asked) -> Column:
+    """PostgreSQL's ts_rank of a text by the places of its words, 0 to 1.
+
+    Of what any is enough for, the mean over the asked words of a sum that falls with the square of the
+    occurrence.  Of several words that are all asked for, 1 less the product over
     pairs of their places of what the pair's distance leaves.
     """
-    asked = sorted({w for single, phrases in terms for w in (*single, *(x for p in phrases for x in p))})
-    if len(terms) > 1 or len(asked) == 1:
-        times = F.transform(F.array(*[F.lit(w) for w in asked]), lambda w: F.size(F.filter(words, lambda x: x == w)))
+    words = asked.every_word()
+    if len(words) == 1 or not (asked.kind == "all" or asked.kind == "run"):
         falling = lambda n: F.aggregate(F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>")), F.lit(0.0), lambda s, i: s + WORD_WEIGHT / (i * i))
-        return F.aggregate(times, F.lit(0.0), lambda s, n: s + falling(n) / SQUARES) / len(asked)
-    places = lambda w: F.filter(F.transform(words, lambda x, i: F.when(x == w, i)), lambda i: i.isNotNull())
+        return sum((falling(F.size(places(w))) / SQUARES for w in words), F.lit(0.0)) / len(words)
     nearness = lambda d: WORD_WEIGHT * F.sqrt(F.when(d <= 100, 1 / (1.005 + 0.05 * F.exp(d / 1.5 - 2))).otherwise(1e-30))
     distances = lambda a, b: F.flatten(F.transform(places(a), lambda i: F.transform(places(b), lambda j: F.abs(i - j))))
     left = F.lit(1.0)
-    for no, one in enumerate(asked):
-        for other in asked[no + 1 :]:
+    for no, one in enumerate(words):
+        for other in words[no + 1 :]:
             left = left * F.aggregate(distances(one, other), F.lit(1.0), lambda s, d: s * (1 - nearness(d)))
     return 1 - left
 
 
+def matched(shelf_index: Index, asked: Asked, spark: SparkSession) -> DataFrame:
+    """id, r of the texts that have what is asked for, by the lists of its words alone: r as in hits()."""
+    # What a text without any of the words satisfies is looked for among all texts.
+    terms = asked.every_word() + ([textindex.EVERY] if asked.holds_of_none() else [])
+    lists = textindex.lookup(spark, shelf_index.words, terms)
+    texts = lists.groupBy("id", "field").agg(F.map_from_entries(F.collect_list(F.struct("term", "places"))).alias("at"))
+    places = lambda w: F.coalesce(F.col("at")[w], F.array().cast("array<int>"))
+
+    def run(words: tuple[str, ...]) -> Column:
+        if len(words) == 1:
+            return F.map_contains_key("at", words[0])
+        follow = lambda p: reduce(lambda a, b: a & b, [F.array_contains(places(w), p + i) for i, w in enumerate(words) if i])
+        return F.exists(places(words[0]), follow)
+
+    hit = texts.filter(asked.holds(run)).withColumn("r", F.when(F.col("field") == "title", rank(places, asked)).otherwise(0.0))
+    return hit.groupBy("id").agg(F.max("r").alias("r"))
+
+
 def _holds(col: Column, part: str) -> Column:
     return F.ilike(col, F.lit(f"%{part}%"))
 
 
-def filtered(shelf: DataFrame, spec: Search) -> DataFrame:
-    """All filters but the keywords.  Those on plain columns reach the scan."""
+def filtered(shelf: DataFrame, spec: Search, index: Index | None = None) -> DataFrame:
+    """All filters but the keywords.  Those on plain columns reach the scan; an index of grams finds what texts hold."""
     rows = shelf
     if spec.max_age_days is not None:
         rows = rows.filter(F.col("scraped_at") >= F.lit(spec.as_of - timedelta(days=spec.max_age_days)))
@@ -122,15 +143,21 @@ def filtered(shelf: DataFrame, spec: Search) -> DataFrame:
         rows = rows.filter(F.col("salary_max") <= spec.max_salary)
     if spec.location:
         rows = rows.filter(_holds(F.col("location"), spec.location))
+    by_grams = index is not None and index.grams is not None
+    held = lambda pattern, *fields: textindex.containing(shelf, index.grams, pattern, fields)
     if spec.seniority:
-        level = F.lit(False)
-        for t in SENIORITY.get(spec.seniority.lower(), [spec.seniority]):
-            level = level | _holds(F.col("title"), t)
-        rows = rows.filter(level)
+        levels = SENIORITY.get(spec.seniority.lower(), [spec.seniority])
+        if by_grams:
+            rows = rows.join(reduce(DataFrame.unionByName, [held(t, "title") for t in levels]).distinct(), "id", "left_semi")
+        else:
+            rows = rows.filter(reduce(lambda a, b: a | b, [_holds(F.col("title"), t) for t in levels]))
     if spec.exclude_domains:
         out = F.col("company_domain").isin(spec.exclude_domains)
         rows = rows.filter(~out if spec.legacy else ~F.coalesce(out, F.lit(False)))
     for n in spec.without:
+        if by_grams and not spec.legacy:
+            rows = rows.join(held(n, "title", "description"), "id", "left_anti")
+            continue
         hit = _holds(F.col("title"), n) | _holds(F.col("description"), n)
         rows = rows.filter(~hit if spec.legacy else ~F.coalesce(hit, F.lit(False)))
     if spec.max_distance_km is not None and (centre := V.geocode(spec.location)):
@@ -139,31 +166,36 @@ def filtered(shelf: DataFrame, spec: Search) -> DataFrame:
     return rows
 
 
-def hits(shelf: DataFrame, spec: Search) -> DataFrame:
-    """The filtered rows that match, with r: over 0 where the title matches, 0 where only the description does; without keywords all rows, r 0."""
-    rows = filtered(shelf, spec)
+def hits(shelf: DataFrame, spec: Search, index: Index | None = None) -> DataFrame:
+    """The filtered rows that match, with r: the rank where the title matches, 0 where only the description does; without keywords all rows, r 0.
+
+    With an index of words no text is read; without one every text is searched.
+    """
+    rows = filtered(shelf, spec, index)
     if not spec.keywords:
         return rows.withColumn("r", F.lit(0.0))
-    terms = parsed_terms(spec.keywords)
-    if not terms:
+    asked = parsed_terms(spec.keywords)
+    if not asked:
         return rows.withColumn("r", F.lit(0.0)).filter(F.lit(False))
-    in_title = matches(F.col("title"), terms)
-    rows = rows.filter(in_title | matches(F.col("description"), terms))
-    return rows.withColumn("r", F.when(in_title, rank(T.words(F.col("title")), terms)).otherwise(0.0))
+    if index is not None:
+        return rows.join(matched(index, asked, shelf.sparkSession), "id")
+    in_title = matches(F.col("title"), asked)
+    rows = rows.filter(in_title | matches(F.col("description"), asked))
+    return rows.withColumn("r", F.when(in_title, rank(places_in(T.words(F.col("title"))), asked)).otherwise(0.0))
 
 
-def total(shelf: DataFrame, spec: Search) -> DataFrame:
+def total(shelf: DataFrame, spec: Search, index: Index | None = None) -> DataFrame:
     """total: of all rows that match, whatever the page."""
-    return hits(shelf, spec).agg(F.count(F.lit(1)).alias("total"))
+    return hits(shelf, spec, index).agg(F.count(F.lit(1)).alias("total"))
 
 
-def page(shelf: DataFrame, spec: Search) -> DataFrame:
+def page(shelf: DataFrame, spec: Search, index: Index | None = None) -> DataFrame:
     """The page's whole rows with r, by r, then the newest, then id.
 
     The order is settled on narrow rows, of which each task keeps limit + offset; at most MOST_LIMIT
     ids then fetch their rows.
     """
-    best = hits(shelf, spec).select("id", "r", "scraped_at").orderBy(F.desc("r"), F.desc("scraped_at"), "id").offset(spec.offset).limit(spec.limit)
+    best = hits(shelf, spec, index).select("id", "r", "scraped_at").orderBy(F.desc("r"), F.desc("scraped_at"), "id").offset(spec.offset).limit(spec.limit)
     return shelf.join(F.broadcast(best.select("id", "r")), "id").orderBy(F.desc("r"), F.desc("scraped_at"), "id")
 
 
@@ -178,10 +210,10 @@ def shown(rows: DataFrame, whole: bool = False) -> DataFrame:
     )
 
 
-def page_json(shelf: DataFrame, spec: Search) -> DataFrame:
+def page_json(shelf: DataFrame, spec: Search, index: Index | None = None) -> DataFrame:
     """result, total_count: each row of the page as JSON, with the number of all hits; a page past the end has no rows."""
-    rows = page(shelf, spec)
-    return rows.select(F.to_json(F.struct(*[c for c in rows.columns if c != "r"])).alias("result")).crossJoin(total(shelf, spec).withColumnRenamed("total", "total_count"))  # one row
+    rows = page(shelf, spec, index)
+    return rows.select(F.to_json(F.struct(*[c for c in rows.columns if c != "r"])).alias("result")).crossJoin(total(shelf, spec, index).withColumnRenamed("total", "total_count"))  # one row
 
 
 def by_id(shelf: DataFrame, job_id: int) -> DataFrame:
