@@ -24,6 +24,8 @@ THRESHOLD = 0.9
 WINDOW_DAYS = 10
 PRIME = (1 << 31) - 1
 BASE = 1_103_515_245
+#: Shingles whose lanes are computed at a time.
+BLOCK = 256
 
 
 def lanes(n: int = LANES, seed: int = 42) -> list[tuple[int, int]]:
@@ -31,23 +33,41 @@ def lanes(n: int = LANES, seed: int = 42) -> list[tuple[int, int]]:
     return [(1 + (48271 * (seed + 7 * i + 1)) % (PRIME - 1), (69621 * (seed + 13 * i + 5)) % PRIME) for i in range(n)]
 
 
-def _reduced(x: np.ndarray) -> np.ndarray:
-    """Modulo PRIME, of numbers below 2^62."""
-    x = (x & PRIME) + (x >> 31)
-    x = (x & PRIME) + (x >> 31)
-    return np.where(x == PRIME, 0, x)
+def _fold(x: np.ndarray, spare: np.ndarray) -> None:
+    """Positive numbers below 2^62 in place as what they are modulo PRIME, PRIME itself instead of 0."""
+    for _ in range(2):
+        np.right_shift(x, 31, out=spare)
+        x &= PRIME
+        x += spare
 
 
 def shingle_hashes(text: str, size: int) -> np.ndarray:
     """The different hashes of the runs of ``size`` characters; of all characters where there are fewer."""
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
     n = max(1, len(points) - size + 1)
-    h = np.zeros(n, np.int64)
+    h, spare = np.zeros(n, np.int64), np.empty(n, np.int64)
     for k in range(min(size, len(points))):
-        h = _reduced(h * BASE + points[k : n + k])
+        h *= BASE
+        h += points[k : n + k]
+        _fold(h, spare)
+    h[h == PRIME] = 0
     return np.unique(h)
 
 
+def minima(h: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least (a h + b) modulo PRIME of each lane, in blocks that stay in a processor's cache."""
+    low = np.full(len(a), PRIME + 1, np.int64)
+    block, spare = np.empty((2, len(a), min(len(h), BLOCK)), np.int64)
+    more = b[:, None] + 1  # so that 0 is told from PRIME: the least is found 1 too high
+    for at in range(0, len(h), BLOCK):
+        x, y = (z[:, : len(h[at : at + BLOCK])] for z in (block, spare))
+        np.multiply(a[:, None], h[None, at : at + BLOCK], out=x)
+        x += more
+        _fold(x, y)
+        np.minimum(low, x.min(axis=1), out=low)
+    return low - 1
+
+
 def required_bands(n_lanes: int = LANES, band_width: int = BAND_WIDTH, threshold: float = THRESHOLD) -> int:
     if not 0.0 < threshold <= 1.0 or band_width < 1 or n_lanes < 1 or n_lanes % band_width:
         raise ValueError("threshold must be in (0, 1], and band_width must divide the lanes")
@@ -67,11 +87,8 @@ def band_hashes(docs: DataFrame, n_lanes: int = LANES, band_width: int = BAND_WI
                 if not text:
                     continue
                 h = shingle_hashes(" ".join(text.lower().split()), shingle)
-                low = np.full(n_lanes, PRIME, np.int64)
-                for at in range(0, len(h), 2048):  # bounded memory for very long texts
-                    np.minimum(low, _reduced(a[:, None] * h[None, at : at + 2048] + b[:, None]).min(axis=1), out=low)
                 ids.append(doc_id)
-                values = list(map(str, low.tolist()))
+                values = list(map(str, minima(h, a, b).tolist()))
                 hashes += [hashlib.md5("-".join(values[at : at + band_width]).encode()).hexdigest() for at in range(0, n_lanes, band_width)]
             bands = np.tile(np.arange(n_bands, dtype=np.int32), len(ids))
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(ids, np.int64), n_bands)), pa.array(bands), pa.array(hashes, pa.string())], names=["id", "band", "band_hash"])
@@ -86,23 +103,47 @@ def _first_of_alike(bands: DataFrame, key: str) -> DataFrame:
     return signed.join(signed.groupBy("s", "t").agg(F.min(key).alias("first")), ["s", "t"]).select(key, "first")
 
 
-def shared_bands(bands: DataFrame, memory: DataFrame, as_of, window_days: int = WINDOW_DAYS) -> DataFrame:
-    """id, shared of rows (id, band, band_hash): the most bands that one remembered document within the window shares.
+def _rarest(bands: DataFrame, frequencies: DataFrame, key: str, n: int) -> DataFrame:
+    """key, band, band_hash: each document's ``n`` rarest bands, in an order that is the same for all.  A frequent band's rows are a skewed join's, which is split at run time."""
+    known = bands.join(frequencies, ["band", "band_hash"])
+    order = F.array_sort(F.collect_list(F.struct("n", "band", "band_hash")))
+    return known.groupBy(key).agg(F.slice(order, 1, n).alias("own")).select(key, F.explode("own").alias("own")).select(key, "own.band", "own.band_hash")
+
+
+def candidate_pairs(probes: DataFrame, known: DataFrame, least: int, n_bands: int) -> DataFrame:
+    """id, content_hash of documents (id, band, band_hash) and remembered ones (content_hash, band, band_hash) that may share ``least`` of ``n_bands`` bands, each pair once.
+
+    Of two that do, one of the n_bands - least + 1 rarest bands of either is common; a band that many unlike
+    documents have is hardly among these, so it sends no pairs.
+    """
+    every = probes.select("band", "band_hash").unionByName(known.select("band", "band_hash"))
+    frequencies = every.groupBy("band", "band_hash").agg(F.count(F.lit(1)).alias("n"))
+    few = n_bands - least + 1
+    asked, held = _rarest(probes, frequencies, "id", few), _rarest(known, frequencies, "content_hash", few)
+    return asked.join(held, ["band", "band_hash"]).select("id", "content_hash").distinct()
+
+
+def shared_bands(bands: DataFrame, memory: DataFrame, as_of, window_days: int = WINDOW_DAYS, least: int = 1, n_bands: int = LANES // BAND_WIDTH) -> DataFrame:
+    """id, shared of rows (id, band, band_hash): the most bands that one remembered document within the window shares, of those that share ``least``.
 
     Documents with equal bands throughout, as copies have, meet as one on either side, so a band that thousands
-    of copies share gives one row.
+    of copies share gives one row.  Pairs are candidates by their rarest bands, and each is then counted on all of them.
     """
     fresh = forgotten(memory, as_of, window_days).select("content_hash", "band", "band_hash").distinct()
     alike = _first_of_alike(bands, "id")
     probes = bands.join(alike.select(F.col("first").alias("id")).distinct(), "id", "left_semi")
     known = fresh.join(_first_of_alike(fresh, "content_hash").select(F.col("first").alias("content_hash")).distinct(), "content_hash", "left_semi")
-    hits = probes.join(known, ["band", "band_hash"]).groupBy("id", "content_hash").agg(F.count(F.lit(1)).alias("n"))
+    pairs = candidate_pairs(probes, known, least, n_bands)
+    whole = lambda df, key, name: df.groupBy(key).agg(F.collect_list(F.struct("band", "band_hash")).alias(name))
+    both = pairs.join(whole(probes, "id", "asked"), "id").join(whole(known, "content_hash", "held"), "content_hash")
+    hits = both.select("id", "content_hash", F.size(F.array_intersect("asked", "held")).alias("n")).filter(F.col("n") >= least)
     most = hits.groupBy(F.col("id").alias("first")).agg(F.max("n").cast("int").alias("shared"))
     return alike.join(most, "first").select("id", "shared")
 
 
-def near_duplicates(bands: DataFrame, memory: DataFrame, as_of, required: int | None = None, window_days: int = WINDOW_DAYS) -> DataFrame:
-    return shared_bands(bands, memory, as_of, window_days).filter(F.col("shared") >= (required or required_bands())).select("id")
+def near_duplicates(bands: DataFrame, memory: DataFrame, as_of, required: int | None = None, window_days: int = WINDOW_DAYS, n_bands: int = LANES // BAND_WIDTH) -> DataFrame:
+    """id of the rows that share ``required`` of ``n_bands`` bands with a remembered document."""
+    return shared_bands(bands, memory, as_of, window_days, required or required_bands(), n_bands).select("id")
 
 
 def remembered(memory: DataFrame, new: DataFrame) -> DataFrame:

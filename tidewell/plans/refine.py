@@ -50,8 +50,8 @@ def refine(batch: DataFrame, shelf: DataFrame, memory: DataFrame, index: DataFra
     # What is read more than once is held; lost blocks are computed again.
     jobs = dedup.parsed(batch).persist()
     bands = nearsim.band_hashes(jobs.select("id", F.col("description").alias("text")), settings.lanes).persist()
-    same = dedup.duplicates(jobs, shelf)
-    near = nearsim.near_duplicates(bands.join(same, "id", "left_anti"), memory, F.lit(settings.as_of), nearsim.required_bands(settings.lanes), settings.window_days)
+    same = dedup.duplicates(jobs, shelf).persist()
+    near = nearsim.near_duplicates(bands.join(same, "id", "left_anti"), memory, F.lit(settings.as_of), nearsim.required_bands(settings.lanes), settings.window_days, settings.lanes // nearsim.BAND_WIDTH)
     judged = quality.classified(jobs, settings.rules, settings.today)
     gone = same.unionByName(near).select("id", F.lit(True).alias("_gone"))
     bad = (F.col("verdict") == "reject") | ~quality.title_passes(F.col("title"))
@@ -61,7 +61,7 @@ def refine(batch: DataFrame, shelf: DataFrame, memory: DataFrame, index: DataFra
     done = quality.filled_in(placed, fetched, list(settings.blocked_hosts))
     new = bands.join(done.select("id", "content_hash"), "id").select("content_hash", "band", "band_hash", F.lit(settings.as_of).alias("seen_at"))
     next_memory = nearsim.remembered(nearsim.forgotten(memory, F.lit(settings.as_of), settings.window_days), new)
-    return Refined(marked.select("id", "outcome"), done, lifecycle.shelf_upserted(shelf, done, settings.as_of), next_memory, [jobs, bands, marked])
+    return Refined(marked.select("id", "outcome"), done, lifecycle.shelf_upserted(shelf, done, settings.as_of), next_memory, [jobs, bands, same, marked])
 
 
 def finished(inbox: DataFrame, outcomes: DataFrame) -> DataFrame:
