@@ -9,8 +9,10 @@ from __future__ import annotations
 import re
 import unicodedata
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Tokens that name a legal form, the label that isn't an employer, and separators before an echoed name.
 LEGAL_FORMS = ("gmbh", "mbh", "ag", "se", "kg", "kgaa", "ug", "ohg", "gbr", "co", "ev", "ltd", "llc", "inc", "plc", "holding")
@@ -26,14 +28,14 @@ BLOCK_MARKERS = ("unusual traffic", "ungewöhnlichen datenverkehr", "datenverkeh
 
 # Patterns that place a location string. Bare ", DE" is Delaware and doesn't count as Germany.
 GERMAN_PLACE = (
-    r"(?i)\b(germany|deutschland|berlin|m[uü]nchen|munich|hamburg|k[oö]ln|cologne|frankfurt|stuttgart|d[uü]sseldorf|dusseldorf|leipzig|dortmund|essen|bremen|dresden"
+    r"(?iu)\b(germany|deutschland|berlin|m[uü]nchen|munich|hamburg|k[oö]ln|cologne|frankfurt|stuttgart|d[uü]sseldorf|dusseldorf|leipzig|dortmund|essen|bremen|dresden"
     r"|hannover|hanover|n[uü]rnberg|nuremberg|duisburg|bochum|wuppertal|bielefeld|bonn|m[uü]nster|karlsruhe|mannheim|augsburg|wiesbaden|gelsenkirchen|aachen|braunschweig"
     r"|kiel|freiburg|heidelberg|mainz|erfurt|rostock|kassel|potsdam|saarbr[uü]cken|ulm|regensburg|w[uü]rzburg|ingolstadt|heilbronn|darmstadt|oldenburg|osnabr[uü]ck"
     r"|wolfsburg|paderborn|leverkusen|jena|walldorf)\b"
 )
-REMOTE_WORK = r"(?i)\bremote\b|\banywhere\b|\bdistributed\b|work from home|\bwfh\b"
+REMOTE_WORK = r"(?iu)\bremote\b|\banywhere\b|\bdistributed\b|work from home|\bwfh\b"
 FOREIGN_PLACE = (
-    r"(?i)\b(usa?|united states|u\.s|canada|uk|united kingdom|india|ireland|romania|latam|apac|poland|netherlands|france|spain|portugal|italy|brazil|mexico|australia"
+    r"(?iu)\b(usa?|united states|u\.s|canada|uk|united kingdom|india|ireland|romania|latam|apac|poland|netherlands|france|spain|portugal|italy|brazil|mexico|australia"
     r"|singapore|philippines|costa rica|colombia|argentina|south africa|denmark|sweden|norway|finland|belgium|austria|switzerland|czech|ukraine|turkey|egypt|kenya"
     r"|nigeria|israel|uae|dubai|japan|china|korea|vietnam|indonesia|malaysia|thailand|new york|california|texas)\b|,\s*[a-z]{2}\b"
 )
@@ -128,36 +130,36 @@ def char_shingles(col: Column, size: int = 5) -> Column:
     return F.array_distinct(F.transform(places, lambda at: F.substring(text, at, F.lit(size))))
 
 
-def _decompositions() -> tuple[str, str, dict[str, str]]:
-    """The characters whose compatibility decomposition (NFKD) without marks is another character, these, then the marks themselves;
-    and those that become several.  Hangul syllables, which are made of letters by a rule of their own, stay."""
-    one, to, several, marks = [], [], {}, []
-    for code in range(0xA0, 0x10000):
-        c = chr(code)
-        if 0xAC00 <= code <= 0xD7A3 or 0xD800 <= code <= 0xDFFF:
-            continue
-        if unicodedata.combining(c):
-            marks.append(c)
-            continue
-        bare = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
-        if len(bare) == 1 and bare != c:
-            one.append(c)
+def _decompositions() -> tuple[str, str]:
+    """The characters of the basic plane whose compatibility decomposition (NFKD) without marks is one other character, these, then the marks themselves."""
+    one, to, marks = [], [], []
+    for code in (c for c in range(0xA0, 0x10000) if not 0xD800 <= c <= 0xDFFF):
+        if unicodedata.combining(chr(code)):
+            marks.append(chr(code))
+        elif len(bare := _bare(chr(code))) == 1 and bare != chr(code):
+            one.append(chr(code))
             to.append(bare)
-        elif len(bare) != 1:
-            several[c] = bare
-    return "".join(one + marks), "".join(to), several
+    return "".join(one + marks), "".join(to)
 
 
-_COMPOSED, _BARE, _SEVERAL = _decompositions()
+def _bare(text: str) -> str:
+    return "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
+
+
+_COMPOSED, _PLAIN = _decompositions()
+#: What may become several characters: Latin letters and signs such as ½ and ĳ, and nearly all scripts beyond Latin.
+_SEVERAL = "[^\\x00-\u024f]|[\u00a8\u00af\u00b4\u00b8\u00bc-\u00be\u0132\u0133\u013f\u0140\u0149\u01c4-\u01cc\u01f1-\u01f3]"
+
+
+@F.arrow_udf(StringType())
+def _spelt(texts: pa.Array) -> pa.Array:
+    return pa.array([t if t is None else _bare(t) for t in texts.to_pylist()], pa.string())
 
 
 def unaccented(col: Column) -> Column:
-    """Lower case without accents and in plain forms, as by NFKD; letters that only look accented (ø, ß) stay."""
-    low = F.translate(F.lower(blank(col)), _COMPOSED, _BARE)
-    several = F.create_map(*[F.lit(x) for pair in _SEVERAL.items() for x in pair])
-    spelt = F.array_join(F.transform(F.split(low, ""), lambda c: F.coalesce(several[c], c)), "")
-    # Of the characters that become several, most texts have none.
-    return F.when(low.rlike("[^\\x00-\u024f]|[\u00a8\u00af\u00b4\u00b8\u00bc-\u00be\u0132\u0133\u013f\u0140\u0149\u01c4-\u01cc\u01f1-\u01f3]"), spelt).otherwise(low)
+    """Lower case without accents and in plain forms, as by NFKD; letters that only look accented (ø, ß) stay.  Only texts with characters that may become several leave the JVM."""
+    low = F.translate(F.lower(blank(col)), _COMPOSED, _PLAIN)
+    return F.coalesce(_spelt(F.when(low.rlike(_SEVERAL), low)), low)
 
 
 def without_brackets(col: Column) -> Column:

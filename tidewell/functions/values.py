@@ -61,8 +61,18 @@ def bounding_box(lat: Column, lon: Column, centre: tuple[float, float], km: floa
 
 
 def rounded(col: Column, digits: int) -> Column:
-    """Half to even."""
-    return F.bround(col, digits)
+    """To so many decimals by the double's exact value, as Python rounds; half to even where the value is just between two."""
+    x, scale = F.abs(col.cast("double")), float(10**digits)
+    # The product and what it lost in rounding, by halves of the factors that multiply without loss; together they are exact.
+    product, split = x * scale, x * 134217729.0
+    high = split - (split - x)
+    lost = (high * scale - product) + (x - high) * scale
+    whole = F.floor(product).cast("double")
+    over = product - (whole + 0.5)
+    up = (over > 0) | ((over == 0) & ((lost > 0) | ((lost == 0) & (whole % 2 == 1))))
+    # Beyond 2^52 there are no decimals, and the halves of very large numbers would overflow.
+    near = F.when(product < 4503599627370496.0, (whole + F.when(up, 1.0).otherwise(0.0)) / scale).otherwise(x)
+    return F.when(col < 0, -near).otherwise(near)
 
 
 def counter(stats: Column, name: str) -> Column:

@@ -13,10 +13,11 @@ from pyspark.sql import functions as F
 
 from tidewell.functions import text as T
 from tidewell.functions import values as V
-from tidewell.operators import dedup, lifecycle, location, metrics, nearsim, quality, registry, search
+from tidewell.operators import dedup, lifecycle, location, metrics, nearsim, quality, registry, search, textindex
 from tidewell.plans import fixtures as X
 from tidewell.plans import refine as R
 from tidewell.sources import boards, pages
+from tidewell.sources.shared import new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -183,23 +184,105 @@ def location_lookup(spark, sf_dir):
 
 _WORDS = "list_filter(regexp_split_to_array(lower(coalesce({0}, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')"
 _MATCH = "((list_contains({0}, 'the') AND list_contains({0}, 'and')) OR list_contains({0}, 'die') OR contains(' ' || array_to_string({0}, ' ') || ' ', ' of the '))"
-_RANK = "list_sum(list_transform(['and', 'die', 'of', 'the'], lambda a: coalesce(list_sum(list_transform(range(1, len(list_filter(tw, lambda x: x = a)) + 1), lambda i: 0.1 / (i * i))), 0) / 1.64493406685)) / 4"
+_FALLING = "list_sum(list_transform([{0}], lambda a: coalesce(list_sum(list_transform(range(1, len(list_filter(tw, lambda x: x = a)) + 1), lambda i: 0.1 / (i * i))), 0) / 1.64493406685)) / {1}"
+_RANK = _FALLING.format("'and', 'die', 'of', 'the'", 4)
 KEYWORDS = ["the and", "die", '"of the"', "  "]
 _HITS = f"""
 tokens AS (SELECT *, {_WORDS.format('title')} AS tw, {_WORDS.format('description')} AS dw FROM shelf),
 hits AS (SELECT *, CASE WHEN {_MATCH.format('tw')} THEN {_RANK} ELSE 0 END AS r FROM tokens WHERE {_MATCH.format('tw')} OR {_MATCH.format('dw')})"""
 _DAYS20 = f"scraped_at >= {X.NOW} - INTERVAL '20' DAY"
+_INDEXES: dict[tuple, search.Index] = {}
+
+
+def _shelf_index(spark, sf_dir) -> search.Index:
+    """The shelf's indexes, which are built with it once a session: index_words and index_grams are the builds."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _INDEXES:
+        shelf = _t(spark, sf_dir, "shelf").select("id", *textindex.FIELDS)
+        own = search.Index(new_folder(spark, "words"), new_folder(spark, "grams"))
+        textindex.write(shelf, own.words, textindex.WORDS)
+        textindex.write(shelf, own.grams, textindex.GRAMS)
+        _INDEXES[key] = own
+    return _INDEXES[key]
+
+
+def _by_words(spark, sf_dir) -> search.Index:
+    return search.Index(_shelf_index(spark, sf_dir).words)
+
+
+_ENTRIES = """AND texts AS (SELECT id, 'title' AS field, title AS t FROM {0} UNION ALL SELECT id, 'description', description FROM {0} WHERE description IS NOT NULL),
+  listed AS (SELECT id, field, """ + _WORDS.format("t") + """ AS ws FROM texts),
+  terms AS (SELECT id, field, unnest(ws) AS term, unnest(range(1, len(ws) + 1)) AS place FROM listed)"""
+
+
+@query(f"{_ENTRIES.replace('{0}', 'shelf')} SELECT term, field, id, string_agg(place, ',' ORDER BY place) AS places FROM terms GROUP BY ALL UNION ALL SELECT '', field, id, '' FROM listed", "shelf")
+def index_words(spark, sf_dir):
+    folder = new_folder(spark, "words")
+    textindex.write(_t(spark, sf_dir, "shelf").select("id", *textindex.FIELDS), folder, textindex.WORDS)
+    return spark.read.parquet(f"{folder}/entries").select("term", "field", "id", F.array_join(F.col("places").cast("array<string>"), ",").alias("places"))
+
+
+_REFRESHED = "AND after AS (SELECT id, CASE WHEN id % 12 = 0 THEN 'Changed ' || title ELSE title END AS title, description FROM shelf WHERE id % 12 <> 6)"
+
+
+@query(f"{_REFRESHED}, {_ENTRIES.replace('{0}', 'after')[4:]} SELECT term, field, id, string_agg(place, ',' ORDER BY place) AS places FROM terms WHERE term IN ('changed', 'the', 'die') GROUP BY ALL", "shelf")
+def index_refresh(spark, sf_dir):
+    """An index of which a sixth of the rows change and another sixth goes."""
+    shelf, folder = _t(spark, sf_dir, "shelf").select("id", *textindex.FIELDS), new_folder(spark, "words")
+    textindex.write(shelf, folder, textindex.WORDS)
+    changed = shelf.filter("id % 12 = 0").withColumn("title", F.concat(F.lit("Changed "), "title"))
+    textindex.write(changed, folder, textindex.WORDS, 1, shelf.filter("id % 12 = 6").select("id"))
+    got = textindex.lookup(spark, folder, ["changed", "the", "die"])
+    return got.select("term", "field", "id", F.array_join(F.col("places").cast("array<string>"), ",").alias("places"))
+
+
+@query(
+    """AND texts AS (SELECT id, 'title' AS field, lower(title) AS t FROM shelf UNION ALL SELECT id, 'description', lower(description) FROM shelf WHERE description IS NOT NULL),
+    runs AS (SELECT DISTINCT id, field, substr(t, i, 3) AS term FROM texts, unnest(range(1, greatest(length(t) - 1, 1))) r(i) WHERE i <= length(t) - 2)
+    SELECT term, field, count(*) AS n FROM runs GROUP BY ALL UNION ALL SELECT '', field, count(*) FROM texts GROUP BY field""", "shelf",
+)
+def index_grams(spark, sf_dir):
+    folder = new_folder(spark, "grams")
+    textindex.write(_t(spark, sf_dir, "shelf").select("id", *textindex.FIELDS), folder, textindex.GRAMS)
+    return spark.read.parquet(f"{folder}/sizes").select("term", "field", "n")
 
 
 @query(f"AND {_HITS}, page AS (SELECT id, r FROM hits WHERE {_DAYS20} ORDER BY r DESC, scraped_at DESC, id LIMIT 100 OFFSET 20) SELECT s.id, round(p.r, 9) AS r, s.title, s.company, s.scraped_at FROM page p JOIN shelf s ON s.id = p.id", "shelf")
 def search_ranked(spark, sf_dir):
-    got = search.page(_t(spark, sf_dir, "shelf"), search.Search(X.AS_OF, keywords=KEYWORDS, max_age_days=20, limit=100, offset=20))
+    got = search.page(_t(spark, sf_dir, "shelf"), search.Search(X.AS_OF, keywords=KEYWORDS, max_age_days=20, limit=100, offset=20), _by_words(spark, sf_dir))
     return got.select("id", F.round("r", 9).alias("r"), "title", "company", "scraped_at")
 
 
 @query(f"AND {_HITS} SELECT count(*) AS total FROM hits WHERE {_DAYS20}", "shelf")
 def search_count(spark, sf_dir):
-    return search.total(_t(spark, sf_dir, "shelf"), search.Search(X.AS_OF, keywords=KEYWORDS, max_age_days=20))
+    return search.total(_t(spark, sf_dir, "shelf"), search.Search(X.AS_OF, keywords=KEYWORDS, max_age_days=20), _by_words(spark, sf_dir))
+
+
+@query(f"AND {_HITS} SELECT id, round(r, 9) AS r FROM hits", "shelf")
+def search_without_index(spark, sf_dir):
+    return search.hits(_t(spark, sf_dir, "shelf"), search.Search(X.AS_OF, keywords=KEYWORDS)).select("id", F.round("r", 9).alias("r"))
+
+
+#: Excluded words and phrases, either of two, and a term that is nothing but excluded words.
+SYNTAX = ['the and -"of the"', "die or der -und", "senior -the -and", "-the -die -der -und -and"]
+_ROW = "contains(' ' || array_to_string({0}, ' ') || ' ', ' of the ')"
+_HAS = "list_contains({0}, '{1}')"
+
+
+def _syntax(ws: str) -> str:
+    has = {w: _HAS.format(ws, w) for w in ("the", "and", "die", "der", "und", "senior")}
+    return (
+        f"(({has['the']} AND {has['and']} AND NOT {_ROW.format(ws)}) OR {has['die']} OR ({has['der']} AND NOT {has['und']}) OR ({has['senior']} AND NOT {has['the']} AND NOT {has['and']})"
+        f" OR (NOT {has['the']} AND NOT {has['die']} AND NOT {has['der']} AND NOT {has['und']} AND NOT {has['and']}))"
+    )
+
+
+@query(
+    f"""AND tokens AS (SELECT *, {_WORDS.format('title')} AS tw, {_WORDS.format('description')} AS dw FROM shelf)
+    SELECT id, round(CASE WHEN {_syntax('tw')} THEN {_FALLING.format("'and', 'der', 'die', 'of', 'senior', 'the', 'und'", 7)} ELSE 0 END, 9) AS r FROM tokens WHERE {_syntax('tw')} OR (description IS NOT NULL AND {_syntax('dw')})""", "shelf",
+)
+def search_syntax(spark, sf_dir):
+    return search.hits(_t(spark, sf_dir, "shelf"), search.Search(X.AS_OF, keywords=SYNTAX), _by_words(spark, sf_dir)).select("id", F.round("r", 9).alias("r"))
 
 
 @query(
@@ -207,7 +290,7 @@ def search_count(spark, sf_dir):
     AND (company_domain IS NULL OR company_domain NOT IN ('capco.com'))""", "shelf",
 )
 def search_negative(spark, sf_dir):
-    return search.hits(_t(spark, sf_dir, "shelf"), search.Search(X.AS_OF, without=["remote", "ation"], exclude_domains=["capco.com"])).select("id")
+    return search.hits(_t(spark, sf_dir, "shelf"), search.Search(X.AS_OF, without=["remote", "ation"], exclude_domains=["capco.com"]), _shelf_index(spark, sf_dir)).select("id")
 
 
 @query(
@@ -219,7 +302,7 @@ def search_negative_legacy(spark, sf_dir):
 
 @query("SELECT id, title FROM shelf WHERE title ILIKE '%mid%' OR title ILIKE '%medior%' OR title ILIKE '%intermediate%'", "shelf")
 def search_seniority(spark, sf_dir):
-    return search.hits(_t(spark, sf_dir, "shelf"), search.Search(X.AS_OF, seniority="mid")).select("id", "title")
+    return search.hits(_t(spark, sf_dir, "shelf"), search.Search(X.AS_OF, seniority="mid"), _shelf_index(spark, sf_dir)).select("id", "title")
 
 
 @query("SELECT id, salary_min, salary_max FROM shelf WHERE salary_min >= 45000 AND salary_max <= 100000 AND source IN ('src1', 'src2', 'src3', 'src4', 'src5', 'src6', 'src7', 'src8') AND company_domain IN ('capco.com', 'amberra.com') AND location ILIKE '%an%'", "shelf")
@@ -544,7 +627,7 @@ _MEMORY = f"{_BANDS}, memory AS (SELECT id AS mid, band, band_hash FROM bands WH
 @query(f"{_MEMORY}, s AS (SELECT b.id, mid, count(DISTINCT b.band) AS n FROM bands b JOIN memory m ON b.band = m.band AND b.band_hash = m.band_hash GROUP BY b.id, mid) SELECT id, CAST(max(n) AS INT) AS shared FROM s GROUP BY id HAVING max(n) >= {nearsim.required_bands()}", "raw")
 def near_dup_pairs(spark, sf_dir):
     bands = _bands(spark, sf_dir).persist()  # read for either side; clearCache() or the session's end releases it
-    return nearsim.shared_bands(bands, _memory(bands), F.lit(X.AS_OF)).filter(F.col("shared") >= nearsim.required_bands())
+    return nearsim.shared_bands(bands, _memory(bands), F.lit(X.AS_OF), least=nearsim.required_bands())
 
 
 @query(f"{_BANDS} SELECT CAST(id AS VARCHAR) AS content_hash, band FROM bands WHERE id % 2 = 0 AND id % 500 <= 240", "raw")

@@ -15,7 +15,7 @@ AS_OF = datetime(2024, 1, 31)
 NOW = "TIMESTAMP '2024-01-31 00:00:00'"
 
 COMPANIES = "Amberra GmbH;amberra;Capco AG;Capco;Bewerbung als Manager;;Nordlicht SE & Co. KG;Nordlicht"
-PLACES = "Berlin;Berlin-Mitte;München (Hybrid);Remote;Hamburg, Germany;Köln / Home Office;London, UK;;Frankfurt | Remote"
+PLACES = "Berlin;Berlin-Mitte;München (Hybrid);Remote;Hamburg, Germany;Köln / Home Office;London, UK;;Frankfurt | Remote;MÜNCHEN;KÖLN, NRW"
 URLS = "https://www.example.com/jobs/;https://boards.greenhouse.io/acme/jobs/;https://de.indeed.com/view/;https://jobs.capco.com/"
 
 #: A gazetteer (name, latitude, longitude, population, other names) for the queries over places.
@@ -33,7 +33,7 @@ SELECT id, CASE WHEN id % 5 = 1 AND company <> '' THEN base || ' - ' || company
   split_part('new;refining;refined;rejected;new;duplicate;new;new', ';', CAST(id % 8 + 1 AS INT)) AS status
 FROM (
   SELECT doc_id AS id, text, source, left(split_part('Senior ;;Mid-level ;;Lead ;;', ';', CAST(doc_id % 7 + 1 AS INT)) || split_part(text, chr(10), 1), CASE WHEN doc_id % 3 = 0 THEN 64 ELSE 120 END) AS base,
-    split_part('{COMPANIES}', ';', CAST(doc_id % 8 + 1 AS INT)) AS company, split_part('{PLACES}', ';', CAST(doc_id % 9 + 1 AS INT)) AS location, split_part('{URLS}', ';', CAST(doc_id % 4 + 1 AS INT)) AS url
+    split_part('{COMPANIES}', ';', CAST(doc_id % 8 + 1 AS INT)) AS company, split_part('{PLACES}', ';', CAST(doc_id % 11 + 1 AS INT)) AS location, split_part('{URLS}', ';', CAST(doc_id % 4 + 1 AS INT)) AS url
   FROM documents
 ) d
 """
