@@ -123,7 +123,7 @@ def test_substrings_by_grams(spark, shelf, tmp_path):
     """Rows as by reading every text; candidates are few where the pattern is rare."""
     rare = spark.createDataFrame([(2000 + i, "t", f"some Rar%e pat{'tern' if i % 2 else 'tem'} 日本語x", NOW) for i in range(6)], shelf.schema)
     rows = shelf.unionByName(rare)
-    index = search.Index(str(tmp_path / "words"), str(tmp_path / "grams"))
+    index = search.Index(grams=str(tmp_path / "grams"))
     textindex.write(rows, index.grams, textindex.GRAMS)
     for pattern in ("pattern", "PATT", "a, b", "ta", "x", "", "日本語", "pat%tern", "r_r", "no such thing", "team lead", "über"):
         spec = search.Search(NOW, without=[pattern])

@@ -59,9 +59,9 @@ class Search:
 
 @dataclass(frozen=True)
 class Index:
-    """Folders that textindex.write() has made of the shelf: of words, and of grams if substrings are to be found by them."""
+    """Folders that textindex.write() has made of the shelf: of words, of grams for substrings, or both.  What has none is looked for in the texts."""
 
-    words: str
+    words: str | None = None
     grams: str | None = None
 
 
@@ -177,7 +177,7 @@ def hits(shelf: DataFrame, spec: Search, index: Index | None = None) -> DataFram
     asked = parsed_terms(spec.keywords)
     if not asked:
         return rows.withColumn("r", F.lit(0.0)).filter(F.lit(False))
-    if index is not None:
+    if index is not None and index.words is not None:
         return rows.join(matched(index, asked, shelf.sparkSession), "id")
     in_title = matches(F.col("title"), asked)
     rows = rows.filter(in_title | matches(F.col("description"), asked))

@@ -191,23 +191,25 @@ _HITS = f"""
 tokens AS (SELECT *, {_WORDS.format('title')} AS tw, {_WORDS.format('description')} AS dw FROM shelf),
 hits AS (SELECT *, CASE WHEN {_MATCH.format('tw')} THEN {_RANK} ELSE 0 END AS r FROM tokens WHERE {_MATCH.format('tw')} OR {_MATCH.format('dw')})"""
 _DAYS20 = f"scraped_at >= {X.NOW} - INTERVAL '20' DAY"
-_INDEXES: dict[tuple, search.Index] = {}
+_INDEXES: dict[tuple, str] = {}
 
 
-def _shelf_index(spark, sf_dir) -> search.Index:
-    """The shelf's indexes, which are built with it once a session: index_words and index_grams are the builds."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+def _shelf_index(spark, sf_dir, kind: str) -> str:
+    """The folder of an index of the shelf, which is built with it once a session: index_words and index_grams are the builds."""
+    key = (spark.sparkContext.applicationId, sf_dir, kind)
     if key not in _INDEXES:
-        shelf = _t(spark, sf_dir, "shelf").select("id", *textindex.FIELDS)
-        own = search.Index(new_folder(spark, "words"), new_folder(spark, "grams"))
-        textindex.write(shelf, own.words, textindex.WORDS)
-        textindex.write(shelf, own.grams, textindex.GRAMS)
-        _INDEXES[key] = own
+        folder = new_folder(spark, kind)
+        textindex.write(_t(spark, sf_dir, "shelf").select("id", *textindex.FIELDS), folder, {"words": textindex.WORDS, "grams": textindex.GRAMS}[kind])
+        _INDEXES[key] = folder
     return _INDEXES[key]
 
 
 def _by_words(spark, sf_dir) -> search.Index:
-    return search.Index(_shelf_index(spark, sf_dir).words)
+    return search.Index(words=_shelf_index(spark, sf_dir, "words"))
+
+
+def _by_grams(spark, sf_dir) -> search.Index:
+    return search.Index(grams=_shelf_index(spark, sf_dir, "grams"))
 
 
 _ENTRIES = """AND texts AS (SELECT id, 'title' AS field, title AS t FROM {0} UNION ALL SELECT id, 'description', description FROM {0} WHERE description IS NOT NULL),
@@ -290,7 +292,7 @@ def search_syntax(spark, sf_dir):
     AND (company_domain IS NULL OR company_domain NOT IN ('capco.com'))""", "shelf",
 )
 def search_negative(spark, sf_dir):
-    return search.hits(_t(spark, sf_dir, "shelf"), search.Search(X.AS_OF, without=["remote", "ation"], exclude_domains=["capco.com"]), _shelf_index(spark, sf_dir)).select("id")
+    return search.hits(_t(spark, sf_dir, "shelf"), search.Search(X.AS_OF, without=["remote", "ation"], exclude_domains=["capco.com"]), _by_grams(spark, sf_dir)).select("id")
 
 
 @query(
@@ -302,7 +304,7 @@ def search_negative_legacy(spark, sf_dir):
 
 @query("SELECT id, title FROM shelf WHERE title ILIKE '%mid%' OR title ILIKE '%medior%' OR title ILIKE '%intermediate%'", "shelf")
 def search_seniority(spark, sf_dir):
-    return search.hits(_t(spark, sf_dir, "shelf"), search.Search(X.AS_OF, seniority="mid"), _shelf_index(spark, sf_dir)).select("id", "title")
+    return search.hits(_t(spark, sf_dir, "shelf"), search.Search(X.AS_OF, seniority="mid"), _by_grams(spark, sf_dir)).select("id", "title")
 
 
 @query("SELECT id, salary_min, salary_max FROM shelf WHERE salary_min >= 45000 AND salary_max <= 100000 AND source IN ('src1', 'src2', 'src3', 'src4', 'src5', 'src6', 'src7', 'src8') AND company_domain IN ('capco.com', 'amberra.com') AND location ILIKE '%an%'", "shelf")
