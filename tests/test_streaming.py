@@ -1,11 +1,11 @@
 from datetime import date, datetime, timedelta
 
-from pyspark.sql import functions as F
+import pytest
 
 from tidewell import schemas
-from tidewell.operators import quality
+from tidewell.operators import lifecycle, quality
 from tidewell.plans import catalog, refine
-from tidewell.streaming import inbox
+from tidewell.streaming import inbox, shelf
 
 NOW = datetime(2024, 1, 31)
 
@@ -23,7 +23,7 @@ def test_draining_batch_by_batch(spark, tmp_path):
     inbox.drained(path, folder, catalog._index, settings, spark).awaitTermination()
     outcome = lambda no: {r.id: r.outcome for r in spark.read.parquet(f"{folder}/outcomes/{no}").collect()}
     assert outcome(0) == {1: "refined", 2: "refined"} and outcome(1) == {3: "duplicate"}
-    assert inbox.version(spark, folder, "shelf", 2, schemas.SHELF).count() == 2
+    assert shelf.read(spark, f"{folder}/shelf", 2, schemas.SHELF).count() == 2
 
 
 def test_memory_of_keys(spark, tmp_path):
@@ -36,13 +36,62 @@ def test_memory_of_keys(spark, tmp_path):
     assert sorted(r.k for r in spark.table("firsts").collect()) == ["a", "b"]
 
 
-def test_changes(spark, tmp_path):
+@pytest.fixture
+def rocks(spark):
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    yield
+    spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def test_changes_and_their_expiry(spark, tmp_path, rocks):
+    """Each start is a restart: state and timers come from the checkpoint.  A key left alone for long is told to expire, and is new when it comes again."""
     path = str(tmp_path / "in")
-    bodies = [("s", "k", "one"), ("s", "k", "one"), ("s", "k", "two"), ("s", "l", "one")]
-    for no, b in enumerate(bodies):
-        spark.createDataFrame([(*b, NOW + timedelta(hours=no))], "source_name string, fetch_key string, body string, fetched_at timestamp").coalesce(1).write.mode("append").parquet(path)
-    stream = spark.readStream.schema("source_name string, fetch_key string, body string, fetched_at timestamp").parquet(path)
-    q = inbox.changes(stream).writeStream.format("memory").queryName("changes").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).outputMode("append").start()
-    q.awaitTermination()
-    got = spark.table("changes").orderBy("fetch_key", "last_changed_at", F.col("unchanged")).collect()
-    assert [(r.fetch_key, r.unchanged) for r in got] == [("k", False), ("k", True), ("k", False), ("l", False)]
+    bodies = [("s", "k", "one", 0), ("s", "k", "one", 1), ("s", "k", "two", 2), ("s", "l", "one", 20 * 24), ("s", "l", "one", 36 * 24), ("s", "k", "two", 37 * 24), ("s", "l", "three", 38 * 24)]
+    for no, (source, key, body, hours) in enumerate(bodies):
+        row = [(source, key, body, NOW + timedelta(hours=hours))]
+        spark.createDataFrame(row, "source_name string, fetch_key string, body string, fetched_at timestamp").coalesce(1).write.mode("append").parquet(path)
+        stream = spark.readStream.schema("source_name string, fetch_key string, body string, fetched_at timestamp").parquet(path)
+        q = inbox.changes(stream).writeStream.format("parquet").option("path", str(tmp_path / "out")).trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).outputMode("append").start()
+        q.awaitTermination()
+        got = sorted((r.fetch_key, r.last_changed_at, bool(r.expired), bool(r.unchanged)) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+        assert sum(x[2] for x in got) == (no >= 4), (no, got)
+    at = lambda h: NOW + timedelta(hours=h)
+    assert got == sorted([
+        ("k", at(0), False, False), ("k", at(0), False, True), ("k", at(2), False, False), ("k", at(2), True, False), ("k", at(37 * 24), False, False),
+        ("l", at(20 * 24), False, False), ("l", at(20 * 24), False, True), ("l", at(38 * 24), False, False),
+    ])
+
+
+def posting(i, title="T", source="s"):
+    return (i, title, f"http://h/{i}", "Co", "Berlin", "", source, str(i))
+
+
+def test_a_batch_rewrites_its_own_buckets(spark, tmp_path):
+    """Untouched buckets keep their files; a batch that is run again replaces what it wrote; the whole is what one upsert after the other gives."""
+    columns = "id long, title string, url string, company string, location string, salary string, source string, external_id string"
+    folder = str(tmp_path / "shelf")
+    batches = [spark.createDataFrame([posting(i) for i in range(300)], columns), spark.createDataFrame([posting(7, "New"), posting(1000)], columns), spark.createDataFrame([posting(8, "Newer"), posting(7, "Last")], columns)]
+    want = spark.createDataFrame([], schemas.SHELF)
+    for no, jobs in enumerate(batches):
+        want = lifecycle.shelf_upserted(want, jobs, NOW + timedelta(days=no))
+        for _ in range(2 if no == 1 else 1):
+            touched = shelf.upsert(spark, folder, no, jobs, NOW + timedelta(days=no), schemas.SHELF)
+        written = [b for v, b in shelf._listed(spark, folder, "version=*/bucket=*") if v == no + 1]
+        assert sorted(written) == touched and len(touched) <= jobs.count()
+        shelf.swept(spark, folder, no)
+    rows = lambda df: sorted(map(str, df.select("id", "title", "source", "external_id", "first_seen_at", "last_seen_at").collect()))
+    assert rows(shelf.read(spark, folder, 3, schemas.SHELF)) == rows(want)
+    left = shelf._listed(spark, folder, "version=*/bucket=*")
+    assert len(left) <= shelf.BUCKETS + 4  # the latest, and what the last batch would read again
+
+
+def test_memory_adds_up(spark, tmp_path):
+    new = lambda no: spark.createDataFrame([(f"h{no}", 0, f"b{no}", NOW)], schemas.MEMORY)
+    folder = str(tmp_path / "memory")
+    for no in range(3):
+        assert sorted(r.content_hash for r in shelf.remembered(spark, folder, no, schemas.MEMORY).collect()) == [f"h{i}" for i in range(no)]
+        shelf.remember(folder, no, new(no))
+    shelf.remember(folder, 1, new(5))  # batch 1 once more
+    assert sorted(r.content_hash for r in shelf.remembered(spark, folder, 3, schemas.MEMORY).collect()) == ["h0", "h2", "h5"]

@@ -146,10 +146,15 @@ def near_duplicates(bands: DataFrame, memory: DataFrame, as_of, required: int |
     return shared_bands(bands, memory, as_of, window_days, required or required_bands(), n_bands).select("id")
 
 
-def remembered(memory: DataFrame, new: DataFrame) -> DataFrame:
-    """The memory with the new (content_hash, band, band_hash, seen_at) that it lacks."""
+def unknown_bands(memory: DataFrame, new: DataFrame) -> DataFrame:
+    """The new (content_hash, band, band_hash, seen_at) that the memory lacks."""
     keys = ["content_hash", "band_hash"]
-    return memory.unionByName(new.dropDuplicates(keys).join(memory.select(*keys), keys, "left_anti").select(*memory.columns))
+    return new.dropDuplicates(keys).join(memory.select(*keys), keys, "left_anti").select(*memory.columns)
+
+
+def remembered(memory: DataFrame, new: DataFrame) -> DataFrame:
+    """The memory with the new bands that it lacks."""
+    return memory.unionByName(unknown_bands(memory, new))
 
 
 def forgotten(memory: DataFrame, as_of, window_days: int = WINDOW_DAYS) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Refining a batch of the inbox: one lazy plan from claimed rows to outcomes, shelf and memory."""
+"""Refining a batch of the inbox: from claimed rows to outcomes, shelf and memory, in a few written steps."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.operators import dedup, lifecycle, location, nearsim, quality
+from tidewell.sources import shared
 
 
 @dataclass(frozen=True)
@@ -26,18 +27,18 @@ class Settings:
 
 @dataclass
 class Refined:
-    """outcomes (id, outcome), the rows for the shelf, the next shelf and the next memory."""
+    """outcomes (id, outcome), the rows for the shelf, what they add to the memory, the next shelf and the next memory."""
 
     outcomes: DataFrame
     jobs: DataFrame
+    added: DataFrame
     shelf: DataFrame
     memory: DataFrame
-    held: list[DataFrame]
+    folder: str
 
     def release(self) -> None:
-        """Once all results have been consumed."""
-        for df in self.held:
-            df.unpersist()
+        """Removes the tables of the steps, once all results have been consumed."""
+        shared.removed(self.outcomes.sparkSession, self.folder)
 
 
 def refine(batch: DataFrame, shelf: DataFrame, memory: DataFrame, index: DataFrame, fetched: DataFrame, settings: Settings) -> Refined:
@@ -47,21 +48,24 @@ def refine(batch: DataFrame, shelf: DataFrame, memory: DataFrame, index: DataFra
     stay), rules, places, the title gate, descriptions, upsert; rows that reach the shelf are then
     remembered.  Near duplicates are told by the description as it came.
     """
-    # What is read more than once is held; lost blocks are computed again.
-    jobs = dedup.parsed(batch).persist()
-    bands = nearsim.band_hashes(jobs.select("id", F.col("description").alias("text")), settings.lanes).persist()
-    same = dedup.duplicates(jobs, shelf).persist()
-    near = nearsim.near_duplicates(bands.join(same, "id", "left_anti"), memory, F.lit(settings.as_of), nearsim.required_bands(settings.lanes), settings.window_days, settings.lanes // nearsim.BAND_WIDTH)
+    # What is read more than once is written to the shared folder, which also keeps the plans short.
+    folder = shared.new_folder(batch.sparkSession, "refine")
+    jobs = shared.staged(dedup.parsed(batch), folder, "jobs")
+    same = shared.staged(dedup.duplicates(jobs, shelf), folder, "same")
+    rest = jobs.join(same, "id", "left_anti").select("id", F.col("description").alias("text"))
+    bands = shared.staged(nearsim.band_hashes(rest, settings.lanes), folder, "bands")
+    near = shared.staged(nearsim.near_duplicates(bands, memory, F.lit(settings.as_of), nearsim.required_bands(settings.lanes), settings.window_days, settings.lanes // nearsim.BAND_WIDTH), folder, "near")
     judged = quality.classified(jobs, settings.rules, settings.today)
     gone = same.unionByName(near).select("id", F.lit(True).alias("_gone"))
     bad = (F.col("verdict") == "reject") | ~quality.title_passes(F.col("title"))
     marked = judged.join(gone, "id", "left").withColumn("outcome", F.when(F.col("_gone"), "duplicate").when(bad, "rejected").otherwise("refined")).drop("_gone", "verdict")
-    marked = marked.persist()
+    marked = shared.staged(marked, folder, "marked")
     placed = location.located(marked.filter("outcome = 'refined'").drop("outcome"), index)
-    done = quality.filled_in(placed, fetched, list(settings.blocked_hosts))
+    done = shared.staged(quality.filled_in(placed, fetched, list(settings.blocked_hosts)), folder, "done")
     new = bands.join(done.select("id", "content_hash"), "id").select("content_hash", "band", "band_hash", F.lit(settings.as_of).alias("seen_at"))
-    next_memory = nearsim.remembered(nearsim.forgotten(memory, F.lit(settings.as_of), settings.window_days), new)
-    return Refined(marked.select("id", "outcome"), done, lifecycle.shelf_upserted(shelf, done, settings.as_of), next_memory, [jobs, bands, same, marked])
+    kept = nearsim.forgotten(memory, F.lit(settings.as_of), settings.window_days)
+    added = nearsim.unknown_bands(kept, new)
+    return Refined(marked.select("id", "outcome"), done, added, lifecycle.shelf_upserted(shelf, done, settings.as_of), kept.unionByName(added), folder)
 
 
 def finished(inbox: DataFrame, outcomes: DataFrame) -> DataFrame:

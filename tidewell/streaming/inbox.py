@@ -1,56 +1,45 @@
 """The engine on streams: draining the inbox, keyed dedup with a memory, change detection.
 
-Each query writes its state as versioned tables below a folder that driver and executors share; a
-batch reads version n and writes version n + 1 under the batch's number, so a batch that is run again after a failure writes the same rows.
+The drain's state is tables below a folder that driver and executors share, versioned by bucket (see shelf.py), so
+a batch that is run again after a failure writes the same rows.  The change detector's is Spark's own, with timers that end it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from datetime import timedelta, timezone
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 from tidewell import schemas
 from tidewell.functions.values import counter
 from tidewell.plans import refine as R
-
-
-def version(spark: SparkSession, folder: str, table: str, no: int, schema: str) -> DataFrame:
-    """The table as it was before batch ``no``; empty before the first."""
-    if no == 0:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(f"{folder}/{table}/{no}")
-
-
-def removed(spark: SparkSession, folder: str) -> None:
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+from tidewell.streaming import shelf
 
 
 def drained(inbox_path: str, folder: str, index: Callable[[SparkSession], DataFrame], settings: R.Settings, spark: SparkSession) -> StreamingQuery:
     """Refine every file of the inbox as one batch, until all are done.
 
     The batch a row is in matters: alike rows of one batch all stay, of two batches the first does.
-    One file per batch makes that explicit.
+    One file per batch makes that explicit.  A batch rewrites the shelf's buckets that it has rows for.
     """
     rows = spark.readStream.schema(schemas.RAW).option("maxFilesPerTrigger", 1).parquet(inbox_path)
 
     def refine(batch: DataFrame, no: int) -> None:
         s = batch.sparkSession
-        shelf, memory = version(s, folder, "shelf", no, schemas.SHELF), version(s, folder, "memory", no, schemas.MEMORY)
+        old, memory = shelf.read(s, f"{folder}/shelf", no, schemas.SHELF), shelf.remembered(s, f"{folder}/memory", no, schemas.MEMORY)
         fetched = s.createDataFrame([], "url string, fetched string")
-        done = R.refine(batch, shelf, memory, index(s), fetched, settings)
-        for table, df, to in (("outcomes", done.outcomes, no), ("shelf", done.shelf, no + 1), ("memory", done.memory, no + 1)):
-            df.write.mode("overwrite").parquet(f"{folder}/{table}/{to}")
+        done = R.refine(batch, old, memory, index(s), fetched, settings)
+        done.outcomes.write.mode("overwrite").parquet(f"{folder}/outcomes/{no}")
+        shelf.upsert(s, f"{folder}/shelf", no, done.jobs, settings.as_of, schemas.SHELF)
+        shelf.remember(f"{folder}/memory", no, done.added)
         done.release()
-        # Batch ``no`` may be run again and needs what it read; what came before it is done with.
-        for table in ("shelf", "memory"):
-            if no:
-                removed(s, f"{folder}/{table}/{no - 1}")
+        shelf.swept(s, f"{folder}/shelf", no)
 
     return rows.writeStream.foreachBatch(refine).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start()
 
@@ -60,26 +49,54 @@ def first_within(stream: DataFrame, keys: list[str], time_col: str, delay: str =
     return stream.withWatermark(time_col, delay).dropDuplicatesWithinWatermark(keys)
 
 
-_CHANGE = "source_name string, fetch_key string, checksum string, unchanged boolean, last_changed_at timestamp"
+_CHANGE = "source_name string, fetch_key string, checksum string, unchanged boolean, last_changed_at timestamp, expired boolean"
+#: How long a body is known after it was last fetched.
+FORGET = timedelta(days=30)
+
+
+class Follower(StatefulProcessor):
+    """Of each key the last checksum and since when it holds, until a timer of the watermark forgets both."""
 
+    def __init__(self, forget: timedelta):
+        self.forget = int(forget.total_seconds() * 1000)
 
-def changes(stream: DataFrame) -> DataFrame:
-    """Fetched bodies (source_name, fetch_key, body, fetched_at) with whether they are as the key's last one, and since when."""
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "checksum string, since timestamp, seen timestamp")
 
-    def follow(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen, since = state.get if state.exists else (None, None)
-        rows = pd.concat(list(frames)).sort_values(["fetched_at", "checksum"], kind="stable")
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803  names of the API
+        checksum, since, seen = self.last.get() if self.last.exists() else (None, None, None)
+        every = pd.concat(list(rows)).sort_values(["fetched_at", "checksum"], kind="stable")
         out = []
-        for checksum, at in zip(rows["checksum"], rows["fetched_at"]):
-            same = checksum == seen
+        for now, at in zip(every["checksum"], every["fetched_at"]):
+            same = now == checksum
             if not same:
-                seen, since = checksum, at.to_pydatetime()
-            out.append((*key, checksum, same, since))
-        state.update((seen, since))
+                checksum, since = now, at.to_pydatetime()
+            seen = at.to_pydatetime() if seen is None else max(seen, at.to_pydatetime())
+            out.append((*key, checksum, same, since, False))
+        self.last.update((checksum, since, seen))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(int(seen.replace(tzinfo=seen.tzinfo or timezone.utc).timestamp() * 1000) + self.forget)
         yield pd.DataFrame(out, columns=[c.split()[0] for c in _CHANGE.split(", ")])
 
-    hashed = stream.select("source_name", "fetch_key", F.sha2("body", 256).alias("checksum"), "fetched_at")
-    return hashed.groupBy("source_name", "fetch_key").applyInPandasWithState(follow, _CHANGE, "checksum string, since timestamp", "append", GroupStateTimeout.NoTimeout)
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        checksum, since, _ = self.last.get()
+        self.last.clear()
+        yield pd.DataFrame([(*key, checksum, None, since, True)], columns=[c.split()[0] for c in _CHANGE.split(", ")])
+
+    def close(self) -> None:
+        pass
+
+
+def changes(stream: DataFrame, forget: timedelta = FORGET, delay: str = "1 day") -> DataFrame:
+    """Fetched bodies (source_name, fetch_key, body, fetched_at) with whether they are as the key's last one, and since when.
+
+    A key that the watermark, ``delay`` behind the newest row, has left by more than ``forget`` goes: a row with ``expired`` tells so, and its next body is new again.
+    Timers follow the rows' own times, so a replay gives the same rows.  The session's state store must be the one of RocksDB.
+    """
+    hashed = stream.select("source_name", "fetch_key", F.sha2("body", 256).alias("checksum"), "fetched_at").withWatermark("fetched_at", delay)
+    return hashed.groupBy("source_name", "fetch_key").transformWithStateInPandas(Follower(forget), _CHANGE, "Append", "EventTime")
 
 
 def rolling_flow(runs: DataFrame) -> DataFrame:
