@@ -56,10 +56,18 @@ def cut_in_batch(batch: DataFrame) -> DataFrame:
     and have no company or the keeper's.
     """
     rows = batch.filter(F.length("title") >= CUT).select("id", F.length("title").alias("n"), F.left("title", F.lit(CUT)).alias("prefix"), T.identity_company(F.col("company")).alias("name"))
-    w = Window.partitionBy("prefix").orderBy(F.desc("n"), "id")
-    ranked = rows.withColumns({"no": F.row_number().over(w), "keeper_name": F.first("name").over(w)})
     may_go = (F.col("n") == CUT) | (F.col("name") == "")
-    return ranked.filter((F.col("no") > 1) & may_go & ((F.col("name") == "") | (F.col("name") == F.col("keeper_name")))).select("id")
+    return _replaced(rows.withColumn("may_go", may_go), [F.col("n"), -F.col("id")])
+
+
+def _replaced(rows: DataFrame, order: list[Column]) -> DataFrame:
+    """id of rows (id, prefix, name, may_go) that may go and have no company or that of their prefix's keeper, the last by ``order``.
+
+    The keepers are folded in the tasks before the shuffle, and a prefix of many rows is a join's skewed key, which is split at run time.
+    """
+    keepers = rows.groupBy("prefix").agg(F.max(F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)], F.col("id").alias("keeper"), F.col("name").alias("keeper_name"))).alias("k"))
+    both = rows.filter("may_go").join(keepers, "prefix")
+    return both.filter((F.col("id") != F.col("k.keeper")) & ((F.col("name") == "") | (F.col("name") == F.col("k.keeper_name")))).select("id")
 
 
 def first_of_each_key(batch: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
@@ -94,9 +102,8 @@ def cut_on_shelf(shelf: DataFrame) -> DataFrame:
     stripped = T.without_echo(F.col("title"), F.col("company"))
     rows = shelf.select("id", "scraped_at", F.length(T.blank(F.col("description"))).alias("rich"), stripped.alias("stripped"), T.identity_company(F.col("company")).alias("name"))
     rows = rows.filter(F.length("stripped") >= CUT).withColumns({"n": F.length("stripped"), "may_go": (F.length("stripped") == CUT) | (F.col("name") == "")})
-    w = Window.partitionBy(F.left("stripped", F.lit(CUT))).orderBy("may_go", F.col("n").desc(), F.col("rich").desc(), F.col("scraped_at").desc_nulls_last(), "id")
-    ranked = rows.withColumns({"no": F.row_number().over(w), "keeper_name": F.first("name").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))})
-    return ranked.filter((F.col("no") > 1) & F.col("may_go") & ((F.col("name") == "") | (F.col("name") == F.col("keeper_name")))).select("id")
+    rows = rows.withColumn("prefix", F.left("stripped", F.lit(CUT)))
+    return _replaced(rows, [~F.col("may_go"), F.col("n"), F.col("rich"), F.col("scraped_at"), -F.col("id")])
 
 
 def rehashed_shelf(shelf: DataFrame) -> DataFrame:

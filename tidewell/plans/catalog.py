@@ -17,7 +17,7 @@ from tidewell.operators import dedup, lifecycle, location, metrics, nearsim, qua
 from tidewell.plans import fixtures as X
 from tidewell.plans import refine as R
 from tidewell.sources import boards, pages
-from tidewell.sources.shared import new_folder
+from tidewell.sources.shared import new_folder, staged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -455,6 +455,12 @@ def backlog_metrics(spark, sf_dir):
     return metrics.backlog(_t(spark, sf_dir, "raw"), X.AS_OF)
 
 
+@query("SELECT event_id, CAST(printf('%.2f', (event_id * 10 + 5) / 1000.0::DOUBLE) AS DOUBLE) AS tie, CAST(printf('%.1f', value) AS DOUBLE) AS tenth, CAST(printf('%.0f', event_id / 2.0::DOUBLE) AS DOUBLE) AS half FROM events")
+def rounded_values(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return rows.select("event_id", V.rounded((F.col("event_id") * 10 + 5) / F.lit(1000.0), 2).alias("tie"), V.rounded(F.col("value"), 1).alias("tenth"), V.rounded(F.col("event_id") / F.lit(2.0), 0).alias("half"))
+
+
 _STAT = "CAST(coalesce(sum(CAST(json_extract_string(stats, '$.{0}') AS BIGINT)), 0) AS BIGINT)"
 
 
@@ -628,7 +634,7 @@ _MEMORY = f"{_BANDS}, memory AS (SELECT id AS mid, band, band_hash FROM bands WH
 
 @query(f"{_MEMORY}, s AS (SELECT b.id, mid, count(DISTINCT b.band) AS n FROM bands b JOIN memory m ON b.band = m.band AND b.band_hash = m.band_hash GROUP BY b.id, mid) SELECT id, CAST(max(n) AS INT) AS shared FROM s GROUP BY id HAVING max(n) >= {nearsim.required_bands()}", "raw")
 def near_dup_pairs(spark, sf_dir):
-    bands = _bands(spark, sf_dir).persist()  # read for either side; clearCache() or the session's end releases it
+    bands = staged(_bands(spark, sf_dir), new_folder(spark, "bands"), "bands")  # read for either side
     return nearsim.shared_bands(bands, _memory(bands), F.lit(X.AS_OF), least=nearsim.required_bands())
 
 
@@ -699,4 +705,4 @@ def feed_validation(spark, sf_dir):
     return boards.validated(made, "greenhouse").drop("sample_titles")
 
 
-from tidewell.plans import lifecycle_queries, payload_queries  # noqa: E402, F401  they register more
+from tidewell.plans import lifecycle_queries, payload_queries, stream_queries  # noqa: E402, F401  they register more

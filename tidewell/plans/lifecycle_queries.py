@@ -12,6 +12,7 @@ from tidewell.operators import companies, dedup, lifecycle, location, metrics, n
 from tidewell.plans import fixtures as X
 from tidewell.plans.catalog import _BANDS, _CUT_SHELF, _DAYS20, _FLAGS, _HITS, HASHED_SHELF, KEYWORDS, _memory, _registry_rows, _t, query
 from tidewell.sources import sinks
+from tidewell.sources.shared import new_folder, staged
 
 # -- small functions -----------------------------------------------------------------------------
 
@@ -137,7 +138,7 @@ def backfilled(spark, sf_dir):
 
 @query(f"{_BANDS}, memory AS (SELECT DISTINCT CAST(id AS VARCHAR) AS content_hash, band_hash FROM bands WHERE id % 2 = 0), new AS (SELECT CAST(id - id % 4 AS VARCHAR) AS content_hash, band_hash FROM bands) SELECT content_hash, band_hash FROM memory UNION SELECT content_hash, band_hash FROM new", "raw")
 def memory_add(spark, sf_dir):
-    bands = nearsim.band_hashes(_t(spark, sf_dir, "raw").select("id", F.col("description").alias("text"))).persist()
+    bands = staged(nearsim.band_hashes(_t(spark, sf_dir, "raw").select("id", F.col("description").alias("text"))), new_folder(spark, "bands"), "bands")
     new = bands.select((F.col("id") - F.col("id") % 4).cast("string").alias("content_hash"), "band", "band_hash", F.lit(X.AS_OF).alias("seen_at"))
     return nearsim.remembered(_memory(bands), new).select("content_hash", "band_hash")
 
