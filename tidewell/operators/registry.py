@@ -49,8 +49,14 @@ def slugs_by_source(registry: DataFrame) -> DataFrame:
     return registry.filter(T.blank(F.col("slug")) != "").groupBy("source").agg(F.array_sort(F.collect_set("slug")).alias("slugs")).withColumn("n", F.size("slugs").cast("long"))
 
 
-def enumerated(urls: DataFrame, provider: str) -> DataFrame:
-    """slug, crawls (sorted) of rows (url, crawl)."""
+def enumerated(urls: DataFrame, provider: str, most_pages: int | None = None) -> DataFrame:
+    """slug, crawls (sorted) of rows (url, crawl).
+
+    With ``most_pages``, of rows (url, crawl, page): what the first pages of each crawl tell, and truncated, whether any crawl has more.
+    """
+    if most_pages is not None:
+        more = urls.agg(F.coalesce(F.max("page") >= most_pages, F.lit(False)).alias("truncated"))
+        return enumerated(urls.filter(F.col("page") < most_pages), provider).crossJoin(F.broadcast(more))  # one row
     named = urls.select(slug_of_url(F.col("url"), provider).alias("slug"), "crawl").filter("slug IS NOT NULL")
     return named.groupBy("slug").agg(F.array_sort(F.collect_set("crawl")).alias("crawls"))
 

@@ -203,11 +203,24 @@ def enumeration_lines(spark, sf_dir):
     return sinks.candidate_lines(found).select("line")
 
 
-@query("SELECT DISTINCT 'a.b' || (page_id % 30) AS slug FROM pages WHERE page_id % 4 <> 0")
+@query("SELECT DISTINCT lower(regexp_extract(url, '^https?://([^/?#]+)', 1)) || (length(html) % 5) AS slug FROM pages WHERE page_id % 4 <> 0")
 def lever_harvest(spark, sf_dir):
-    n = F.col("page_id")
-    url = F.when(n % 4 == 0, "https://other.example/x").otherwise(F.concat(F.lit("https://jobs.lever.co/A.b"), n % 30, F.when(n % 2 == 0, "/posting?x").otherwise("")))
-    return registry.harvested(spark.read.parquet(f"{sf_dir}/pages.parquet").select(url.alias("url")))
+    # The pages' hosts as boards' names, every fourth address on another site.
+    host = F.regexp_extract("url", "^https?://([^/?#]+)", 1)
+    board = F.concat(F.lit("https://jobs.lever.co/"), F.initcap(host), F.length("html") % 5, F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("/posting?of="), "url")).otherwise(""))
+    return registry.harvested(spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.when(F.col("page_id") % 4 == 0, F.col("url")).otherwise(board).alias("url")))
+
+
+_PAGES = "SELECT url, page_id % 3 AS crawl, page_id // 9 AS page FROM pages"
+
+
+@query(
+    f"""WITH p AS ({_PAGES}), few AS (SELECT split_part(regexp_extract(url, '^https?://[^/]+/(.*)', 1), '/', 1) AS slug, crawl FROM p WHERE page < 12)
+    SELECT slug, string_agg(DISTINCT 'c' || crawl, ',' ORDER BY 'c' || crawl) AS crawls, (SELECT max(page) FROM p) >= 12 AS truncated FROM few GROUP BY slug"""
+)
+def slug_enumeration_capped(spark, sf_dir):
+    urls = spark.read.parquet(f"{sf_dir}/pages.parquet").select("url", F.concat(F.lit("c"), F.col("page_id") % 3).alias("crawl"), F.floor(F.col("page_id") / 9).alias("page"))
+    return registry.enumerated(urls, "lever", most_pages=12).withColumn("crawls", F.array_join("crawls", ","))
 
 
 @query(f"{_FLAGS} SELECT source, string_agg(slug, ',' ORDER BY slug) AS slugs, count(*) AS n FROM f GROUP BY source", "board_jobs")

@@ -27,17 +27,21 @@ def src_breezy(spark, sf_dir):
 
 
 def _xml_payloads(spark, sf_dir, item: str, head: str, tail: str, board: str = "board"):
-    """Like _payloads, of XML items; the inbox's place stands for texts, as these lose white space at their ends."""
+    """Like _payloads, of XML items."""
     rows = _t(spark, sf_dir, "raw").withColumn("slug", F.concat(F.lit(board), F.floor(F.col("id") / 100)))
     bodies = rows.groupBy("slug").agg(F.array_sort(F.collect_list(F.struct("id", F.expr(item).alias("x")))).alias("xs"))
     return bodies.select("slug", F.concat(F.lit(head), F.array_join("xs.x", ""), F.lit(tail)).alias("body"))
 
 
+#: A text of the table that can stand in markup as it is, without the white space that XML loses at its ends.
+_NO_MARKUP = "trim(BOTH chr(32) || chr(9) || chr(10) || chr(13) FROM translate({0}, '<>&', '()+'))"
+
+
 @query(
-    _rows("personio", title="'Role ' || id", url=f"'https://' || {_SLUG} || '.jobs.personio.de/job/' || id", description="CASE WHEN location = '' THEN 'Tasks' ELSE 'Tasks' || chr(10) || chr(10) || location END"), "raw",
+    _rows("personio", title=_NO_MARKUP.format("title"), url=f"'https://' || {_SLUG} || '.jobs.personio.de/job/' || id", description=f"CASE WHEN {_NO_MARKUP.format('description')} = '' THEN 'Tasks' ELSE 'Tasks' || chr(10) || chr(10) || {_NO_MARKUP.format('description')} END"), "raw",
 )
 def src_personio(spark, sf_dir):
-    item = "concat('<position><id>', id, '</id><name>Role ', id, '</name><office>', location, '</office><jobDescriptions><jobDescription><name>Tasks</name><value>', location, '</value></jobDescription></jobDescriptions></position>')"
+    item = f"concat('<position><id>', id, '</id><name>', {_NO_MARKUP.format('title')}, '</name><office>', location, '</office><jobDescriptions><jobDescription><name>Tasks</name><value>', {_NO_MARKUP.format('description')}, '</value></jobDescription></jobDescriptions></position>')"
     return boards.postings("personio", _xml_payloads(spark, sf_dir, item, "<workzag-jobs>", "</workzag-jobs>"))
 
 
@@ -47,9 +51,14 @@ def src_softgarden(spark, sf_dir):
     return boards.postings("softgarden", _payloads(spark, sf_dir, item, "dataFeedElement"))
 
 
-@query(_rows("factorial", title="'Data Engineer'", url="'https://f.example/job_posting/data-engineer-' || id", location="''", description="''", posted="TIMESTAMP '2024-01-05 00:00:00'"), "raw")
+#: The letters of a title's first words, as a sitemap's address has them.
+_SLUGGED = "left(regexp_replace(lower(title), '[^a-z]+', '-', 'g'), 40)"
+
+
+@query(_rows("factorial", title="trim(array_to_string(list_transform(string_split(trim(replace(s, '-', ' ')), ' '), lambda w: upper(left(w, 1)) || substr(w, 2)), ' '))", url="'https://f.example/job_posting/' || s || '-' || id", location="''", description="''", posted="TIMESTAMP '2024-01-05 00:00:00'").replace("FROM raw", f"FROM (SELECT *, {_SLUGGED} AS s FROM raw) t"), "raw")
 def src_factorial(spark, sf_dir):
-    item = "concat('<url><loc> https://f.example/job_posting/data-engineer-', id, ' </loc><lastmod>2024-01-05T00:00:00Z</lastmod></url>')"
+    slug = _SLUGGED.replace(", 'g')", ")")
+    item = f"concat('<url><loc> https://f.example/job_posting/', {slug}, '-', id, ' </loc><lastmod>2024-01-05T00:00:00Z</lastmod></url>')"
     return boards.postings("factorial", _xml_payloads(spark, sf_dir, item, "<urlset>", "</urlset>"))
 
 
@@ -111,9 +120,9 @@ def src_arbeitsagentur(spark, sf_dir):
     return boards.arbeitsagentur(_payloads(spark, sf_dir, item, "stellenangebote", ""), details)
 
 
-@query(_rows("rss", title="'Role ' || id", company="'board' || (id // 100)", location="''", description="location", external_id="CASE WHEN id % 2 = 0 THEN 'g' || id ELSE url END", posted="TIMESTAMP '2024-01-05 10:00:00'"), "raw")
+@query(_rows("rss", title=_NO_MARKUP.format("title"), company="'board' || (id // 100)", location="''", description=_NO_MARKUP.format("description"), external_id="CASE WHEN id % 2 = 0 THEN 'g' || id ELSE url END", posted="TIMESTAMP '2024-01-05 10:00:00'"), "raw")
 def src_rss(spark, sf_dir):
-    item = "concat('<item><title>Role ', id, '</title><link>', url, '</link><description>', location, '</description>', if(id % 2 = 0, concat('<guid>g', id, '</guid>'), ''), '<pubDate>Fri, 05 Jan 2024 10:00:00 +0000</pubDate></item>')"
+    item = f"concat('<item><title>', {_NO_MARKUP.format('title')}, '</title><link>', url, '</link><description>', {_NO_MARKUP.format('description')}, '</description>', if(id % 2 = 0, concat('<guid>g', id, '</guid>'), ''), '<pubDate>Fri, 05 Jan 2024 10:00:00 +0000</pubDate></item>')"
     return boards.postings("rss", _xml_payloads(spark, sf_dir, item, "<rss><channel><title>f</title>", "</channel></rss>"))
 
 
