@@ -46,6 +46,16 @@ def test_clusters_are_skipped(spark, monkeypatch):
     assert met < 40 * topk.clusters(topk._blocks(frame.selectExpr("vec_id AS id", "transform(embedding, x -> bigint(floor(x * 64))) AS v").mapInArrow(topk._encode(5), topk._ENCODED).selectExpr("*", "CAST(NULL AS BIGINT) AS cutoff"), 16, 800)).selectExpr("size(codes)").first()[0] / 2
 
 
+def test_keys_grow_with_the_blocks(spark):
+    """A key has BLOCKS_A_KEY blocks at most, whatever the size of a cluster, and every row meets every block of its cluster once."""
+    blocks = spark.range(103).selectExpr("3 AS n", "cast(id % 2 AS int) AS code", "cast(id / 2 AS int) AS block", "id AS held")
+    asked = spark.range(10).selectExpr("3 AS n", "cast(id % 2 AS int) AS code", "id AS q")
+    met = topk.dealt(asked, blocks, topk.BLOCKS_A_KEY)
+    assert met.count() == met.select("q", "held").distinct().count() == 5 * 103
+    by_key = met.groupBy("code", "_run").agg(F.countDistinct("held").alias("n")).collect()
+    assert len(by_key) == 13 + 13 and max(r.n for r in by_key) == topk.BLOCKS_A_KEY
+
+
 def test_few_and_none(spark):
     assert topk.top_k(vectors(spark, []), 20, lambda i: i % 20 == 0).collect() == []
     assert [tuple(r) for r in topk.top_k(vectors(spark, [(0, [1.0]), (1, [0.5])]), 20, lambda i: i % 20 == 0).collect()] == [(0, 1, 1, 64 * 32)]

@@ -36,8 +36,8 @@ AT_ONCE, ASKED = 128, 2048
 CODE_BITS = 8
 #: Blocks of its own cluster from which a query gets its cutoff.
 LISTS = 4
-#: Parts into which a cluster's blocks are dealt, so that several tasks share it.
-SLICES = 4
+#: Blocks of candidates, and of queries, that share a key of a join: a cluster has as many keys as it has such runs of blocks.
+BLOCKS_A_KEY, ASKED_A_KEY = 4, 16
 
 _ENCODED = "id long, n int, code int, raw binary"
 _FOUND = "query_id long, n int, vec_id long, score long"
@@ -189,6 +189,14 @@ def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["n", "code", "q_ids", "q_vectors", "cutoffs"])
 
 
+def dealt(few: DataFrame, many: DataFrame, of: int) -> DataFrame:
+    """Rows of ``few`` joined by cluster with blocks (n, code, block, ...) of ``many``: a key for each ``of`` blocks, to each of which the rows of ``few`` are sent."""
+    run = F.floor(F.col("block") / of).cast("int")
+    runs = many.groupBy("n", "code").agg((F.max(run) + 1).alias("_runs"))
+    sent = few.join(runs, ["n", "code"]).withColumn("_run", F.explode(F.sequence(F.lit(0), F.col("_runs") - 1))).drop("_runs")
+    return sent.join(many.withColumn("_run", run).drop("block"), ["n", "code", "_run"])
+
+
 def top_k(vectors: DataFrame, k: int, is_query, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score of each query's k best candidates (all, if there are fewer), ties to the smaller id.
 
@@ -209,16 +217,15 @@ def top_k(vectors: DataFrame, k: int, is_query, id_col: str = "vec_id", vector_c
     asking = [F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), "cutoffs"]
 
     # Phase 1: the lists of some blocks of each query's own cluster.
-    own = _blocks(queries.select("*", bare), ASKED, n).select("n", "code", *asking)
-    lists = own.join(cand.filter(F.col("block") < LISTS).select("n", "code", "ids", "vectors"), ["n", "code"]).select("n", "q_ids", "q_vectors", "cutoffs", "ids", "vectors")
-    first = lists.mapInArrow(_searched(k), _FOUND)
+    own = stage(_blocks(queries.select("*", bare), ASKED, n).select("n", "code", "block", *asking), "own")
+    lists = dealt(cand.filter(F.col("block") < LISTS).select("n", "code", "ids", "vectors"), own, ASKED_A_KEY)
+    first = lists.select("n", "q_ids", "q_vectors", "cutoffs", "ids", "vectors").mapInArrow(_searched(k), _FOUND)
     cutoffs = ranks(first).filter(F.col("rank") == k).select(F.col("query_id").alias("id"), "n", F.col("score").alias("cutoff"))
 
     # Phase 2: the cutoffs, and with them the queries, go to the clusters that may reach them.
     told = _blocks(queries.join(cutoffs, ["id", "n"], "left").select("id", "n", "code", "raw", "cutoff"), ASKED, n).join(clusters(cand), "n")
     sent = told.select("n", "ids", "vectors", "cutoffs", "codes", "means", "reaches").mapInArrow(_asked, "n int, code int, q_ids binary, q_vectors binary, cutoffs binary")
-    sent = stage(sent, "asked").withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1))))
-    met = sent.join(cand.select("n", "code", (F.col("block") % SLICES).alias("slice"), "ids", "vectors"), ["n", "code", "slice"])
+    met = dealt(stage(sent, "asked"), cand.select("n", "code", "block", "ids", "vectors"), BLOCKS_A_KEY)
 
     # Phase 3: what is sufficient is completed.
     found = met.select("n", "q_ids", "q_vectors", "cutoffs", "ids", "vectors").mapInArrow(_searched(k), _FOUND)
