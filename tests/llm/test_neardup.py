@@ -210,3 +210,11 @@ def test_short_and_longer_texts_at_the_limit(spark):
         docs += [base, edited(rng, base, 1 + i % 2)]
     docs = [(i, " ".join(t)) for i, t in enumerate(docs)]
     assert classes_of(spark.createDataFrame(docs, "doc_id long, text string")) == {frozenset(x) for x in brute(docs)}
+
+
+def test_few_and_many_keys_keep_the_same_rows(odd, monkeypatch):
+    """Whether the keys of what goes are sent to the texts or joined with them."""
+    kept = lambda: sorted(map(str, neardup.keep_one(odd.unionByName(odd.limit(4))).collect()))
+    few = kept()
+    monkeypatch.setattr(neardup, "SENT", -1)
+    assert kept() == few == sorted(map(str, neardup.keep_one(odd).collect()))

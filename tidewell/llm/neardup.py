@@ -57,6 +57,8 @@ CHUNK = 2048
 HUBS, OWN_HUBS = 64, 8
 #: Tasks that share a component when its texts get its name.
 SALTS = 16
+#: Rows of keys, of 60 bytes at most, up to which they go to every task that has texts; more are a join for which texts are shuffled.
+SENT = 100_000
 #: Lists of texts that a task sees at a time.
 UNITS_A_BATCH = 32
 
@@ -400,8 +402,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     pairs, groups = stage(pairs, "pairs", ROWS * n, TEXTS_A_BATCH), stage(groups, "many", ROWS * n)
     needed = pairs.select(F.explode(F.array("a", "b")).alias("words")).unionByName(groups.select("words")).distinct()
     # One text for each, found by its MD5 and id, so that its copies don't meet in one task.
-    wanted = first.join(needed, "words").select("words", "raw", "doc_id")
-    found = rows.join(wanted, (rows["raw"] == wanted["raw"]) & rows["doc_id"].eqNullSafe(wanted["doc_id"])).select("words", "text").dropDuplicates(["words"])
+    wanted = stage(first.join(needed, "words").select("words", "raw", "doc_id"), "wanted", n)
+    found = rows.join(_sent(wanted), (rows["raw"] == wanted["raw"]) & rows["doc_id"].eqNullSafe(wanted["doc_id"])).select("words", "text").dropDuplicates(["words"])
     found = stage(found.mapInArrow(_sequences, "words binary, seq binary"), "sequences", batch=TEXTS_A_BATCH)
     side = lambda x: found.select(F.col("words").alias(x), F.col("seq").alias(f"seq_{x}"))
     links = stage(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "seq_a", "seq_b").mapInArrow(_verified, "a binary, b binary"), "verified", ROWS * n, TEXTS_A_BATCH, True)
@@ -424,11 +426,19 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return joined.select("doc_id", "raw", F.col("least.doc_id").alias("class_id"), (F.col("least.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("least.raw") == F.col("raw"))).alias("first"))
 
 
+def _sent(keys: DataFrame) -> DataFrame:
+    return F.broadcast(keys) if keys.count() <= SENT else keys
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document of each class, that with the smallest id; equal rows of it are one."""
     named = classes(docs, id_col, text_col)
-    # One key of id and text: copies of a text don't meet in one task, and equal rows are in one partition already.
+    # One key of id and text: copies of a text don't meet in one task.
     key = lambda id_, raw: F.unhex(F.md5(F.concat(F.coalesce(id_.cast("string"), F.lit("-")).cast("binary"), raw)))
-    keepers = named.filter("first").select(key(F.col("doc_id"), F.col("raw")).alias("_key")).distinct()
+    keys = named.groupBy(key(F.col("doc_id"), F.col("raw")).alias("_key")).agg(F.max("first").alias("first"), F.count(F.lit(1)).alias("n"))
+    keys = stage(keys.filter("NOT first OR n > 1"), "keys")  # of what goes, and of rows that are there more than once
     own = key(F.col(id_col).cast("long"), F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")))))
-    return docs.select(F.struct("*").alias("_doc"), own.alias("_key")).join(keepers, "_key", "left_semi").dropDuplicates(["_key"]).select("_doc.*")
+    rows = docs.select(F.struct("*").alias("_doc"), own.alias("_key"))
+    once = rows.join(_sent(keys.select("_key")), "_key", "left_anti")
+    again = rows.join(_sent(keys.filter("first").select("_key")), "_key", "left_semi").dropDuplicates(["_key"])
+    return once.unionByName(again).select("_doc.*")
