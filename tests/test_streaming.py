@@ -1,9 +1,11 @@
+import random
 from datetime import date, datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidewell import schemas
-from tidewell.operators import lifecycle, quality
+from tidewell.operators import lifecycle, nearsim, quality
 from tidewell.plans import catalog, refine
 from tidewell.streaming import inbox, shelf
 
@@ -87,11 +89,38 @@ def test_a_batch_rewrites_its_own_buckets(spark, tmp_path):
     assert len(left) <= shelf.BUCKETS + 4  # the latest, and what the last batch would read again
 
 
-def test_memory_adds_up(spark, tmp_path):
+def test_memory_adds_up(spark, tmp_path, monkeypatch):
+    """Additions, and whole tables every third batch, without what was forgotten; what is done with goes."""
+    monkeypatch.setattr(shelf, "WHOLE", 3)
     new = lambda no: spark.createDataFrame([(f"h{no}", 0, f"b{no}", NOW)], schemas.MEMORY)
     folder = str(tmp_path / "memory")
-    for no in range(3):
-        assert sorted(r.content_hash for r in shelf.remembered(spark, folder, no, schemas.MEMORY).collect()) == [f"h{i}" for i in range(no)]
-        shelf.remember(folder, no, new(no))
-    shelf.remember(folder, 1, new(5))  # batch 1 once more
-    assert sorted(r.content_hash for r in shelf.remembered(spark, folder, 3, schemas.MEMORY).collect()) == ["h0", "h2", "h5"]
+    held = lambda no: sorted(r.content_hash for r in shelf.remembered(spark, folder, no, schemas.MEMORY).collect())
+    for no in range(8):
+        for _ in range(2):  # each batch is run twice
+            assert held(no) == [f"h{i}" for i in range(no) if not (i == 0 and no >= 3)]
+            memory = shelf.remembered(spark, folder, no, schemas.MEMORY)
+            shelf.remember(spark, folder, no, new(no), memory.filter("content_hash <> 'h0'"))
+    assert held(8) == [f"h{i}" for i in range(1, 8)]
+    assert sorted(shelf._listed(spark, folder, "added=*")) == [(7,), (8,)] and shelf._listed(spark, folder, "whole=*") == [(6,)]
+
+
+def test_near_copies_on_a_stream(spark, tmp_path):
+    """As the batch operator marks them, file by file; what is older than the window is forgotten."""
+    rng = random.Random(9)
+    bases = ["".join(rng.choice("abcdefgh ") for _ in range(400)) for _ in range(4)]
+    rows = [(10 * no + k, f"h{no}-{k}", b + "x" * (no % 3), NOW + timedelta(days=d)) for no, d in enumerate((0, 3, 9, 11, 25)) for k, b in enumerate(bases[: 2 + no % 3])]
+    schema = "id long, content_hash string, text string, seen_at timestamp"
+    path, folder = str(tmp_path / "in"), str(tmp_path / "out")
+    memory, want = spark.createDataFrame([], schemas.MEMORY), {}
+    for no in range(5):
+        batch = spark.createDataFrame([r for r in rows if r[0] // 10 == no], schema)
+        batch.coalesce(1).write.mode("append").parquet(path)
+        inbox.near_marked(spark.readStream.schema(schema).parquet(path), folder).awaitTermination()
+        got = {r.id: r.near for r in spark.read.parquet(f"{folder}/outcomes/{no}").collect()}
+        now, bands = F.lit(max(r[3] for r in rows if r[0] // 10 == no)), nearsim.band_hashes(batch.select("id", "text"))
+        near = {r.id for r in nearsim.near_duplicates(bands, memory, now).collect()}
+        assert got == {r[0]: r[0] in near for r in rows if r[0] // 10 == no}
+        want |= got
+        new = bands.join(batch, "id").filter(~F.col("id").isin(sorted(near) or [-1])).select("content_hash", "band", "band_hash", "seen_at")
+        memory = spark.createDataFrame(nearsim.remembered(nearsim.forgotten(memory, now), new).collect(), schemas.MEMORY)
+    assert want[10] and want[20] and not want[40]  # after 25 days the first are forgotten

@@ -17,7 +17,7 @@ from tidewell.operators import dedup, lifecycle, location, metrics, nearsim, qua
 from tidewell.plans import fixtures as X
 from tidewell.plans import refine as R
 from tidewell.sources import boards, pages
-from tidewell.sources.shared import new_folder, staged
+from tidewell.sources.shared import exists, new_folder, staged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -197,7 +197,7 @@ _INDEXES: dict[tuple, str] = {}
 def _shelf_index(spark, sf_dir, kind: str) -> str:
     """The folder of an index of the shelf, which is built with it once a session: index_words and index_grams are the builds."""
     key = (spark.sparkContext.applicationId, sf_dir, kind)
-    if key not in _INDEXES:
+    if key not in _INDEXES or not exists(spark, _INDEXES[key]):
         folder = new_folder(spark, kind)
         textindex.write(_t(spark, sf_dir, "shelf").select("id", *textindex.FIELDS), folder, {"words": textindex.WORDS, "grams": textindex.GRAMS}[kind])
         _INDEXES[key] = folder

@@ -22,7 +22,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 def new_folder(spark: SparkSession, name: str) -> str:
     """A folder of its own for this application."""
-    return f"{shared_dir(spark)}/tidewell/{spark.sparkContext.applicationId}/engine/{name}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/tidewell-engine/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def exists(spark: SparkSession, folder: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
 
 
 def removed(spark: SparkSession, folder: str) -> None:

@@ -18,7 +18,9 @@ from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValu
 
 from tidewell import schemas
 from tidewell.functions.values import counter
+from tidewell.operators import nearsim
 from tidewell.plans import refine as R
+from tidewell.sources.shared import new_folder, removed, staged
 from tidewell.streaming import shelf
 
 
@@ -37,13 +39,37 @@ def drained(inbox_path: str, folder: str, index: Callable[[SparkSession], DataFr
         done = R.refine(batch, old, memory, index(s), fetched, settings)
         done.outcomes.write.mode("overwrite").parquet(f"{folder}/outcomes/{no}")
         shelf.upsert(s, f"{folder}/shelf", no, done.jobs, settings.as_of, schemas.SHELF)
-        shelf.remember(f"{folder}/memory", no, done.added)
+        kept = nearsim.forgotten(memory, F.lit(settings.as_of), settings.window_days)
+        shelf.remember(s, f"{folder}/memory", no, done.added, kept)
         done.release()
         shelf.swept(s, f"{folder}/shelf", no)
 
     return rows.writeStream.foreachBatch(refine).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start()
 
 
+def near_marked(stream: DataFrame, folder: str, window_days: int = nearsim.WINDOW_DAYS) -> StreamingQuery:
+    """Write (id, near) of postings (id, content_hash, text, seen_at) below ``folder``/outcomes: whether a text is like one that an earlier batch has remembered.
+
+    The present of a batch is its newest row.  Texts that are near to none are remembered until they are ``window_days`` old; alike texts of one
+    batch are all new.  A batch that is run again writes the same.
+    """
+
+    def mark(batch: DataFrame, no: int) -> None:
+        s, own = batch.sparkSession, new_folder(batch.sparkSession, "near")
+        now = batch.agg(F.max("seen_at")).first()[0]
+        if now is None:
+            return
+        memory = nearsim.forgotten(shelf.remembered(s, f"{folder}/memory", no, schemas.MEMORY), F.lit(now), window_days)
+        bands = staged(nearsim.band_hashes(batch.select("id", "text")), own, "bands")
+        near = staged(nearsim.near_duplicates(bands, memory, F.lit(now), window_days=window_days), own, "near")
+        batch.select("id").join(near.withColumn("near", F.lit(True)), "id", "left").select("id", F.coalesce("near", F.lit(False)).alias("near")).write.mode("overwrite").parquet(f"{folder}/outcomes/{no}")
+        new = bands.join(near, "id", "left_anti").join(batch.select("id", "content_hash", "seen_at"), "id").select("content_hash", "band", "band_hash", "seen_at")
+        shelf.remember(s, f"{folder}/memory", no, nearsim.unknown_bands(memory, new), memory)
+        removed(s, own)
+
+    return stream.writeStream.foreachBatch(mark).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start()
+
+
 def first_within(stream: DataFrame, keys: list[str], time_col: str, delay: str = "10 days") -> DataFrame:
     """The first row of each key within the delay: exact dedup whose memory forgets."""
     return stream.withWatermark(time_col, delay).dropDuplicatesWithinWatermark(keys)

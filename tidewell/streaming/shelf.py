@@ -2,7 +2,7 @@
 
 A row's bucket follows from (source, external_id).  Batch ``no`` finds each bucket as the latest version up to ``no`` has it and
 writes the buckets that it touches as version ``no`` + 1, so that a batch that is run again after a failure reads what it read before
-and replaces what it wrote.  The memory of bands grows by what each batch adds, and is read as all additions so far.
+and replaces what it wrote.  The memory of bands grows by what each batch adds; from time to time it is written whole.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ from tidewell.operators import lifecycle
 from tidewell.sources.shared import removed
 
 BUCKETS = 64
+#: Batches after which the memory is written whole, without what is forgotten.
+WHOLE = 32
 
 
 def bucket(source: Column, external_id: Column) -> Column:
@@ -66,11 +68,19 @@ def swept(spark: SparkSession, folder: str, no: int) -> None:
             removed(spark, f"{folder}/version={version}/bucket={own}")
 
 
-def remember(folder: str, no: int, new: DataFrame) -> None:
-    new.write.mode("overwrite").parquet(f"{folder}/added={no + 1}")
+def remember(spark: SparkSession, folder: str, no: int, new: DataFrame, memory: DataFrame) -> None:
+    """Write what batch ``no`` adds to the memory; every WHOLE batches all that is still remembered instead."""
+    name, rows = ("whole", memory.unionByName(new)) if (no + 1) % WHOLE == 0 else ("added", new)
+    rows.write.mode("overwrite").parquet(f"{folder}/{name}={no + 1}")
+    base = max((b for (b,) in _listed(spark, folder, "whole=*") if b <= no), default=0)
+    for kind, last in (("added", base), ("whole", base - 1)):  # what neither this batch nor a later one reads
+        for (b,) in _listed(spark, folder, f"{kind}=*"):
+            if b <= last:
+                removed(spark, f"{folder}/{kind}={b}")
 
 
 def remembered(spark: SparkSession, folder: str, no: int, schema: str) -> DataFrame:
-    """What the batches before ``no`` have added."""
-    paths = [f"{folder}/added={a}" for (a,) in sorted(_listed(spark, folder, "added=*")) if a <= no]
+    """What was remembered before batch ``no``: the last whole table, and what batches have added since."""
+    base = max((b for (b,) in _listed(spark, folder, "whole=*") if b <= no), default=0)
+    paths = [f"{folder}/whole={base}"] * (base > 0) + [f"{folder}/added={b}" for (b,) in sorted(_listed(spark, folder, "added=*")) if base < b <= no]
     return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
