@@ -497,7 +497,20 @@ def url_domain(spark, sf_dir):
     return _t(spark, sf_dir, "raw").select("id", T.domain_of_url(F.col("url")).alias("by_url"), T.domain_of_name(F.col("company")).alias("by_name"))
 
 
-@query()
+_ATTRIBUTES = """(?:[^>"'']|"[^"]*"|''[^'']*'')*"""
+_LINES = "|".join(pages.LINES)
+_LINE_TAG, _DROPPED_TAG = (f"(?is)</?(?:{names})(?:[\\s/]{_ATTRIBUTES})?>" for names in (_LINES, "|".join(pages.DROPPED)))
+#: The pages' references are these; an end tag without an open element doesn't occur.
+_HTML = f"""WITH bare AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<script\\b[^>]*>.*?(?:</script\\s*>|\\z)', '', 'g'), '(?is)<style\\b[^>]*>.*?(?:</style\\s*>|\\z)', '', 'g'), '(?s)<!--.*?(?:-->|\\z)', '', 'g'), '(?s)<[!?][^>]*>', '', 'g') AS t FROM pages),
+  cut AS (SELECT page_id, regexp_split_to_array(t, '{_DROPPED_TAG}') AS parts, list_transform(regexp_extract_all(t, '{_DROPPED_TAG}'), lambda x: CASE WHEN starts_with(x, '</') THEN -1 WHEN ends_with(x, '/>') THEN 0 ELSE 1 END) AS steps FROM bare),
+  kept AS (SELECT page_id, array_to_string(list_transform(range(1, len(parts) + 1), lambda i: CASE WHEN coalesce(list_sum(steps[1:i - 1]), 0) <= 0 THEN parts[i] ELSE array_to_string(regexp_extract_all(parts[i], '{_LINE_TAG}'), '') END), '') AS t FROM cut),
+  lined AS (SELECT page_id, regexp_replace(regexp_replace(t, '(?is)<(?:{_LINES})(?:\\s{_ATTRIBUTES})?/>', chr(10) || chr(10), 'g'), '{_LINE_TAG}', chr(10), 'g') AS t FROM kept),
+  plain AS (SELECT page_id, regexp_replace(replace(replace(replace(regexp_replace(t, '(?s)</?[a-zA-Z]{_ATTRIBUTES}>', '', 'g'), '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;?', '&', 'g') AS t FROM lined),
+  spaced AS (SELECT page_id, regexp_replace(regexp_replace(t, '[ \\t]+', ' ', 'g'), ' *\\n *', chr(10), 'g') AS t FROM plain)
+  SELECT page_id, trim(regexp_replace(t, '\\n{{3,}}', chr(10) || chr(10), 'g'), ' ' || chr(10)) AS text FROM spaced"""
+
+
+@query(_HTML)
 def html_text(spark, sf_dir):
     return pages.with_text(spark.read.parquet(f"{sf_dir}/pages.parquet"), "html", "text").select("page_id", "text")
 
