@@ -103,27 +103,26 @@ def _first_of_alike(bands: DataFrame, key: str) -> DataFrame:
     return signed.join(signed.groupBy("s", "t").agg(F.min(key).alias("first")), ["s", "t"]).select(key, "first")
 
 
-def _rarest(bands: DataFrame, frequencies: DataFrame, key: str, n: int) -> DataFrame:
-    """key, band, band_hash: each document's ``n`` rarest bands, in an order that is the same for all.  A frequent band's rows are a skewed join's, which is split at run time."""
+def _rarest(bands: DataFrame, frequencies: DataFrame, key: str, least: int) -> DataFrame:
+    """key, band, band_hash: each document's rarest bands, all but ``least`` - 1, in an order that is the same for all.  A frequent band's rows are a skewed join's, which is split at run time."""
     known = bands.join(frequencies, ["band", "band_hash"])
     order = F.array_sort(F.collect_list(F.struct("n", "band", "band_hash")))
-    return known.groupBy(key).agg(F.slice(order, 1, n).alias("own")).select(key, F.explode("own").alias("own")).select(key, "own.band", "own.band_hash")
+    return known.groupBy(key).agg(F.slice(order, F.lit(1), F.greatest(F.size(order) - least + 1, F.lit(1))).alias("own")).select(key, F.explode("own").alias("own")).select(key, "own.band", "own.band_hash")
 
 
-def candidate_pairs(probes: DataFrame, known: DataFrame, least: int, n_bands: int) -> DataFrame:
-    """id, content_hash of documents (id, band, band_hash) and remembered ones (content_hash, band, band_hash) that may share ``least`` of ``n_bands`` bands, each pair once.
+def candidate_pairs(probes: DataFrame, known: DataFrame, least: int) -> DataFrame:
+    """id, content_hash of documents (id, band, band_hash) and remembered ones (content_hash, band, band_hash) that may share ``least`` bands, each pair once.
 
-    Of two that do, one of the n_bands - least + 1 rarest bands of either is common; a band that many unlike
+    Of two that do, of n bands and m, one of the n - least + 1 and m - least + 1 rarest is common; a band that many unlike
     documents have is hardly among these, so it sends no pairs.
     """
     every = probes.select("band", "band_hash").unionByName(known.select("band", "band_hash"))
     frequencies = every.groupBy("band", "band_hash").agg(F.count(F.lit(1)).alias("n"))
-    few = n_bands - least + 1
-    asked, held = _rarest(probes, frequencies, "id", few), _rarest(known, frequencies, "content_hash", few)
+    asked, held = _rarest(probes, frequencies, "id", least), _rarest(known, frequencies, "content_hash", least)
     return asked.join(held, ["band", "band_hash"]).select("id", "content_hash").distinct()
 
 
-def shared_bands(bands: DataFrame, memory: DataFrame, as_of, window_days: int = WINDOW_DAYS, least: int = 1, n_bands: int = LANES // BAND_WIDTH) -> DataFrame:
+def shared_bands(bands: DataFrame, memory: DataFrame, as_of, window_days: int = WINDOW_DAYS, least: int = 1) -> DataFrame:
     """id, shared of rows (id, band, band_hash): the most bands that one remembered document within the window shares, of those that share ``least``.
 
     Documents with equal bands throughout, as copies have, meet as one on either side, so a band that thousands
@@ -133,7 +132,7 @@ def shared_bands(bands: DataFrame, memory: DataFrame, as_of, window_days: int =
     alike = _first_of_alike(bands, "id")
     probes = bands.join(alike.select(F.col("first").alias("id")).distinct(), "id", "left_semi")
     known = fresh.join(_first_of_alike(fresh, "content_hash").select(F.col("first").alias("content_hash")).distinct(), "content_hash", "left_semi")
-    pairs = candidate_pairs(probes, known, least, n_bands)
+    pairs = candidate_pairs(probes, known, least)
     whole = lambda df, key, name: df.groupBy(key).agg(F.collect_list(F.struct("band", "band_hash")).alias(name))
     both = pairs.join(whole(probes, "id", "asked"), "id").join(whole(known, "content_hash", "held"), "content_hash")
     hits = both.select("id", "content_hash", F.size(F.array_intersect("asked", "held")).alias("n")).filter(F.col("n") >= least)
@@ -141,9 +140,9 @@ def shared_bands(bands: DataFrame, memory: DataFrame, as_of, window_days: int =
     return alike.join(most, "first").select("id", "shared")
 
 
-def near_duplicates(bands: DataFrame, memory: DataFrame, as_of, required: int | None = None, window_days: int = WINDOW_DAYS, n_bands: int = LANES // BAND_WIDTH) -> DataFrame:
-    """id of the rows that share ``required`` of ``n_bands`` bands with a remembered document."""
-    return shared_bands(bands, memory, as_of, window_days, required or required_bands(), n_bands).select("id")
+def near_duplicates(bands: DataFrame, memory: DataFrame, as_of, required: int | None = None, window_days: int = WINDOW_DAYS) -> DataFrame:
+    """id of the rows that share ``required`` bands with a remembered document."""
+    return shared_bands(bands, memory, as_of, window_days, required or required_bands()).select("id")
 
 
 def unknown_bands(memory: DataFrame, new: DataFrame) -> DataFrame:

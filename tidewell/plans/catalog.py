@@ -670,12 +670,24 @@ def _refined(spark, sf_dir):
     return R.refine(batch, shelf, memory, _index(spark), fetched, R.Settings(X.AS_OF, rules=quality.Rules(activation=date(2024, 1, 1))))
 
 
-@query()
+_OUTCOMES = f"""AND fresh AS (SELECT * FROM raw WHERE status = 'new'), {_HASHED.format('fresh').strip()} {_PARSED.replace('raw_hashed', 'fresh_hashed')}, sh AS (SELECT * FROM shelf WHERE id % 6 = 0), {_HASHED.format('sh').strip()},
+  seen AS (SELECT id FROM parsed WHERE (external_id <> '' AND external_id IN (SELECT external_id FROM sh)) OR (url <> '' AND url IN (SELECT url FROM sh)) OR content_hash IN (SELECT content_hash FROM sh_hashed)
+    OR ({_PROBE} AND lower(left(title, 64)) IN (SELECT lower(left(title, 64)) FROM sh WHERE length(title) >= 64))),
+  rest AS (SELECT * FROM parsed WHERE id NOT IN (SELECT id FROM seen)),
+  cut AS (SELECT *, first_value(id) OVER w AS keeper, first_value(comp) OVER w AS keeper_comp FROM rest WHERE length(title) >= 64 WINDOW w AS (PARTITION BY left(title, 64) ORDER BY length(title) DESC, id)),
+  p0 AS (SELECT * FROM rest WHERE id NOT IN (SELECT id FROM cut WHERE id <> keeper AND (length(title) = 64 OR comp = '') AND (comp = '' OR comp = keeper_comp))),
+  {_PASS.format('p0', 'p1', 'external_id')}, {_PASS.format('p1', 'p2', 'url')}, {_PASS.format('p2', 'p3', 'content_hash')}, {_BANDS[4:]},
+  memory AS (SELECT h.content_hash, b.band, b.band_hash FROM bands b JOIN sh_hashed h ON h.id = b.id WHERE h.description IS NOT NULL),
+  near AS (SELECT b.id FROM bands b JOIN memory m ON b.band = m.band AND b.band_hash = m.band_hash WHERE b.id IN (SELECT id FROM p3) GROUP BY b.id, m.content_hash HAVING count(DISTINCT b.band) >= {nearsim.required_bands()}),
+  outcomes AS (SELECT id, CASE WHEN id NOT IN (SELECT id FROM p3) OR id IN (SELECT id FROM near) THEN 'duplicate' WHEN trim(title) = '' OR trim(url) = '' OR length(trim(title)) < 2 OR NOT regexp_matches(title, '[A-Za-z0-9]') THEN 'rejected' ELSE 'refined' END AS outcome FROM parsed)"""
+
+
+@query(f"{_OUTCOMES} SELECT * FROM outcomes", "raw", "shelf")
 def refine_outcomes(spark, sf_dir):
     return _refined(spark, sf_dir).outcomes
 
 
-@query()
+@query(f"{_OUTCOMES} SELECT count(*) AS fetched, count(*) FILTER (outcome = 'refined') AS refined, count(*) FILTER (outcome = 'rejected') AS rejected, count(*) FILTER (outcome = 'duplicate') AS duplicate FROM outcomes", "raw", "shelf")
 def refine_summary(spark, sf_dir):
     return metrics.outcome_counts(_refined(spark, sf_dir).outcomes)
 

@@ -54,7 +54,7 @@ def refine(batch: DataFrame, shelf: DataFrame, memory: DataFrame, index: DataFra
     same = shared.staged(dedup.duplicates(jobs, shelf), folder, "same")
     rest = jobs.join(same, "id", "left_anti").select("id", F.col("description").alias("text"))
     bands = shared.staged(nearsim.band_hashes(rest, settings.lanes), folder, "bands")
-    near = shared.staged(nearsim.near_duplicates(bands, memory, F.lit(settings.as_of), nearsim.required_bands(settings.lanes), settings.window_days, settings.lanes // nearsim.BAND_WIDTH), folder, "near")
+    near = shared.staged(nearsim.near_duplicates(bands, memory, F.lit(settings.as_of), nearsim.required_bands(settings.lanes), settings.window_days), folder, "near")
     judged = quality.classified(jobs, settings.rules, settings.today)
     gone = same.unionByName(near).select("id", F.lit(True).alias("_gone"))
     bad = (F.col("verdict") == "reject") | ~quality.title_passes(F.col("title"))
