@@ -13,6 +13,7 @@ do not each leave a row of half-filled sequences.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -21,15 +22,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import stage
+from tidewell.llm.bpe import Encoder
+from tidewell.llm.common import TEXTS_A_BATCH, stage
 
 CAPACITY = 2048
 OPEN_BINS = 4096
 TAIL_PIECES = 4096
 #: Chunks between white space whose ids a worker remembers, and their bytes, in each of two generations: what wasn't met in the younger one is forgotten.
-REMEMBERED, REMEMBERED_BYTES = 100_000, 4_000_000
+REMEMBERED, REMEMBERED_BYTES = 250_000, 10_000_000
 
-_STOPS = frozenset([b".", b",", b";", b":", b"!", b"?"])
+_STOPS = frozenset(b".,;:!?")
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, closed boolean"
 
@@ -87,14 +89,16 @@ class ChunkTokenizer:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
+        self.tokenizer, self.words = Tokenizer.from_file(path), Encoder(path)
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
         self.held = 0  # bytes of the chunks known
-        self.stops = {s: np.array(self.tokenizer.encode(s.decode(), add_special_tokens=False).ids, "<u4").tobytes() for s in _STOPS}
-        vocab = self.tokenizer.get_vocab()
-        self.ends_word = np.zeros(max(vocab.values()) + 1, bool)
-        self.ends_word[[i for word, i in vocab.items() if word.endswith("</w>")]] = True
+        self.stops = {s: np.array(self.tokenizer.encode(chr(s), add_special_tokens=False).ids, "<u4").tobytes() for s in _STOPS}
+
+    def forget(self) -> None:
+        """Workers outlive their tasks, and other stages need their memory."""
+        self.known, self.older, self.held = {}, {}, 0
 
     def learn(self, chunks: set[bytes]) -> None:
         if len(self.known) > REMEMBERED or self.held > REMEMBERED_BYTES:
@@ -103,30 +107,35 @@ class ChunkTokenizer:
         self.held += sum(map(len, missing))
         new = missing.difference(self.older)
         self.known.update((c, self.older[c]) for c in missing.difference(new))
-        stops, words, others = [], [], []
-        for chunk in new:
-            if chunk[-1:] in _STOPS and chunk[-2:-1].isalpha():
-                stops.append(chunk)
-                chunk = chunk[:-1]
-                if chunk in self.known or chunk in new:
-                    continue
+        words = list(filter(bytes.isalpha, new))  # ASCII letters
+        lower = words.copy()
+        stops, others, known = [], [], self.known
+        for chunk in new.difference(words):
+            if chunk[-1] in _STOPS:
+                base = chunk[:-1]
+                if base[-1:].isalpha():
+                    stops.append(chunk)
+                    if base in known or base in new:
+                        continue
+                    if base.isalpha():
+                        words.append(base)
+                        lower.append(base)
+                        continue
+                    chunk = base
             text = chunk.decode("utf-8", "replace")
-            (words if text.isalpha() and max(text) < "\u0130" else others).append(chunk)
-        # A chunk of letters is one word to the vocabulary, so the ids that end words tell many of them apart in one call.
-        groups = [words[at : at + 128] for at in range(0, len(words), 128)]
-        for group, got in zip(groups, self.tokenizer.encode_batch_fast([b" ".join(g).decode() for g in groups], add_special_tokens=False)):
-            ids = np.array(got.ids, "<u4")
-            ends = ((np.flatnonzero(self.ends_word[ids]) + 1) * 4).tolist()
-            raw, start = ids.tobytes(), 0
-            for chunk, end in zip(group, ends, strict=True):
-                self.known[chunk] = raw[start:end]
-                start = end
+            if text.isalpha() and max(text) < "\u0130":
+                words.append(chunk)
+                lower.append(text.lower().encode())
+            else:
+                others.append(chunk)
+        # A chunk of letters is one word to the vocabulary: its merges are found side by side.
+        self.known.update(zip(words, self.words.merged_all(lower)))
         for at in range(0, len(others), 20_000):
             part = others[at : at + 20_000]
             for chunk, got in zip(part, self.tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in part], add_special_tokens=False)):
                 self.known[chunk] = np.array(got.ids, "<u4").tobytes()
-        for chunk in stops:
-            self.known[chunk] = self.known[chunk[:-1]] + self.stops[chunk[-1:]]
+        ends = self.stops
+        known.update([(c, known[c[:-1]] + ends[c[-1]]) for c in stops])
 
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
         at = 0
@@ -192,9 +201,10 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, open_bins:
             still = packer.still_open()
             if done := [row for place in [p for p in waiting if p not in still] for row in waiting.pop(place)]:
                 yield out(done, True)
+        tok.forget()
         yield out([row for rows in waiting.values() for row in rows], False)
 
-    packed = stage(narrow.mapInArrow(first_pass, _PIECES), "packed")
+    packed = stage(narrow.mapInArrow(first_pass, _PIECES), "packed", batch=TEXTS_A_BATCH)
     loose = packed.filter(~F.col("closed")).drop("closed")
     groups = max(1, -(-loose.count() // TAIL_PIECES))
 
