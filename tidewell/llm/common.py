@@ -86,11 +86,18 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Narrow rows that are no burden to one task.
+ALONE = 1_000_000
+
+
 def joined_with_hot(left: DataFrame, right: DataFrame, keys: list[str], rows: int, how: str = "inner") -> DataFrame:
     """left.join(right, keys, how) where a key may hold a large part of the left side's ``rows``; ``right`` has a row for each key.
 
     Keys that hold more than a partition's share are as many as there are partitions at most: their rows of ``right`` are broadcast, so they need no shuffle.
+    Up to ALONE rows, which one task can take even if all have one key, it is a plain join.
     """
+    if rows <= ALONE:
+        return left.join(right, keys, how)
     share = max(1_000, rows // partitions(left.sparkSession))
     hot = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > share).select(*keys)
     few = F.broadcast(right.join(F.broadcast(hot), keys, "left_semi"))
