@@ -6,7 +6,8 @@ import sys
 import pytest
 from pyspark.sql import functions as F
 
-from tidewell.llm import language, mixing, neardup, secrets
+from tidewell.llm import common, language, mixing, neardup, secrets
+from tidewell.llm.graphs import components
 
 OWN = ["_text", "_lang", "_host", "_suffix", "_row", "_doc", "_owner", "_repo", "_parts", "_cut0", "_live", "_size", "_key", "_source", "_order", "_shard", "_logs", "row", "words", "spans"]
 STAGES = {
@@ -53,3 +54,25 @@ def test_records_keep_their_order_where_a_writer_spills(tmp_path):
     rows = json.loads(done.stdout.strip().splitlines()[-1])
     assert len(rows) == 902 and all(r[3] for r in rows) and [r[1:3] for r in rows[-2:]] == [[17_000_000, "revisit"], [17_000_000, "response"]]
     assert [r[1] for r in rows[:900]] == [len(f"<p>{i % 400}</p>") * (10 + i % 90) for i in range(900)]
+
+
+def test_hot_keys_are_joined_apart(spark, monkeypatch):
+    """A key that holds a third of the rows, keys that have no partner, and many small ones: as by a plain join."""
+    left = spark.range(9_000).selectExpr("CASE WHEN id % 3 = 0 THEN -1 ELSE id % 700 END AS k", "id AS v")
+    right = spark.range(600).selectExpr("id AS k", "id * 2 AS w").unionByName(spark.createDataFrame([(-1, 5)], "k long, w long"))
+    for how in ("inner", "left"):
+        monkeypatch.setattr(common, "ALONE", 0)
+        got = common.joined_with_hot(left, right, ["k"], 9_000, how)
+        assert "BroadcastHashJoin" in got._jdf.queryExecution().toString()
+        assert sorted(map(str, got.collect())) == sorted(map(str, left.join(right, ["k"], how).collect()))
+
+
+def test_hubs_and_hot_hosts(spark, odd, monkeypatch):
+    """What has hot joins gives the same with and without them."""
+    star = spark.createDataFrame([(0, i) for i in range(1, 3_000)] + [(5_000, 5_001), (2_999, 4_000)], "a long, b long")
+    told = lambda: sorted(map(str, language.query(odd).collect()))
+    live = lambda: sorted(map(str, secrets.scan(odd, F.col("source"), F.col("lang")).collect()))
+    plain = told(), live()
+    monkeypatch.setattr(common, "ALONE", 0)
+    assert {r.root for r in components(star).collect()} == {0, 5_000} and components(star).count() == 3_003
+    assert (told(), live()) == plain
