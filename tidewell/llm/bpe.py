@@ -17,7 +17,7 @@ import json
 import re
 import sys
 import unicodedata
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -91,13 +91,15 @@ class Encoder:
         vocab, self.special = model["vocab"], {t["content"]: t["id"] for t in spec["added_tokens"]}
         of_byte = byte_characters()
         to_byte = {c: b for b, c in enumerate(of_byte)}
-        self.of_byte = np.array([vocab[c] for c in of_byte], np.int64)
+        # A piece's last byte, where the vocabulary marks the ends of words, is another symbol.
+        end = model.get("end_of_word_suffix") or ""
+        self.of_byte, self.of_last = (np.array([vocab[c + x] for c in of_byte], np.int64) for x in ("", end))
         merges = [m.split(" ", 1) if isinstance(m, str) else m for m in model["merges"]]
         self.size = max([*vocab.values(), *self.special.values()]) + 1
-        # Ranks by pair, as a dictionary, as a hash table of arrays, and by the pair's two bytes.
+        # Ranks by pair, as a hash table of arrays and by the pair's two bytes.
         self.new_id = np.array([vocab[a + b] for a, b in merges], np.int64)
         keys = np.array([vocab[a] * self.size + vocab[b] for a, b in merges], np.int64)
-        self.rank = dict(zip(keys.tolist(), range(len(merges))))
+        self.pairs = keys
         self.shift = 64 - (4 * len(keys) + 1).bit_length()
         self.keys, self.rank_of = np.full((1 << 64 - self.shift) + 1, -1, np.int64), np.zeros((1 << 64 - self.shift) + 1, np.int32)
         left = np.arange(len(keys))
@@ -108,24 +110,27 @@ class Encoder:
             left = left[self.keys[slots[left]] != keys[left]]
             slots[left] = (slots[left] + 1) % (len(self.keys) - 1)
         self.rank_of[slots] = np.arange(len(keys))
-        self.byte_rank = np.full(1 << 16, -1, np.int32)
-        at = self._found((self.of_byte[:, None] * self.size + self.of_byte).ravel())
-        self.byte_rank[at >= 0] = at[at >= 0]
+        self.byte_rank, self.last_rank = (self._found((self.of_byte[:, None] * self.size + right).ravel()).astype(np.int32) for right in (self.of_byte, self.of_last))
         self.pattern, self.latin_pattern = regex.compile(PIECES), latin_pattern()
         self.cut = re.compile(f"({'|'.join(map(re.escape, sorted(self.special, key=len, reverse=True)))})") if self.special else None
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.held = 0
-        self.bytes_of: list[bytes] = [b""] * self.size  # unknown ids are left out
+        bytes_of = [b""] * (self.size + 1)  # the last for unknown ids
         for word, i in [*vocab.items(), *self.special.items()]:
-            self.bytes_of[i] = bytes(to_byte[c] for c in word) if all(c in to_byte for c in word) else word.encode()
-        self.token_bytes = pa.array([*self.bytes_of, b""], pa.large_binary())  # the last for unknown ids
+            bytes_of[i] = bytes(to_byte[c] for c in word) if all(c in to_byte for c in word) else word.encode()
+        self.token_bytes = pa.array(bytes_of, pa.large_binary())
+
+    @cached_property
+    def rank(self) -> dict[int, int]:
+        return dict(zip(self.pairs.tolist(), range(len(self.pairs))))
 
     # -- merging ---------------------------------------------------------------------------------
 
     def merged(self, piece: bytes) -> np.ndarray:
         """The ids of one piece, by a tree of its own."""
-        ids, n = self.of_byte[np.frombuffer(piece, np.uint8)].tolist(), len(piece)
+        raw, n = np.frombuffer(piece, np.uint8), len(piece)
+        ids = [*self.of_byte[raw[:-1]].tolist(), *self.of_last[raw[-1:]].tolist()]
         if n < 2:
             return np.array(ids, "<u4")
         size, bits, none = 1 << (n - 2).bit_length(), n.bit_length(), int(_NONE)
@@ -192,9 +197,12 @@ class Encoder:
         rows, width = raw.shape
         leaves, bits = 1 << (width - 2).bit_length(), width.bit_length()
         place = np.arange(width)
-        ids, there = self.of_byte[raw], place < lengths[:, None]
+        ids, there, every = self.of_byte[raw], place < lengths[:, None], np.arange(rows)
+        ids[every, lengths - 1] = self.of_last[raw[every, lengths - 1]]
         trees = np.full((rows, 2 * leaves), _NONE)
-        pairs = self.byte_rank.take(raw[:, :-1].astype(np.int32) << 8 | raw[:, 1:]).astype(np.int64)
+        two = raw[:, :-1].astype(np.int32) << 8 | raw[:, 1:]
+        pairs = self.byte_rank.take(two).astype(np.int64)
+        pairs[every, lengths - 2] = self.last_rank.take(two[every, lengths - 2])
         trees[:, leaves : leaves + width - 1] = np.where(there[:, 1:] & (pairs >= 0), pairs << bits | place[:-1], _NONE)
         for low in (leaves >> k for k in range(1, leaves.bit_length())):
             trees[:, low : 2 * low] = np.minimum(trees[:, 2 * low : 4 * low : 2], trees[:, 2 * low + 1 : 4 * low : 2])
@@ -243,12 +251,17 @@ class Encoder:
         if len(new) < len(missing):
             self.known.update((p, self.older[p]) for p in missing.difference(new))
         raws = list(map(str.encode, new))
+        self.held += sum(map(len, raws))
+        self.known.update(zip(new, self.merged_all(raws)))
+
+    def merged_all(self, raws: list[bytes]) -> list[bytes]:
+        """The ids of each piece, as little-endian unsigned 32-bit numbers."""
         sizes = np.fromiter(map(len, raws), np.int64, len(raws))
-        self.held += int(sizes.sum())
+        out = np.empty(len(raws), object)
         flat = np.frombuffer(b"".join(raws) + bytes(SIDE_BY_SIDE + 1), np.uint8)
         begins = np.cumsum(sizes) - sizes
         for i in np.flatnonzero((sizes < 2) | (sizes > SIDE_BY_SIDE)).tolist():
-            self.known[new[i]] = self.merged(raws[i]).tobytes()
+            out[i] = self.merged(raws[i]).tobytes()
         # A tree of 2^k leaves takes the pairs of pieces of 2^k + 1 bytes.
         for least, most in ((1, 2), (2, 3), *(((1 << k) + 1, (2 << k) + 1) for k in range(1, SIDE_BY_SIDE.bit_length() - 1))):
             group = np.flatnonzero((sizes > least) & (sizes <= min(most, SIDE_BY_SIDE)))
@@ -256,7 +269,8 @@ class Encoder:
                 part = group[at : at + ROWS]
                 ids, there = self.merged_rows(flat[begins[part][:, None] + np.arange(most)], sizes[part])
                 found, ends = ids[there].astype("<u4").tobytes(), (np.cumsum(there.sum(axis=1)) * 4).tolist()
-                self.known.update(zip([new[i] for i in part.tolist()], [found[a:z] for a, z in zip([0, *ends], ends)]))
+                out[part] = np.fromiter((found[a:z] for a, z in zip([0, *ends], ends)), object, len(part))
+        return out.tolist()
 
     # -- texts -----------------------------------------------------------------------------------
 
@@ -305,6 +319,16 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+def _texts(raw: pa.Array) -> list[str]:
+    return [(t or b"").decode("utf-8", "replace") for t in raw.to_pylist()]
+
+
+def _decoded(own: Encoder, ids: pa.ListArray) -> pa.Array:
+    # A null among ids is outside the vocabulary, and a null list has no ids.
+    plain = pc.if_else(ids.is_valid(), ids, pa.scalar([], ids.type)) if ids.null_count else ids
+    return pa.array(own.decode(pc.fill_null(plain.values, -1).to_numpy(), plain.offsets.to_numpy()), pa.string())
+
+
 def _listed(raw: list[bytes]) -> pa.Array:
     flat = np.frombuffer(b"".join(raw), "<u4").astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(r) // 4 for r in raw)]), pa.int32()), pa.array(flat))
@@ -315,8 +339,7 @@ def encode(text: Column, vocabulary: str) -> Column:
 
     @F.arrow_udf("array<int>")
     def ids(texts: pa.Array) -> pa.Array:
-        own = encoder(vocabulary)
-        return _listed(own.encode([(t or b"").decode("utf-8", "replace") for t in texts.to_pylist()]))
+        return _listed(encoder(vocabulary).encode(_texts(texts)))
 
     return ids(text.cast("binary"))
 
@@ -326,10 +349,7 @@ def decode(ids: Column, vocabulary: str) -> Column:
 
     @F.arrow_udf("string")
     def texts(each: pa.Array) -> pa.Array:
-        own = encoder(vocabulary)
-        # A null among ids is outside the vocabulary, and a null list has no ids.
-        plain = pc.if_else(each.is_valid(), each, pa.scalar([], each.type)) if each.null_count else each
-        return pa.array(own.decode(pc.fill_null(plain.values, -1).to_numpy(), plain.offsets.to_numpy()), pa.string())
+        return _decoded(encoder(vocabulary), each)
 
     return texts(ids)
 
@@ -340,8 +360,15 @@ def encoded(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col:
     A null text counts as empty and has no ids.  Repeated rows, and rows of equal or null ids, are rows of their own.  Columns other than the two
     named are not read.  An empty table gives no rows.
     """
-    got = docs.select(F.col(id_col).alias("doc_id"), encode(F.col(text_col), vocabulary).alias("ids"))
-    return got.withColumn("decoded", decode(F.col("ids"), vocabulary))
+
+    @F.arrow_udf("struct<ids:array<int>,decoded:string>")
+    def both(texts: pa.Array) -> pa.Array:
+        # decode(encode()) would encode twice, once for either column.
+        own = encoder(vocabulary)
+        ids = _listed(own.encode(_texts(texts)))
+        return pa.StructArray.from_arrays([ids, _decoded(own, ids)], names=["ids", "decoded"])
+
+    return docs.select(F.col(id_col).alias("doc_id"), both(F.col(text_col).cast("binary")).alias("got")).select("doc_id", "got.ids", "got.decoded")
 
 
 def query(docs: DataFrame, vocabulary: str) -> DataFrame:
