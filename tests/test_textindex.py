@@ -143,3 +143,39 @@ def test_grams_of_odd_texts(spark):
     want = lambda t: None if t is None else ["", *dict.fromkeys(t.lower()[i : i + 3] for i in range(len(t) - 2))]
     assert got == [want(t) for t in texts]
     assert [r.w for r in rows.select(textindex.words(F.col("t")).alias("w")).collect()] == [None if t is None else ["", *split_words(t)] for t in texts] and T
+
+
+def _plan(df):
+    with contextlib.redirect_stdout(io.StringIO()) as shown:
+        df.explain("formatted")
+    return shown.getvalue()
+
+
+@pytest.mark.parametrize("kind", ["WORDS", "GRAMS"])
+def test_terms_are_not_shuffled(spark, shelf, tmp_path, kind):
+    """A task lists the terms of its own texts, in blocks: no exchange of terms, and a term that all texts have is a row for each block."""
+    made = textindex.entries(shelf, getattr(textindex, kind))
+    assert "Exchange" not in _plan(made)
+    n = made.filter("term = '' AND field = 'description'").select(F.sum(F.size("ids")), F.count(F.lit(1))).first()
+    assert n[0] == shelf.filter("description IS NOT NULL").count() and n[1] <= made.rdd.getNumPartitions()
+
+
+def test_blocks_of_texts(shelf):
+    """Texts listed in several blocks, some without any text, give what one block gives."""
+    for kind in (textindex.WORDS, textindex.GRAMS):
+        sent = shelf.select("id", kind.sent(F.col("description")).alias("d")).toArrow().combine_chunks().to_batches()[0]
+
+        def listed(at, n):
+            ids, texts = sent.column(0).slice(at, n), sent.column(1).slice(at, n)
+            return [] if texts.null_count == len(texts) else [(t, *x) for t, *lists in zip(*(c.to_pylist() for c in kind.listed(ids, texts))) for x in zip(*lists)]
+
+        assert sorted(x for at in range(0, 400, 3) for x in listed(at, 3)) == sorted(listed(0, 400))
+
+
+def test_patterns_are_verified_together(spark, shelf, tmp_path):
+    """The texts are read once for all excluded terms, beside the rows themselves."""
+    path, index = str(tmp_path / "shelf"), search.Index(grams=str(tmp_path / "grams"))
+    shelf.write.parquet(path)
+    textindex.write(shelf, index.grams, textindex.GRAMS)
+    held = _plan(search.filtered(spark.read.parquet(path), search.Search(NOW, without=["data", "lead", "team"]), index))
+    assert len(re.findall(r"ReadSchema: \S*description", held)) == 2
