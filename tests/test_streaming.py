@@ -124,3 +124,41 @@ def test_near_copies_on_a_stream(spark, tmp_path):
         new = bands.join(batch, "id").filter(~F.col("id").isin(sorted(near) or [-1])).select("content_hash", "band", "band_hash", "seen_at")
         memory = spark.createDataFrame(nearsim.remembered(nearsim.forgotten(memory, now), new).collect(), schemas.MEMORY)
     assert want[10] and want[20] and not want[40]  # after 25 days the first are forgotten
+
+
+def test_follower_asks_the_store_little():
+    """A key costs one read, one write and one timer, which moves only when the newest time does; a body that is null is never like the last one."""
+
+    class Store:
+        def __init__(self):
+            self.held, self.timers, self.calls = None, set(), []
+
+        def getValueState(self, name, schema):  # noqa: N802
+            return self
+
+        def get(self):
+            self.calls.append("get")
+            return self.held
+
+        def update(self, value):
+            self.calls.append("update")
+            self.held = value
+
+        def registerTimer(self, at):  # noqa: N802
+            self.calls.append("register")
+            self.timers.add(at)
+
+        def deleteTimer(self, at):  # noqa: N802
+            self.calls.append("delete")
+            self.timers.remove(at)
+
+    store = Store()
+    follower = inbox.Follower(timedelta(milliseconds=5))
+    follower.init(store)
+    row = lambda at, checksum: inbox.Row(at=at, checksum=checksum)
+    asked = lambda *rows: [(r.checksum, r.unchanged, r.since) for r in follower.handleInputRows(("s", "k"), iter(rows), None)]
+    assert asked(row(3000, "b"), row(1000, "a"), row(2000, "a")) == [("a", False, 1000), ("a", True, 1000), ("b", False, 3000)]
+    assert store.calls == ["get", "update", "register"] and store.timers == {8}
+    store.calls.clear()
+    assert asked(row(3000, "b")) == [("b", True, 3000)] and store.calls == ["get", "update"] and store.timers == {8}
+    assert asked(row(9000, None), row(9500, None)) == [(None, False, 9000), (None, False, 9500)] and store.timers == {14}

@@ -7,10 +7,9 @@ a batch that is run again after a failure writes the same rows.  The change dete
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from datetime import timedelta, timezone
+from datetime import timedelta
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
@@ -75,41 +74,48 @@ def first_within(stream: DataFrame, keys: list[str], time_col: str, delay: str =
     return stream.withWatermark(time_col, delay).dropDuplicatesWithinWatermark(keys)
 
 
-_CHANGE = "source_name string, fetch_key string, checksum string, unchanged boolean, last_changed_at timestamp, expired boolean"
+# Times are microseconds here, which are the same in any time zone of a worker.
+_CHANGE = "source_name string, fetch_key string, checksum string, unchanged boolean, since long, expired boolean"
+_CHANGED = Row(*[c.split()[0] for c in _CHANGE.split(", ")])
 #: How long a body is known after it was last fetched.
 FORGET = timedelta(days=30)
 
 
 class Follower(StatefulProcessor):
-    """Of each key the last checksum and since when it holds, until a timer of the watermark forgets both."""
+    """Of each key the last checksum and since when it holds, until a timer of the watermark forgets both.
+
+    It takes rows, as keys are many and have few rows each, and asks the state store as little as it can: for the state, and for a timer only where the newest time is another.
+    """
 
     def __init__(self, forget: timedelta):
         self.forget = int(forget.total_seconds() * 1000)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", "checksum string, since timestamp, seen timestamp")
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803  names of the API
-        checksum, since, seen = self.last.get() if self.last.exists() else (None, None, None)
-        every = pd.concat(list(rows)).sort_values(["fetched_at", "checksum"], kind="stable")
-        out = []
-        for now, at in zip(every["checksum"], every["fetched_at"]):
-            same = now == checksum
+        self.last = handle.getValueState("last", "checksum string, since long, seen long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:  # noqa: N802, N803  names of the API
+        checksum, since, before = self.last.get() or (None, None, None)
+        seen = before
+        for at, now in sorted(((r.at, r.checksum) for r in rows), key=lambda x: tuple((v is None, v) for v in x)):
+            same = now is not None and now == checksum
             if not same:
-                checksum, since = now, at.to_pydatetime()
-            seen = at.to_pydatetime() if seen is None else max(seen, at.to_pydatetime())
-            out.append((*key, checksum, same, since, False))
+                checksum, since = now, at
+            seen = at if seen is None else seen if at is None else max(seen, at)
+            yield _CHANGED(*key, checksum, same, since, False)
         self.last.update((checksum, since, seen))
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer(int(seen.replace(tzinfo=seen.tzinfo or timezone.utc).timestamp() * 1000) + self.forget)
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in _CHANGE.split(", ")])
+        if seen != before:
+            if before is not None:
+                self.handle.deleteTimer(self._end(before))
+            self.handle.registerTimer(self._end(seen))
+
+    def _end(self, seen: int) -> int:
+        return seen // 1000 + self.forget
 
-    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
         checksum, since, _ = self.last.get()
         self.last.clear()
-        yield pd.DataFrame([(*key, checksum, None, since, True)], columns=[c.split()[0] for c in _CHANGE.split(", ")])
+        yield _CHANGED(*key, checksum, None, since, True)
 
     def close(self) -> None:
         pass
@@ -121,8 +127,9 @@ def changes(stream: DataFrame, forget: timedelta = FORGET, delay: str = "1 day")
     A key that the watermark, ``delay`` behind the newest row, has left by more than ``forget`` goes: a row with ``expired`` tells so, and its next body is new again.
     Timers follow the rows' own times, so a replay gives the same rows.  The session's state store must be the one of RocksDB.
     """
-    hashed = stream.select("source_name", "fetch_key", F.sha2("body", 256).alias("checksum"), "fetched_at").withWatermark("fetched_at", delay)
-    return hashed.groupBy("source_name", "fetch_key").transformWithStateInPandas(Follower(forget), _CHANGE, "Append", "EventTime")
+    hashed = stream.select("source_name", "fetch_key", F.sha2("body", 256).alias("checksum"), "fetched_at", F.unix_micros("fetched_at").alias("at")).withWatermark("fetched_at", delay)
+    told = hashed.groupBy("source_name", "fetch_key").transformWithState(Follower(forget), _CHANGE, "Append", "EventTime")
+    return told.select("source_name", "fetch_key", "checksum", "unchanged", F.timestamp_micros("since").alias("last_changed_at"), "expired")
 
 
 def rolling_flow(runs: DataFrame) -> DataFrame:
