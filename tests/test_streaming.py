@@ -1,6 +1,7 @@
 import random
 from datetime import date, datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -162,3 +163,15 @@ def test_follower_asks_the_store_little():
     store.calls.clear()
     assert asked(row(3000, "b")) == [("b", True, 3000)] and store.calls == ["get", "update"] and store.timers == {8}
     assert asked(row(9000, None), row(9500, None)) == [(None, False, 9000), (None, False, 9500)] and store.timers == {14}
+
+
+def test_minima_are_exact():
+    """Also where a remainder is 0 or the largest, and where factors and hashes are."""
+    rng, p = random.Random(5), nearsim.PRIME
+    draw = lambda low: rng.choice([low, p - 1, rng.randrange(low, p)])
+    for n in (1, 7, 513, 2000):
+        h = np.array([draw(0) for _ in range(n)], np.int64)
+        a = [draw(1) for _ in range(40)]
+        b = [rng.choice([draw(0), (-x * int(h[0])) % p, (p - 1 - x * int(h[-1])) % p]) for x in a]
+        want = [min((x * int(y) + z) % p for y in h) for x, z in zip(a, b)]
+        assert nearsim.minima(h, np.array(a), np.array(b)).tolist() == nearsim.least(h, *nearsim.factors(np.array(a), np.array(b))).tolist() == want
