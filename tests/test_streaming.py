@@ -175,3 +175,12 @@ def test_minima_are_exact():
         b = [rng.choice([draw(0), (-x * int(h[0])) % p, (p - 1 - x * int(h[-1])) % p]) for x in a]
         want = [min((x * int(y) + z) % p for y in h) for x, z in zip(a, b)]
         assert nearsim.minima(h, np.array(a), np.array(b)).tolist() == nearsim.least(h, *nearsim.factors(np.array(a), np.array(b))).tolist() == want
+
+
+def test_a_refined_batch_hashes_once(spark, sf_dir, monkeypatch):
+    """Shelf and memory are tables when a batch is refined: none of its steps makes bands of the shelf again."""
+    plans = []
+    refined = catalog.R.refine
+    monkeypatch.setattr(catalog.R, "refine", lambda batch, shelf, memory, *more: (plans.extend(d._jdf.queryExecution().optimizedPlan().toString() for d in (shelf, memory)), refined(batch, shelf, memory, *more))[1])
+    catalog.QUERIES["refine_summary"](spark, sf_dir)
+    assert len(plans) == 2 and not any("MapInArrow" in p or "Project" in p for p in plans)
